@@ -112,6 +112,11 @@ class Workspace:
         self.spark.sql(f"DROP TABLE IF EXISTS `{ns}`.`{s}`")
         self.spark.sql(f"CREATE TABLE `{ns}`.`{s}` USING parquet LOCATION '{v}'")
 
+    def attach(self, ns: str, table: str, path: str) -> None:
+        """Point a table at existing Parquet data (read-only use; a later write
+        creates a new version inside the workspace and leaves ``path`` alone)."""
+        self._swap(ns, table, path)
+
     def exists(self, ns: str, table: str) -> bool:
         return self.current_version(ns, table) is not None
 

@@ -70,3 +70,54 @@ def journal_folder(spark: SparkSession, sf_dir: str) -> str:
     out = fresh_dir(spark, "journal")
     write_csv_folder(df, out, ["prio", "b"], [F.col("订单号").cast("long")])
     return out
+
+
+def write_csv_rows(rows: DataFrame, out_dir: str, by: list[str], header: list[str],
+                   parts: int = 16) -> str:
+    """Write string rows under a literal header line (which may repeat names or be
+    blank -- Spark's writer refuses duplicate column names, so the header is a
+    data row sorted first in every file). ``rows``: ``by`` columns, ``_ord``
+    (sort key, >= 1) and the cell columns ``c0..c{n-1}`` as strings."""
+    cells = [f"c{i}" for i in range(len(header))]
+    keys = rows.select(*by).distinct()
+    head = keys.select(*by, F.lit(0).cast("long").alias("_ord"),
+                       *[F.lit(h).alias(c) for h, c in zip(header, cells)])
+    allr = head.unionByName(rows.select(*by, F.col("_ord").cast("long"), *cells))
+    w = allr.repartition(parts, *by).sortWithinPartitions(*by, "_ord").drop("_ord")
+    opts = dict(CSV_WRITE_OPTIONS, header="false")
+    w.write.options(**opts).partitionBy(*by).csv(out_dir)
+    return out_dir
+
+
+def documents_folder(spark: SparkSession, sf_dir: str) -> str:
+    """documents -> CSV files per language (texts hold newlines, quotes, commas)."""
+    d = table(spark, sf_dir, "documents")
+    df = d.select(F.col("lang"), (F.col("doc_id") % 4).alias("b"),
+                  F.col("doc_id").cast("string").alias("doc_id"), F.col("text"), F.col("source"),
+                  F.col("n_chars").cast("string").alias("n_chars"))
+    out = fresh_dir(spark, "documents")
+    write_csv_folder(df, out, ["lang", "b"], [F.col("doc_id").cast("long")])
+    return out
+
+
+def lineitem_money_folder(spark: SparkSession, sf_dir: str) -> str:
+    """lineitem amounts as money text in three spellings (plain, yen sign with
+    thousands marks, signed with padding)."""
+    li = table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    yen = F.concat(F.lit("¥"), F.format_number(F.floor(cents / 100), 0), F.lit("."),
+                   F.lpad((cents % 100).cast("string"), 2, "0"))
+    neg = (F.col("l_linenumber") % 2) == 0
+    signed = F.concat(F.lit(" "), F.when(neg, F.lit("-")).otherwise(F.lit("+")),
+                      F.floor(cents / 100).cast("string"), F.lit("."),
+                      F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("　"))
+    df = li.select(F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 4).alias("b"),
+                   F.col("l_orderkey").cast("string").alias("ok"), F.col("l_linenumber").cast("string").alias("ln"),
+                   money_text("l_extendedprice").alias("price"), yen.alias("yen"), signed.alias("signed"))
+    out = fresh_dir(spark, "money")
+    write_csv_folder(df, out, ["flag", "b"], [F.col("ok").cast("long"), F.col("ln").cast("int")])
+    return out
+
+
+def money_text_expr(c) -> F.Column:
+    return c.cast("decimal(18,2)").cast("string")

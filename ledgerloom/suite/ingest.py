@@ -74,3 +74,57 @@ def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["glob_match"] = """
 SELECT o_orderkey AS order_key, o_orderpriority AS prio FROM orders
 WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"""
+
+
+# ---------------------------------------------------------------- S3 / C5
+DOC_RULE = Rule("docs", [RuleSource("**/*.csv", 1)], [
+    RuleField("doc_id", "doc_id", 0, True, ["none"]),
+    RuleField("text", "text", 1, True, ["none"]),
+    RuleField("source", "source", 2, True, ["none"]),
+    RuleField("n_chars", "n_chars", 3, True, ["none"]),
+])
+DOC_TABLE = BigTableConfig("docs", "documents", [BigTableField("doc_id", "INTEGER"), BigTableField("n_chars", "INTEGER")])
+
+
+def csv_quoted_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: quoted fields with embedded newlines, quotes and commas survive; one
+    record per document, record ordinals as lineage."""
+    folder = FX.documents_folder(spark, sf_dir)
+    _, _, df = clean_folder(spark, folder, [DOC_RULE], DOC_TABLE)
+    return df.select("doc_id", "text", "source", "n_chars", path_part("__source_file", "lang").alias("lang"),
+                     "__source_row")
+
+
+ORACLES["csv_quoted_multiline"] = """
+SELECT doc_id, text, source, n_chars, lang,
+       CAST(1 + row_number() OVER (PARTITION BY lang, doc_id % 4 ORDER BY doc_id) AS BIGINT) AS __source_row
+FROM documents"""
+
+
+# ---------------------------------------------------------------- C2 / C6
+MONEY_RULE = Rule("money", [RuleSource("**/*.csv", 1)], [
+    RuleField("ok", "orderkey", 0, True, ["none"]), RuleField("ln", "linenumber", 1, True, ["none"]),
+    RuleField("price", "price_cents", 2, True, ["coerce_cents"]),
+    RuleField("yen", "yen_cents", 3, True, ["coerce_cents"]),
+    RuleField("signed", "signed_cents", 4, True, ["coerce_cents"]),
+])
+MONEY_TABLE = BigTableConfig("money", "amounts", [
+    BigTableField("orderkey", "INTEGER"), BigTableField("linenumber", "INTEGER"),
+    BigTableField("price_cents", "INTEGER"), BigTableField("yen_cents", "INTEGER"),
+    BigTableField("signed_cents", "INTEGER")])
+
+
+def to_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money text (plain, ``¥1,234.56``, signed with Unicode padding) -> cents."""
+    folder = FX.lineitem_money_folder(spark, sf_dir)
+    _, _, df = clean_folder(spark, folder, [MONEY_RULE], MONEY_TABLE)
+    return df.select("orderkey", "linenumber", "price_cents", "yen_cents", "signed_cents")
+
+
+ORACLES["to_cents"] = f"""
+SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS linenumber,
+       {sql_cents('l_extendedprice')} AS price_cents,
+       CAST(round(l_extendedprice * 100) AS BIGINT) AS yen_cents,
+       CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT)
+         AS signed_cents
+FROM lineitem"""

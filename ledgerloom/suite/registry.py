@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from ledgerloom.suite import ingest
+from ledgerloom.suite import ingest, relational
+
+MODULES = (ingest,)
 
 
 def queries():
     q = {}
-    for mod in (ingest,):
+    for mod in MODULES:
         for name in mod.ORACLES:
             q[name] = getattr(mod, name)
         for name in getattr(mod, "NO_ORACLE", ()):
             q[name] = getattr(mod, name)
+    q.update(relational.FUNCS)
     return q
 
 
 def oracle_sql():
     o = {}
-    for mod in (ingest,):
+    for mod in MODULES + (relational,):
         o.update({k: v.strip() for k, v in mod.ORACLES.items()})
     return o
