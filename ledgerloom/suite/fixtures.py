@@ -121,3 +121,75 @@ def lineitem_money_folder(spark: SparkSession, sf_dir: str) -> str:
 
 def money_text_expr(c) -> F.Column:
     return c.cast("decimal(18,2)").cast("string")
+
+
+def dates_folder(spark: SparkSession, sf_dir: str) -> str:
+    """orders -> one date column spelled five ways (slashes, Excel serial with and
+    without a time fraction, period, dotted, free text / blank)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 5
+    serial = F.datediff(F.col("o_orderdate"), F.lit("1899-12-30")).cast("string")
+    txt = (F.when(k == 0, F.date_format("o_orderdate", "yyyy/M/d"))
+            .when(k == 1, F.when(F.col("o_orderkey") % 2 == 0, F.concat(serial, F.lit(".25"))).otherwise(serial))
+            .when(k == 2, F.date_format("o_orderdate", "yyyy-MM"))
+            .when(k == 3, F.date_format("o_orderdate", "yyyy.MM.dd"))
+            .otherwise(F.when(F.col("o_orderstatus") == "P", F.lit("   "))
+                        .otherwise(F.concat(F.lit("  Q"), F.quarter("o_orderdate").cast("string"), F.lit(" "),
+                                            F.year("o_orderdate").cast("string"), F.lit(" ")))))
+    df = o.select(F.col("o_orderstatus").alias("st"), (F.col("o_orderkey") % 4).alias("b"),
+                  F.col("o_orderkey").cast("string").alias("key"), txt.alias("when"))
+    out = fresh_dir(spark, "dates")
+    write_csv_folder(df, out, ["st", "b"], [F.col("key").cast("long")])
+    return out
+
+
+def padded_folder(spark: SparkSession, sf_dir: str) -> str:
+    """documents -> short text fields with Unicode padding and blanks."""
+    d = table(spark, sf_dir, "documents")
+    blank = (F.col("doc_id") % 3) == 0
+    df = d.select(F.col("lang").alias("lg"), (F.col("doc_id") % 4).alias("b"),
+                  F.col("doc_id").cast("string").alias("id"),
+                  F.concat(F.lit("　"), F.col("source"), F.lit("  ")).alias("padded"),
+                  F.when(blank, F.lit("  ")).otherwise(F.col("lang")).alias("maybe"))
+    out = fresh_dir(spark, "padded")
+    write_csv_folder(df, out, ["lg", "b"], [F.col("id").cast("long")])
+    return out
+
+
+def customer_folder(spark: SparkSession, sf_dir: str, sub: str = "") -> str:
+    c = table(spark, sf_dir, "customer")
+    df = c.select(F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 4).alias("b"),
+                  F.col("c_custkey").cast("string").alias("c_custkey"), F.col("c_name"),
+                  money_text("c_acctbal").alias("c_acctbal"),
+                  F.concat(F.col("c_custkey").cast("string"), F.lit(".0")).alias("whole"),
+                  F.col("c_nationkey").cast("string").alias("c_nationkey"), F.col("c_mktsegment"))
+    out = fresh_dir(spark, "customer") if not sub else sub
+    write_csv_folder(df, out, ["seg", "b"], [F.col("c_custkey").cast("long")])
+    return out
+
+
+def supplier_folder(spark: SparkSession, sf_dir: str, out: str) -> str:
+    s = table(spark, sf_dir, "supplier")
+    df = s.select((F.col("s_suppkey") % 4).alias("b"), F.col("s_suppkey").cast("string").alias("s_suppkey"),
+                  F.col("s_name"), money_text("s_acctbal").alias("s_acctbal"),
+                  F.col("s_nationkey").cast("string").alias("s_nationkey"))
+    write_csv_folder(df, out, ["b"], [F.col("s_suppkey").cast("long")])
+    return out
+
+
+# A header row that repeats a name (as in a staff list with
+# several name columns): name, birth date, name, account, name, remark.
+REPEATED_HEADER = ["姓名", "出生日期", "姓名", "账号", "姓名", "备注"]
+
+
+def repeated_header_folder(spark: SparkSession, sf_dir: str) -> str:
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("_ord"),
+                    F.lit("").alias("c0"),
+                    F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("c_custkey").cast("int")),
+                                  "yyyy-MM-dd").alias("c1"),
+                    F.col("c_name").alias("c2"), F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("c3"),
+                    F.lit("").alias("c4"), F.col("c_mktsegment").alias("c5"))
+    out = fresh_dir(spark, "repeated")
+    write_csv_rows(rows, out, ["seg"], REPEATED_HEADER)
+    return out

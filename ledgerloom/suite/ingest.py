@@ -128,3 +128,84 @@ SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS linenumber,
        CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT)
          AS signed_cents
 FROM lineitem"""
+
+
+# ---------------------------------------------------------------- C3
+def normalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slashes / dots padded, Excel serials (with a time fraction too) to
+    dates, periods kept, other text trimmed, blank -> ''."""
+    folder = FX.dates_folder(spark, sf_dir)
+    rule = Rule("dates", [RuleSource("**/*.csv", 1)], [RuleField("key", "key", 0, True, ["none"]),
+                                                        RuleField("when", "day", 1, True, ["coerce_date"])])
+    _, _, df = clean_folder(spark, folder, [rule], BigTableConfig("dates", "d", [BigTableField("key", "INTEGER")]))
+    return df.select("key", "day")
+
+
+ORACLES["normalize_date"] = """
+SELECT o_orderkey AS key,
+  CASE o_orderkey % 5
+    WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+    WHEN 2 THEN strftime(o_orderdate, '%Y-%m')
+    WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d')
+    ELSE CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) END
+  END AS day
+FROM orders"""
+
+
+# ---------------------------------------------------------------- C4 / C5
+def trim_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 trims Unicode padding and turns blanks into NULL; C5 keeps text as is."""
+    folder = FX.padded_folder(spark, sf_dir)
+    rule = Rule("pad", [RuleSource("**/*.csv", 1)], [
+        RuleField("id", "doc_id", 0, True, ["none"]), RuleField("padded", "src", 1, True, ["coerce_string"]),
+        RuleField("maybe", "lang_trim", 2, True, ["coerce_string"]), RuleField("maybe", "lang_raw", 3, True, [])])
+    _, _, df = clean_folder(spark, folder, [rule], BigTableConfig("pad", "p", [BigTableField("doc_id", "INTEGER")]))
+    return df.select("doc_id", "src", "lang_trim", "lang_raw")
+
+
+ORACLES["trim_null"] = """
+SELECT doc_id, source AS src,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang_trim,
+  CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE lang END AS lang_raw
+FROM documents"""
+
+
+# ---------------------------------------------------------------- C7 / R5
+COERCE_RULE = Rule("coerce", [RuleSource("**/*.csv", 1)], [
+    RuleField("c_custkey", "key", 0, True, []), RuleField("c_acctbal", "bal_int", 1, True, []),
+    RuleField("c_acctbal", "bal_real", 2, True, []), RuleField("whole", "whole_int", 3, True, []),
+    RuleField("c_name", "name_int", 4, True, []), RuleField("c_custkey", "key_text", 5, True, [])])
+COERCE_TABLE = BigTableConfig("coerce", "c", [
+    BigTableField("key", "INTEGER"), BigTableField("bal_int", "INTEGER"), BigTableField("bal_real", "REAL"),
+    BigTableField("whole_int", "INTEGER"), BigTableField("name_int", "INTEGER")])
+
+
+def coerce_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text into INTEGER only when integral ('100.0' -> 100, '12.5' -> NULL),
+    into REAL when numeric, anything else NULL (and counted as a reject)."""
+    folder = FX.customer_folder(spark, sf_dir)
+    _, _, df = clean_folder(spark, folder, [COERCE_RULE], COERCE_TABLE)
+    return df.select("key", "bal_int", "bal_real", "whole_int", "name_int", "key_text")
+
+
+_DEC = "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)"
+ORACLES["coerce_column"] = f"""
+SELECT c_custkey AS key,
+  CASE WHEN {_DEC} LIKE '%.00' THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS BIGINT) END AS bal_int,
+  CAST({_DEC} AS DOUBLE) AS bal_real, c_custkey AS whole_int, CAST(NULL AS BIGINT) AS name_int,
+  CAST(c_custkey AS VARCHAR) AS key_text
+FROM customer"""
+
+
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects per column, counted by ``observe`` during the clean write."""
+    folder = FX.customer_folder(spark, sf_dir)
+    _, res, _ = clean_folder(spark, folder, [COERCE_RULE], COERCE_TABLE)
+    return spark.createDataFrame(sorted(res.rejects.items()), "column_name string, rejected long")
+
+
+ORACLES["reject_counts"] = f"""
+SELECT * FROM (VALUES ('key', 0), ('bal_real', 0), ('whole_int', 0), ('key_text', 0)) t(column_name, rejected)
+UNION ALL SELECT 'bal_int', COUNT(*) FILTER (WHERE {_DEC} NOT LIKE '%.00') FROM customer
+UNION ALL SELECT 'name_int', COUNT(*) FROM customer"""
