@@ -85,6 +85,36 @@ def source_files(matched: DataFrame, sheets: DataFrame) -> DataFrame:
                     "header_row", "end_row")
 
 
+def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """Canonical headers (H1) of every (file, sheet, header row) a rule source uses."""
+    keys_df = broadcast_if_small(src.select(*KEYS).distinct(), broadcast_rows)
+    hdr_rows = raw.join(keys_df, (raw["source_file"] == keys_df["source_file"])
+                        & (raw["source_sheet"] == keys_df["source_sheet"])
+                        & (raw["row_no"] == keys_df["header_row"])) \
+                  .select(keys_df["source_file"], keys_df["source_sheet"], keys_df["header_row"], "cells")
+    return H.canonicalize(H.header_long(hdr_rows, KEYS), KEYS)
+
+
+def check_mapping(ws: Workspace, source_dir: str, rules: list[Rule]) -> DataFrame:
+    """H9 (``mapping.save``): per mapped source header, NULL when it hits in at
+    least one matching file, else ``duplicate`` / ``missing``. With no readable
+    matching file the check is skipped (empty result)."""
+    from ledgerloom.config import check_mappings
+    plan = plan_rules(rules)
+    for c in plan.compiled:
+        check_mappings(c.mappings)
+    spark = ws.spark
+    files = list_files(spark, source_dir)
+    matched = match_files(files, plan.sources_df(spark))
+    raw, sheets, _ = load_raw_rows(ws, source_dir, files, matched)
+    if raw is None:
+        return spark.createDataFrame([], "source_header string, problem string")
+    src = source_files(matched, sheets)
+    canon = header_table(raw, src)
+    wanted = src.join(plan.fields_df(spark), "rule_pos").select(*KEYS, "source_header")
+    return H.mapping_check(canon, wanted, KEYS)
+
+
 def _cell(cells: Column, kinds: Column, idx: Column):
     value = F.get(cells, idx)
     kind = F.when(kinds.isNull(), F.lit("s")).otherwise(F.substr(kinds, idx + 1, F.lit(1)))
@@ -125,14 +155,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         return CleanResult(s, ns, table, plan.columns)
 
     src = source_files(matched, sheets).cache()
-    src_b = broadcast_if_small(src, broadcast_rows)
-    keys_df = src.select(*KEYS).distinct()
-    hdr_rows = raw.join(broadcast_if_small(keys_df, broadcast_rows),
-                        (raw["source_file"] == keys_df["source_file"])
-                        & (raw["source_sheet"] == keys_df["source_sheet"])
-                        & (raw["row_no"] == keys_df["header_row"])) \
-                  .select(keys_df["source_file"], keys_df["source_sheet"], keys_df["header_row"], "cells")
-    canon = H.canonicalize(H.header_long(hdr_rows, KEYS), KEYS).cache()
+    canon = header_table(raw, src, broadcast_rows).cache()
 
     wanted = src.join(fields, "rule_pos")
     resolved = H.resolve(canon, wanted, KEYS).cache()

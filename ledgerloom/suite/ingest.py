@@ -209,3 +209,122 @@ ORACLES["reject_counts"] = f"""
 SELECT * FROM (VALUES ('key', 0), ('bal_real', 0), ('whole_int', 0), ('key_text', 0)) t(column_name, rejected)
 UNION ALL SELECT 'bal_int', COUNT(*) FILTER (WHERE {_DEC} NOT LIKE '%.00') FROM customer
 UNION ALL SELECT 'name_int', COUNT(*) FROM customer"""
+
+
+# ---------------------------------------------------------------- H1 / H2 / H4
+def customer_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long header table per nation ("sheet"): each customer contributes one
+    header cell (its segment, sometimes with a numeric suffix that collides with
+    generated names), in customer-key order."""
+    from pyspark.sql import Window
+    c = FX.table(spark, sf_dir, "customer")
+    h = F.when(F.col("c_custkey") % 3 == 0,
+               F.concat(F.col("c_mktsegment"), F.lit("_"), (F.col("c_custkey") % 5).cast("string"))) \
+         .otherwise(F.col("c_mktsegment"))
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return c.select(F.col("c_nationkey").alias("sheet"), (F.row_number().over(w) - 1).cast("int").alias("pos"),
+                    h.alias("h"))
+
+
+_CANON_SQL = """
+long AS (SELECT c_nationkey AS sheet,
+                CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS pos,
+                CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || '_' || CAST(c_custkey % 5 AS VARCHAR)
+                     ELSE c_mktsegment END AS h
+         FROM customer),
+cnt AS (SELECT sheet, h, COUNT(*) AS cnt FROM long GROUP BY 1, 2),
+ncols AS (SELECT sheet, COUNT(*) AS n FROM long GROUP BY 1),
+cand AS (SELECT c.sheet, c.h, g.num, c.h || '_' || CAST(g.num AS VARCHAR) AS name
+         FROM cnt c JOIN ncols n USING (sheet), LATERAL generate_series(1, c.cnt + n.n) g(num) WHERE c.cnt > 1),
+free AS (SELECT sheet, h, name, row_number() OVER (PARTITION BY sheet, h ORDER BY num) AS occ
+         FROM cand WHERE NOT EXISTS (SELECT 1 FROM long l WHERE l.sheet = cand.sheet AND l.h = cand.name)),
+occ AS (SELECT l.sheet, l.pos, l.h, c.cnt, row_number() OVER (PARTITION BY l.sheet, l.h ORDER BY l.pos) AS occ
+        FROM long l JOIN cnt c USING (sheet, h)),
+canon AS (SELECT o.sheet, o.pos, o.h, o.cnt, CASE WHEN o.cnt = 1 THEN o.h ELSE f.name END AS name
+          FROM occ o LEFT JOIN free f ON f.sheet = o.sheet AND f.h = o.h AND f.occ = o.occ)"""
+
+
+def canonical_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: repeated headers numbered in column order, skipping raw names."""
+    from ledgerloom.operators.headers import canonicalize
+    return canonicalize(customer_headers(spark, sf_dir), ["sheet"]).select("sheet", "pos", "h", "name")
+
+
+ORACLES["canonical_headers"] = f"WITH {_CANON_SQL} SELECT sheet, pos, h, name FROM canon"
+
+# Mapping headers asked for in every sheet (bare repeated names,
+# numbered names, a CR variant and an absent one).
+WANTED_HEADERS = ["BUILDING", "AUTOMOBILE_1", "MACHINERY_2", "HOUSEHOLD\r", "FURNITURE_0\r", "不存在的列"]
+
+
+def resolve_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 + H4: exact canonical hit, bare repeated name -> duplicate, CR-free
+    fallback, else absent."""
+    from ledgerloom.operators.headers import canonicalize, resolve
+    canon = canonicalize(customer_headers(spark, sf_dir), ["sheet"])
+    sheets = canon.select("sheet").distinct()
+    wanted = sheets.crossJoin(F.broadcast(spark.createDataFrame([(w,) for w in WANTED_HEADERS], "source_header string")))
+    return resolve(canon, wanted, ["sheet"]).select("sheet", "source_header", "status", "idx")
+
+
+_WANTED_VALUES = ", ".join("('" + w.replace("\r", "' || chr(13) || '") + "')" for w in WANTED_HEADERS)
+ORACLES["resolve_headers"] = f"""
+WITH {_CANON_SQL},
+wanted AS (SELECT s.sheet, w.source_header FROM (SELECT DISTINCT sheet FROM canon) s,
+           (VALUES {_WANTED_VALUES}) w(source_header)),
+dups AS (SELECT DISTINCT sheet, h FROM canon WHERE cnt > 1)
+SELECT w.sheet, w.source_header,
+  CASE WHEN e.pos IS NOT NULL THEN 'ok' WHEN d.h IS NOT NULL THEN 'duplicate'
+       WHEN cr.pos IS NOT NULL THEN 'ok' ELSE 'absent' END AS status,
+  COALESCE(e.pos, CASE WHEN d.h IS NULL THEN cr.pos END) AS idx
+FROM wanted w
+LEFT JOIN canon e ON e.sheet = w.sheet AND e.name = w.source_header
+LEFT JOIN dups d ON d.sheet = w.sheet AND d.h = w.source_header
+LEFT JOIN canon cr ON cr.sheet = w.sheet AND cr.name = replace(w.source_header, chr(13), '')
+                  AND replace(w.source_header, chr(13), '') <> w.source_header"""
+
+
+# ---------------------------------------------------------------- H3 / H8 / H9
+def repeated_header_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 layout: a repeated header must be named by number (姓名_2 is the
+    second name column); the bare name would fail the whole run (H3)."""
+    folder = FX.repeated_header_folder(spark, sf_dir)
+    rule = Rule("people", [RuleSource("**/*.csv", 1)], [
+        RuleField("姓名_2", "name", 0, True, ["coerce_string"]), RuleField("账号", "account", 1, True, []),
+        RuleField("出生日期", "born", 2, True, ["coerce_date"]), RuleField("姓名_1", "name1", 3, True, [])])
+    _, _, df = clean_folder(spark, folder, [rule], BigTableConfig("people", "p"))
+    return df.select("name", "account", "born", "name1", "__source_row")
+
+
+ORACLES["repeated_header_pick"] = """
+SELECT c_name AS name, 'A' || CAST(c_custkey AS VARCHAR) AS account,
+  strftime(DATE '1990-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') AS born, '' AS name1,
+  CAST(1 + row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS BIGINT) AS __source_row
+FROM customer"""
+
+
+def unused_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8: source headers no mapping uses, over all files, sorted."""
+    folder = FX.journal_folder(spark, sf_dir)
+    _, res, _ = clean_folder(spark, folder, [JOURNAL_RULE], JOURNAL_TABLE)
+    return spark.createDataFrame([(h,) for h in res.summary.unused_headers], "header string")
+
+
+ORACLES["unused_headers"] = "SELECT * FROM (VALUES ('客户'), ('状态')) t(header)"
+
+
+def mapping_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: each mapped header must hit in at least one matching file; bare
+    repeated names are reported as duplicate, others as missing."""
+    from ledgerloom.operators.clean import check_mapping
+    from ledgerloom.plans.workspace import Workspace
+    folder = FX.repeated_header_folder(spark, sf_dir)
+    rule = Rule("people", [RuleSource("**/*.csv", 1)], [
+        RuleField("姓名", "name", 0), RuleField("姓名_2", "n2", 1), RuleField("账号", "acct", 2),
+        RuleField("不存在的列", "x", 3), RuleField("备注\r", "note", 4)])
+    return check_mapping(Workspace(spark), folder, [rule])
+
+
+ORACLES["mapping_check"] = """
+SELECT * FROM (VALUES ('姓名', 'duplicate'), ('姓名_2', NULL), ('账号', NULL), ('不存在的列', 'missing'),
+                      ('备注' || chr(13), NULL)) t(source_header, problem)"""
