@@ -36,6 +36,7 @@ class CleanResult:
     table: str
     columns: list[str]
     rejects: dict[str, int] = field(default_factory=dict)
+    raw_path: str | None = None          # staged raw rows (for drill-back / previews)
 
 
 def now_iso() -> str:
@@ -66,6 +67,7 @@ def load_raw_rows(ws: Workspace, source_dir: str, files: DataFrame, matched: Dat
     stage = ws.stage_dir("raw")
     raw.write.parquet(stage)
     raw = spark.read.parquet(stage)
+    ws.last_raw_path = stage
     sh = sheets[0]
     for s in sheets[1:]:
         sh = sh.unionByName(s)
@@ -216,7 +218,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
             warnings.append(f"column {c!r}: {n} value(s) could not be coerced to {col_types[c]} (stored NULL)")
     summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}")
     ws.log_run(summary)
-    return CleanResult(summary, ns, table, plan.columns, rejects)
+    return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None))
 
 
 def _sql_type(t: str) -> str:

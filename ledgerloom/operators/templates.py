@@ -17,3 +17,20 @@ def apply_template(canon: DataFrame, template: DataFrame, keys: list[str]) -> tu
     matched = template.join(names, keys + ["source_header"], "left_semi")
     skipped = template.join(names, keys + ["source_header"], "left_anti")
     return matched, skipped
+
+
+def template_report(canon: DataFrame, template: DataFrame, keys: list[str]) -> DataFrame:
+    """H11 for many sheets at once: per sheet the number of template mappings
+    whose header exists and the sorted list of template headers that do not.
+    ``template``: source_header, output_name, transform (bounded by the template
+    size, so it is broadcast)."""
+    t = F.broadcast(template.select("source_header").distinct())
+    hits = canon.join(t, canon["name"] == t["source_header"]).groupBy(*keys) \
+                .agg(F.collect_set("source_header").alias("_hit"))
+    all_headers = sorted(r["source_header"] for r in template.select("source_header").distinct().collect())
+    sheets = canon.select(*keys).distinct()
+    return (sheets.join(hits, keys, "left")
+                  .select(*keys, F.coalesce(F.size("_hit"), F.lit(0)).alias("matched"),
+                          F.array_sort(F.array_except(F.array(*[F.lit(h) for h in all_headers]),
+                                                      F.coalesce(F.col("_hit"), F.array().cast("array<string>"))))
+                          .alias("skipped")))

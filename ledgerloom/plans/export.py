@@ -80,3 +80,23 @@ def export_sheet(raw: DataFrame, canon: DataFrame, path: str, header_row: int =
     """M7: header + rows of one source sheet, in source order."""
     df = sheet_frame(raw, canon, header_row).orderBy("row_no").drop("row_no")
     return write_csv(df, path, single_file)
+
+
+def export_source_sheet(ws: Workspace, file_path: str, path: str, header_row: int = 1,
+                        sheet: str | None = None, single_file: bool = False) -> str:
+    """M7 entry point: header + rows of one source file's sheet (CSV: ``csv``;
+    workbook: by name, else the first sheet), columns by canonical header."""
+    from ledgerloom.operators import headers as H
+    from ledgerloom.sources.csvrows import csv_raw_rows
+    spark = ws.spark
+    if file_path.lower().endswith(".csv"):
+        raw = csv_raw_rows(spark, file_path)
+    else:
+        from ledgerloom.sources.workbook import read_workbooks
+        raw = read_workbooks(spark, [file_path])
+        if sheet is None:
+            sheet = raw.orderBy("sheet_pos").select("source_sheet").first()["source_sheet"]
+        raw = raw.filter(F.col("source_sheet") == sheet)
+    keys = ["source_file", "source_sheet"]
+    canon = H.canonicalize(H.header_long(raw.filter(F.col("row_no") == header_row), keys), keys)
+    return export_sheet(raw, canon, path, header_row, single_file)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.suite import ingest, relational
+from ledgerloom.suite import ingest, relational, workflow
 
-MODULES = (ingest,)
+MODULES = (ingest, workflow)
 
 
 def queries():
