@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.suite import ingest, relational, workflow
+from ledgerloom.suite import ingest, relational, workbooks, workflow
 
-MODULES = (ingest, workflow)
+MODULES = (ingest, workflow, workbooks)
 
 
 def queries():
