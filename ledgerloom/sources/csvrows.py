@@ -58,6 +58,7 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
     lines = raw.select(
         decoded_path(F.col("_metadata.file_path")).alias("source_file"),
         F.col("_metadata.file_name").alias("_fname"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("lid"),
         F.col("value"),
@@ -66,7 +67,8 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
     trailing_cr = F.col("value").endswith("\r")
     body = F.when(trailing_cr, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return lines.select(
-        "source_file", "block", "lid",
+        "source_file", "block", "lid", "file_size",
+        (F.octet_length(F.col("value")) + 1).alias("nbytes"),
         body.alias("body"),
         trailing_cr.alias("crlf"),
         (_quotes(F.col("value")) % 2).cast("int").alias("odd"),
@@ -77,13 +79,22 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
 def _block_table(lines: DataFrame) -> DataFrame:
     blocks = lines.groupBy("source_file", "block").agg(
         F.min("lid").alias("lid0"),
+        F.max("lid").alias("lid_last"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("odd").alias("odd_lines"),
         F.max("lone_cr").alias("cr_lines"),
+        F.sum("nbytes").alias("nbytes"),
+        F.first("file_size").alias("file_size"),
     )
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source_file")
     par_in = (F.coalesce(F.sum("odd_lines").over(before), F.lit(0)) % 2).cast("int")
+    # every line counted with one '\n'; equal to the file size iff the file ends with '\n'
+    ends_nl = F.sum("nbytes").over(whole) == F.col("file_size")
+    eof_lid = F.when(F.col("block") == F.max("block").over(whole), F.col("lid_last"))
     return (blocks.withColumn("par_in", par_in)
+                  .withColumn("ends_nl", ends_nl)
+                  .withColumn("eof_lid", eof_lid)
                   .withColumn("simple", (F.col("par_in") == 0) & (F.col("odd_lines") == 0)
                               & (F.col("cr_lines") == 0)))
 
@@ -100,6 +111,11 @@ def _with_record_offsets(blocks: DataFrame, n_rec: DataFrame | None) -> DataFram
     return b.withColumn("recs_before", F.coalesce(F.sum("n_rec").over(before), F.lit(0)))
 
 
+def _open_end(is_eof_line, ends_nl, crlf):
+    """The file's last record has no terminator after it."""
+    return F.coalesce(is_eof_line & ~ends_nl & ~crlf, F.lit(False))
+
+
 def split_fields(text):
     """Record text -> array<string> cells with the reference's quote rules."""
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN_RE), 0)
@@ -127,22 +143,26 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
 
     if n_complex == 0:
         offsets = _with_record_offsets(blocks, None)
-        b = broadcast_if_small(offsets.select("source_file", "block", "lid0", "recs_before"),
+        b = broadcast_if_small(offsets.select("source_file", "block", "lid0", "recs_before", "ends_nl", "eof_lid"),
                                broadcast_rows)
         return (lines.join(b, ["source_file", "block"])
                      .select("source_file",
                              (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
-                             F.col("body").alias("text")))
+                             F.col("body").alias("text"),
+                             _open_end(F.col("lid") == F.col("eof_lid"), F.col("ends_nl"), F.col("crlf"))
+                             .alias("open_end")))
 
-    flags = blocks.select("source_file", "block", "lid0", "par_in", "simple")
+    flags = blocks.select("source_file", "block", "lid0", "par_in", "simple", "ends_nl", "eof_lid")
     lj = lines.join(broadcast_if_small(flags, broadcast_rows), ["source_file", "block"])
 
     # complex splits: one row per \r-separated segment, with its terminator
     seg = (lj.filter(~F.col("simple"))
-             .select("source_file", "block", "lid", "par_in", "crlf",
+             .select("source_file", "block", "lid", "par_in", "crlf", "ends_nl", "eof_lid",
                      F.posexplode(F.split(F.col("body"), "\r", -1)).alias("sub", "seg"),
                      F.size(F.split(F.col("body"), "\r", -1)).alias("n_sub")))
+    at_eof = (F.col("lid") == F.col("eof_lid")) & (F.col("sub") == F.col("n_sub") - 1)
     seg = seg.withColumn("term", F.when(F.col("sub") < F.col("n_sub") - 1, F.lit("\r"))
+                                  .when(at_eof & ~F.col("ends_nl"), F.when(F.col("crlf"), F.lit("\r")).otherwise(F.lit("")))
                                   .when(F.col("crlf"), F.lit("\r\n")).otherwise(F.lit("\n")))
     w = Window.partitionBy("source_file", "block").orderBy("lid", "sub")
     odd_seg = (_quotes(F.col("seg")) % 2).cast("int")
@@ -159,27 +179,39 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
     simple_recs = (lj.filter(F.col("simple")).join(off_b, ["source_file", "block"])
                      .select("source_file",
                              (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
-                             F.col("body").alias("text")))
+                             F.col("body").alias("text"),
+                             _open_end(F.col("lid") == F.col("eof_lid"), F.col("ends_nl"), F.col("crlf"))
+                             .alias("open_end")))
 
     parts = (seg.join(off_b, ["source_file", "block"])
                 .withColumn("row_no", F.col("recs_before") + F.col("rec_in_block"))
                 .groupBy("source_file", "row_no")
-                .agg(F.sort_array(F.collect_list(F.struct("block", "lid", "sub", "seg", "term"))).alias("p")))
+                .agg(F.sort_array(F.collect_list(F.struct("block", "lid", "sub", "seg", "term",
+                                                          F.col("odd_seg").alias("odd")))).alias("p")))
+    last = F.element_at(F.col("p"), -1)
+    # a record still inside quotes at the end of the file keeps its last
+    # terminator characters as content
+    unterminated = (F.aggregate(F.col("p"), F.lit(0), lambda acc, x: acc + x["odd"]) % 2) == 1
     text = F.concat(
         F.array_join(F.transform(F.slice(F.col("p"), 1, F.greatest(F.size("p") - 1, F.lit(0))),
                                  lambda x: F.concat(x["seg"], x["term"])), ""),
-        F.element_at(F.col("p"), -1)["seg"])
-    complex_recs = parts.select("source_file", "row_no", text.alias("text"))
+        last["seg"], F.when(unterminated, last["term"]).otherwise(F.lit("")))
+    complex_recs = parts.select("source_file", "row_no", text.alias("text"),
+                                (unterminated | (last["term"] == "")).alias("open_end"))
     return simple_recs.unionByName(complex_recs)
 
 
 def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> DataFrame:
     """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL)."""
     recs = csv_records(spark, paths, broadcast_rows)
+    cells = split_fields(F.col("text"))
+    # a last record with no terminator and no content is not a record
+    recs = recs.withColumn("cells", cells).filter(
+        ~(F.col("open_end") & (F.size("cells") == 1) & (F.get(F.col("cells"), 0) == "")))
     return recs.select(
         "source_file",
         F.lit(CSV_SHEET).alias("source_sheet"),
         F.col("row_no").cast("long").alias("row_no"),
-        split_fields(F.col("text")).alias("cells"),
+        F.col("cells"),
         F.lit(None).cast("string").alias("kinds"),
     )
