@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig, CleanPipeline, ConfigError, Rule
-from ledgerloom.functions.transforms import coerce_column, transform_result
+from ledgerloom.functions.transforms import coerce_column, coerce_parsed, numeric_text, staged_projection
 from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
@@ -43,10 +43,15 @@ def now_iso() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
-def load_raw_rows(ws: Workspace, source_dir: str, files: DataFrame, matched: DataFrame):
-    """Raw rows + sheet list for every matched source file, staged once as Parquet."""
+def load_raw_rows(ws: Workspace, source_dir: str, files: DataFrame, matched: DataFrame,
+                  exts: set[str] | None = None, max_header_row: int = 1):
+    """Raw rows + sheet list for every matched source file, staged once as Parquet.
+
+    The stage is partitioned by ``_head`` (row_no <= the largest header row of
+    the rules), so the header job reads only that small partition."""
     spark = ws.spark
-    exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
+    if exts is None:
+        exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
     parts, sheets = [], []
     if "csv" in exts:
         parts.append(csv_raw_rows(spark, source_dir))
@@ -65,7 +70,8 @@ def load_raw_rows(ws: Workspace, source_dir: str, files: DataFrame, matched: Dat
     for p in parts[1:]:
         raw = raw.unionByName(p)
     stage = ws.stage_dir("raw")
-    raw.write.parquet(stage)
+    raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
+       .write.partitionBy("_head").parquet(stage)
     raw = spark.read.parquet(stage)
     ws.last_raw_path = stage
     sh = sheets[0]
@@ -87,9 +93,16 @@ def source_files(matched: DataFrame, sheets: DataFrame) -> DataFrame:
                     "header_row", "end_row")
 
 
-def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """Canonical headers (H1) of every (file, sheet, header row) a rule source uses."""
+def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
+                 max_header_row: int | None = None) -> DataFrame:
+    """Canonical headers (H1) of every (file, sheet, header row) a rule source uses.
+    ``max_header_row`` (known from the rules) is pushed into the Parquet scan so
+    only the first rows of each file are read."""
     keys_df = broadcast_if_small(src.select(*KEYS).distinct(), broadcast_rows)
+    if "_head" in raw.columns:
+        raw = raw.filter(F.col("_head") == 1)     # partition pruning: header rows only
+    if max_header_row is not None:
+        raw = raw.filter(F.col("row_no") <= F.lit(int(max_header_row)))
     hdr_rows = raw.join(keys_df, (raw["source_file"] == keys_df["source_file"])
                         & (raw["source_sheet"] == keys_df["source_sheet"])
                         & (raw["row_no"] == keys_df["header_row"])) \
@@ -127,7 +140,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
           extracted_at: str | None = None, broadcast_rows: int = 200_000) -> CleanResult:
     spark = ws.spark
     files = list_files(spark, pipeline.source_dir).cache()
-    n_files = files.count()
+    ext_counts = {r["ext"]: r["n"] for r in files.groupBy("ext").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_files = sum(ext_counts.values())
     if n_files == 0:
         raise ConfigError("CLEAN_NO_FILES", f"no source files in {pipeline.source_dir}")
     if not rules:
@@ -139,7 +153,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     extracted_at = extracted_at or now_iso()
 
     matched = match_files(files, plan.sources_df(spark))
-    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched)
+    max_header = max(s[7] for s in plan.sources) if plan.sources else 1
+    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, set(ext_counts), max_header)
     if rejected is not None:
         for r in rejected.select("path", "error").collect():
             warnings.append(f"skipped unreadable file {r['path'].rsplit('/', 1)[-1]}: {r['error']}")
@@ -157,12 +172,15 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         return CleanResult(s, ns, table, plan.columns)
 
     src = source_files(matched, sheets).cache()
-    canon = header_table(raw, src, broadcast_rows).cache()
+    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources)).cache()
 
     wanted = src.join(fields, "rule_pos")
     resolved = H.resolve(canon, wanted, KEYS).cache()
-    H.raise_on_duplicates(resolved, canon, KEYS, "source_file")
-    for r in resolved.filter("via_cr").select("source_header").distinct().collect():
+    notes = (resolved.filter((F.col("status") == "duplicate") | F.col("via_cr"))
+                     .select("status", "source_header").distinct().collect())
+    if any(r["status"] == "duplicate" for r in notes):
+        H.raise_on_duplicates(resolved, canon, KEYS, "source_file")
+    for r in notes:
         warnings.append(f"source header {r['source_header']!r} matched only after ignoring carriage returns")
 
     used = wanted.select(*KEYS, "src_id", "source_header")
@@ -191,18 +209,34 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         transforms_of.setdefault(cpos, set()).add(tr)
     lineage = [raw["source_file"].alias("__source_file"), raw["source_sheet"].alias("__source_sheet"),
                raw["row_no"].cast("bigint").alias("__source_row"), F.lit(extracted_at).alias("__extracted_at")]
-    # level 1: transform results (each computed once); level 2: typing + reject flags
-    level1, cents_of = [], {}
-    for j, c in enumerate(plan.columns):
+    # level 0: each output column's source cell (value, kind) and transform code;
+    # then the staged transforms (every expensive intermediate computed once);
+    # then typing + reject flags
+    level0 = []
+    for j, _c in enumerate(plan.columns):
         value, kind = _cell(raw["cells"], raw["kinds"], ixb[f"_i{j}"])
-        res, cents_of[j] = transform_result(transforms_of.get(j, {"none"}), ixb[f"_t{j}"], value, kind)
-        present = value.isNotNull() & (value != "")
-        level1 += [res.alias(f"_r{j}"), present.alias(f"_p{j}")]
-    step1 = data.select(*level1, *lineage)
+        level0 += [value.alias(f"_v{j}"), kind.alias(f"_k{j}"), ixb[f"_t{j}"].alias(f"_t{j}")]
+    step0 = data.select(*level0, *lineage)
+    specs = [(f"_r{j}", transforms_of.get(j, {"none"}), f"_v{j}", f"_k{j}", f"_t{j}")
+             for j in range(len(plan.columns))]
+    present = [(F.col(f"_v{j}").isNotNull() & (F.col(f"_v{j}") != "")).alias(f"_p{j}")
+               for j in range(len(plan.columns))]
+    step0 = step0.select("*", *present)
+    keep_cols = list(LINEAGE_COLUMNS) + [f"_p{j}" for j in range(len(plan.columns))]
+    step1, cents_flags = staged_projection(step0, specs, keep_cols)
+    cents_of = {j: cents_flags[f"_r{j}"] for j in range(len(plan.columns))}
+    # numeric parse of text results bound for INTEGER / REAL columns, once
+    parse_cols = [numeric_text(F.col(f"_r{j}")).alias(f"_n{j}") for j, c in enumerate(plan.columns)
+                  if not cents_of[j] and col_types[c] in ("INTEGER", "REAL")]
+    if parse_cols:
+        step1 = step1.select("*", *parse_cols)
     outs, flags = [], []
     for j, c in enumerate(plan.columns):
         r = F.col(f"_r{j}")
-        typed = coerce_column(r, cents_of[j], col_types[c])
+        if not cents_of[j] and col_types[c] in ("INTEGER", "REAL"):
+            typed = coerce_parsed(F.col(f"_n{j}"), col_types[c])
+        else:
+            typed = coerce_column(r, cents_of[j], col_types[c])
         outs.append(typed.alias(c))
         pre_ok = F.col(f"_p{j}") if cents_of[j] else (r.isNotNull() & (r.cast("string") != ""))
         flags.append((pre_ok & typed.isNull()).alias(f"__rej_{j}"))

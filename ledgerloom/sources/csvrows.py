@@ -139,12 +139,15 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
     1-based record ordinal within its file (blank records counted)."""
     lines = scan_lines(spark, paths)
     blocks = _block_table(lines).checkpoint(eager=True)
-    n_complex = blocks.filter(~F.col("simple")).count()
+    stats = blocks.agg(F.count(F.lit(1)).alias("n"),
+                       F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex")).first()
+    n_complex = int(stats["complex"] or 0)
+    small = int(stats["n"]) <= broadcast_rows
 
     if n_complex == 0:
         offsets = _with_record_offsets(blocks, None)
-        b = broadcast_if_small(offsets.select("source_file", "block", "lid0", "recs_before", "ends_nl", "eof_lid"),
-                               broadcast_rows)
+        b = offsets.select("source_file", "block", "lid0", "recs_before", "ends_nl", "eof_lid")
+        b = F.broadcast(b) if small else b
         return (lines.join(b, ["source_file", "block"])
                      .select("source_file",
                              (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
@@ -153,7 +156,7 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
                              .alias("open_end")))
 
     flags = blocks.select("source_file", "block", "lid0", "par_in", "simple", "ends_nl", "eof_lid")
-    lj = lines.join(broadcast_if_small(flags, broadcast_rows), ["source_file", "block"])
+    lj = lines.join(F.broadcast(flags) if small else flags, ["source_file", "block"])
 
     # complex splits: one row per \r-separated segment, with its terminator
     seg = (lj.filter(~F.col("simple"))
@@ -174,7 +177,8 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
 
     n_rec = seg.groupBy("source_file", "block").agg(F.max("rec_in_block").alias("n_rec_c"))
     offsets = _with_record_offsets(blocks, n_rec).checkpoint(eager=True)
-    off_b = broadcast_if_small(offsets.select("source_file", "block", "recs_before"), broadcast_rows)
+    off_b = offsets.select("source_file", "block", "recs_before")
+    off_b = F.broadcast(off_b) if small else off_b
 
     simple_recs = (lj.filter(F.col("simple")).join(off_b, ["source_file", "block"])
                      .select("source_file",
