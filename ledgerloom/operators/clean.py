@@ -43,7 +43,7 @@ def now_iso() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
-def load_raw_rows(ws: Workspace, source_dir: str, files: DataFrame, matched: DataFrame,
+def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame,
                   exts: set[str] | None = None, max_header_row: int = 1):
     """Raw rows + sheet list for every matched source file, staged once as Parquet.
 
@@ -137,9 +137,17 @@ def _cell(cells: Column, kinds: Column, idx: Column):
 
 
 def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table: BigTableConfig,
-          extracted_at: str | None = None, broadcast_rows: int = 200_000) -> CleanResult:
+          extracted_at: str | None = None, broadcast_rows: int = 200_000,
+          paths: list[str] | None = None, mode: str = "rebuild") -> CleanResult:
+    """Run a clean pipeline. ``mode='rebuild'`` (M1) replaces the big table with a
+    new version; ``mode='append'`` (M2) adds rows. ``paths`` restricts the run to
+    those files of the source folder (used by the incremental stream)."""
     spark = ws.spark
-    files = list_files(spark, pipeline.source_dir).cache()
+    files = list_files(spark, pipeline.source_dir)
+    if paths is not None:
+        files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path",
+                           "left_semi")
+    files = files.cache()
     ext_counts = {r["ext"]: r["n"] for r in files.groupBy("ext").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_files = sum(ext_counts.values())
     if n_files == 0:
@@ -154,7 +162,9 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
 
     matched = match_files(files, plan.sources_df(spark))
     max_header = max(s[7] for s in plan.sources) if plan.sources else 1
-    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, set(ext_counts), max_header)
+    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir if paths is None else
+                                          [p for p in paths if p.lower().endswith(".csv")] or pipeline.source_dir,
+                                          files, matched, set(ext_counts), max_header)
     if rejected is not None:
         for r in rejected.select("path", "error").collect():
             warnings.append(f"skipped unreadable file {r['path'].rsplit('/', 1)[-1]}: {r['error']}")
@@ -245,7 +255,10 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     staged = step1.select(*outs, *LINEAGE_COLUMNS, *flags)
     metrics = [F.sum(F.col(f"__rej_{i}").cast("int")).alias(c) for i, c in enumerate(plan.columns)]
     obs_cols = [F.col(f"`{c}`") for c in plan.columns] + [F.col(c) for c in LINEAGE_COLUMNS]
-    rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols)
+    if mode == "append" and ws.exists(ns, table):
+        rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols)
+    else:
+        rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols)
     rejects = {c: int(got.get(c) or 0) for c in plan.columns}
     for c, n in rejects.items():
         if n:

@@ -174,6 +174,20 @@ class Workspace:
         self.register(ns, table)
         return int(obs.get["n"] or 0)
 
+    def append_observed(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
+                        project: list[Column] | None = None) -> tuple[int, dict]:
+        """M2 with metrics: append in one pass, returning (rows, metrics)."""
+        v = self.current_version(ns, table)
+        obs = Observation(f"a_{uuid.uuid4().hex[:8]}")
+        observed = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
+        if project is not None:
+            observed = observed.select(*project)
+        cur = self.spark.read.parquet(v)
+        observed.select(*[F.col(f"`{c}`") for c in cur.columns]).write.mode("append").parquet(v)
+        self.register(ns, table)
+        got = dict(obs.get)
+        return int(got.pop("__rows", 0) or 0), got
+
     def update_where(self, ns: str, table: str, cond: str | Column, assignments: dict[str, str | Column]) -> int:
         """Q9 UPDATE as copy-on-write: one staged rewrite, changed rows counted by observe."""
         df = self.read(ns, table)

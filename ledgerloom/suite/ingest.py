@@ -328,3 +328,26 @@ def mapping_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["mapping_check"] = """
 SELECT * FROM (VALUES ('姓名', 'duplicate'), ('姓名_2', NULL), ('账号', NULL), ('不存在的列', 'missing'),
                       ('备注' || chr(13), NULL)) t(source_header, problem)"""
+
+
+# ---------------------------------------------------------------- incremental (stream)
+def incremental_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New files picked up by a file stream (availableNow, a few files per
+    micro-batch) and appended: same rows and lineage as one full clean."""
+    from ledgerloom.config import CleanPipeline
+    from ledgerloom.plans.workspace import Workspace
+    from ledgerloom.streaming.incremental import incremental_clean as run
+    from ledgerloom.suite.common import FIXED_EXTRACTED_AT
+    folder = FX.journal_folder(spark, sf_dir)
+    ws = Workspace(spark)
+    run(ws, CleanPipeline("inc", folder, "序时账"), [JOURNAL_RULE], JOURNAL_TABLE, max_files_per_trigger=7,
+        extracted_at=FIXED_EXTRACTED_AT)
+    from ledgerloom.plans.workspace import bt_namespace
+    df = ws.read(bt_namespace("序时账"), "seq")
+    return df.select("order_key", F.col("借方余额").alias("debit"), "date", "note",
+                     path_part("__source_file", "prio").alias("prio"),
+                     path_part("__source_file", "b").cast("int").alias("b"),
+                     "__source_sheet", "__source_row", "__extracted_at")
+
+
+ORACLES["incremental_clean"] = ORACLES["clean_lineage"]
