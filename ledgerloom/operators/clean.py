@@ -36,7 +36,8 @@ class CleanResult:
     table: str
     columns: list[str]
     rejects: dict[str, int] = field(default_factory=dict)
-    raw_path: str | None = None          # staged raw rows (for drill-back / previews)
+    raw_path: str | None = None          # staged raw rows, when staged
+    raw_rows: DataFrame | None = None    # raw rows of the run (staged or re-scanned), for drill-back / previews
 
 
 def now_iso() -> str:
@@ -45,16 +46,21 @@ def now_iso() -> str:
 
 def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame,
                   exts: set[str] | None = None, max_header_row: int = 1):
-    """Raw rows + sheet list for every matched source file, staged once as Parquet.
+    """Raw rows + sheet list for every matched source file.
 
-    The stage is partitioned by ``_head`` (row_no <= the largest header row of
-    the rules), so the header job reads only that small partition."""
+    CSV files whose splits are all simple (no record spans lines) are re-scanned
+    instead of staged: a text scan is cheaper than writing and reading the rows
+    again. Otherwise (workbooks, multi-line records) the rows are staged once as
+    Parquet, partitioned by ``_head`` (row_no <= the largest header row of the
+    rules) so the header job reads only that small partition."""
     spark = ws.spark
+    ws.last_raw_path = None
     if exts is None:
         exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
     parts, sheets = [], []
+    info: dict = {}
     if "csv" in exts:
-        parts.append(csv_raw_rows(spark, source_dir))
+        parts.append(csv_raw_rows(spark, source_dir, info=info))
         sheets.append(csv_sheets(files))
     if exts & {"xlsx", "xls"}:
         from ledgerloom.sources.workbook import workbook_raw_rows
@@ -69,14 +75,16 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
+    sh = sheets[0]
+    for s in sheets[1:]:
+        sh = sh.unionByName(s)
+    if len(parts) == 1 and "csv" in exts and info.get("complex_splits", 1) == 0:
+        return raw, sh, rejected
     stage = ws.stage_dir("raw")
     raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
        .write.partitionBy("_head").parquet(stage)
     raw = spark.read.parquet(stage)
     ws.last_raw_path = stage
-    sh = sheets[0]
-    for s in sheets[1:]:
-        sh = sh.unionByName(s)
     return raw, sh, rejected
 
 
@@ -94,11 +102,15 @@ def source_files(matched: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
-                 max_header_row: int | None = None) -> DataFrame:
+                 max_header_row: int | None = None, small: bool | None = None) -> DataFrame:
     """Canonical headers (H1) of every (file, sheet, header row) a rule source uses.
     ``max_header_row`` (known from the rules) is pushed into the Parquet scan so
     only the first rows of each file are read."""
-    keys_df = broadcast_if_small(src.select(*KEYS).distinct(), broadcast_rows)
+    keys_df = src.select(*KEYS).distinct()
+    if small is None:
+        keys_df = broadcast_if_small(keys_df, broadcast_rows)
+    elif small:
+        keys_df = F.broadcast(keys_df)
     if "_head" in raw.columns:
         raw = raw.filter(F.col("_head") == 1)     # partition pruning: header rows only
     if max_header_row is not None:
@@ -107,6 +119,9 @@ def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
                         & (raw["source_sheet"] == keys_df["source_sheet"])
                         & (raw["row_no"] == keys_df["header_row"])) \
                   .select(keys_df["source_file"], keys_df["source_sheet"], keys_df["header_row"], "cells")
+    # header rows are few (files x header rows) but feed several branches of the
+    # canonicalisation plan: materialise them once (reliable checkpoint)
+    hdr_rows = hdr_rows.checkpoint(eager=True)
     return H.canonicalize(H.header_long(hdr_rows, KEYS), KEYS)
 
 
@@ -182,20 +197,27 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         return CleanResult(s, ns, table, plan.columns)
 
     src = source_files(matched, sheets).cache()
-    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources)).cache()
+    # per-(file, rule source) tables have at most files x sources rows: that bound
+    # decides broadcast vs shuffle join without counting
+    small = n_files * max(1, len(plan.sources)) <= broadcast_rows
+    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources), small).cache()
 
     wanted = src.join(fields, "rule_pos")
     resolved = H.resolve(canon, wanted, KEYS).cache()
+    used = wanted.select(*KEYS, "src_id", "source_header")
+    canon_src = canon.join(src.select(*KEYS, "src_id"), KEYS)
+    # one small job for all header notes: ambiguous / CR-only matches and unused headers
     notes = (resolved.filter((F.col("status") == "duplicate") | F.col("via_cr"))
-                     .select("status", "source_header").distinct().collect())
+                     .select("status", "source_header").distinct()
+                     .unionByName(H.unused_headers(canon_src, used, KEYS + ["src_id"])
+                                  .select(F.lit("unused").alias("status"), F.col("header").alias("source_header")))
+                     .collect())
     if any(r["status"] == "duplicate" for r in notes):
         H.raise_on_duplicates(resolved, canon, KEYS, "source_file")
     for r in notes:
-        warnings.append(f"source header {r['source_header']!r} matched only after ignoring carriage returns")
-
-    used = wanted.select(*KEYS, "src_id", "source_header")
-    canon_src = canon.join(src.select(*KEYS, "src_id"), KEYS)
-    unused = [r["header"] for r in H.unused_headers(canon_src, used, KEYS + ["src_id"]).collect()]
+        if r["status"] != "unused":
+            warnings.append(f"source header {r['source_header']!r} matched only after ignoring carriage returns")
+    unused = sorted(r["source_header"] for r in notes if r["status"] == "unused")
     if unused:
         warnings.append("source headers not used by any mapping (not imported): " + ", ".join(unused))
 
@@ -209,7 +231,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     ix = (src.join(resolved.select(*KEYS, "src_id", "output_name", "idx", "transform"),
                    KEYS + ["src_id"], "left")
              .groupBy(*KEYS, "src_id", "end_row").agg(*ix_cols))
-    ixb = broadcast_if_small(ix, broadcast_rows)
+    ixb = F.broadcast(ix) if small else ix
     data = raw.join(ixb, (raw["source_file"] == ixb["source_file"]) & (raw["source_sheet"] == ixb["source_sheet"])
                     & (raw["row_no"] > ixb["header_row"])
                     & (ixb["end_row"].isNull() | (raw["row_no"] <= ixb["end_row"])))
@@ -265,7 +287,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
             warnings.append(f"column {c!r}: {n} value(s) could not be coerced to {col_types[c]} (stored NULL)")
     summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}")
     ws.log_run(summary)
-    return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None))
+    return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw)
 
 
 def _sql_type(t: str) -> str:

@@ -134,7 +134,7 @@ def split_fields(text):
             .otherwise(F.split(joined, _SEP, -1))
 
 
-def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> DataFrame:
+def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000, info: dict | None = None) -> DataFrame:
     """``(source_file, row_no, text)``: one row per CSV record; ``row_no`` is the
     1-based record ordinal within its file (blank records counted)."""
     lines = scan_lines(spark, paths)
@@ -143,6 +143,8 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
                        F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex")).first()
     n_complex = int(stats["complex"] or 0)
     small = int(stats["n"]) <= broadcast_rows
+    if info is not None:
+        info.update(splits=int(stats["n"]), complex_splits=n_complex)
 
     if n_complex == 0:
         offsets = _with_record_offsets(blocks, None)
@@ -205,13 +207,18 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> Da
     return simple_recs.unionByName(complex_recs)
 
 
-def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000) -> DataFrame:
-    """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL)."""
-    recs = csv_records(spark, paths, broadcast_rows)
+def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000, info: dict | None = None) -> DataFrame:
+    """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL).
+    ``info`` (optional dict) receives the split counts (``complex_splits`` = splits
+    that needed the record-assembly path)."""
+    recs = csv_records(spark, paths, broadcast_rows, info)
     cells = split_fields(F.col("text"))
     # a last record with no terminator and no content is not a record
+    # (written as CASE so that, when the optimizer pushes it down, cells are
+    # only parsed for the one end-of-file record per file)
     recs = recs.withColumn("cells", cells).filter(
-        ~(F.col("open_end") & (F.size("cells") == 1) & (F.get(F.col("cells"), 0) == "")))
+        F.when(F.col("open_end"), ~((F.size("cells") == 1) & (F.get(F.col("cells"), 0) == "")))
+         .otherwise(F.lit(True)))
     return recs.select(
         "source_file",
         F.lit(CSV_SHEET).alias("source_sheet"),

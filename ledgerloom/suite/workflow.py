@@ -190,7 +190,7 @@ SELECT o_orderkey AS order_key, strftime(o_orderdate, '%Y-%m-%d') AS date FROM o
 def source_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """offset/limit page of every source sheet's data rows, with totals."""
     ws, res, _ = _journal(spark, sf_dir)
-    raw = spark.read.parquet(res.raw_path)
+    raw = res.raw_rows
     page = A.preview_source(raw, header_row=1, offset=10, limit=5)
     return page.select(path_part("source_file", "prio").alias("prio"), "row_no",
                        F.get("cells", 0).alias("order_key"), "total")
@@ -316,7 +316,7 @@ def template_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved template applied to every sheet: matched count, skipped headers."""
     from ledgerloom.operators.templates import template_report
     ws, res, _ = _journal(spark, sf_dir)
-    raw = spark.read.parquet(res.raw_path)
+    raw = res.raw_rows
     keys = ["source_file", "source_sheet"]
     from ledgerloom.operators import headers as H
     canon = H.canonicalize(H.header_long(raw.filter(F.col("row_no") == 1), keys), keys)
@@ -360,7 +360,7 @@ def drill_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows joined back to their source rows through the lineage."""
     from ledgerloom.operators.clean import drill_back as drill
     _, res, df = _journal(spark, sf_dir)
-    raw = spark.read.parquet(res.raw_path)
+    raw = res.raw_rows
     return drill(df, raw).select("order_key", F.get("cells", 3).alias("source_amount"))
 
 
