@@ -50,26 +50,36 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
 
     CSV files whose splits are all simple (no record spans lines) are re-scanned
     instead of staged: a text scan is cheaper than writing and reading the rows
-    again. Otherwise (workbooks, multi-line records) the rows are staged once as
-    Parquet, partitioned by ``_head`` (row_no <= the largest header row of the
-    rules) so the header job reads only that small partition."""
+    again. CSV records assembled across lines are staged once as Parquet,
+    partitioned by ``_head`` (row_no <= the largest header row of the rules) so
+    the header job reads only that small partition; workbooks are staged at the
+    emitter."""
     spark = ws.spark
     ws.last_raw_path = None
     if exts is None:
         exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
     parts, sheets = [], []
     info: dict = {}
+    rejected = None
     if "csv" in exts:
-        parts.append(csv_raw_rows(spark, source_dir, info=info))
+        csv_raw = csv_raw_rows(spark, source_dir, info=info)
+        if info.get("complex_splits", 1) > 0:
+            # records spanning lines went through windows / grouping: stage them once
+            stage = ws.stage_dir("raw")
+            csv_raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
+                   .write.partitionBy("_head").parquet(stage)
+            csv_raw = spark.read.parquet(stage).drop("_head")
+            ws.last_raw_path = stage
+        parts.append(csv_raw)
         sheets.append(csv_sheets(files))
     if exts & {"xlsx", "xls"}:
+        # the workbook emitter output is itself staged (each file parsed once);
+        # raw rows are cheap expressions over it
         from ledgerloom.sources.workbook import workbook_raw_rows
         wb_files = matched.filter(F.col("ext").isin("xlsx", "xls")).select("path").distinct()
         raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, wb_files)
         parts.append(raw_wb)
         sheets.append(sheets_wb)
-    else:
-        rejected = None
     if not parts:
         return None, None, None
     raw = parts[0]
@@ -78,13 +88,6 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     sh = sheets[0]
     for s in sheets[1:]:
         sh = sh.unionByName(s)
-    if len(parts) == 1 and "csv" in exts and info.get("complex_splits", 1) == 0:
-        return raw, sh, rejected
-    stage = ws.stage_dir("raw")
-    raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
-       .write.partitionBy("_head").parquet(stage)
-    raw = spark.read.parquet(stage)
-    ws.last_raw_path = stage
     return raw, sh, rejected
 
 

@@ -539,3 +539,56 @@ WITH RECURSIVE {_EDGES_SQL},
 r(id, depth) AS (SELECT e.dst, 1 FROM e JOIN start ON e.src = start.id
                  UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.id)
 SELECT id, CAST(MAX(depth) AS INTEGER) AS level FROM r GROUP BY id"""
+
+
+# ---------------------------------------------------------------- C6 / G2 / G7
+def to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money text -> number without scaling (marks and Unicode spaces removed)."""
+    from ledgerloom.functions.transforms import to_number as num
+    li = FX.table(spark, sf_dir, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    text = F.concat(F.lit("¥ "), F.format_number(F.floor(cents / 100), 0), F.lit("."),
+                    F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("　"))
+    return li.select("l_orderkey", "l_linenumber", num(text, F.lit("s")).alias("amount"))
+
+
+ORACLES["to_number"] = """
+SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0 AS amount FROM lineitem"""
+
+
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct downstream of the first supplier and direct upstream of the first order."""
+    e = lineitem_edges(spark, sf_dir)
+    li = FX.table(spark, sf_dir, "lineitem")
+    first = li.agg(F.min("l_suppkey").alias("s"), F.min("l_orderkey").alias("o")).first()
+    down = G.downstream(e, f"s:{first['s']}").select(F.lit("down").alias("dir"), "id")
+    up = G.upstream(e, f"o:{first['o']}").select(F.lit("up").alias("dir"), "id")
+    return down.unionByName(up)
+
+
+ORACLES["graph_neighbours"] = """
+SELECT DISTINCT 'down' AS dir, 'p:' || CAST(l_partkey AS VARCHAR) AS id FROM lineitem
+WHERE l_suppkey = (SELECT MIN(l_suppkey) FROM lineitem)
+UNION ALL
+SELECT DISTINCT 'up', 'p:' || CAST(l_partkey AS VARCHAR) FROM lineitem
+WHERE l_orderkey = (SELECT MIN(l_orderkey) FROM lineitem)"""
+
+
+def batch_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run every clean pipeline of a project (dependency order), then every sql-clean."""
+    from ledgerloom.plans.rebuild import run_batch
+    ws = Workspace(spark)
+    proj = Project(
+        [SqlCleanPipeline("m_cust", ["客户"], 'SELECT key, segment FROM "bt_客户".cust', "cust"),
+         CleanPipeline("c_cust", FX.customer_folder(spark, sf_dir), "客户"),
+         CleanPipeline("c_journal", FX.journal_folder(spark, sf_dir), "序时账")],
+        [JOURNAL_TABLE, CUST_TABLE], {"序时账": [JOURNAL_RULE], "客户": [CUST_RULE]})
+    run_batch(ws, proj, kind="clean")
+    run_batch(ws, proj, kind="sql-clean")
+    return ws.run_log().select("pipeline_id", "kind", "ok", "rows")
+
+
+ORACLES["batch_by_kind"] = """
+SELECT 'c_cust' AS pipeline_id, 'clean' AS kind, true AS ok, COUNT(*) AS rows FROM customer
+UNION ALL SELECT 'c_journal', 'clean', true, COUNT(*) FROM orders
+UNION ALL SELECT 'm_cust', 'sql-clean', true, COUNT(*) FROM customer"""
