@@ -62,7 +62,11 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     info: dict = {}
     rejected = None
     if "csv" in exts:
-        csv_raw = csv_raw_rows(spark, source_dir, info=info)
+        # pin the file set: both scans of the CSV reader must see the same files
+        from ledgerloom.sources.csvrows import literal_path
+        csv_files = [literal_path(r["path"]) for r in
+                     files.filter(F.col("ext") == "csv").select("path").collect()]   # file names only
+        csv_raw = csv_raw_rows(spark, csv_files or source_dir, info=info)
         if info.get("complex_splits", 1) > 0:
             # records spanning lines went through windows / grouping: stage them once
             stage = ws.stage_dir("raw")
@@ -180,9 +184,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
 
     matched = match_files(files, plan.sources_df(spark))
     max_header = max(s[7] for s in plan.sources) if plan.sources else 1
-    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir if paths is None else
-                                          [p for p in paths if p.lower().endswith(".csv")] or pipeline.source_dir,
-                                          files, matched, set(ext_counts), max_header)
+    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, set(ext_counts), max_header)
     if rejected is not None:
         for r in rejected.select("path", "error").collect():
             warnings.append(f"skipped unreadable file {r['path'].rsplit('/', 1)[-1]}: {r['error']}")

@@ -48,8 +48,21 @@ def _quotes(c):
     return F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
 
 
+def literal_path(p: str) -> str:
+    """Escape glob characters so a file name is read as itself."""
+    out = []
+    for ch in p:
+        if ch in "\\{}[]*?":
+            out.append("\\")
+        out.append(ch)
+    return "".join(out)
+
+
 def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """Raw text lines of every CSV file (case-insensitive ``.csv``, ``~$`` lock files skipped)."""
+    """Raw text lines of every CSV file (case-insensitive ``.csv``, ``~$`` lock files skipped).
+
+    Pass the listed files (not a folder) when the scan runs more than once: line
+    order comes from the scan's partitioning, which must be the same each time."""
     reader = (spark.read.option("lineSep", "\n")
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.[cC][sS][vV]"))

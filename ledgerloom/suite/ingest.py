@@ -263,7 +263,7 @@ def resolve_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.operators.headers import canonicalize, resolve
     canon = canonicalize(customer_headers(spark, sf_dir), ["sheet"])
     sheets = canon.select("sheet").distinct()
-    wanted = sheets.crossJoin(F.broadcast(spark.createDataFrame([(w,) for w in WANTED_HEADERS], "source_header string")))
+    wanted = sheets.select("sheet", F.explode(F.array(*[F.lit(w) for w in WANTED_HEADERS])).alias("source_header"))
     return resolve(canon, wanted, ["sheet"]).select("sheet", "source_header", "status", "idx")
 
 

@@ -102,3 +102,15 @@ def test_update_delete_append(spark, tmp):
     assert ws.delete_where(MASTER, "t", "n = 1") == 1
     assert ws.append(spark.createDataFrame([(4, "d")], "n bigint, s string"), MASTER, "t") == 1
     assert sorted(tuple(r) for r in ws.read(MASTER, "t").collect()) == [(2, "z"), (3, "z"), (4, "d")]
+
+
+def test_odd_file_names(spark, tmp):
+    src = os.path.join(tmp, "src")
+    _write(src, "a[1] x.csv", "k,v\n1,10\n2,20\n")
+    _write(src, "b{2}+.CSV", "k,v\n3,30\n")
+    ws = Workspace(spark, os.path.join(tmp, "ws"))
+    rule = Rule("r", [RuleSource("**/*", 1)], [RF("k", "k", 0), RF("v", "v", 1, True, ["coerce_cents"])])
+    res = clean(ws, CleanPipeline("c", src, "odd"), [rule], BigTableConfig("odd", "t", [BigTableField("k", "INTEGER")]))
+    got = sorted((r["k"], r["v"], r["__source_row"], r["__source_file"].rsplit("/", 1)[-1])
+                 for r in ws.read(res.namespace, "t").collect())
+    assert got == [(1, "1000", 2, "a[1] x.csv"), (2, "2000", 3, "a[1] x.csv"), (3, "3000", 2, "b{2}+.CSV")]
