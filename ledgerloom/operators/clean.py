@@ -56,6 +56,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     emitter."""
     spark = ws.spark
     ws.last_raw_path = None
+    ws.last_first_rows = None
     if exts is None:
         exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
     parts, sheets = [], []
@@ -76,6 +77,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
             ws.last_raw_path = stage
         parts.append(csv_raw)
         sheets.append(csv_sheets(files))
+        ws.last_first_rows = info.get("first_rows")
     if exts & {"xlsx", "xls"}:
         # the workbook emitter output is itself staged (each file parsed once);
         # raw rows are cheap expressions over it
@@ -109,7 +111,8 @@ def source_files(matched: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
-                 max_header_row: int | None = None, small: bool | None = None) -> DataFrame:
+                 max_header_row: int | None = None, small: bool | None = None,
+                 first_rows: DataFrame | None = None) -> DataFrame:
     """Canonical headers (H1) of every (file, sheet, header row) a rule source uses.
     ``max_header_row`` (known from the rules) is pushed into the Parquet scan so
     only the first rows of each file are read."""
@@ -118,6 +121,8 @@ def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
         keys_df = broadcast_if_small(keys_df, broadcast_rows)
     elif small:
         keys_df = F.broadcast(keys_df)
+    if first_rows is not None and max_header_row == 1:
+        raw = first_rows                          # first records, from the split summary (no scan)
     if "_head" in raw.columns:
         raw = raw.filter(F.col("_head") == 1)     # partition pruning: header rows only
     if max_header_row is not None:
@@ -205,7 +210,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     # per-(file, rule source) tables have at most files x sources rows: that bound
     # decides broadcast vs shuffle join without counting
     small = n_files * max(1, len(plan.sources)) <= broadcast_rows
-    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources), small).cache()
+    first_rows = getattr(ws, "last_first_rows", None) if set(ext_counts) == {"csv"} else None
+    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources), small, first_rows).cache()
 
     wanted = src.join(fields, "rule_pos")
     resolved = H.resolve(canon, wanted, KEYS).cache()

@@ -98,6 +98,7 @@ def _block_table(lines: DataFrame) -> DataFrame:
         F.max("lone_cr").alias("cr_lines"),
         F.sum("nbytes").alias("nbytes"),
         F.first("file_size").alias("file_size"),
+        F.min_by("body", "lid").alias("first_line"),
     )
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source_file")
@@ -158,6 +159,11 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000, info:
     small = int(stats["n"]) <= broadcast_rows
     if info is not None:
         info.update(splits=int(stats["n"]), complex_splits=n_complex)
+        if n_complex == 0:
+            # every split is simple, so each file's first line is its first record
+            info["first_records"] = (blocks.filter(F.col("block") == 0)
+                                     .select("source_file", F.lit(1).cast("long").alias("row_no"),
+                                             F.col("first_line").alias("text")))
 
     if n_complex == 0:
         offsets = _with_record_offsets(blocks, None)
@@ -225,6 +231,11 @@ def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000, info
     ``info`` (optional dict) receives the split counts (``complex_splits`` = splits
     that needed the record-assembly path)."""
     recs = csv_records(spark, paths, broadcast_rows, info)
+    if info is not None and "first_records" in info:
+        f = info.pop("first_records")
+        info["first_rows"] = f.select("source_file", F.lit(CSV_SHEET).alias("source_sheet"), "row_no",
+                                      split_fields(F.col("text")).alias("cells"),
+                                      F.lit(None).cast("string").alias("kinds"))
     cells = split_fields(F.col("text"))
     # a last record with no terminator and no content is not a record
     # (written as CASE so that, when the optimizer pushes it down, cells are
