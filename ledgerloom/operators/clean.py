@@ -73,8 +73,10 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
             stage = ws.stage_dir("raw")
             csv_raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
                    .write.partitionBy("_head").parquet(stage)
-            csv_raw = spark.read.parquet(stage).drop("_head")
+            csv_raw = spark.read.parquet(stage)
             ws.last_raw_path = stage
+        else:
+            csv_raw = csv_raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int"))
         parts.append(csv_raw)
         sheets.append(csv_sheets(files))
         ws.last_first_rows = info.get("first_rows")
@@ -83,14 +85,14 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
         # raw rows are cheap expressions over it
         from ledgerloom.sources.workbook import workbook_raw_rows
         wb_files = matched.filter(F.col("ext").isin("xlsx", "xls")).select("path").distinct()
-        raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, wb_files)
+        raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, wb_files, max_header_row)
         parts.append(raw_wb)
         sheets.append(sheets_wb)
     if not parts:
         return None, None, None
     raw = parts[0]
     for p in parts[1:]:
-        raw = raw.unionByName(p)
+        raw = raw.unionByName(p.select(*raw.columns))
     sh = sheets[0]
     for s in sheets[1:]:
         sh = sh.unionByName(s)

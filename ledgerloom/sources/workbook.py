@@ -257,8 +257,11 @@ def shape_rows(emitted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Returns (raw_rows, sheets, rejected). Row end = last row holding a value
     (capped by the dimension); column end = rightmost column with at least two
     values (a lone value is formatting debris), else the declared width."""
-    errors = emitted.filter(F.col("rec") == "error").select(F.col("source_file").alias("path"), "error")
-    sheets = emitted.filter(F.col("rec") == "sheet")
+    head = "_head" in emitted.columns
+    # sheet / error records always sit in the _head=1 partition of a staged emitter output
+    meta = emitted.filter(F.col("_head") == 1) if head else emitted
+    errors = meta.filter(F.col("rec") == "error").select(F.col("source_file").alias("path"), "error")
+    sheets = meta.filter(F.col("rec") == "sheet")
     bounds = sheet_bounds(sheets)
     rows = emitted.filter(F.col("rec") == "row").join(broadcast_if_small(bounds, 200_000),
                                                       ["source_file", "source_sheet", "sheet_pos"])
@@ -266,11 +269,12 @@ def shape_rows(emitted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = F.slice("cells", 1, F.greatest(F.col("n_cols"), F.lit(0)))
     last = F.aggregate(F.transform(cut, lambda x, i: F.when(x.isNotNull() & (x != ""), i + 1).otherwise(0)),
                        F.lit(0), lambda a, b: F.greatest(a, b))
+    extra = ["_head"] if head else []
     raw = rows.select("source_file", "source_sheet", "sheet_pos", "row_no",
                       F.slice(cut, 1, last).alias("cells"),
-                      F.substring("kinds", 1, last).alias("_k"), last.alias("_n")) \
+                      F.substring("kinds", 1, last).alias("_k"), last.alias("_n"), *extra) \
               .select("source_file", "source_sheet", "sheet_pos", "row_no", "cells",
-                      F.col("_k").alias("kinds"))
+                      F.col("_k").alias("kinds"), *extra)
     raw = raw.join(errors.select(F.col("path").alias("source_file")), "source_file", "left_anti")
     sheet_list = sheets.join(errors.select(F.col("path").alias("source_file")), "source_file", "left_anti") \
                        .select("source_file", F.col("source_sheet").alias("sheet_name"), "sheet_pos")
@@ -285,16 +289,21 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return raw
 
 
-def workbook_raw_rows(ws, wb_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def workbook_raw_rows(ws, wb_files: DataFrame, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Emitter output staged once as Parquet (each workbook parsed once), then
-    shaped: (raw_rows without sheet_pos, sheets, rejected files)."""
+    shaped: (raw_rows without sheet_pos, sheets, rejected files). The stage is
+    partitioned by ``_head`` (sheet / error records and rows up to the largest
+    header row in 1), so header extraction and sheet listing read only that."""
     spark = ws.spark
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, "10000")
     spark.conf.set(key, "1")          # one workbook per Arrow batch into the emitter
     try:
         stage = ws.stage_dir("workbooks")
-        emit_workbooks(spark, wb_files).write.parquet(stage)
+        em = emit_workbooks(spark, wb_files)
+        em.withColumn("_head", F.when((F.col("rec") != "row") | (F.col("row_no") <= F.lit(int(max_header_row))),
+                                      F.lit(1)).otherwise(F.lit(0))) \
+          .write.partitionBy("_head").parquet(stage)
     finally:
         spark.conf.set(key, old)
     raw, sheets, errors = shape_rows(spark.read.parquet(stage))
