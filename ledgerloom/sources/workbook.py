@@ -152,6 +152,8 @@ def _rows_frame(path, sheet, pos, buf):
 def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = _shared_strings(z)
+    tag_c, tag_v, tag_is = f"{NS_MAIN}c", f"{NS_MAIN}v", f"{NS_MAIN}is"
+    col_cache: dict[str, int] = {}
     for pos, (name, target) in enumerate(_sheet_targets(z)):
         row0 = col0 = 0
         dim_rows = dim_cols = None
@@ -179,20 +181,32 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
                         next_row += 1
                     cells, kinds = [], []
                     auto_c = 0
-                    for c in el.iter(f"{NS_MAIN}c"):
+                    for c in el:
+                        if c.tag != tag_c:
+                            continue
                         ref = c.get("r")
-                        ci = col_index(_REF.match(ref).group(1)) if ref else auto_c
+                        if ref:
+                            letters = ref.rstrip("0123456789")
+                            ci = col_cache.get(letters)
+                            if ci is None:
+                                ci = col_cache[letters] = col_index(letters)
+                        else:
+                            ci = auto_c
                         auto_c = ci + 1
                         rel = ci - col0
                         if rel < 0:
                             continue
-                        v_el = c.find(f"{NS_MAIN}v")
-                        is_el = c.find(f"{NS_MAIN}is")
-                        val, kind, counted = cell_value(c.get("t"), v_el.text if v_el is not None else None,
-                                                        _text_of(is_el) if is_el is not None else None, shared)
-                        while len(cells) < rel:
-                            cells.append("")
-                            kinds.append("s")
+                        v_text = inline = None
+                        for ch in c:
+                            if ch.tag == tag_v:
+                                v_text = ch.text
+                            elif ch.tag == tag_is:
+                                inline = _text_of(ch)
+                        val, kind, counted = cell_value(c.get("t"), v_text, inline, shared)
+                        if len(cells) < rel:
+                            pad = rel - len(cells)
+                            cells.extend([""] * pad)
+                            kinds.extend(["s"] * pad)
                         cells.append(val)
                         kinds.append(kind)
                         if counted:
