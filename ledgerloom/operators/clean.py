@@ -134,9 +134,8 @@ def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
                         & (raw["row_no"] == keys_df["header_row"])) \
                   .select(keys_df["source_file"], keys_df["source_sheet"], keys_df["header_row"], "cells")
     # header rows are few (files x header rows) but feed several branches of the
-    # canonicalisation plan: materialise them once (reliable checkpoint)
-    hdr_rows = hdr_rows.checkpoint(eager=True)
-    return H.canonicalize(H.header_long(hdr_rows, KEYS), KEYS)
+    # canonicalisation plan: materialised once there (reliable checkpoint)
+    return H.canonicalize(H.header_long(hdr_rows, KEYS), KEYS, materialize=True)
 
 
 def check_mapping(ws: Workspace, source_dir: str, rules: list[Rule]) -> DataFrame:
@@ -213,10 +212,12 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     # decides broadcast vs shuffle join without counting
     small = n_files * max(1, len(plan.sources)) <= broadcast_rows
     first_rows = getattr(ws, "last_first_rows", None) if set(ext_counts) == {"csv"} else None
-    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources), small, first_rows).cache()
+    canon = header_table(raw, src, broadcast_rows, max(s[7] for s in plan.sources), small, first_rows)
 
     wanted = src.join(fields, "rule_pos")
-    resolved = H.resolve(canon, wanted, KEYS).cache()
+    cr_possible = any("\r" in f[3] for f in plan.fields)
+    dups_possible = canon.filter(F.col("cnt") > 1).limit(1).count() > 0
+    resolved = H.resolve(canon, wanted, KEYS, cr_possible, dups_possible).cache()
     used = wanted.select(*KEYS, "src_id", "source_header")
     canon_src = canon.join(src.select(*KEYS, "src_id"), KEYS)
     # one small job for all header notes: ambiguous / CR-only matches and unused headers

@@ -23,7 +23,7 @@ def header_long(header_rows: DataFrame, keys: list[str], cells: str = "cells") -
                       .withColumn("h", js_trim(F.coalesce(F.col("_h"), F.lit("")))).drop("_h")
 
 
-def canonicalize(long: DataFrame, keys: list[str]) -> DataFrame:
+def canonicalize(long: DataFrame, keys: list[str], materialize: bool = False) -> DataFrame:
     """H1: unique headers keep their text; a header seen N times becomes
     ``h_1 .. h_N`` in column order, skipping any number whose name is already a
     raw header of the same sheet. Adds ``name`` and ``cnt`` (occurrences of h).
@@ -35,6 +35,12 @@ def canonicalize(long: DataFrame, keys: list[str]) -> DataFrame:
     wk = Window.partitionBy(*keys, "h")
     df = (long.withColumn("cnt", F.count(F.lit(1)).over(wk))
               .withColumn("occ", F.row_number().over(wk.orderBy("pos"))))
+    if materialize:
+        # header tables are small; one reliable checkpoint feeds every branch below
+        df = df.checkpoint(eager=True)
+        if df.filter(F.col("cnt") > 1).limit(1).count() == 0:
+            return df.withColumn("name", F.col("h")).drop("occ")
+        long = df.select(*keys, "pos", "h")
     uniq = df.filter(F.col("cnt") == 1).withColumn("name", F.col("h"))
     ncols = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cols"))
     groups = df.filter(F.col("cnt") > 1).select(*keys, "h", "cnt").distinct().join(ncols, keys)
@@ -49,7 +55,8 @@ def canonicalize(long: DataFrame, keys: list[str]) -> DataFrame:
     return uniq.unionByName(rep).drop("occ")
 
 
-def resolve(canon: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def resolve(canon: DataFrame, wanted: DataFrame, keys: list[str], cr_possible: bool = True,
+            dups_possible: bool = True) -> DataFrame:
     """H2 + H4. ``wanted``: keys + ``source_header`` (+ any payload). Adds ``idx``
     (0-based column, NULL when absent), ``via_cr`` (matched only after dropping
     ``\\r``) and ``status`` in {ok, duplicate, absent}."""
@@ -59,9 +66,13 @@ def resolve(canon: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     dups = canon.filter(F.col("cnt") > 1).select(*keys, F.col("h").alias("source_header")).distinct() \
                 .withColumn("_dup", F.lit(True))
     w = (wanted.withColumn("_sh_nocr", F.regexp_replace("source_header", "\r", ""))
-               .join(exact, keys + ["source_header"], "left")
-               .join(nocr, keys + ["_sh_nocr"], "left")
-               .join(dups, keys + ["source_header"], "left"))
+               .join(exact, keys + ["source_header"], "left"))
+    # the two fallbacks are skipped when the caller knows they cannot apply
+    # (no CR in any mapped header / no repeated header in any sheet)
+    w = w.join(nocr, keys + ["_sh_nocr"], "left") if cr_possible else \
+        w.withColumn("_crpos", F.lit(None).cast("int"))
+    w = w.join(dups, keys + ["source_header"], "left") if dups_possible else \
+        w.withColumn("_dup", F.lit(None).cast("boolean"))
     cr_ok = F.col("_exact").isNull() & (F.col("_sh_nocr") != F.col("source_header")) & F.col("_crpos").isNotNull()
     status = (F.when(F.col("_exact").isNotNull(), F.lit("ok"))
                .when(F.col("_dup") == F.lit(True), F.lit("duplicate"))
