@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.config import BigTableConfig, CleanPipeline, ConfigError, Rule
+from ledgerloom.config import BigTableConfig, CleanPipeline, ConfigError, Rule, validate_big_table, validate_pipeline
 from ledgerloom.functions.transforms import coerce_column, coerce_parsed, numeric_text, staged_projection
 from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
@@ -171,6 +171,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     new version; ``mode='append'`` (M2) adds rows. ``paths`` restricts the run to
     those files of the source folder (used by the incremental stream)."""
     spark = ws.spark
+    validate_pipeline(pipeline)
+    validate_big_table(big_table)
     files = list_files(spark, pipeline.source_dir)
     if paths is not None:
         files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path",
@@ -312,3 +314,15 @@ def drill_back(big: DataFrame, raw: DataFrame) -> DataFrame:
     """Join stored rows back to their source rows via the lineage columns."""
     return big.join(raw, (big["__source_file"] == raw["source_file"]) & (big["__source_sheet"] == raw["source_sheet"])
                     & (big["__source_row"] == raw["row_no"]))
+
+
+def duplicate_keys(ws: Workspace, cfg: BigTableConfig) -> DataFrame:
+    """``primaryKey`` as a report, not a constraint: key values held by more than
+    one row of the big table, with their row count (aggregated with a partial
+    map-side combine; a hot key costs one counter, not a group)."""
+    keys = [f.name for f in sorted(cfg.fields, key=lambda f: f.order) if f.primary_key]
+    if not keys:
+        raise ConfigError("BIGTABLE_NO_PRIMARY_KEY", f"{cfg.table_name}: no primaryKey field")
+    df = ws.read(bt_namespace(cfg.folder), cfg.table_name)
+    return (df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") > 1))

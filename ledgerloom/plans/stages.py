@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.config import ConfigError, QueryPipeline, SqlCleanPipeline
+from ledgerloom.config import ConfigError, QueryPipeline, SqlCleanPipeline, validate_pipeline
 from ledgerloom.plans.workspace import MASTER, RunSummary, Workspace, bt_namespace, slug
 
 _READER = re.compile(r"^(select|with)\b", re.IGNORECASE)
@@ -108,10 +108,7 @@ def _aliases(ws: Workspace, folders: list[str]) -> dict[str, str]:
 def sql_clean(ws: Workspace, p: SqlCleanPipeline, big_table_names: dict[str, str]) -> RunSummary:
     """M3: user SQL over the listed big tables -> ``master.<result_table>``.
     ``big_table_names``: folder -> table name (Q4 checks each exists)."""
-    if not p.big_tables:
-        raise ConfigError("BIG_TABLES_REQUIRED", f"{p.id}: list at least one big table")
-    if not p.result_table:
-        raise ConfigError("RESULT_TABLE_REQUIRED", f"{p.id}: result table is empty")
+    validate_pipeline(p)
     guard_reader(p.sql)
     for f in p.big_tables:
         t = big_table_names.get(f)

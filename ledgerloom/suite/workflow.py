@@ -592,3 +592,16 @@ ORACLES["batch_by_kind"] = """
 SELECT 'c_cust' AS pipeline_id, 'clean' AS kind, true AS ok, COUNT(*) AS rows FROM customer
 UNION ALL SELECT 'c_journal', 'clean', true, COUNT(*) FROM orders
 UNION ALL SELECT 'm_cust', 'sql-clean', true, COUNT(*) FROM customer"""
+
+
+def duplicate_key_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """primaryKey as a duplicate-key report: after appending a batch twice, every
+    customer key is held by two rows."""
+    from ledgerloom.operators.clean import duplicate_keys
+    ws, ns = _customers(spark, sf_dir)
+    ws.append(ws.read(ns, "cust"), ns, "cust")
+    cfg = BigTableConfig("客户", "cust", [BTF("key", "INTEGER", 0, True), BTF("balance", "INTEGER")])
+    return duplicate_keys(ws, cfg)
+
+
+ORACLES["duplicate_key_report"] = "SELECT c_custkey AS key, CAST(2 AS BIGINT) AS n FROM customer"
