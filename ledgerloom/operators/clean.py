@@ -23,7 +23,7 @@ from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
 from ledgerloom.sources.csvrows import csv_raw_rows
-from ledgerloom.sources.files import csv_sheets, list_files, match_files
+from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files
 
 LINEAGE_COLUMNS = ("__source_file", "__source_sheet", "__source_row", "__extracted_at")
 KEYS = ["source_file", "source_sheet", "header_row"]
@@ -173,10 +173,10 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     spark = ws.spark
     validate_pipeline(pipeline)
     validate_big_table(big_table)
-    files = list_files(spark, pipeline.source_dir)
     if paths is not None:
-        files = files.join(F.broadcast(spark.createDataFrame([(p,) for p in paths], "path string")), "path",
-                           "left_semi")
+        files = files_from_paths(spark, pipeline.source_dir, paths)   # no folder listing per batch
+    else:
+        files = list_files(spark, pipeline.source_dir)
     files = files.cache()
     ext_counts = {r["ext"]: r["n"] for r in files.groupBy("ext").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_files = sum(ext_counts.values())

@@ -55,6 +55,23 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
               .select(*[f.name for f in FILES_SCHEMA.fields]))
 
 
+def files_from_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The listing schema for known files (e.g. one stream micro-batch), without
+    listing the folder again."""
+    prefix = to_uri(root) + "/"
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return (df.withColumn("name", name)
+              .filter(F.col("name").rlike(SOURCE_EXT_RE) & ~F.col("name").startswith(LOCK_PREFIX))
+              .withColumn("rel_path", F.when(F.col("path").startswith(prefix),
+                                             F.expr(f"substring(path, {len(prefix) + 1})"))
+                          .otherwise(F.col("path")))
+              .withColumn("ext", F.lower(F.regexp_extract("name", "\\.([^.]*)$", 1)))
+              .withColumn("length", F.lit(None).cast("long"))
+              .withColumn("modification_time", F.lit(None).cast("timestamp"))
+              .select(*[f.name for f in FILES_SCHEMA.fields]))
+
+
 def match_files(files: DataFrame, rule_sources: DataFrame) -> DataFrame:
     """Files x rule sources where the source regex matches the relative or the
     absolute path. ``rule_sources`` comes from the rule YAML (bounded by the rule
