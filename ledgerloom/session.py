@@ -30,6 +30,7 @@ def configure(spark: SparkSession) -> SparkSession:
         if k == "spark.sql.ansi.doubleQuotedIdentifiers":
             continue  # switched on per statement by the SQL stages only
         spark.conf.set(k, v)
+    checkpoint_root(spark)
     return spark
 
 
@@ -56,8 +57,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
+    if not spark.sparkContext.getCheckpointDir():
+        # DataFrame.checkpoint() uses the context's folder: point it at the same place
+        spark.sparkContext.setCheckpointDir(d)
     if d.startswith("file:"):
         d = d[len("file:"):]
     return d
