@@ -130,14 +130,25 @@ class Workspace:
         """Q8: (table, column, type, position) for every table of a namespace, by name."""
         base = os.path.join(self.root, "tables", ns)
         rows = []
-        if "://" not in base and os.path.isdir(base):
-            for s in sorted(os.listdir(base)):
-                v = self.current_version(ns, s)
-                if v is None:
-                    continue
-                name = self.names.get((ns, s), s)
-                for i, f in enumerate(self.spark.read.parquet(v).schema.fields):
-                    rows.append((name, f.name, f.dataType.simpleString(), i))
+        slugs: list[str] = []
+        if "://" not in base:
+            if os.path.isdir(base):
+                slugs = sorted(os.listdir(base))
+        else:
+            # remote shared folder: find the pointer files with Spark's own file listing
+            try:
+                ptr = self.spark.read.text(os.path.join(base, "*", "_CURRENT"))
+                slugs = sorted({r[0] for r in ptr.select(F.regexp_extract(
+                    F.col("_metadata.file_path"), r"/([^/]+)/_CURRENT", 1)).distinct().collect()})
+            except Exception:  # noqa: BLE001 - no table yet
+                slugs = []
+        for s in slugs:
+            v = self.current_version(ns, s)
+            if v is None:
+                continue
+            name = self.names.get((ns, s), s)
+            for i, f in enumerate(self.spark.read.parquet(v).schema.fields):
+                rows.append((name, f.name, f.dataType.simpleString(), i))
         return self.spark.createDataFrame(rows, "table string, column string, type string, position int") \
                    .orderBy("table", "position")
 

@@ -52,3 +52,12 @@ def test_csv_export_bytes(spark, tmp):
     with open(os.path.join(out, part), encoding="utf-8") as fh:
         text = fh.read()
     assert text == 'p,q,r\n"a,b",, x \n"a""b",,"l\nm"\n'
+
+
+def test_list_tables_local_and_uri_root(spark, tmp):
+    for root in (os.path.join(tmp, "a"), "file://" + os.path.join(tmp, "b")):
+        ws = Workspace(spark, root)
+        ws.write_table(spark.createDataFrame([(1, "x")], "n bigint, s string"), MASTER, "t1")
+        ws.write_table(spark.createDataFrame([(1.5,)], "d double"), MASTER, "t2")
+        got = [tuple(r) for r in ws.list_tables(MASTER).collect()]
+        assert got == [("t1", "n", "bigint", 0), ("t1", "s", "string", 1), ("t2", "d", "double", 0)], root
