@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators: those of the library, and small Arrow batches, as texts may be long."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # Python workers import the operators by name: from an installed package, or from here
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (here, env.get("PYTHONPATH", ""))))
     return spark
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, length_buckets, shard_shuffle, url_rules
+from . import (chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
 from .common import prepare, read
 
 
@@ -14,12 +14,21 @@ def _on(table, fn):
     return run
 
 
+def _quality(spark, sf_dir):
+    prepare(spark)
+    return quality_gam.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries():
     return {
+        "op1_quality_gam": _quality,
+        "op2_cover_tree": _on("embeddings", lambda s, d: cover_tree.query(d)),
         "op4_external_shuffle": _on("documents", lambda s, d: shard_shuffle.query(d)),
         "op5_url_rules": _on("pages", url_rules.query),
         "op7_length_buckets": _on("documents", lambda s, d: length_buckets.query(d)),
         "op8_host_rules": _on("documents", lambda s, d: host_rules.query(d)),
+        "op9_chosen_path": _on("documents", lambda s, d: chosen_path.query(d)),
+        "op10_line_setjoin": _on("documents", lambda s, d: line_setjoin.query(d)),
     }
 
 
