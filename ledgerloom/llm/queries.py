@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
+from . import (bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
 from .common import prepare, read
 
 
@@ -23,6 +23,7 @@ def queries():
     return {
         "op1_quality_gam": _quality,
         "op2_cover_tree": _on("embeddings", lambda s, d: cover_tree.query(d)),
+        "op3_bpe_sql": _on("documents", lambda s, d: bpe_sql.query(d)),
         "op4_external_shuffle": _on("documents", lambda s, d: shard_shuffle.query(d)),
         "op5_url_rules": _on("pages", url_rules.query),
         "op7_length_buckets": _on("documents", lambda s, d: length_buckets.query(d)),
