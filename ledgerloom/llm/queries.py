@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
+from . import (attention_lm, bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
 from .common import prepare, read
 
 
@@ -26,6 +26,7 @@ def queries():
         "op3_bpe_sql": _on("documents", lambda s, d: bpe_sql.query(d)),
         "op4_external_shuffle": _on("documents", lambda s, d: shard_shuffle.query(d)),
         "op5_url_rules": _on("pages", url_rules.query),
+        "op6_attention_lm": _on("documents", lambda s, d: attention_lm.query(d)),
         "op7_length_buckets": _on("documents", lambda s, d: length_buckets.query(d)),
         "op8_host_rules": _on("documents", lambda s, d: host_rules.query(d)),
         "op9_chosen_path": _on("documents", lambda s, d: chosen_path.query(d)),
