@@ -51,7 +51,7 @@ def _sketch(batches):
     sign = Signer(TOKENS)
     for b in batches:
         sets = [shingles(t) for t in b["text"]]
-        yield pd.DataFrame({"id": b["id"].astype("Int64"), "n": [len(s) for s in sets],
+        yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"].astype("Int64"), "n": [len(s) for s in sets],
                             "class_id": [_class_id(s) for s in sets], "sig": [sign(s).tobytes() for s in sets]})
 
 
@@ -253,9 +253,9 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_id (equal sets), component_id, kept."""
-    base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    rows = staged(base.mapInPandas(_sketch, "id long, n long, class_id long, sig binary"), "sketches")
+    """One row per row of ``docs``: id, text_hash, n_shingles, class_id (equal sets), component_id, kept."""
+    base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = staged(base.mapInPandas(_sketch, "id long, text_hash long, n long, class_id long, sig binary"), "sketches")
     classes = staged(rows.filter("n > 0 AND id IS NOT NULL").groupBy("class_id").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     comp = _links(base.filter("id IS NOT NULL"), classes)
     named = classes.select("class_id", "id")
@@ -264,10 +264,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         smallest = named.groupBy("component").agg(F.min("id").alias("least"))
         named = named.join(smallest, "component").select("class_id", F.col("least").alias("id"))
     named = staged(named.select("class_id", F.col("id").alias("least")), "named")
-    found = rows.select("id", F.col("n").alias("n_shingles"), "class_id").join(named, "class_id", "left")
+    found = rows.select("id", "text_hash", F.col("n").alias("n_shingles"), "class_id").join(named, "class_id", "left")
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     found = found.withColumn("component_id", F.when(alone, F.col("id")).otherwise(F.col("least")))
-    return found.select("id", "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("id", "text_hash", "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less all rows of each component but one: that of its smallest id, and of several rows of that id
+    one. Rows without words or without an id stay."""
+    own = docs.columns
+    rows = staged(near_duplicates(docs, key, text).filter("n_shingles > 0 AND id IS NOT NULL").select("id", "text_hash", "component_id"), "rows")
+    first = rows.filter("id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
+    losers = rows.join(first, "component_id").filter((F.col("id") != F.col("component_id")) | (F.col("text_hash") != F.col("first")))
+    losers = staged(losers.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "losers")
+    left = docs.join(broadcast_up_to(losers, 1_000_000), (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash")), "left_anti")
+    again = staged(rows.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")), "repeated")
+    if not again.isEmpty():  # rows that agree in id and text
+        left = left.join(broadcast_up_to(again, 1_000_000), (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash")), "left")
+        left = left.filter("__id IS NULL").unionByName(left.filter("__id IS NOT NULL").dropDuplicates(["__id", "__hash"]))
+    return left.select(*(F.col(f"`{c}`") for c in own))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -38,23 +38,32 @@ def _repeat_starts(hashes: Column) -> Column:
     return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), flagged)
 
 
+def _counts(text: Column) -> Column:
+    """(n_words, word_chars, n_repeat_words, failed) of a text as one struct. Each array is bound once by
+    ``let``: a filter that the optimizer moves below a projection then still evaluates it once a row."""
+    def of_words(w):
+        n = F.size(w)
+        windows = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
+            F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+
+        def of_windows(h):
+            repeated = F.when(F.size(F.array_distinct(h)) < F.size(h), let(_repeat_starts(h), lambda p: _covered(p, 3))).otherwise(0).cast("long")
+            return let(repeated, lambda r: F.struct(
+                n.cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), r.alias("n_repeat_words"),
+                ((n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)).alias("base_failed")))
+        return let(windows, of_windows)
+    return let(words(text), of_words)
+
+
 def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the columns MEASURES added under ``prefix`` (one that no column of ``docs`` has)."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("__words")
-    windows = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
-        F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = docs.select(*own, words(F.col(f"`{text}`")).alias("__words"), lines.alias("__lines"),
-                     (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("__symbols"))
-    df = df.select(*own, "__symbols", n.cast("long").alias("__n"), F.length(F.array_join("__words", "")).cast("long").alias("__chars"),
-                   (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup"), windows.alias("__win"))
-    repeated = F.when(F.size(F.array_distinct("__win")) < F.size("__win"), let(_repeat_starts(F.col("__win")), lambda p: _covered(p, 3))).otherwise(0)
-    df = df.select(*own, "__symbols", "__n", "__chars", "__dup", repeated.cast("long").alias("__rep"))
-    failed = (F.col("__n") < MIN_WORDS) | (100 * F.col("__rep") > MAX_REPEAT_PERCENT * F.col("__n"))
-    return df.select(*own, *(F.col(a).alias(prefix + b) for a, b in zip(("__n", "__chars", "__symbols", "__dup", "__rep"), MEASURES, strict=False)),
-                     failed.alias(f"{prefix}base_failed"))
+    df = docs.select(*own, _counts(F.col(f"`{text}`")).alias("__c"), let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("__d"),
+                     (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("__s"))
+    place = {"n_symbols": F.col("__s"), "n_dup_lines": F.col("__d")}
+    return df.select(*own, *(place.get(c, F.col(f"__c.{c}")).alias(prefix + c) for c in MEASURES))
 
 
 def host_verdicts(measured: DataFrame, host: str, failed: str = "base_failed", max_rate: float = MAX_RATE) -> DataFrame:
