@@ -8,8 +8,8 @@
    pair shares a path to any depth with probability over 0.88 per tree; six trees leave a miss
    below 2e-6. Nodes with the same members are one node.
 3. Nodes of at most LIMIT records are compared exhaustively on their tokens. Of larger ones, the
-   node's first record and blocks of LIMIT others are compared; if that leaves more than one
-   component, the node branches again. After MAX_LEVELS what is left is compared block by block,
+   node's first record and blocks of LIMIT others are compared; if that leaves at most LIMIT records
+   outside the largest component, these are compared with all others; if more, the node branches again. After MAX_LEVELS what is left is compared block by block,
    so no node is dropped or cut.
 4. In a block, first a spanning forest of the likely pairs is confirmed on the full sets, then each
    likely pair between different components. Hence a group of copies costs links in proportion to
@@ -172,18 +172,24 @@ class _Join:
             return
         ids = new.select(F.col("u").alias("class_id")).union(new.select("v")).distinct()
         if self.sets is not None:
-            ids = ids.join(self.sets, "class_id", "left_anti")
+            ids = ids.join(self.sets.select("class_id"), "class_id", "left_anti")
         want = staged(self.classes.select("class_id", "id").join(ids, "class_id"), "wanted")
-        got = (self.docs.join(broadcast_up_to(want, 2_000_000), "id").select("class_id", "text")
-               .mapInPandas(_full_sets, "class_id long, hashes binary").dropDuplicates(["class_id"]))
-        got = staged(got, "sets")
-        self.sets = got if self.sets is None else self.sets.unionByName(got)
+        if not want.isEmpty():
+            self._fetch(want)
         both = (new.join(self.sets.select(F.col("class_id").alias("u"), F.col("hashes").alias("x")), "u")
                 .join(self.sets.select(F.col("class_id").alias("v"), F.col("hashes").alias("y")), "v"))
         links = staged(both.filter(_confirmed("x", "y")).select("u", "v"), "links")
         self.tested = new if self.tested is None else self.tested.unionByName(new)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.comp = staged(components(self.links), "components")
+        if not links.isEmpty():
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.comp = staged(components(self.links), "components")
+
+    def _fetch(self, want: DataFrame) -> None:
+        """The full sets of more classes, from the texts of their representatives."""
+        got = (self.docs.join(broadcast_up_to(want, 2_000_000), "id").select("class_id", "text")
+               .mapInPandas(_full_sets, "class_id long, hashes binary").dropDuplicates(["class_id"]))
+        got = staged(got, "sets")
+        self.sets = got if self.sets is None else self.sets.unionByName(got)
 
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.comp is None:
@@ -231,6 +237,21 @@ def _block_pairs(members: DataFrame) -> DataFrame:
                     F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
 
 
+def _outsiders(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits unresolved large nodes. Where at most LIMIT members are outside the node's largest component, each block of
+    its members holds all of these outsiders too, which settles the node. The other nodes' members come second."""
+    lab = staged(join.labelled(large), "labelled")
+    per = lab.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
+    top = per.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).select("node", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.m")).alias("out"))
+    lab = staged(lab.join(top, "node"), "labelled")
+    near, rest = lab.filter(F.col("out") <= LIMIT), lab.filter(F.col("out") > LIMIT).select("node", "id", "n")
+    k = F.ceil(F.col("n") / F.lit(LIMIT)).cast("long")
+    key = lambda block: F.xxhash64(F.lit(2), "node", block).alias("key")
+    dealt = near.filter("comp = top").select(key(F.pmod(F.xxhash64("id", "node"), k)), "id")
+    out = near.filter("comp <> top").select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("block")).select(key(F.col("block")), "id")
+    return dealt.unionByName(out).withColumn("side", F.lit(0)), rest
+
+
 def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that link with another one."""
     join = _Join(docs, classes)
@@ -241,14 +262,15 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             break
         join.confirm(join.pairs(_blocked(members), True))
         small, large = members.filter(F.col("n") <= LIMIT), members.filter(F.col("n") > LIMIT)
-        join.confirm(join.pairs(_blocked(small), False))
-        large = staged(join.unresolved(large), "large")
-        if large.isEmpty():
+        near, rest = _outsiders(join, join.unresolved(large))
+        join.confirm(join.pairs(_blocked(small).unionByName(near), False))
+        rest = staged(rest, "large")
+        if rest.isEmpty():
             break
         if level == MAX_LEVELS:
-            join.confirm(join.pairs(_block_pairs(large), False))
+            join.confirm(join.pairs(_block_pairs(rest), False))
             break
-        rows = join.signed(large.select("node", "id")).mapInPandas(_branch, "node long, id long")
+        rows = join.signed(rest.select("node", "id")).mapInPandas(_branch, "node long, id long")
     return join.comp
 
 
