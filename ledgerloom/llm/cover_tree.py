@@ -10,7 +10,8 @@ Unit vectors, distance d = sqrt(2 - 2 cos), so a cosine of 0.9 or more is d <= t
 3. Dual traversal. Pairs of cells, then of blocks, are pruned by d > r_a + r_b + t. In each pair
    of blocks that is left, both trees are descended level by level: node pairs beyond the same bound
    are dropped, pairs with d + r_a + r_b <= t are linked as a whole, and at the points the cosine itself
-   decides, in double precision. Nothing is approximate: the bounds keep a margin of 1e-9.
+   decides, in double precision. Nothing is approximate: the bounds are taken in single precision, with a margin
+   of 1e-5, about a hundred times its error.
 4. A task returns a count of links per vector and a spanning forest of its links, never the pairs,
    so a group of copies costs rows in proportion to its size. Connected components join the forests.
 
@@ -35,7 +36,7 @@ from .chosen_path import blocks as by_key
 from .common import staged
 from .components import components
 
-COSINE, BLOCK, MAX_CELLS, MARGIN, LEVELS = 0.9, 2048, 1024, 1e-9, 6
+COSINE, BLOCK, MAX_CELLS, MARGIN, LEVELS = 0.9, 2048, 1024, 1e-5, 6
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -92,7 +93,8 @@ def cover_tree(x: np.ndarray) -> dict:
         r = np.zeros(c)
         np.maximum.at(r, a, d[np.arange(n), a])
         radii.append(r)
-    return {"order": order, "counts": counts, "parents": parents, "radii": radii, "ancestors": ancestors}
+    small = lambda arrays: [x.astype(np.int32) for x in arrays]
+    return {"order": order, "counts": counts, "parents": small(parents), "radii": radii, "ancestors": small(ancestors)}
 
 
 def _merge(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def _merge(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Dual traversal of two blocks (``x`` in tree order, ``copies``, ``tree``); the same block twice
+    """Dual traversal of two blocks (``x`` in tree order, ``near`` the same in single precision, ``copies``, ``tree``); the same block twice
     for its own pairs. Returns the links of each point of a and of b (copies of the other side's points, a
     point itself included in its own block), and edges (u, v) between local numbers, b after a."""
     own, t = a is b, float(np.sqrt(2 - 2 * cosine))
@@ -129,8 +131,8 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
             up_b = np.searchsorted(ib, tb["parents"][kb][cb]) if level < lb else np.arange(len(ib))
             alive = alive[np.ix_(up_a, up_b)]
             ia, ib = ca, cb
-        cos = a["x"][ia] @ b["x"][ib].T
         if ka == la - 1 and kb == lb - 1:  # points
+            cos = a["x"][ia] @ b["x"][ib].T
             hit = alive & (cos >= cosine)
             if own:
                 hit |= alive & (ia[:, None] == ib[None])
@@ -140,11 +142,13 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
             us.append(ia[p])
             vs.append(ib[q])
             break
-        ra, rb = ta["radii"][ka][ia][:, None], tb["radii"][kb][ib][None]
-        bound = (t + ra) + rb
+        # bounds in single precision, with a margin above its error
+        cos = a["near"][ia] @ b["near"][ib].T
+        ra, rb = (r.astype(np.float32) for r in (ta["radii"][ka][ia][:, None], tb["radii"][kb][ib][None]))
+        bound = (np.float32(t) + ra) + rb
         bound *= bound
-        bound *= -0.5
-        bound += 1 - MARGIN
+        bound *= np.float32(-0.5)
+        bound += np.float32(1 - MARGIN)
         alive &= cos >= bound
         p, q = np.nonzero(alive)
         room = t - ra[p, 0] - rb[0, q]
@@ -177,7 +181,8 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
 
 def _load(blob: bytes) -> dict:
     b = pickle.loads(blob)  # written by _build in this job
-    return b | {"x": _unit(b.pop("raw"))}
+    x = _unit(b.pop("raw"))
+    return b | {"x": x, "near": x.astype(np.float32)}
 
 
 def _build(dim: int):
