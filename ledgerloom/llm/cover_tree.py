@@ -129,7 +129,7 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
             cb = np.flatnonzero(np.isin(tb["parents"][kb], ib)) if level < lb else ib
             up_a = np.searchsorted(ia, ta["parents"][ka][ca]) if level < la else np.arange(len(ia))
             up_b = np.searchsorted(ib, tb["parents"][kb][cb]) if level < lb else np.arange(len(ib))
-            alive = alive[np.ix_(up_a, up_b)]
+            alive = alive[up_a][:, up_b] if alive.size > 1 else np.ones((len(ca), len(cb)), dtype=bool)
             ia, ib = ca, cb
         if ka == la - 1 and kb == lb - 1:  # points
             cos = a["x"][ia] @ b["x"][ib].T
@@ -142,17 +142,27 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
             us.append(ia[p])
             vs.append(ib[q])
             break
-        # bounds in single precision, with a margin above its error
-        cos = a["near"][ia] @ b["near"][ib].T
-        ra, rb = (r.astype(np.float32) for r in (ta["radii"][ka][ia][:, None], tb["radii"][kb][ib][None]))
-        bound = (np.float32(t) + ra) + rb
-        bound *= bound
-        bound *= np.float32(-0.5)
-        bound += np.float32(1 - MARGIN)
-        alive &= cos >= bound
-        p, q = np.nonzero(alive)
-        room = t - ra[p, 0] - rb[0, q]
-        whole = (room > 0) & (cos[p, q] >= 1 - np.maximum(room, 0) ** 2 / 2 + MARGIN)
+        # bounds in single precision, with a margin above its error; a few rows at a time stay in cache
+        ra, rb = (r.astype(np.float32) for r in (ta["radii"][ka][ia], tb["radii"][kb][ib]))
+        near_a, near_b, ps, qs, cs = a["near"][ia], b["near"][ib].T, [], [], []
+        for k in range(0, len(ia), 128):
+            cos = near_a[k:k + 128] @ near_b
+            bound = (np.float32(t) + ra[k:k + 128, None]) + rb[None]
+            bound *= bound
+            bound *= np.float32(-0.5)
+            bound += np.float32(1 - MARGIN)
+            mask = alive[k:k + 128]
+            mask &= cos >= bound
+            if mask.any():
+                p, q = np.nonzero(mask)
+                ps.append(p + k)
+                qs.append(q)
+                cs.append(cos[p, q])
+        if not ps:
+            break
+        p, q, cos = np.concatenate(ps), np.concatenate(qs), np.concatenate(cs)
+        room = t - ra[p] - rb[q]
+        whole = (room > 0) & (cos >= 1 - np.maximum(room, 0) ** 2 / 2 + MARGIN)
         if whole.any():
             p, q = p[whole], q[whole]
             alive[p, q] = False
@@ -170,8 +180,8 @@ def traverse(a: dict, b: dict, cosine: float = COSINE) -> tuple[np.ndarray, np.n
                 pair = (points, first[anc][points])
                 us.append(pair[side])
                 vs.append(pair[1 - side])
-        if not alive.any():
-            break
+            if not alive.any():
+                break
         keep_a, keep_b = alive.any(axis=1), alive.any(axis=0)
         ia, ib, alive = ia[keep_a], ib[keep_b], alive[np.ix_(keep_a, keep_b)]
     u = np.concatenate(us) if us else np.empty(0, dtype=np.int64)
