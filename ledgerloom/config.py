@@ -59,19 +59,20 @@ class CompiledRule:
     name: str
     sources: list[RuleSource]
     mappings: list[Mapping]
+    headers: list[str] = field(default_factory=list)    # every included source header
 
 
 def compile_rule(rule: Rule) -> CompiledRule:
     """Drop excluded fields, order by ``order``, first transform kind only,
-    unknown kinds mean ``none``. A later mapping to the same output name wins."""
+    unknown kinds mean ``none``. A later mapping to the same output name wins and
+    takes the column's first place."""
     fields = sorted((f for f in rule.fields if f.included), key=lambda f: f.order)
     maps: dict[str, Mapping] = {}
     for f in fields:
         kind = f.transforms[0] if f.transforms else "none"
-        maps.pop(f.output_name, None)
         maps[f.output_name] = Mapping(f.source_header, f.output_name,
                                       RULE_KIND_TO_TRANSFORM.get(kind, "none"))
-    return CompiledRule(rule.name, list(rule.sources), list(maps.values()))
+    return CompiledRule(rule.name, list(rule.sources), list(maps.values()), list(dict.fromkeys(f.source_header for f in fields)))
 
 
 def rule_from_dict(d: dict) -> Rule:

@@ -171,8 +171,11 @@ COLUMN_TYPES = ("TEXT", "INTEGER", "REAL")
 
 
 def coerce_integer_text(s: Column) -> Column:
-    """Text -> BIGINT when it is a number with an integral value, else NULL."""
-    return coerce_parsed(numeric_text(s), "INTEGER")
+    """Text -> BIGINT when it is a number with an integral value, else NULL. Digits
+    alone are read as they are (exact over the whole 64-bit range); only text with a
+    point or an exponent goes through DOUBLE."""
+    t = F.trim(s)
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")).otherwise(coerce_parsed(numeric_text(s), "INTEGER"))
 
 
 def coerce_real_text(s: Column) -> Column:

@@ -48,26 +48,24 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
                   exts: set[str] | None = None, max_header_row: int = 1):
     """Raw rows + sheet list for every matched source file.
 
-    CSV files whose splits are all simple (no record spans lines) are re-scanned
-    instead of staged: a text scan is cheaper than writing and reading the rows
-    again. CSV records assembled across lines are staged once as Parquet,
+    CSV lines are staged once by the scan (see ``sources/csvrows.py``); where no record spans
+    lines, raw rows are expressions over them. Records assembled across lines are staged as Parquet too,
     partitioned by ``_head`` (row_no <= the largest header row of the rules) so
     the header job reads only that small partition; workbooks are staged at the
     emitter."""
     spark = ws.spark
     ws.last_raw_path = None
     ws.last_first_rows = None
-    if exts is None:
-        exts = {r["ext"] for r in matched.select("ext").distinct().collect()}
+    # only what a rule matches is read
+    exts = {r["ext"] for r in matched.select("ext").distinct().collect()} & (exts or {"csv", "xlsx", "xls"})
     parts, sheets = [], []
     info: dict = {}
     rejected = None
     if "csv" in exts:
-        # pin the file set: both scans of the CSV reader must see the same files
         from ledgerloom.sources.csvrows import literal_path
         csv_files = [literal_path(r["path"]) for r in
-                     files.filter(F.col("ext") == "csv").select("path").collect()]   # file names only
-        csv_raw = csv_raw_rows(spark, csv_files or source_dir, info=info)
+                     matched.filter(F.col("ext") == "csv").select("path").distinct().collect()]   # names of matched files only
+        csv_raw = csv_raw_rows(spark, csv_files, info=info, max_header_row=int(max_header_row))
         if info.get("complex_splits", 1) > 0:
             # records spanning lines went through windows / grouping: stage them once
             stage = ws.stage_dir("raw")
@@ -123,8 +121,8 @@ def header_table(raw: DataFrame, src: DataFrame, broadcast_rows: int = 200_000,
         keys_df = broadcast_if_small(keys_df, broadcast_rows)
     elif small:
         keys_df = F.broadcast(keys_df)
-    if first_rows is not None and max_header_row == 1:
-        raw = first_rows                          # first records, from the split summary (no scan)
+    if first_rows is not None:
+        raw = first_rows                          # only the splits that hold header rows
     if "_head" in raw.columns:
         raw = raw.filter(F.col("_head") == 1)     # partition pruning: header rows only
     if max_header_row is not None:
@@ -220,7 +218,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     cr_possible = any("\r" in f[3] for f in plan.fields)
     dups_possible = canon.filter(F.col("cnt") > 1).limit(1).count() > 0
     resolved = H.resolve(canon, wanted, KEYS, cr_possible, dups_possible).cache()
-    used = wanted.select(*KEYS, "src_id", "source_header")
+    used = src.join(plan.headers_df(spark), "rule_pos").select(*KEYS, "src_id", "source_header")
     canon_src = canon.join(src.select(*KEYS, "src_id"), KEYS)
     # one small job for all header notes: ambiguous / CR-only matches and unused headers
     notes = (resolved.filter((F.col("status") == "duplicate") | F.col("via_cr"))
@@ -275,13 +273,13 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     cents_of = {j: cents_flags[f"_r{j}"] for j in range(len(plan.columns))}
     # numeric parse of text results bound for INTEGER / REAL columns, once
     parse_cols = [numeric_text(F.col(f"_r{j}")).alias(f"_n{j}") for j, c in enumerate(plan.columns)
-                  if not cents_of[j] and col_types[c] in ("INTEGER", "REAL")]
+                  if not cents_of[j] and col_types[c] == "REAL"]
     if parse_cols:
         step1 = step1.select("*", *parse_cols)
     outs, flags = [], []
     for j, c in enumerate(plan.columns):
         r = F.col(f"_r{j}")
-        if not cents_of[j] and col_types[c] in ("INTEGER", "REAL"):
+        if not cents_of[j] and col_types[c] == "REAL":
             typed = coerce_parsed(F.col(f"_n{j}"), col_types[c])
         else:
             typed = coerce_column(r, cents_of[j], col_types[c])

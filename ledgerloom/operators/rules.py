@@ -40,12 +40,17 @@ class RulePlan:
     def sources_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.sources, SOURCES_SCHEMA)
 
+    def headers_df(self, spark: SparkSession) -> DataFrame:
+        """Every header a rule names, also where a later mapping to the same output replaces it."""
+        rows = [(rpos, h) for rpos, c in enumerate(self.compiled) for h in c.headers]
+        return spark.createDataFrame(rows, "rule_pos int, source_header string")
+
     def fields_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.fields, FIELDS_SCHEMA)
 
 
 def plan_rules(rules: list[Rule]) -> RulePlan:
-    """R1 compile, output column list, R3 source dedup on pattern|sheet|headerRow
+    """R1 compile, output column list, R3 source dedup on pattern|sheet|headerRow (and sheet index, end row)
     (a later rule repeating a key is ignored for that source, with a warning)."""
     compiled = [compile_rule(r) for r in rules]
     columns: list[str] = []
@@ -60,6 +65,10 @@ def plan_rules(rules: list[Rule]) -> RulePlan:
     for rpos, c in enumerate(compiled):
         for spos, s in enumerate(c.sources):
             key = f"{s.pattern}|{s.sheet_name or ''}|{s.header_row}"
+            if not s.sheet_name and s.sheet_index:
+                key += f"|sheet {s.sheet_index}"    # two sheets of one pattern, picked by position
+            if s.end_row is not None:
+                key += f"|to {s.end_row}"
             if key in seen:
                 warnings.append(f"rule {c.name!r}: source {key!r} already taken by rule {seen[key]!r}; ignored")
                 continue

@@ -72,62 +72,53 @@ def upstream(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("dst") == node).select(F.col("src").alias("id")).distinct()
 
 
-def affected(edges: DataFrame, start, max_levels: int = 10_000) -> DataFrame:
+def affected(edges: DataFrame, start) -> DataFrame:
     """Transitive downstream of ``start`` (an id or a one-column DataFrame of
     ids), without the start itself unless a cycle leads back to it. Cycle-safe:
-    each level joins only the new frontier and anti-joins what was seen."""
-    spark = edges.sparkSession
+    each level joins only the new frontier and anti-joins what was seen, until
+    nothing new is found."""
     e = edges.select("src", "dst").distinct()
-    if isinstance(start, DataFrame):
-        starts = start.select(F.col(start.columns[0]).alias("id")).distinct()
-    else:
-        starts = spark.createDataFrame([(start,)], "id string")
-    seen = spark.createDataFrame([], "id string")
-    frontier = starts
-    for _ in range(max_levels):
+    frontier = _starts(edges, start)
+    seen = edges.sparkSession.createDataFrame([], "id string")
+    while True:
         nxt = (frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").alias("id")).distinct()
                        .join(seen, "id", "left_anti"))
         nxt = nxt.checkpoint(eager=True)
         if nxt.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(nxt).checkpoint(eager=True)
         frontier = nxt
-    return seen
 
 
-def recompute_order(edges: DataFrame, start, max_levels: int = 10_000) -> DataFrame:
-    """The affected nodes with ``level`` = longest path from the start inside
-    the affected set, ordered by (level, id). Nodes on a cycle never settle;
-    they are placed after all others (level NULL), as the reference appends them."""
-    aff = affected(edges, start, max_levels).checkpoint(eager=True)
-    n_aff = aff.count()
-    spark = edges.sparkSession
+def _starts(edges: DataFrame, start) -> DataFrame:
     if isinstance(start, DataFrame):
-        starts = start.select(F.col(start.columns[0]).alias("id")).distinct()
-    else:
-        starts = spark.createDataFrame([(start,)], "id string")
-    e = edges.select("src", "dst").distinct()
-    inside = e.join(aff.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    level = starts.select("id", F.lit(0).alias("level")).join(aff, "id", "left_anti")
-    level = level.unionByName(aff.select("id", F.lit(None).cast("int").alias("level")))
-    stable = False
-    for _ in range(int(n_aff) + 1):
-        prop = (level.filter(F.col("level").isNotNull())
-                     .join(inside, level["id"] == inside["src"])
-                     .groupBy("dst").agg((F.max("level") + 1).alias("cand")))
-        new = (level.join(prop, level["id"] == prop["dst"], "left")
-                    .select("id", F.greatest("level", "cand").alias("level")))
-        new = new.checkpoint(eager=True)
-        changed = (new.alias("n").join(level.alias("o"), "id")
-                      .filter(~F.col("n.level").eqNullSafe(F.col("o.level"))))
-        if changed.isEmpty():
-            level, stable = new, True
+        return start.select(F.col(start.columns[0]).alias("id")).distinct()
+    return edges.sparkSession.createDataFrame([(start,)], "id string")
+
+
+def recompute_order(edges: DataFrame, start) -> DataFrame:
+    """The affected nodes with ``level`` = longest path from the start inside
+    the affected set, ordered by (level, id). Nodes without an open dependency are taken off level by
+    level; what cannot be taken off is on a cycle or behind one and comes after all
+    others (level NULL), as the reference appends it."""
+    aff = affected(edges, start).checkpoint(eager=True)
+    outside = _starts(edges, start).join(aff, "id", "left_anti")
+    inside = edges.select("src", "dst").distinct().join(aff.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    # a start that nothing affected leads back to is done at level 0
+    left = inside.join(outside.withColumnRenamed("id", "src"), "src", "left_anti") \
+                 .join(aff.withColumnRenamed("id", "src"), "src", "left_semi").checkpoint(eager=True)
+    todo = aff
+    done = edges.sparkSession.createDataFrame([], "id string, level int")
+    level = 1
+    while True:
+        free = todo.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").checkpoint(eager=True)
+        if free.isEmpty():
             break
-        level = new
-    out = level.join(aff, "id", "left_semi")
-    if not stable:
-        # whatever still grows sits on a cycle
-        out = out.withColumn("level", F.when(F.col("level") > F.lit(int(n_aff)), None).otherwise(F.col("level")))
+        done = done.unionByName(free.withColumn("level", F.lit(level))).checkpoint(eager=True)
+        left = left.join(free.withColumnRenamed("id", "src"), "src", "left_anti").checkpoint(eager=True)
+        todo = todo.join(free, "id", "left_anti").checkpoint(eager=True)
+        level += 1
+    out = done.unionByName(todo.withColumn("level", F.lit(None).cast("int")))
     return out.orderBy(F.col("level").asc_nulls_last(), "id")
 
 

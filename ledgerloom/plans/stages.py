@@ -10,8 +10,9 @@ new table version and swapped in, so a query may read its own result table.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.config import ConfigError, QueryPipeline, SqlCleanPipeline, validate_pipeline
 from ledgerloom.plans.workspace import MASTER, RunSummary, Workspace, bt_namespace, slug
@@ -28,75 +29,79 @@ def is_reader(sql: str) -> bool:
     return bool(_READER.match(sql.strip()))
 
 
-def guard_reader(sql: str) -> None:
+def guard_reader(sql: str, spark: SparkSession | None = None) -> None:
+    """Q1. With a session, the parsed statement is looked at too: a write can
+    follow a WITH clause."""
     if not sql or not sql.strip():
         raise ConfigError("SQL_REQUIRED", "sql is empty")
-    if not is_reader(sql):
+    if not is_reader(sql) or (spark is not None and _writes(spark, sql)):
         raise ConfigError("SQL_NOT_READONLY", "only SELECT / WITH statements are allowed here")
 
 
+# Parsed statements that are no query: commands, and those that become one when they are analysed.
+_WRITE = re.compile(r"Command$|^(Insert|Create|Replace|Drop|Delete|Update|Merge|Alter|Truncate|Overwrite|Append|Set|Cache|Uncache|Load|Refresh|Use)")
+
+
+def _writes(spark: SparkSession, sql: str) -> bool:
+    with _quoted_identifiers(spark):
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r";\s*$", "", sql.strip()))]
+    while todo:
+        node = todo.pop()
+        if _WRITE.search(node.getClass().getSimpleName()):
+            return True
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return False
+
+
+_TOKEN = re.compile(r"""'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|"(?:[^"]|"")*"|[A-Za-z_]\w*|[().;]|\s+|.""", re.DOTALL)
+_CLAUSE = {"select", "from", "join", "where", "group", "order", "having", "on", "using", "set", "values", "into", "table", "update", "limit", "union", "intersect", "except", "qualify", "window"}
+_TABLE_CLAUSE = {"from", "join", "into", "table", "update"}
+
+
 def rewrite_identifiers(sql: str, aliases: dict[str, str]) -> str:
-    """Replace double-quoted identifiers listed in ``aliases`` (display -> slug),
-    outside string literals and comments. Unlisted quoted identifiers stay."""
-    out, i, n = [], 0, len(sql)
-    while i < n:
-        ch = sql[i]
-        if ch == "'":
-            j = i + 1
-            while j < n:
-                if sql[j] == "'" and j + 1 < n and sql[j + 1] == "'":
-                    j += 2
-                    continue
-                if sql[j] == "'":
-                    break
-                j += 1
-            out.append(sql[i:j + 1])
-            i = j + 1
-        elif sql.startswith("--", i):
-            j = sql.find("\n", i)
-            j = n if j < 0 else j
-            out.append(sql[i:j])
-            i = j
-        elif sql.startswith("/*", i):
-            j = sql.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            out.append(sql[i:j])
-            i = j
-        elif ch == '"':
-            j = i + 1
-            buf = []
-            while j < n:
-                if sql[j] == '"' and j + 1 < n and sql[j + 1] == '"':
-                    buf.append('"')
-                    j += 2
-                    continue
-                if sql[j] == '"':
-                    break
-                buf.append(sql[j])
-                j += 1
-            ident = "".join(buf)
-            out.append(f"`{aliases[ident]}`" if ident in aliases else sql[i:j + 1])
-            i = j + 1
-        else:
-            out.append(ch)
-            i += 1
+    """Replace double-quoted identifiers listed in ``aliases`` (display -> slug) where they name
+    a table or namespace: in a FROM / JOIN list, or before a dot. String literals, comments, columns
+    and unlisted identifiers stay."""
+    tokens = _TOKEN.findall(sql)
+    out, clauses = [], [""]
+    for i, t in enumerate(tokens):
+        low = t.lower()
+        if t == "(":
+            clauses.append(clauses[-1])
+        elif t == ")" and len(clauses) > 1:
+            clauses.pop()
+        elif low in _CLAUSE:
+            clauses[-1] = low
+        elif t[0] == '"' and len(t) > 1:
+            name = t[1:-1].replace('""', '"')
+            after = next((x for x in tokens[i + 1:] if x.strip()), "")
+            if name in aliases and (clauses[-1] in _TABLE_CLAUSE or after == "."):
+                t = f"`{aliases[name]}`"
+        out.append(t)
     return "".join(out)
 
 
-def run_sql(ws: Workspace, sql: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Parse with double-quoted identifiers on (conf read at parse time only)."""
-    spark = ws.spark
-    text = rewrite_identifiers(sql, aliases or {})
+@contextmanager
+def _quoted_identifiers(spark: SparkSession):
+    """Double quotes name identifiers while a statement is parsed."""
     key = "spark.sql.ansi.doubleQuotedIdentifiers"
     old = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        return spark.sql(text)
+        yield
     finally:
         spark.conf.set(key, old)
 
 
-def _aliases(ws: Workspace, folders: list[str]) -> dict[str, str]:
+def run_sql(ws: Workspace, sql: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Parse with double-quoted identifiers on (conf read at parse time only)."""
+    text = rewrite_identifiers(sql, aliases or {})
+    with _quoted_identifiers(ws.spark):
+        return ws.spark.sql(text)
+
+
+def name_aliases(ws: Workspace, folders: list[str]) -> dict[str, str]:
     a = {}
     for f in folders:
         a["bt_" + f] = bt_namespace(f)
@@ -109,16 +114,16 @@ def sql_clean(ws: Workspace, p: SqlCleanPipeline, big_table_names: dict[str, str
     """M3: user SQL over the listed big tables -> ``master.<result_table>``.
     ``big_table_names``: folder -> table name (Q4 checks each exists)."""
     validate_pipeline(p)
-    guard_reader(p.sql)
+    guard_reader(p.sql, ws.spark)
     for f in p.big_tables:
         t = big_table_names.get(f)
         if t is None or not ws.exists(bt_namespace(f), t):
             raise NotCleanedError(f"{NotCleanedError.code}: big table folder {f!r} has not been cleaned")
-        ws.register(bt_namespace(f), t)
-    ws.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{MASTER}`")
+        ws.bind(bt_namespace(f))
+    ws.bind(MASTER)
     ws.spark.catalog.setCurrentDatabase(MASTER)
     try:
-        df = run_sql(ws, p.sql, _aliases(ws, p.big_tables))
+        df = run_sql(ws, p.sql, name_aliases(ws, p.big_tables))
         rows, _ = ws.write_table(df, MASTER, p.result_table)
     finally:
         ws.spark.catalog.setCurrentDatabase("default")
@@ -134,11 +139,11 @@ def run_query(ws: Workspace, p: QueryPipeline) -> RunSummary:
         raise ConfigError("SQL_REQUIRED", f"{p.id}: sql is empty")
     if not p.result_table:
         raise ConfigError("RESULT_TABLE_REQUIRED", f"{p.id}: result table is empty")
-    guard_reader(p.sql)
-    ws.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{MASTER}`")
+    guard_reader(p.sql, ws.spark)
+    ws.bind(MASTER)
     ws.spark.catalog.setCurrentDatabase(MASTER)
     try:
-        df = run_sql(ws, p.sql, _aliases(ws, []))
+        df = run_sql(ws, p.sql, name_aliases(ws, []))
         rows, _ = ws.write_table(df, MASTER, p.result_table)
     finally:
         ws.spark.catalog.setCurrentDatabase("default")

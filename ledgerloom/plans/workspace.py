@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import configure, work_dir
 
 MASTER = "master"
+_OWNER: dict[tuple[str, str], str] = {}     # (application, namespace) -> root of the workspace shown there
 _ASCII_ID = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -64,6 +65,7 @@ class Workspace:
         self.spark = configure(spark)
         self.root = root or work_dir(spark, "workspace", fresh=True)
         self.names: dict[tuple[str, str], str] = {}      # (ns, slug) -> display name
+        self._load_names()
 
     # ---- paths & pointers -------------------------------------------------
     def _table_dir(self, ns: str, table: str) -> str:
@@ -82,7 +84,46 @@ class Workspace:
         if not os.path.exists(p):
             return None
         with open(p, encoding="utf-8") as fh:
-            return fh.read().strip() or None
+            return fh.readline().strip() or None
+
+    def _slugs(self, ns: str) -> list[str]:
+        """The tables of a namespace, from the pointer files."""
+        base = os.path.join(self.root, "tables", ns)
+        if "://" not in base:
+            return sorted(os.listdir(base)) if os.path.isdir(base) else []
+        try:  # remote shared folder: Spark's own file listing
+            ptr = self.spark.read.text(os.path.join(base, "*", "_CURRENT"))
+            return sorted({r[0] for r in ptr.select(F.regexp_extract(
+                F.col("_metadata.file_path"), r"/([^/]+)/_CURRENT", 1)).distinct().collect()})
+        except Exception:  # noqa: BLE001 - no table yet
+            return []
+
+    def _load_names(self) -> None:
+        """Display names of the tables of a workspace that is opened again."""
+        base = os.path.join(self.root, "tables")
+        if "://" in base or not os.path.isdir(base):
+            return
+        for ns in sorted(os.listdir(base)):
+            for s in self._slugs(ns):
+                p = os.path.join(base, ns, s, "_NAME")
+                if os.path.exists(p):
+                    with open(p, encoding="utf-8") as fh:
+                        self.names[(ns, s)] = fh.read()
+
+    def bind(self, ns: str) -> None:
+        """Make the catalog's namespace show this workspace's tables and no others: two workspaces
+        of a session share the catalog. Only table entries go; the data is external."""
+        spark = self.spark
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{ns}`")
+        mine = set(self._slugs(ns))
+        shown = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN `{ns}`").collect() if not r["isTemporary"]}
+        for t in shown - mine:
+            spark.sql(f"DROP TABLE IF EXISTS `{ns}`.`{t}`")
+        key = (spark.sparkContext.applicationId, ns)
+        for t in mine:
+            if t not in shown or _OWNER.get(key) != self.root:
+                self.register(ns, self.names.get((ns, t), t))
+        _OWNER[key] = self.root
 
     def _swap(self, ns: str, table: str, version_dir: str) -> None:
         p = self._pointer(ns, table)
@@ -95,12 +136,31 @@ class Workspace:
             with open(tmp, "w", encoding="utf-8") as fh:
                 fh.write(version_dir)
             os.replace(tmp, p)          # atomic pointer swap
+            with open(os.path.join(os.path.dirname(p), "_NAME"), "w", encoding="utf-8") as fh:
+                fh.write(table)         # the display name, for a later session
         self.register(ns, table)
 
     def stage_dir(self, *parts: str) -> str:
         p = os.path.join(self.root, "staging", *parts, uuid.uuid4().hex[:12])
         return p
 
+    def mark(self, path: str) -> None:
+        """A one-line file at ``path`` in the shared folder."""
+        if "://" in path:
+            self.spark.createDataFrame([("1",)], "v string").coalesce(1).write.mode("overwrite").text(path)
+        else:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w", encoding="utf-8") as fh:
+                fh.write("1")
+
+    def marked(self, path: str) -> bool:
+        if "://" not in path:
+            return os.path.exists(path)
+        try:
+            return self.spark.read.text(path).first() is not None
+        except Exception:  # noqa: BLE001 - not there
+            return False
+
     # ---- catalog ------------------------------------------------------------
     def register(self, ns: str, table: str) -> None:
         v = self.current_version(ns, table)
@@ -128,20 +188,8 @@ class Workspace:
 
     def list_tables(self, ns: str) -> DataFrame:
         """Q8: (table, column, type, position) for every table of a namespace, by name."""
-        base = os.path.join(self.root, "tables", ns)
         rows = []
-        slugs: list[str] = []
-        if "://" not in base:
-            if os.path.isdir(base):
-                slugs = sorted(os.listdir(base))
-        else:
-            # remote shared folder: find the pointer files with Spark's own file listing
-            try:
-                ptr = self.spark.read.text(os.path.join(base, "*", "_CURRENT"))
-                slugs = sorted({r[0] for r in ptr.select(F.regexp_extract(
-                    F.col("_metadata.file_path"), r"/([^/]+)/_CURRENT", 1)).distinct().collect()})
-            except Exception:  # noqa: BLE001 - no table yet
-                slugs = []
+        slugs = self._slugs(ns)
         for s in slugs:
             v = self.current_version(ns, s)
             if v is None:
@@ -175,27 +223,30 @@ class Workspace:
     def append(self, df: DataFrame, ns: str, table: str) -> int:
         """M2: add rows to the current version (a failed append leaves no partial
         files visible: Spark commits the job's files together)."""
-        v = self.current_version(ns, table)
-        if v is None:
-            return self.write_table(df, ns, table)[0]
-        obs = Observation(f"a_{uuid.uuid4().hex[:8]}")
-        cur = self.spark.read.parquet(v)
-        df.select(*[F.col(c) for c in cur.columns]).observe(obs, F.count(F.lit(1)).alias("n")) \
-          .write.mode("append").parquet(v)
-        self.register(ns, table)
-        return int(obs.get["n"] or 0)
+        return self.append_observed(df, ns, table)[0]
 
     def append_observed(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
                         project: list[Column] | None = None) -> tuple[int, dict]:
-        """M2 with metrics: append in one pass, returning (rows, metrics)."""
+        """M2 with metrics: append in one pass, returning (rows, metrics). Files are added in place
+        only to a version of this workspace with the same columns; attached data is left
+        alone, and new columns make a new version (older rows get NULL)."""
         v = self.current_version(ns, table)
+        if v is None:
+            return self.write_table(df, ns, table, metrics, project)
         obs = Observation(f"a_{uuid.uuid4().hex[:8]}")
         observed = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
         if project is not None:
             observed = observed.select(*project)
         cur = self.spark.read.parquet(v)
-        observed.select(*[F.col(f"`{c}`") for c in cur.columns]).write.mode("append").parquet(v)
-        self.register(ns, table)
+        same = set(cur.columns) >= set(observed.columns) and all(
+            observed.schema[c].dataType == cur.schema[c].dataType for c in observed.columns)
+        if same and v.startswith(self._table_dir(ns, table)):
+            missing = [c for c in cur.columns if c not in observed.columns]
+            full = observed.withColumns({c: F.lit(None).cast(cur.schema[c].dataType) for c in missing}) if missing else observed
+            full.select(*[F.col(f"`{c}`") for c in cur.columns]).write.mode("append").parquet(v)
+            self.register(ns, table)
+        else:
+            self.write_table(cur.unionByName(observed, allowMissingColumns=True), ns, table)
         got = dict(obs.get)
         return int(got.pop("__rows", 0) or 0), got
 
@@ -204,12 +255,13 @@ class Workspace:
         df = self.read(ns, table)
         c = F.expr(cond) if isinstance(cond, str) else cond
         c = F.coalesce(c, F.lit(False))
-        out = df.select(*[
+        before = Observation(f"u_{uuid.uuid4().hex[:8]}")   # counted on the rows as they were
+        out = df.observe(before, F.sum(F.when(c, 1).otherwise(0)).alias("changed")).select(*[
             (F.when(c, F.expr(assignments[n]) if isinstance(assignments[n], str) else assignments[n])
               .otherwise(F.col(n))).cast(df.schema[n].dataType).alias(n) if n in assignments else F.col(n)
             for n in df.columns])
-        _, m = self.write_table(out, ns, table, [F.sum(F.when(c, 1).otherwise(0)).alias("changed")])
-        return int(m.get("changed") or 0)
+        self.write_table(out, ns, table)
+        return int(before.get["changed"] or 0)
 
     def delete_where(self, ns: str, table: str, cond: str | Column) -> int:
         """Q9 DELETE as copy-on-write."""

@@ -8,6 +8,7 @@ names; a local default is set only when the session has none (tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,6 +56,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

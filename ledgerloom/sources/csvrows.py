@@ -6,35 +6,42 @@ outside quotes; blank lines are records (one empty cell); ragged rows stay
 ragged; every cell stays a string. Spark's own CSV reader drops blank lines and
 has no record ordinal, so records are assembled from the text source instead.
 
-Plan (two scans of the text, no per-file task):
-1. ``lines``: text source with ``lineSep='\\n'`` (keeps blank lines and the
+Plan (one scan of the text, no per-file task):
+1. ``stage_lines``: text source with ``lineSep='\\n'`` (keeps blank lines and the
    ``\\r``) plus the split start (``_metadata.file_block_start``) and an
-   in-partition ordinal. Per line: quote parity and interior ``\\r``.
+   in-partition ordinal. Per line: quote parity and interior ``\\r``. The lines are
+   written once as Parquet: Spark may cut other splits for another job (they follow
+   the settings and the executors present), so nothing after this step depends on splits.
 2. ``blocks``: one row per (file, split) -- line count, odd-quote lines, first
-   ordinal (map-side partial aggregation, so the shuffle is tiny). A window over
-   the splits of each file gives the quote state at each split start and the
-   record offset. The table is checkpointed into the shared folder and joined
-   back by broadcast when its row count is under a bound, by shuffle otherwise.
+   ordinal -- from the narrow columns of the staged lines (a hash aggregate of fixed-width
+   values). A window over the splits of each file gives the quote state at each split start
+   and the record offset. The table is joined back by broadcast while its size (BLOCK_BYTES a
+   split) is under a bound in bytes, by shuffle otherwise. The line counts of both must agree.
 3. A split that starts outside quotes and holds no odd-quote line and no lone
    ``\\r`` is *simple*: every line is one record, no window, no shuffle.
-   Other splits go through a window bounded by the split size (<=
-   ``spark.sql.files.maxPartitionBytes``) that marks record starts; records
-   crossing lines are re-assembled by grouping on (file, record ordinal).
+   Other splits go once through a window bounded by the split size (<=
+   ``spark.sql.files.maxPartitionBytes``) that numbers the records; only records that
+   cross lines are grouped by (file, record ordinal).
 4. Fields: quote-free records use ``split``; others a JVM tokenizer
    (``regexp_extract_all``) that keeps commas inside quotes and unescapes ``""``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.sizing import broadcast_if_small
+from ledgerloom.session import work_dir
 
 CSV_SHEET = "csv"
-# Internal field separator used while splitting quoted records (NUL never
-# occurs in text CSV; documented limitation).
-_SEP = "\u0000"
+# Field separator while quoted records are split; its own occurrences in a cell are
+# escaped by _ESC before the cells are joined and restored after the split.
+_SEP, _ESC = "\u0000", "\u0001"
+BLOCK_BYTES = 64
+BROADCAST_BYTES = 128 << 20
+BOM_BYTES = 3
 _TOKEN_RE = '"(?:[^"]++|"")*+"?|,|[^",]++'
 
 
@@ -89,22 +96,39 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+class RowCountError(RuntimeError):
+    """The staged lines and their summary disagree."""
+    code = "CSV_ROW_COUNT"
+
+
+def stage_lines(spark: SparkSession, paths) -> tuple[DataFrame, int]:
+    """The scanned lines as Parquet in the shared folder (``_first`` = 1: the file's first split), and their number."""
+    lines = scan_lines(spark, paths).withColumn("bid", F.xxhash64("source_file", "block"))
+    stage = work_dir(spark, "csv-lines", fresh=True)
+    seen = Observation(f"lines_{uuid.uuid4().hex[:8]}")
+    out = lines.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_first", (F.col("block") == 0).cast("int"))
+    out.write.partitionBy("_first").parquet(stage)
+    schema = out.schema
+    return spark.read.schema(schema).parquet(stage), int(seen.get["n"] or 0)
+
+
 def _block_table(lines: DataFrame) -> DataFrame:
-    blocks = lines.groupBy("source_file", "block").agg(
+    blocks = lines.groupBy("source_file", "block", "bid").agg(
         F.min("lid").alias("lid0"),
         F.max("lid").alias("lid_last"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("odd").alias("odd_lines"),
         F.max("lone_cr").alias("cr_lines"),
         F.sum("nbytes").alias("nbytes"),
-        F.first("file_size").alias("file_size"),
-        F.min_by("body", "lid").alias("first_line"),
+        F.max("file_size").alias("file_size"),
     )
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source_file")
     par_in = (F.coalesce(F.sum("odd_lines").over(before), F.lit(0)) % 2).cast("int")
-    # every line counted with one '\n'; equal to the file size iff the file ends with '\n'
-    ends_nl = F.sum("nbytes").over(whole) == F.col("file_size")
+    # every line counted with one '\n': the file size if the file ends with '\n', one more if not;
+    # the reader drops a byte order mark, whose bytes are then missing
+    total = F.sum("nbytes").over(whole)
+    ends_nl = (total == F.col("file_size")) | (total == F.col("file_size") - BOM_BYTES)
     eof_lid = F.when(F.col("block") == F.max("block").over(whole), F.col("lid_last"))
     return (blocks.withColumn("par_in", par_in)
                   .withColumn("ends_nl", ends_nl)
@@ -117,7 +141,7 @@ def _with_record_offsets(blocks: DataFrame, n_rec: DataFrame | None) -> DataFram
     if n_rec is None:
         b = blocks.withColumn("n_rec", F.col("n_lines"))
     else:
-        b = (blocks.join(n_rec, ["source_file", "block"], "left")
+        b = (blocks.join(n_rec, ["bid", "block"], "left")
                    .withColumn("n_rec", F.when(F.col("simple"), F.col("n_lines"))
                                .otherwise(F.coalesce(F.col("n_rec_c"), F.lit(0))))
                    .drop("n_rec_c"))
@@ -143,76 +167,84 @@ def split_fields(text):
                  .when(t.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"')))
                  .otherwise(t))
 
+    def escaped(t):
+        return F.replace(F.replace(t, F.lit(_ESC), F.lit(_ESC + "a")), F.lit(_SEP), F.lit(_ESC + "b"))
+
+    def restored(t):
+        return F.replace(F.replace(t, F.lit(_ESC + "b"), F.lit(_SEP)), F.lit(_ESC + "a"), F.lit(_ESC))
+
     joined = F.array_join(F.transform(tokens, one), "")
+    odd_chars = (F.instr(text, _SEP) > 0) | (F.instr(text, _ESC) > 0)
+    safe = F.array_join(F.transform(tokens, lambda t: F.when(t == ",", one(t)).otherwise(escaped(one(t)))), "")
     return F.when(F.instr(text, '"') == 0, F.split(text, ",", -1)) \
+            .when(odd_chars, F.transform(F.split(safe, _SEP, -1), restored)) \
             .otherwise(F.split(joined, _SEP, -1))
 
 
-def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000, info: dict | None = None) -> DataFrame:
-    """``(source_file, row_no, text)``: one row per CSV record; ``row_no`` is the
+def csv_records(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYTES, info: dict | None = None,
+                max_header_row: int = 1) -> DataFrame:
+    """``(source_file, row_no, text, open_end)``: one row per CSV record; ``row_no`` is the
     1-based record ordinal within its file (blank records counted)."""
-    lines = scan_lines(spark, paths)
+    lines, n_lines = stage_lines(spark, paths)
     blocks = _block_table(lines).checkpoint(eager=True)
-    stats = blocks.agg(F.count(F.lit(1)).alias("n"),
-                       F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex")).first()
+    stats = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"),
+                       F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex"),
+                       # files whose first split may not hold all header rows
+                       F.sum(F.when((F.col("block") == 0) & (F.col("n_lines") < max_header_row) & F.col("eof_lid").isNull(), 1)
+                             .otherwise(0)).alias("late")).first()
+    if int(stats["lines"] or 0) != n_lines:
+        raise RowCountError(f"{RowCountError.code}: {n_lines} lines staged, {stats['lines']} summarised")
     n_complex = int(stats["complex"] or 0)
-    small = int(stats["n"]) <= broadcast_rows
+    small = int(stats["n"]) * BLOCK_BYTES <= broadcast_bytes
+    hint = F.broadcast if small else (lambda df: df)
     if info is not None:
         info.update(splits=int(stats["n"]), complex_splits=n_complex)
-        if n_complex == 0:
-            # every split is simple, so each file's first line is its first record
-            info["first_records"] = (blocks.filter(F.col("block") == 0)
-                                     .select("source_file", F.lit(1).cast("long").alias("row_no"),
-                                             F.col("first_line").alias("text")))
+
+    def simple_records(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+        return (rows.join(hint(offsets.select("bid", "block", "lid0", "recs_before", "ends_nl", "eof_lid")), ["bid", "block"])
+                    .select("source_file",
+                            (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
+                            F.col("body").alias("text"),
+                            _open_end(F.col("lid") == F.col("eof_lid"), F.col("ends_nl"), F.col("crlf")).alias("open_end")))
 
     if n_complex == 0:
         offsets = _with_record_offsets(blocks, None)
-        b = offsets.select("source_file", "block", "lid0", "recs_before", "ends_nl", "eof_lid")
-        b = F.broadcast(b) if small else b
-        return (lines.join(b, ["source_file", "block"])
-                     .select("source_file",
-                             (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
-                             F.col("body").alias("text"),
-                             _open_end(F.col("lid") == F.col("eof_lid"), F.col("ends_nl"), F.col("crlf"))
-                             .alias("open_end")))
-
-    flags = blocks.select("source_file", "block", "lid0", "par_in", "simple", "ends_nl", "eof_lid")
-    lj = lines.join(F.broadcast(flags) if small else flags, ["source_file", "block"])
+        if info is not None:
+            head = lines if int(stats["late"] or 0) else lines.filter("_first = 1")
+            info["first_records"] = simple_records(head, offsets)
+        return simple_records(lines, offsets)
 
+    flags = hint(blocks.filter(~F.col("simple")).select("bid", "block", "par_in", "ends_nl", "eof_lid"))
     # complex splits: one row per \r-separated segment, with its terminator
-    seg = (lj.filter(~F.col("simple"))
-             .select("source_file", "block", "lid", "par_in", "crlf", "ends_nl", "eof_lid",
-                     F.posexplode(F.split(F.col("body"), "\r", -1)).alias("sub", "seg"),
-                     F.size(F.split(F.col("body"), "\r", -1)).alias("n_sub")))
+    seg = (lines.join(flags, ["bid", "block"])
+                .select("source_file", "bid", "block", "lid", "par_in", "crlf", "ends_nl", "eof_lid",
+                        F.posexplode(F.split(F.col("body"), "\r", -1)).alias("sub", "seg"),
+                        F.size(F.split(F.col("body"), "\r", -1)).alias("n_sub")))
     at_eof = (F.col("lid") == F.col("eof_lid")) & (F.col("sub") == F.col("n_sub") - 1)
     seg = seg.withColumn("term", F.when(F.col("sub") < F.col("n_sub") - 1, F.lit("\r"))
                                   .when(at_eof & ~F.col("ends_nl"), F.when(F.col("crlf"), F.lit("\r")).otherwise(F.lit("")))
                                   .when(F.col("crlf"), F.lit("\r\n")).otherwise(F.lit("\n")))
-    w = Window.partitionBy("source_file", "block").orderBy("lid", "sub")
-    odd_seg = (_quotes(F.col("seg")) % 2).cast("int")
-    seg = seg.withColumn("odd_seg", odd_seg)
+    w = Window.partitionBy("bid", "block").orderBy("lid", "sub")
+    seg = seg.withColumn("odd_seg", (_quotes(F.col("seg")) % 2).cast("int"))
     par_start = (F.col("par_in") + F.coalesce(
         F.sum("odd_seg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2
     seg = seg.withColumn("is_start", (par_start == 0).cast("int"))
     seg = seg.withColumn("rec_in_block", F.sum("is_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stage = work_dir(spark, "csv-segments", fresh=True)     # the window runs once
+    seg.select("source_file", "bid", "block", "lid", "sub", "seg", "term", "odd_seg", "is_start", "rec_in_block").write.parquet(stage)
+    seg = spark.read.parquet(stage)
 
-    n_rec = seg.groupBy("source_file", "block").agg(F.max("rec_in_block").alias("n_rec_c"))
+    n_rec = seg.groupBy("bid", "block").agg(F.max("rec_in_block").alias("n_rec_c"))
     offsets = _with_record_offsets(blocks, n_rec).checkpoint(eager=True)
-    off_b = offsets.select("source_file", "block", "recs_before")
-    off_b = F.broadcast(off_b) if small else off_b
-
-    simple_recs = (lj.filter(F.col("simple")).join(off_b, ["source_file", "block"])
-                     .select("source_file",
-                             (F.col("recs_before") + F.col("lid") - F.col("lid0") + 1).alias("row_no"),
-                             F.col("body").alias("text"),
-                             _open_end(F.col("lid") == F.col("eof_lid"), F.col("ends_nl"), F.col("crlf"))
-                             .alias("open_end")))
-
-    parts = (seg.join(off_b, ["source_file", "block"])
-                .withColumn("row_no", F.col("recs_before") + F.col("rec_in_block"))
-                .groupBy("source_file", "row_no")
-                .agg(F.sort_array(F.collect_list(F.struct("block", "lid", "sub", "seg", "term",
-                                                          F.col("odd_seg").alias("odd")))).alias("p")))
+    simple_recs = simple_records(lines, offsets.filter("simple"))
+    numbered = (seg.join(hint(offsets.select("bid", "block", "recs_before")), ["bid", "block"])
+                   .withColumn("row_no", F.col("recs_before") + F.col("rec_in_block")))
+    # a segment that starts outside quotes and closes its own is a whole record
+    whole = (F.col("is_start") == 1) & (F.col("odd_seg") == 0)
+    whole_recs = numbered.filter(whole).select("source_file", "row_no", F.col("seg").alias("text"), (F.col("term") == "").alias("open_end"))
+    parts = (numbered.filter(~whole).groupBy("source_file", "row_no")
+                     .agg(F.sort_array(F.collect_list(F.struct("block", "lid", "sub", "seg", "term",
+                                                               F.col("odd_seg").alias("odd")))).alias("p")))
     last = F.element_at(F.col("p"), -1)
     # a record still inside quotes at the end of the file keeps its last
     # terminator characters as content
@@ -221,26 +253,16 @@ def csv_records(spark: SparkSession, paths, broadcast_rows: int = 200_000, info:
         F.array_join(F.transform(F.slice(F.col("p"), 1, F.greatest(F.size("p") - 1, F.lit(0))),
                                  lambda x: F.concat(x["seg"], x["term"])), ""),
         last["seg"], F.when(unterminated, last["term"]).otherwise(F.lit("")))
-    complex_recs = parts.select("source_file", "row_no", text.alias("text"),
-                                (unterminated | (last["term"] == "")).alias("open_end"))
-    return simple_recs.unionByName(complex_recs)
+    spanning = parts.select("source_file", "row_no", text.alias("text"),
+                            (unterminated | (last["term"] == "")).alias("open_end"))
+    return simple_recs.unionByName(whole_recs).unionByName(spanning)
 
 
-def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000, info: dict | None = None) -> DataFrame:
-    """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL).
-    ``info`` (optional dict) receives the split counts (``complex_splits`` = splits
-    that needed the record-assembly path)."""
-    recs = csv_records(spark, paths, broadcast_rows, info)
-    if info is not None and "first_records" in info:
-        f = info.pop("first_records")
-        info["first_rows"] = f.select("source_file", F.lit(CSV_SHEET).alias("source_sheet"), "row_no",
-                                      split_fields(F.col("text")).alias("cells"),
-                                      F.lit(None).cast("string").alias("kinds"))
-    cells = split_fields(F.col("text"))
+def _cells(recs: DataFrame) -> DataFrame:
     # a last record with no terminator and no content is not a record
     # (written as CASE so that, when the optimizer pushes it down, cells are
     # only parsed for the one end-of-file record per file)
-    recs = recs.withColumn("cells", cells).filter(
+    recs = recs.withColumn("cells", split_fields(F.col("text"))).filter(
         F.when(F.col("open_end"), ~((F.size("cells") == 1) & (F.get(F.col("cells"), 0) == "")))
          .otherwise(F.lit(True)))
     return recs.select(
@@ -250,3 +272,15 @@ def csv_raw_rows(spark: SparkSession, paths, broadcast_rows: int = 200_000, info
         F.col("cells"),
         F.lit(None).cast("string").alias("kinds"),
     )
+
+
+def csv_raw_rows(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYTES, info: dict | None = None,
+                 max_header_row: int = 1) -> DataFrame:
+    """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL).
+    ``info`` (optional dict) receives the split counts (``complex_splits`` = splits
+    that needed the record-assembly path) and, without such splits, ``first_rows``: the raw
+    rows of the splits that hold the rows up to ``max_header_row``."""
+    recs = csv_records(spark, paths, broadcast_bytes, info, max_header_row)
+    if info is not None and "first_records" in info:
+        info["first_rows"] = _cells(info.pop("first_records"))
+    return _cells(recs)

@@ -177,9 +177,8 @@ def supplier_folder(spark: SparkSession, sf_dir: str, out: str) -> str:
     return out
 
 
-# A header row that repeats a name (as in a staff list with
-# several name columns): name, birth date, name, account, name, remark.
-REPEATED_HEADER = ["姓名", "出生日期", "姓名", "账号", "姓名", "备注"]
+# A header row that repeats a name: contact, joined on, contact, code, contact, segment.
+REPEATED_HEADER = ["联系人", "加入日", "联系人", "编码", "联系人", "分组"]
 
 
 def repeated_header_folder(spark: SparkSession, sf_dir: str) -> str:

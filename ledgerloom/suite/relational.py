@@ -108,19 +108,30 @@ SELECT regionkey, n_name, r_name FROM
  (SELECT n_regionkey AS regionkey, n_name FROM nation) JOIN (SELECT r_regionkey AS regionkey, r_name FROM region)
  USING (regionkey)""", None),
     "sql_semi_anti": ("D12", """
+SELECT c.c_custkey, a.k IS NOT NULL AS has_orders, f.k IS NULL AS no_f_orders
+FROM customer c
+LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) a ON a.k = c.c_custkey
+LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') f ON f.k = c.c_custkey""", """
 SELECT c_custkey,
        EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders,
        c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS no_f_orders
-FROM customer""", None),
+FROM customer"""),
+    "sql_semi_join": ("D12", """
+SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)""", None),
+    "sql_not_in": ("D12", """
+SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""", None),
+    "sql_natural_join": ("D11", """
+SELECT nk, n_name, n_suppliers FROM (SELECT n_nationkey AS nk, n_name FROM nation)
+NATURAL JOIN (SELECT s_nationkey AS nk, COUNT(*) AS n_suppliers FROM supplier GROUP BY s_nationkey)""", None),
+    # customers by the balance bands that hold them: bands of 500 are the join key, the range is the filter
     "sql_range_join": ("D13", """
-SELECT o_orderpriority, COUNT(*) AS n_lines
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey
- AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAYS
-GROUP BY o_orderpriority""", """
-SELECT o_orderpriority, COUNT(*) AS n_lines
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey
- AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY
-GROUP BY o_orderpriority"""),
+WITH bands AS (SELECT s_suppkey, s_acctbal AS lo, s_acctbal + 400 AS hi FROM supplier),
+cells AS (SELECT s_suppkey, lo, hi, explode(sequence(CAST(floor(lo / 500) AS INT), CAST(floor(hi / 500) AS INT))) AS cell FROM bands)
+SELECT s_suppkey, COUNT(*) AS n_customers FROM cells
+JOIN (SELECT c_acctbal, CAST(floor(c_acctbal / 500) AS INT) AS cell FROM customer) c USING (cell)
+WHERE c_acctbal BETWEEN lo AND hi GROUP BY s_suppkey""", """
+SELECT s_suppkey, COUNT(*) AS n_customers FROM supplier JOIN customer
+  ON c_acctbal BETWEEN s_acctbal AND s_acctbal + 400 GROUP BY s_suppkey"""),
     "sql_union": ("D14", """
 SELECT 'all' AS kind, k FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier)
 UNION ALL

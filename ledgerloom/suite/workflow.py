@@ -153,9 +153,9 @@ def _journal(spark, sf_dir, ws=None):
 
 
 def adhoc_on_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q6: ad-hoc SQL scoped to one big table's namespace, explicit limit."""
+    """Q6: ad-hoc SQL scoped to one big table's namespace, all rows."""
     ws, _, _ = _journal(spark, sf_dir)
-    r = A.adhoc(ws, 'SELECT order_key, note FROM seq WHERE "借方余额" > 30000000', folder="序时账", limit=1_000_000)
+    r = A.adhoc(ws, 'SELECT order_key, note FROM seq WHERE "借方余额" > 30000000', folder="序时账", capped=False)
     return r.df
 
 

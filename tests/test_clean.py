@@ -53,14 +53,14 @@ def test_three_stages(spark, tmp):
 
 def test_repeated_headers(spark, tmp):
     src = os.path.join(tmp, "src")
-    _write(src, "p.csv", "姓名,出生日期,姓名,账号,姓名,备注\n,1990-01-01,张三,A1,,x\n,1991-02-02,李四,A2,,y\n")
+    _write(src, "p.csv", "联系人,加入日,联系人,编码,联系人,分组\n,1990-01-01,甲,A1,,x\n,1991-02-02,乙,A2,,y\n")
     ws = Workspace(spark, os.path.join(tmp, "ws"))
-    bare = Rule("r", [RuleSource("*.csv", 1)], [RF("姓名", "name", 0)])
+    bare = Rule("r", [RuleSource("*.csv", 1)], [RF("联系人", "name", 0)])
     with pytest.raises(DuplicateHeaderError):
         clean(ws, CleanPipeline("c", src, "p"), [bare], BigTableConfig("p", "t"))
-    numbered = Rule("r", [RuleSource("*.csv", 1)], [RF("姓名_2", "name", 0)])
+    numbered = Rule("r", [RuleSource("*.csv", 1)], [RF("联系人_2", "name", 0)])
     res = clean(ws, CleanPipeline("c", src, "p"), [numbered], BigTableConfig("p", "t"))
-    assert sorted(r["name"] for r in ws.read(res.namespace, "t").collect()) == ["张三", "李四"]
+    assert sorted(r["name"] for r in ws.read(res.namespace, "t").collect()) == ["乙", "甲"]
 
 
 def test_errors(spark, tmp):

@@ -18,8 +18,8 @@ def test_compile_rule():
         RuleField("b", "y", 2, True, ["coerce_date", "coerce_cents"]), RuleField("a", "x", 1, True, ["weird"]),
         RuleField("c", "z", 0, False, []), RuleField("d", "x", 3, True, ["coerce_string"])])
     got = [(m.source_header, m.output_name, m.transform) for m in compile_rule(r).mappings]
-    # excluded field dropped, sorted by order, first kind only, unknown -> none, later same output wins
-    assert got == [("b", "y", "normalize-date"), ("d", "x", "trim")]
+    # excluded field dropped, sorted by order, first kind only, unknown -> none; a later mapping wins and keeps the first place
+    assert got == [("d", "x", "trim"), ("b", "y", "normalize-date")]
 
 
 def test_source_dedup_and_columns():

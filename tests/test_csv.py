@@ -1,78 +1,111 @@
-"""CSV record scan vs an independent model of the quoting rules, on files split
-into many tiny blocks so records cross split boundaries."""
+"""CSV record scan: written cells are read back, odd texts follow a parity rule, and no
+row depends on how Spark cuts the files."""
 
+import csv
+import io
 import os
 import random
+import re
+from contextlib import contextmanager
 
 from ledgerloom.sources.csvrows import csv_raw_rows
 
+TINY_SPLITS = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "0"}
 
-def model(text: str):
-    rows, row, cur, q, i = [], [], "", False, 0
-    while i < len(text):
-        ch = text[i]
-        if q:
-            if ch == '"':
-                if i + 1 < len(text) and text[i + 1] == '"':
-                    cur += '"'
-                    i += 1
-                else:
-                    q = False
-            else:
-                cur += ch
-        elif ch == '"':
-            q = True
-        elif ch == ",":
-            row.append(cur)
-            cur = ""
-        elif ch in "\r\n":
-            if ch == "\r" and i + 1 < len(text) and text[i + 1] == "\n":
-                i += 1
-            row.append(cur)
-            rows.append(row)
-            row, cur = [], ""
-        else:
-            cur += ch
-        i += 1
-    if cur != "" or row:
-        row.append(cur)
-        rows.append(row)
-    return rows
-
-
-def _random_text(rng, n):
-    alphabet = ['a', 'b', '中', ',', '"', '""', '\n', '\r\n', '\r', ' ', 'x,y', '"q,"']
-    return "".join(rng.choice(alphabet) for _ in range(n))
-
-
-def test_csv_matches_model_across_splits(spark, tmp):
-    rng = random.Random(7)
-    texts = {f"f{i}.csv": _random_text(rng, rng.randint(0, 400)) for i in range(12)}
-    texts["plain.csv"] = "h1,h2\n" + "".join(f"{i},{i * 2}\n" for i in range(300))
-    texts["crlf.csv"] = "a,b\r\n1,2\r\n\r\n3,4"
-    for name, t in texts.items():
-        with open(os.path.join(tmp, name), "w", encoding="utf-8", newline="") as fh:
-            fh.write(t)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+@contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
-        rows = csv_raw_rows(spark, tmp).collect()
+        yield
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def put(folder, name, text):
+    with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as fh:
+        fh.write(text)
+
+
+def by_file(rows):
     got = {}
     for r in rows:
         got.setdefault(r["source_file"].rsplit("/", 1)[-1], {})[r["row_no"]] = list(r["cells"])
+    return {k: ([v[i] for i in sorted(v)], sorted(v) == list(range(1, len(v) + 1))) for k, v in got.items()}
+
+
+def outside(pattern, text):
+    """Pieces of ``text`` between the matches that have an even number of quotes before them."""
+    cuts = [m for m in re.finditer(pattern, text) if text.count('"', 0, m.start()) % 2 == 0]
+    ends = [0, *(m.end() for m in cuts)]
+    return [text[a:b] for a, b in zip(ends, [*(m.start() for m in cuts), len(text)])]
+
+
+def unquoted(cell):
+    return re.sub(r'"((?:[^"]|"")*)"?', lambda m: m[1].replace('""', '"'), cell)
+
+
+def by_parity(text):
+    records = [[unquoted(c) for c in outside(",", r)] for r in outside(r"\r\n|\r|\n", text)]
+    return records[:-1] if records[-1] == [""] else records
+
+
+def test_written_cells_are_read_back(spark, tmp):
+    rng = random.Random(11)
+    pieces = ["a", "bc", "中", ",", '"', "\n", "\r\n", " ", "x,y", "\x00", "\x01", "\x01a", ""]
+    tables = {}
+    for i in range(8):
+        rows = [["".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) for _ in range(3)] for _ in range(rng.randint(1, 25))]
+        out = io.StringIO()
+        csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator=rng.choice(["\n", "\r\n"])).writerows(rows)
+        tables[f"t{i}.csv"] = rows
+        put(tmp, f"t{i}.csv", out.getvalue())
+    with settings(spark, TINY_SPLITS):
+        got = by_file(csv_raw_rows(spark, tmp).collect())
+    assert got == {k: (v, True) for k, v in tables.items()}
+
+
+def test_odd_texts_follow_parity(spark, tmp):
+    rng = random.Random(7)
+    pieces = ["a", "b", "中", ",", '"', '""', "\n", "\r\n", "\r", " ", "x,y", '"q,"', "\x00"]
+    texts = {f"f{i}.csv": "".join(rng.choice(pieces) for _ in range(rng.randint(1, 300))) for i in range(12)}
+    texts |= {"plain.csv": "h1,h2\n" + "".join(f"{i},{i * 2}\n" for i in range(300)), "crlf.csv": "a,b\r\n1,2\r\n\r\n3,4",
+              "bom.csv": "﻿a,b\n1,2\n\n", "bom_open.csv": "﻿a,b\n1,2", "blank.csv": "a\n\n"}
     for name, t in texts.items():
-        expect = model(t)
-        have = got.get(name, {})
-        assert sorted(have) == list(range(1, len(expect) + 1)), name
-        assert [have[k] for k in sorted(have)] == expect, name
+        put(tmp, name, t)
+    with settings(spark, TINY_SPLITS):
+        got = by_file(csv_raw_rows(spark, tmp).collect())
+    assert got == {k: (w, True) for k, t in texts.items() if (w := by_parity(t.removeprefix("﻿")))}
+
+
+def test_rows_do_not_depend_on_splits(spark, tmp):
+    """Splits change between the plan and the read: no row and no number may change."""
+    for f in range(3):
+        put(tmp, f"s{f}.csv", "id,v\n" + "".join(f"{i},{i % 7}\n" for i in range(4000)))
+    put(tmp, "q.csv", "id,v\n" + "".join(f'{i},"x\n{i}"\n' for i in range(500)))
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.leafNodeDefaultParallelism": "4"}):
+        rows = csv_raw_rows(spark, tmp)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.leafNodeDefaultParallelism": "13", "spark.sql.files.openCostInBytes": "0"}):
+        got = by_file(rows.collect())
+    assert {k: (len(v[0]), v[1]) for k, v in got.items()} == {"s0.csv": (4001, True), "s1.csv": (4001, True), "s2.csv": (4001, True), "q.csv": (501, True)}
+    assert got["q.csv"][0][500] == ["499", "x\n499"] and got["s1.csv"][0][4000] == ["3999", str(3999 % 7)]
+
+
+def test_simple_text_is_neither_sorted_nor_shuffled(spark, tmp):
+    put(tmp, "a.csv", "id,v\n" + "".join(f"{i},{i}\n" for i in range(50)))
+    info = {}
+    plan = csv_raw_rows(spark, tmp, info=info)._jdf.queryExecution().executedPlan().toString()
+    assert info["complex_splits"] == 0
+    text_side = [x for x in plan.splitlines() if re.match(r"[ +-]*:", x)]  # the join's left child
+    assert any("FileScan" in x or "Scan parquet" in x for x in text_side)
+    assert not any(re.search("Sort|Exchange|Window", x) for x in text_side)
 
 
 def test_lock_files_and_case(spark, tmp):
     for name, t in {"A.CSV": "x\n1\n", "~$A.csv": "x\n", "b.txt": "x\n"}.items():
-        with open(os.path.join(tmp, name), "w") as fh:
-            fh.write(t)
+        put(tmp, name, t)
     names = {r["source_file"].rsplit("/", 1)[-1] for r in csv_raw_rows(spark, tmp).collect()}
     assert names == {"A.CSV"}

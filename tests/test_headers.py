@@ -8,19 +8,19 @@ def _canon(spark, headers):
 
 
 def test_canonical_names(spark):
-    assert _canon(spark, ["姓名", "姓名_1", "姓名"]) == ["姓名_2", "姓名_1", "姓名_3"]
+    assert _canon(spark, ["联系人", "联系人_1", "联系人"]) == ["联系人_2", "联系人_1", "联系人_3"]
     assert _canon(spark, ["A_1", "A_1", "A", "A", "", ""]) == ["A_1_1", "A_1_2", "A_2", "A_3", "_1", "_2"]
-    assert _canon(spark, ["姓名", "出生日期", "姓名", "账号", "姓名", "备注"]) == \
-        ["姓名_1", "出生日期", "姓名_2", "账号", "姓名_3", "备注"]
+    assert _canon(spark, ["联系人", "加入日", "联系人", "编码", "联系人", "分组"]) == \
+        ["联系人_1", "加入日", "联系人_2", "编码", "联系人_3", "分组"]
     assert _canon(spark, ["a", "b"]) == ["a", "b"]
 
 
 def test_resolve(spark):
-    df = spark.createDataFrame([("s", i, h) for i, h in enumerate(["姓名", "金额", "姓名", "交易时间"])],
+    df = spark.createDataFrame([("s", i, h) for i, h in enumerate(["联系人", "金额", "联系人", "入库日"])],
                                "sheet string, pos int, h string")
     canon = canonicalize(df, ["sheet"])
-    wanted = spark.createDataFrame([("s", w) for w in ["姓名", "姓名_2", "金额", "x", "交易时间\r"]],
+    wanted = spark.createDataFrame([("s", w) for w in ["联系人", "联系人_2", "金额", "x", "入库日\r"]],
                                    "sheet string, source_header string")
     got = {r["source_header"]: (r["status"], r["idx"]) for r in resolve(canon, wanted, ["sheet"]).collect()}
-    assert got == {"姓名": ("duplicate", None), "姓名_2": ("ok", 2), "金额": ("ok", 1), "x": ("absent", None),
-                   "交易时间\r": ("ok", 3)}
+    assert got == {"联系人": ("duplicate", None), "联系人_2": ("ok", 2), "金额": ("ok", 1), "x": ("absent", None),
+                   "入库日\r": ("ok", 3)}
