@@ -8,12 +8,12 @@ equal or similar set.
 1. All lines are tokenised once and staged. Lines with equal sets are one class, which stands at
    its first line; a line that occurs everywhere is one class.
 2. Rarity: all tokens of all lines are counted in CELLS hash cells; a class's tokens are ordered by
-   the logarithm of their cell's count, then by value, a total order that all lines share.
+   their cell's count, then by value, a total order that all lines share.
 3. Prefix filter: similar sets share a token among the first n - ceil(0.75 n) + 1 of each. Tokens that
    only one class has in its prefix are dropped by an aggregate. Pairs under the same token pass the length filter
    and the positional filter, and are verified on the whole sets.
 4. A class needs one earlier match only. So each token's classes are first compared with a few
-   anchors (the first one, and some chosen by hash); only classes without a match go on to all
+   anchors (the first one, and one chosen by hash); only classes without a match go on to all
    earlier classes under their tokens. Near copies by the thousand thus cost pairs in proportion to their number.
 
 Defined cases: a null text has no lines and stays null; lines without a word are kept; rows that repeat
@@ -22,21 +22,20 @@ id and text share their lines' fate; a null id sorts first; no rows give no rows
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_up_to, staged
 
-PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 16384, 3
+PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 1 << 18, 2
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _shingles(words: Column) -> Column:
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.hash(*(F.get(words, i + k) for k in range(WIDTH))))
-    return F.when(n >= WIDTH, F.sort_array(F.array_distinct(many))).otherwise(F.array(F.hash(words)))
+    # neighbours side by side as structs, so that each shingle is one hash of one value
+    rows = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(n - (WIDTH - 1), F.lit(0))) for k in range(WIDTH)))
+    return F.when(n >= WIDTH, F.sort_array(F.array_distinct(F.transform(rows, lambda x: F.hash(x))))).otherwise(F.array(F.hash(words)))
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,17 +43,20 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(t).alias("text_hash"), F.posexplode(F.split(t, "\n", -1)).alias("line", "raw"))
     rows = rows.select("doc", "text_hash", "line", F.btrim(F.lower("raw"), F.lit(" \t\r\x0b\x0c")).alias("raw")).filter("raw <> ''")
-    rows = rows.select("doc", "text_hash", "line", F.split("raw", _SPACE).alias("words"))
+    # most lines have single spaces only, which need no pattern
+    odd = F.contains("raw", F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains("raw", F.lit(c))
+    rows = rows.select("doc", "text_hash", "line", F.when(odd, F.split("raw", _SPACE)).otherwise(F.split("raw", " ")).alias("words"))
     rows = rows.select("doc", "text_hash", "line", _shingles(F.col("words")).alias("toks"))
     return rows.select("doc", "text_hash", "line", F.xxhash64("toks").alias("class"), "toks")
 
 
 def _rarity(tokens: DataFrame) -> Column:
-    """An array with a rarity from 0 (rare) for each cell: CELLS numbers, whatever the input's size."""
-    cell = F.pmod(F.col("t"), F.lit(CELLS))
+    """An array with the count of each cell: CELLS numbers, whatever the input's size."""
+    cell = F.col("t").bitwiseAND(F.lit(CELLS - 1))
     counts = dict(tokens.select(F.explode("toks").alias("t")).groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
-    levels = ",".join(str(int(2 * math.log2(counts.get(c, 0) + 1))) for c in range(CELLS))
-    return F.split(F.lit(levels), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(counts.get(c, 0)) for c in range(CELLS))), ",").cast("array<bigint>")
 
 
 def _fits(x: str, y: str) -> Column:
@@ -66,8 +68,19 @@ def _fits(x: str, y: str) -> Column:
 
 
 class _Verifier:
-    def __init__(self, sets: DataFrame):
-        self.sets, self.tested = sets, None
+    def __init__(self, tokens: DataFrame, classes: DataFrame):
+        self.tokens, self.classes, self.sets, self.tested = tokens, classes, None, None
+
+    def _fetch(self, pairs: DataFrame) -> None:
+        """The whole sets of more classes, from their first lines."""
+        ranks = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
+        if self.sets is not None:
+            ranks = ranks.join(self.sets.select("rank"), "rank", "left_anti")
+        want = staged(self.classes.join(ranks, "rank").select("rank", "class", F.col("first").alias("f")), "wanted")
+        place = F.struct("doc", "text_hash", "line")
+        got = self.tokens.join(broadcast_up_to(want, 1_000_000), "class").filter(place.eqNullSafe(F.col("f"))).select("rank", "toks")
+        got = staged(got.dropDuplicates(["rank"]), "sets")  # rows that repeat id and text
+        self.sets = got if self.sets is None else self.sets.unionByName(got)
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """The x of the pairs (x, y) whose sets are similar; pairs tested before are left out."""
@@ -76,37 +89,46 @@ class _Verifier:
             new = new.join(self.tested, ["x", "y"], "left_anti")
         new = staged(new, "pairs")
         self.tested = new if self.tested is None else self.tested.unionByName(new)
+        self._fetch(new)
         both = (new.join(self.sets.select(F.col("rank").alias("x"), F.col("toks").alias("a")), "x")
                 .join(self.sets.select(F.col("rank").alias("y"), F.col("toks").alias("b")), "y"))
         common = F.size(F.array_intersect("a", "b"))
         return staged(both.filter(100 * common >= PERCENT * (F.size("a") + F.size("b") - common)).select("x").distinct(), "matched")
 
 
-def later_classes(tokens: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rank) of the classes that are similar to a class of a lower rank. ``classes`` (class, rank)."""
+def _lists(tokens: DataFrame) -> DataFrame:
+    """(tok, class, n, pos) of the prefix tokens that more than one class has."""
     rarity = _rarity(tokens)
     n = F.size("toks")
-    ordered = F.sort_array(F.transform("toks", lambda t: F.element_at(rarity, F.pmod(t, F.lit(CELLS)) + 1).cast("long") * F.lit(2**32)
-                                       + t.cast("long").bitwiseAND(F.lit(2**32 - 1))))
+    ordered = F.sort_array(F.transform("toks", lambda t: F.get(rarity, t.bitwiseAND(F.lit(CELLS - 1))) * F.lit(2**32) + t.cast("long").bitwiseAND(F.lit(2**32 - 1))))
     keep = n - F.ceil(n * PERCENT / 100).cast("int") + 1
-    prefixes = staged(tokens.select("class", n.alias("n"), F.slice(ordered, F.lit(1), keep).alias("prefix")), "prefixes")
-    postings = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "tok"))
-    shared = staged(postings.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("tok"), "shared")
-    lists = postings.join(broadcast_up_to(shared, 1_000_000), "tok").distinct().join(classes, "class")
-    lists = staged(lists.select("tok", "rank", "class", "n", "pos"), "lists")
-    met = staged(lists.select("class", "rank").distinct(), "met")
-    sets = tokens.join(broadcast_up_to(met, 1_000_000), "class").select("rank", "toks").dropDuplicates(["rank"])
-    verify = _Verifier(staged(sets, "sets"))
+    postings = tokens.select("class", n.alias("n"), F.posexplode(F.slice(ordered, F.lit(1), keep)).alias("pos", "tok"))
+    # one shuffle by token serves the count, the join and the removal of repeated rows
+    dealt = postings.repartition("tok")
+    shared = dealt.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("tok")
+    return dealt.join(shared.hint("shuffle_hash"), "tok").distinct()
+
+
+def later_classes(tokens: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rank) of the classes that are similar to a class of a lower rank. ``classes`` (class, first, rank)."""
+    lists = _lists(tokens).join(classes.select("class", "rank"), "class").select("tok", "rank", "n", "pos")
+    lists = staged(lists, "lists")
+    verify = _Verifier(tokens, classes)
     mine = lists.select("tok", F.col("rank").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
     theirs = lists.select("tok", F.col("rank").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
     later = None
     for a in range(ANCHORS):
-        order = F.col("y") if a == 0 else F.xxhash64(F.lit(a), "y")
-        anchors = theirs.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "y", "yn", "ypos")).alias("m")).select("tok", "m.y", "m.yn", "m.ypos")
-        rest = mine if later is None else mine.join(later, "x", "left_anti")
-        found = verify.matched(rest.join(anchors, "tok").filter((F.col("y") < F.col("x")) & _fits("x", "y")))
+        rest = mine if later is None else staged(mine.join(later, "x", "left_anti"), "rest")
+        if a == 0:
+            anchors = theirs.groupBy("tok").agg(F.min("y").alias("y"))
+            pairs = rest.join(anchors, "tok").filter("y < x")
+        else:
+            open_ = theirs.join(rest.select("tok").distinct(), "tok", "left_semi")
+            anchors = open_.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(a), "y").alias("o"), "y", "yn", "ypos")).alias("m")).select("tok", "m.y", "m.yn", "m.ypos")
+            pairs = rest.join(anchors, "tok").filter((F.col("y") < F.col("x")) & _fits("x", "y"))
+        found = verify.matched(pairs)
         later = found if later is None else later.unionByName(found)
-    rest = staged(mine.join(later, "x", "left_anti"), "rest")
+    rest = staged(rest.join(later, "x", "left_anti"), "rest")
     pairs = rest.join(theirs, "tok").filter((F.col("y") < F.col("x")) & _fits("x", "y"))
     return later.unionByName(verify.matched(pairs)).select(F.col("x").alias("rank"))
 
@@ -118,7 +140,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     first = tokens.groupBy("class").agg(F.min(place).alias("first"))
     # numbers in the order of the first lines: the sort's ranges, and rows within them, are numbered upwards
     classes = staged(first.orderBy("first").select("class", "first", F.monotonically_increasing_id().alias("rank")), "classes")
-    later = later_classes(tokens, classes.select("class", "rank"))
+    later = later_classes(tokens, classes)
     verdict = classes.join(later.withColumn("later", F.lit(True)), "rank", "left").select("class", "first", "later")
     rows = tokens.select("doc", "text_hash", "line", "class").distinct().join(verdict, "class")
     gone = F.col("later").isNotNull() | ~place.eqNullSafe(F.col("first"))
