@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_up_to, staged
+from .common import LOWER, UPPER, WORD, broadcast_up_to, staged
 from .components import components
-from .shingles import Signer, mix, shingles, similar
+from .shingles import WIDTH, Signer, mix, shingles, similar
 
 PERCENT, TOKENS, TREES, BRANCHES, LIMIT, MAX_LEVELS = 75, 128, 6, 2, 64, 8
 LIKELY = PERCENT / 100 - 4.5 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / TOKENS)
@@ -312,3 +312,17 @@ def query(docs: DataFrame) -> DataFrame:
     """One row per document: the size of its set, the smallest id it reaches by links, and whether that is its own."""
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {WIDTH} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - {WIDTH - 1}), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' ')) END) AS tok FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= {PERCENT} * (x.n + y.n - m)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id, w.doc_id = least AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN g ON g.a = w.doc_id
+"""

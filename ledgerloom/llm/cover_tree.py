@@ -309,3 +309,16 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 def query(vectors: DataFrame) -> DataFrame:
     """One row per vector: its links at a cosine of 0.9 or more, the smallest id it reaches, and whether that is its own."""
     return near_duplicates(vectors).withColumnRenamed("id", "vec_id")
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE list_sum(list_transform(a.x, lambda q: q * q)) > 0 AND list_sum(list_transform(b.x, lambda q: q * q)) > 0
+        AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least AS component_id, vec_id = least AS kept
+FROM v JOIN g ON g.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""

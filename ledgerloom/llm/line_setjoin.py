@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, staged
+from .common import WORD, broadcast_up_to, staged
 
 PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 1 << 18, 2
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -162,7 +162,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: str
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """One row per document: the lines removed, and the length and checksum of the text that is left."""
+    """One row per document: the lines removed, and the length and MD5 of the text that is left."""
     out = dedup(docs.select("doc_id", "text"))
     t = F.coalesce(F.col("text"), F.lit(""))
-    return out.select("doc_id", F.col("dedup_removed").alias("n_removed"), F.length(t).cast("long").alias("n_chars"), F.crc32(t.cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", F.col("dedup_removed").alias("n_removed"), F.length(t).cast("long").alias("n_chars"), F.md5(t.cast("binary")).alias("text_md5"))
+
+
+ORACLE = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, k, regexp_extract_all(lower(raw), '{WORD}') AS ws FROM l),
+t AS (SELECT DISTINCT doc_id, k, unnest(CASE WHEN len(ws) < {WIDTH} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - {WIDTH - 1}), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' ')) END) AS tok FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, k, count(*) AS n FROM t GROUP BY ALL),
+c AS (SELECT a.doc_id, a.k, b.doc_id AS d2, b.k AS k2, count(*) AS m FROM t a JOIN t b ON a.tok = b.tok
+        AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k) GROUP BY ALL),
+gone AS (SELECT DISTINCT c.doc_id, c.k FROM c JOIN n x ON x.doc_id = c.doc_id AND x.k = c.k JOIN n y ON y.doc_id = d2 AND y.k = k2
+        WHERE 100 * m >= {PERCENT} * (x.n + y.n - m)),
+left_ AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY k) AS txt FROM l ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_removed, length(coalesce(txt, ''))::BIGINT AS n_chars, md5(coalesce(txt, '')) AS text_md5
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""

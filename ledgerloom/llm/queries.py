@@ -35,4 +35,7 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_url_rules": url_rules.ORACLE, "op8_host_rules": host_rules.ORACLE}
+    """SQL has no boosting, self-attention, byte-level merges by rank file, CRC-32 or dynamic program over
+    a histogram here: operators 1, 3, 4, 6 and 7 are tested against brute force in ``tests/llm``."""
+    return {"op2_cover_tree": cover_tree.ORACLE, "op5_url_rules": url_rules.ORACLE, "op8_host_rules": host_rules.ORACLE,
+            "op9_chosen_path": chosen_path.ORACLE, "op10_line_setjoin": line_setjoin.ORACLE}
