@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.sizing import broadcast_if_small
+from ledgerloom.session import work_dir
 
 BATCH_ROWS = 5000
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -126,7 +127,8 @@ def cell_value(t: str | None, raw: str | None, inline: str | None, shared: list[
         v = decode_escapes(inline or "")
         return v, "s", v != ""
     if t == "s":
-        v = shared[int(raw)] if raw not in (None, "") else ""
+        i = int(raw) if raw not in (None, "") else -1
+        v = shared[i] if 0 <= i < len(shared) else ""     # an index out of range is an empty cell
         return v, "s", v != ""
     if t == "str":
         v = decode_escapes(raw or "")
@@ -160,11 +162,13 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         counts: dict[int, int] = {}
         max_value_row = 0
         next_row = None          # next physical row (0-based) to emit
-        buf = []
+        buf, rows = [], None
         with z.open(target) as fh:
-            for ev, el in iterparse(fh, events=("end",)):
+            for ev, el in iterparse(fh, events=("start", "end")):
                 tag = el.tag
-                if tag == f"{NS_MAIN}dimension":
+                if ev == "start":
+                    rows = el if tag == f"{NS_MAIN}sheetData" else rows
+                elif tag == f"{NS_MAIN}dimension":
                     ref = el.get("ref", "A1")
                     a, _, b = ref.partition(":")
                     ma, mb = _REF.match(a), _REF.match(b or a)
@@ -176,10 +180,7 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
                     r = int(el.get("r")) - 1 if el.get("r") else (next_row if next_row is not None else row0)
                     if next_row is None:
                         next_row = row0
-                    while next_row < r:                      # S7: missing rows -> empty rows
-                        buf.append((next_row - row0 + 1, [], ""))
-                        next_row += 1
-                    cells, kinds = [], []
+                    cells, kinds, valued = [], [], False
                     auto_c = 0
                     for c in el:
                         if c.tag != tag_c:
@@ -212,10 +213,21 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
                         if counted:
                             counts[rel] = counts.get(rel, 0) + 1
                             max_value_row = max(max_value_row, r - row0 + 1)
-                    if r >= row0:
-                        buf.append((r - row0 + 1, cells, "".join(kinds)))
-                    next_row = r + 1
-                    el.clear()
+                            valued = True
+                    if valued:
+                        # Missing and empty rows are written once a row with a value follows
+                        # (a sheet's trailing empty rows are cut anyway, S6)
+                        while next_row < r:
+                            buf.append((next_row - row0 + 1, [], ""))
+                            next_row += 1
+                            if len(buf) >= BATCH_ROWS:
+                                yield _rows_frame(path, name, pos, buf)
+                                buf = []
+                        if r >= row0:
+                            buf.append((r - row0 + 1, cells, "".join(kinds)))
+                        next_row = r + 1
+                    if rows is not None:
+                        rows.clear()                         # cleared rows must not pile up under their parent
                     if len(buf) >= BATCH_ROWS:
                         yield _rows_frame(path, name, pos, buf)
                         buf = []
@@ -243,16 +255,30 @@ def _emitter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "max_value_row": [None], "col_counts": [None], "error": [f"{type(e).__name__}: {e}"]})
 
 
-def emit_workbooks(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """``paths``: one column ``path`` of workbook files. One file per task."""
-    src = _binary(spark, paths)
-    n = max(1, src.count())
-    return src.repartitionByRange(n, "path").mapInPandas(_emitter, EMIT_SCHEMA)
+# One workbook per task and per Arrow batch: files are read where they are, no bytes are shuffled.
+_ONE_FILE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.files.maxPartitionBytes": "1",
+             "spark.sql.files.openCostInBytes": "1"}
 
 
-def _binary(spark: SparkSession, paths: DataFrame) -> DataFrame:
+def emit_workbooks(spark: SparkSession, paths: DataFrame, stage: str | None = None, max_header_row: int = 1) -> DataFrame:
+    """The emitter's records of the files in ``paths`` (one column ``path``), written once as Parquet
+    (each workbook parsed once) and partitioned by ``_head``: sheet / error records and rows up to the
+    largest header row in 1, so header extraction and sheet listing read only that."""
+    stage = stage or work_dir(spark, "workbooks", fresh=True)
     files = [r["path"] for r in paths.select("path").distinct().collect()]   # file names only (metadata)
-    return spark.read.format("binaryFile").load(files).select("path", "content")
+    before = {k: spark.conf.get(k, None) for k in _ONE_FILE}
+    for k, v in _ONE_FILE.items():
+        spark.conf.set(k, v)
+    try:
+        src = spark.read.format("binaryFile").load(files).select("path", "content")
+        out = src.mapInPandas(_emitter, EMIT_SCHEMA).withColumn("_head", F.when(
+            (F.col("rec") != "row") | (F.col("row_no") <= F.lit(int(max_header_row))), F.lit(1)).otherwise(F.lit(0)))
+        schema = out.schema
+        out.write.partitionBy("_head").parquet(stage)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(schema).parquet(stage)
 
 
 def sheet_bounds(sheets: DataFrame) -> DataFrame:
@@ -300,7 +326,7 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
     previews / exports; the clean stage stages the emitter output instead)."""
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     raw, _, _ = shape_rows(emit_workbooks(spark, df))
-    return raw
+    return raw.drop("_head")
 
 
 def workbook_raw_rows(ws, wb_files: DataFrame, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -308,17 +334,5 @@ def workbook_raw_rows(ws, wb_files: DataFrame, max_header_row: int = 1) -> tuple
     shaped: (raw_rows without sheet_pos, sheets, rejected files). The stage is
     partitioned by ``_head`` (sheet / error records and rows up to the largest
     header row in 1), so header extraction and sheet listing read only that."""
-    spark = ws.spark
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, "10000")
-    spark.conf.set(key, "1")          # one workbook per Arrow batch into the emitter
-    try:
-        stage = ws.stage_dir("workbooks")
-        em = emit_workbooks(spark, wb_files)
-        em.withColumn("_head", F.when((F.col("rec") != "row") | (F.col("row_no") <= F.lit(int(max_header_row))),
-                                      F.lit(1)).otherwise(F.lit(0))) \
-          .write.partitionBy("_head").parquet(stage)
-    finally:
-        spark.conf.set(key, old)
-    raw, sheets, errors = shape_rows(spark.read.parquet(stage))
+    raw, sheets, errors = shape_rows(emit_workbooks(ws.spark, wb_files, ws.stage_dir("workbooks"), max_header_row))
     return raw.drop("sheet_pos"), sheets, errors
