@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.suite import ingest, relational, workbooks, workflow
+from ledgerloom.suite import exactness, ingest, relational, workbooks, workflow
 
-MODULES = (ingest, workflow, workbooks)
+MODULES = (ingest, workflow, workbooks, exactness)
 
 
 def queries():
@@ -12,8 +12,6 @@ def queries():
     for mod in MODULES:
         for name in mod.ORACLES:
             q[name] = getattr(mod, name)
-        for name in getattr(mod, "NO_ORACLE", ()):
-            q[name] = getattr(mod, name)
     q.update(relational.FUNCS)
     return q
 
