@@ -27,10 +27,6 @@ def js_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def strip_all_ws(c: Column) -> Column:
-    return F.translate(c, WS_CHARS, "")
-
-
 def only_number_chars(text: Column) -> Column:
     """True when ``text`` holds only digits, signs, '.', 'e' / 'E' -- with it a
     successful double cast means the decimal grammar (Java's parser would also
@@ -43,12 +39,3 @@ def parse_number(text: Column) -> Column:
     (the reference's numeric parse of an empty string)."""
     return (F.when(text == F.lit(""), F.lit(0.0))
              .when(only_number_chars(text), text.try_cast("double")))
-
-
-def number_text(d: Column) -> Column:
-    """DOUBLE -> the shortest text a reader expects: integral values below 1e15
-    without a fraction (``100`` not ``100.0``), others via Spark's cast."""
-    integral = (F.abs(d) < F.lit(1e15)) & (d == F.floor(d))
-    return F.when(d.isNull(), F.lit(None).cast("string")) \
-            .when(integral, d.cast("bigint").cast("string")) \
-            .otherwise(d.cast("string"))

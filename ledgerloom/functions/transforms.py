@@ -161,10 +161,6 @@ REGISTRY: dict[str, Callable[[Column, Column | None], Column]] = {
 }
 
 
-def apply_transform(name: str, value: Column, kind: Column | None = None) -> Column:
-    return REGISTRY.get(name, keep)(value, kind)
-
-
 # --- C7 / R5: column coercion into the declared column type -------------------
 
 COLUMN_TYPES = ("TEXT", "INTEGER", "REAL")
@@ -237,23 +233,6 @@ def staged_projection(df, specs: list[tuple[str, set[str], str, str, str | None]
     return df.select(*[F.col(c) for c in keep], *out), cents
 
 
-def transform_result(transforms: set[str], code: Column | None, value: Column,
-                     kind: Column | None) -> tuple[Column, bool]:
-    """One output column's transform result before typing, as one inline
-    expression (see :func:`staged_projection` for the clean stage's version)."""
-    ts = set(transforms) or {"none"}
-    if ts == {"to-cents"}:
-        return to_cents(value, kind), True
-    if len(ts) == 1:
-        return apply_transform(next(iter(ts)), value, kind), False
-    text = None
-    for t in sorted(ts):
-        e = (to_cents(value, kind).cast("string") if t == "to-cents"
-             else apply_transform(t, value, kind))
-        text = F.when(code == t, e) if text is None else text.when(code == t, e)
-    return text, False
-
-
 def numeric_text(result: Column) -> Column:
     """Text -> DOUBLE under the number grammar (NULL otherwise); one level of the
     typed projection so the parse is done once per value."""
@@ -278,9 +257,3 @@ def coerce_column(result: Column, is_cents: bool, col_type: str) -> Column:
     if col_type == "REAL":
         return coerce_real_text(result)
     return result
-
-
-def typed_output(transform_code: Column, value: Column, kind: Column | None, col_type: str) -> Column:
-    """Per-row transform by code (any of the four) and coercion to ``col_type``."""
-    r, cents = transform_result(set(TRANSFORMS), transform_code, value, kind)
-    return coerce_column(r, cents, col_type)

@@ -23,13 +23,6 @@ CSV_OPTIONS = {
 }
 
 
-def csv_field(c) -> F.Column:
-    """C9 as an expression (for previews / checks): NULL -> '', quote when needed."""
-    s = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    needs = s.rlike('[",\\n\\r]')
-    return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
-
-
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     out = df.coalesce(1) if single_file else df
     out.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.globs import glob_to_regex
-
 # Readable source extensions (case-insensitive) and the lock-file prefix.
 SOURCE_EXT_RE = "(?i)\\.(xlsx|xls|csv)$"
 LOCK_PREFIX = "~$"
@@ -87,7 +85,3 @@ def csv_sheets(files: DataFrame) -> DataFrame:
     return (files.filter(F.col("ext") == "csv")
                  .select(F.col("path").alias("source_file"), F.lit("csv").alias("sheet_name"),
                          F.lit(0).alias("sheet_pos")))
-
-
-def glob_regex_column(pattern: str):
-    return F.lit(glob_to_regex(pattern))

@@ -119,10 +119,6 @@ def lineitem_money_folder(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
-def money_text_expr(c) -> F.Column:
-    return c.cast("decimal(18,2)").cast("string")
-
-
 def dates_folder(spark: SparkSession, sf_dir: str) -> str:
     """orders -> one date column spelled five ways (slashes, Excel serial with and
     without a time fraction, period, dotted, free text / blank)."""
