@@ -1,20 +1,21 @@
 """MinHash near-duplicates by a chosen-path set-similarity join (after Christiani, Pagh, Sivertsen).
 
 1. ``sketch``: each whole text becomes the set of its hashed 5-word shingles, of which stay its
-   size, a 128-bit fingerprint cut to a 64-bit class id, and TOKENS minwise tokens. Texts with equal
-   sets are one class and are joined as one record.
-2. TREES independent trees branch the classes: a node picks BRANCHES of the minwise tokens, and a
-   record goes to one child per pick, named by the token's value. At a Jaccard similarity of 0.75 a
-   pair shares a path to any depth with probability over 0.88 per tree; six trees leave a miss
-   below 2e-6. Nodes with the same members are one node.
-3. Nodes of at most LIMIT records are compared exhaustively on their tokens. Of larger ones, the
-   node's first record and blocks of LIMIT others are compared; if that leaves at most LIMIT records
-   outside the largest component, these are compared with all others; if more, the node branches again. After MAX_LEVELS what is left is compared block by block,
-   so no node is dropped or cut.
-4. In a block, first a spanning forest of the likely pairs is confirmed on the full sets, then each
-   likely pair between different components. Hence a group of copies costs links in proportion to
-   its size, and every pair is either confirmed, refuted, or inside one component already. A pair is
-   likely at an estimate 4.5 standard deviations below the threshold (a miss below 4e-6).
+   size, a 128-bit fingerprint cut to a 64-bit class id, TOKENS minwise tokens for the paths and a one-permutation
+   sketch of BINS bytes for comparisons. Texts with equal sets are one class and are joined as one record.
+2. TREES independent trees branch the classes: a node picks two of the minwise tokens (below the root one, and a second
+   with probability 1/3), and a record goes to one child per pick, named by the token's value. At a
+   Jaccard similarity of 0.75 a pair shares a path to the first level with probability 0.94 per tree and to the third with 0.77;
+   eight trees leave a miss below 3e-10 and 1e-5. Nodes with the same members are one node.
+3. First a spanning forest of the likely pairs of each node is confirmed on the full sets: of a node of at most LIMIT
+   records at once, of a larger one in blocks that each hold the node's first record too. Nodes with
+   records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components:
+   up to EXHAUSTIVE records block against block, beyond that the few outside the largest component (at most LIMIT) against all;
+   if there are more of them, the node branches again. After MAX_LEVELS what is left is compared block against block,
+   so no node is dropped or cut. Hence a group of copies costs links in proportion to
+   its size, and every pair is either confirmed, refuted, or inside one component already.
+4. A pair is likely if its common bins reach the threshold less 4.5 standard deviations (sampling without
+   replacement) and one percent; a miss has a probability below 4e-6.
 
 Blocks are bounded; a hot node is many blocks and joins in which AQE splits the key. Equality of
 shingles is equality of 64-bit hashes.
@@ -26,8 +27,6 @@ rows have one component, and each row of the smallest id counts as kept; no rows
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,10 +36,9 @@ from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, WORD, broadcast_up_to, staged
 from .components import components
-from .shingles import WIDTH, Signer, mix, shingles, similar
+from .shingles import WIDTH, Signer, binned, mix, shingles, similar
 
-PERCENT, TOKENS, TREES, BRANCHES, LIMIT, MAX_LEVELS = 75, 128, 6, 2, 64, 8
-LIKELY = PERCENT / 100 - 4.5 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / TOKENS)
+PERCENT, TOKENS, BINS, TREES, BRANCHES, LIMIT, EXHAUSTIVE, MAX_LEVELS = 75, 64, 512, 8, 2, 128, 8192, 8
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -52,7 +50,7 @@ def _sketch(batches):
     for b in batches:
         sets = [shingles(t) for t in b["text"]]
         yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"].astype("Int64"), "n": [len(s) for s in sets],
-                            "class_id": [_class_id(s) for s in sets], "sig": [sign(s).tobytes() for s in sets]})
+                            "class_id": [_class_id(s) for s in sets], "path": [sign(s).tobytes() for s in sets], "sig": [binned(s, BINS).tobytes() for s in sets]})
 
 
 def _full_sets(batches):
@@ -63,33 +61,34 @@ def _full_sets(batches):
         yield pd.DataFrame({"class_id": b["class_id"], "hashes": [s.tobytes() for s in sets]})[right]
 
 
-def _signatures(column) -> np.ndarray:
+def _paths(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, TOKENS)
 
 
-def _children(nodes: np.ndarray, sigs: np.ndarray, branch: int) -> np.ndarray:
+def _children(nodes: np.ndarray, paths: np.ndarray, branch: int) -> np.ndarray:
     """The child of each record's node along one picked token."""
     pick = mix(nodes + np.uint64(0x9E3779B97F4A7C15 * (branch + 1) % 2**64))
-    token = sigs[np.arange(len(sigs)), (pick % np.uint64(TOKENS)).astype(np.int64)]
+    token = paths[np.arange(len(paths)), (pick % np.uint64(TOKENS)).astype(np.int64)]
     return mix(pick ^ mix(token.astype(np.uint64) + np.uint64(1)))
 
 
 def _roots(batches):
     for b in batches:
         if len(b):
-            sigs, ids = _signatures(b["sig"]), b["class_id"].to_numpy()
+            paths, ids = _paths(b["path"]), b["class_id"].to_numpy()
             for tree in range(TREES):
                 node = np.full(len(ids), mix(np.array([tree + 1], dtype=np.uint64))[0])
                 for k in range(BRANCHES):
-                    yield pd.DataFrame({"node": _children(node, sigs, k).view(np.int64), "id": ids})
+                    yield pd.DataFrame({"node": _children(node, paths, k).view(np.int64), "id": ids})
 
 
 def _branch(batches):
     for b in batches:
         if len(b):
-            sigs, ids, node = _signatures(b["sig"]), b["id"].to_numpy(), b["node"].to_numpy().view(np.uint64)
+            paths, ids, node = _paths(b["path"]), b["id"].to_numpy(), b["node"].to_numpy().view(np.uint64)
             for k in range(BRANCHES):
-                yield pd.DataFrame({"node": _children(node, sigs, k).view(np.int64), "id": ids})
+                goes = np.full(len(ids), True) if k == 0 else mix(node ^ np.uint64(k)) % np.uint64(3) == 0
+                yield pd.DataFrame({"node": _children(node, paths, k).view(np.int64)[goes], "id": ids[goes]})
 
 
 def blocks(batches, key: str = "key"):
@@ -107,13 +106,26 @@ def blocks(batches, key: str = "key"):
         yield held
 
 
+def _estimates(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each of the sketches x with each of y, -1 where the pair is not likely."""
+    ex, ey = (x != 0).astype(np.float32), (y != 0).astype(np.float32)
+    met = ex.sum(1)[:, None] + ey.sum(1)[None] - ex @ ey.T  # bins that are not empty in both
+    common = np.stack([np.count_nonzero(y == s, axis=1) for s in x]) - (BINS - met)
+    share = PERCENT / 100
+    short, long = np.minimum(nx[:, None], ny[None]), np.maximum(nx[:, None], ny[None])
+    union = (short + long) / (1 + share)
+    spread = np.sqrt(share * (1 - share) * met * np.clip(1 - met / np.maximum(union, 1), 0, 1))
+    likely = (common >= (share - 0.01) * met - 4.5 * spread - 1) & (100 * short >= PERCENT * long)
+    return np.where(likely, common / np.maximum(met, 1), -1.0)
+
+
 def _forest(est: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a maximal spanning forest over the pairs with an estimate of LIKELY or more."""
+    """Edges of a maximal spanning forest over the likely pairs."""
     n, edges = len(est), []
     best, parent, out = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for _ in range(n):
         at = int(np.argmax(np.where(out, best, -2.0)))
-        if best[at] >= LIKELY:
+        if best[at] >= 0:
             edges.append((at, int(parent[at])))
         out[at] = False
         nearer = out & (est[at] > best)
@@ -125,24 +137,27 @@ def _pairs(batches, forest: bool):
     """Likely pairs of each block: those of a spanning forest, or all that join different components."""
     us, vs = [], []
     for g in blocks(batches):
-        g = g.drop_duplicates("id")
+        g = g.drop_duplicates(["id", "side"])
         if len(g) < 2:
             continue
-        ids, comp, side = g["id"].to_numpy(), g["comp"].to_numpy(), g["side"].to_numpy()
-        if not forest and (comp == comp[0]).all():
-            continue
-        sigs = _signatures(g["sig"])
-        est = np.stack([(sigs == s).mean(axis=1) for s in sigs])
+        ids, comp, side, size = (g[c].to_numpy() for c in ("id", "comp", "side", "size"))
+        sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
         if forest:
-            found = _forest(est)
+            rows, found = np.arange(len(ids)), _forest(_estimates(sigs, size, sigs, size))
         else:
-            ok = np.triu(est >= LIKELY, 1) & (comp[:, None] != comp[None])
+            kinds, times = np.unique(comp, return_counts=True)
+            # pairs inside the largest component need no look: one of two is outside it
+            rows = np.flatnonzero(comp != kinds[np.argmax(times)])
+            if not len(rows):
+                continue
+            ok = (_estimates(sigs[rows], size[rows], sigs, size) >= 0) & (comp[rows][:, None] != comp[None])
             if side.any():  # two blocks of one node: pairs inside a block belong to that block
-                ok &= (side[:, None] != side[None]) | (side[:, None] == 0)
+                ok &= side[rows][:, None] != side[None]
             found = np.argwhere(ok)
         for a, b in found:
-            us.append(max(ids[a], ids[b]))
-            vs.append(min(ids[a], ids[b]))
+            x, y = ids[rows[a]], ids[b]
+            us.append(max(x, y))
+            vs.append(min(x, y))
         if len(us) > 50_000:
             yield pd.DataFrame({"u": us, "v": vs})
             us, vs = [], []
@@ -197,11 +212,11 @@ class _Join:
         return (members.join(self.comp.withColumnRenamed("node", "id"), "id", "left")
                 .select(*members.columns, F.coalesce("component", "id").alias("comp")))
 
-    def signed(self, members: DataFrame) -> DataFrame:
-        return members.join(self.classes.select(F.col("class_id").alias("id"), "sig"), "id")
+    def signed(self, members: DataFrame, *columns: str) -> DataFrame:
+        return members.join(self.classes.select(F.col("class_id").alias("id"), *columns), "id")
 
     def pairs(self, keyed: DataFrame, forest: bool) -> DataFrame:
-        rows = self.signed(self.labelled(keyed)).repartition("key").sortWithinPartitions("key")
+        rows = self.signed(self.labelled(keyed), "size", "sig").repartition("key").sortWithinPartitions("key")
         return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long")
 
     def unresolved(self, members: DataFrame) -> DataFrame:
@@ -230,8 +245,8 @@ def _blocked(members: DataFrame) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each two blocks of a node together: the exhaustive comparison of a large node."""
-    k = F.ceil(F.col("n") / F.lit(LIMIT)).cast("long")
+    """Each two blocks of a node together: the exhaustive comparison of a node (a small one is one block)."""
+    k = F.ceil(F.col("n") / F.lit(4 * LIMIT)).cast("long")
     m = members.select("node", "id", F.pmod(F.xxhash64("id", "node"), k).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("other"))
     return m.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id",
                     F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
@@ -255,30 +270,31 @@ def _outsiders(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that link with another one."""
     join = _Join(docs, classes)
-    rows = classes.select("class_id", "sig").mapInPandas(_roots, "node long, id long")
+    rows = classes.select("class_id", "path").mapInPandas(_roots, "node long, id long")
     for level in range(MAX_LEVELS + 1):
         members = staged(_nodes(staged(rows, "rows")), "members")
         if members.isEmpty():
             break
         join.confirm(join.pairs(_blocked(members), True))
-        small, large = members.filter(F.col("n") <= LIMIT), members.filter(F.col("n") > LIMIT)
-        near, rest = _outsiders(join, join.unresolved(large))
-        join.confirm(join.pairs(_blocked(small).unionByName(near), False))
+        open_ = staged(join.unresolved(members), "open")
+        large = open_.filter(F.col("n") > EXHAUSTIVE)
+        near, rest = _outsiders(join, large)
+        join.confirm(join.pairs(_block_pairs(open_.filter(F.col("n") <= EXHAUSTIVE)).unionByName(near), False))
         rest = staged(rest, "large")
         if rest.isEmpty():
             break
         if level == MAX_LEVELS:
             join.confirm(join.pairs(_block_pairs(rest), False))
             break
-        rows = join.signed(rest.select("node", "id")).mapInPandas(_branch, "node long, id long")
+        rows = join.signed(rest.select("node", "id"), "path").mapInPandas(_branch, "node long, id long")
     return join.comp
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, text_hash, n_shingles, class_id (equal sets), component_id, kept."""
     base = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").cast("binary").alias("text"))
-    rows = staged(base.mapInPandas(_sketch, "id long, text_hash long, n long, class_id long, sig binary"), "sketches")
-    classes = staged(rows.filter("n > 0 AND id IS NOT NULL").groupBy("class_id").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
+    rows = staged(base.mapInPandas(_sketch, "id long, text_hash long, n long, class_id long, path binary, sig binary"), "sketches")
+    classes = staged(rows.filter("n > 0 AND id IS NOT NULL").groupBy("class_id").agg(F.min("id").alias("id"), F.max("n").alias("size"), F.first("path").alias("path"), F.first("sig").alias("sig")), "classes")
     comp = _links(base.filter("id IS NOT NULL"), classes)
     named = classes.select("class_id", "id")
     if comp is not None:

@@ -62,6 +62,16 @@ class Signer:
         return low.astype(np.uint32)
 
 
+def binned(hashes: np.ndarray, bins: int = 512) -> np.ndarray:
+    """One-permutation sketch of a set: per bin a byte (1 to 255) of the least hash that falls into it, 0 for an empty bin."""
+    out = np.zeros(bins, dtype=np.uint8)
+    if len(hashes):
+        h = np.sort(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        at, first = np.unique(h % np.uint64(bins), return_index=True)  # the first of a sorted run is its least
+        out[at.astype(np.int64)] = (mix(h[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
 def similar(x: bytes, y: bytes, percent: int) -> bool:
     """100 * intersection >= percent * union of two sets of ``shingles``."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
