@@ -42,9 +42,11 @@ def test_odd_rows(spark):
     assert found(spark, odd_rows()) == brute(odd_rows())
 
 
-def test_group_larger_than_a_node(spark, monkeypatch):
+@pytest.mark.parametrize("exhaustive", [16, 1000])
+def test_group_larger_than_a_node(spark, monkeypatch, exhaustive):
     """Near copies in a group far over the node limit, and texts that resemble it too little."""
     monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    monkeypatch.setattr(chosen_path, "EXHAUSTIVE", exhaustive)
     rng = random.Random(1)
     base = prose(rng, 150).split()
 
