@@ -23,6 +23,8 @@ no rows give no rows.
 from __future__ import annotations
 
 import base64
+import struct
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import crc32_id, partitions, staged
 
 WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 24, 16, 64, 2048
-CHUNK_BYTES, SHARE, ROUNDS, BATCH, LEARN = 12 << 20, 24, 2, 32, 0.01
-CACHE_WORDS = 300_000
+CHUNK_BYTES, SHARE, ROUNDS, BATCH, LEARN = 12 << 20, 32, 2, 32, 0.01
+CACHE_WORDS = 500_000
 
 
 class _Subwords(dict):
@@ -51,7 +53,7 @@ class _Subwords(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        b = self[word] = np.array(self.encode(" " + word.decode("utf-8", "replace")), dtype="<i4").tobytes()
+        b = self[word] = struct.pack(f"<{len(ids := self.encode(' ' + word.decode('utf-8', 'replace')))}i", *ids)
         return b
 
 
@@ -121,6 +123,36 @@ def _forward(w: dict, ids: np.ndarray, pad: np.ndarray) -> tuple:
     return x, q, k, v, s, o, h, z
 
 
+def scoring_tables(w: dict) -> dict[str, np.ndarray]:
+    """The weights with all projections of the embeddings taken once per input number."""
+    e = w["e"]
+    return {"e": e, "q": e @ w["q"] * np.float32(WIDTH ** -0.5), "k": e @ w["k"], "v": e @ w["v"] @ w["o"],
+            "bias": _CAUSAL + w["rel"][np.maximum(_BACK, 0)], "u": w["u"], "b": w["b"]}
+
+
+def _target_log(t: dict, ids: np.ndarray, pad: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of the target classes (n * STRIDE) at the last STRIDE places of each window."""
+    own = ids[:, WINDOW - STRIDE:]
+    s = t["q"][own] @ t["k"][ids].transpose(0, 2, 1)
+    s += t["bias"]
+    if pad.any():
+        s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None]
+    if s.max() > 60:
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    h = s @ t["v"][ids]
+    h /= s.sum(axis=2, keepdims=True)
+    h += t["e"][own]
+    np.tanh(h, out=h)
+    z = h.reshape(-1, WIDTH) @ t["u"]
+    z += t["b"]
+    if z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    got = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    return got - np.log(z.sum(axis=1))
+
+
 def _gradients(w: dict, ids: np.ndarray, pad: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict:
     """Gradients of the mean log loss over the ``real`` places (n, STRIDE)."""
     x, q, k, v, a, o, h, z = _forward(w, ids, pad)
@@ -159,7 +191,7 @@ def windows(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def log_probability(w: dict, coding: Coding, texts: list[np.ndarray]) -> np.ndarray:
-    """The natural log probability of each sequence (its ids between two ends)."""
+    """The natural log probability of each sequence (its ids between two ends); ``w`` from ``scoring_tables``."""
     sizes = np.array([len(t) - 1 for t in texts])
     ids = np.concatenate([t[:-1] for t in texts])
     nxt = np.concatenate([t[1:] for t in texts])
@@ -167,12 +199,11 @@ def log_probability(w: dict, coding: Coding, texts: list[np.ndarray]) -> np.ndar
     starts = np.cumsum(sizes) - sizes
     at, pad, owner = windows(starts, sizes)
     out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), share, len(sizes))
-    for k in range(0, len(at), 512):
-        a, p, who = at[k:k + 512], pad[k:k + 512], owner[k:k + 512]
+    for k in range(0, len(at), 160):  # so many windows stay in cache
+        a, p, who = at[k:k + 160], pad[k:k + 160], owner[k:k + 160]
         a = np.where(p, 0, a) if p.any() else a
-        z = _forward(w, inp[a], p)[-1]
         places = a[:, WINDOW - STRIDE:]
-        got = z[np.arange(len(z)), cls[places].ravel()].reshape(places.shape)
+        got = _target_log(w, inp[a], p, cls[places].ravel()).reshape(places.shape)
         if p.any():
             got = np.where(p[:, WINDOW - STRIDE:], 0, got)
         out += np.bincount(who, got.sum(axis=1, dtype=np.float64), len(sizes))
@@ -246,22 +277,18 @@ def scored(docs: DataFrame, path: str, pattern: str, training, key: str = "doc_i
 
     def chunk_words(batches):
         """Distinct words of each run of rows of one chunk, with their training counts; rows are sorted by chunk."""
-        at, held = None, {}
+        at, held, seen = None, Counter(), set()
         def out():
-            return pd.DataFrame({"chunk": np.full(len(held), at), "word": list(held), "n": list(held.values())})
+            every = [*held, *(seen - held.keys())]
+            return pd.DataFrame({"chunk": np.full(len(every), at), "word": every, "n": [*held.values(), *[0] * (len(every) - len(held))]})
         for b in batches:
             for c, h, t in zip(b["chunk"], b["held_out"], b["text"], strict=True):
-                if c != at or len(held) > 1_000_000:
-                    if held:
+                if c != at or len(held) + len(seen) > 1_500_000:  # a word may then come in two rows, which are added up
+                    if held or seen:
                         yield out()
-                    at, held = c, {}
-                if h:
-                    for x in words(t):
-                        held.setdefault(x, 0)
-                else:
-                    for x in words(t):
-                        held[x] = held.get(x, 0) + 1
-        if held:
+                    at, held, seen = c, Counter(), set()
+                (seen if h else held).update(words(t))
+        if held or seen:
             yield out()
 
     dealt = rows.repartition("chunk").sortWithinPartitions("chunk")
@@ -288,7 +315,7 @@ def scored(docs: DataFrame, path: str, pattern: str, training, key: str = "doc_i
     table[size_of] = n_train
     coding = Coding(table)
     sample = rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(SHARE)) == 0))
-    w = fit(sample, coding, path, pattern)
+    w = scoring_tables(fit(sample, coding, path, pattern))
     low = float(np.log10(total + distinct + 1))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -306,7 +333,7 @@ def scored(docs: DataFrame, path: str, pattern: str, training, key: str = "doc_i
         return pd.DataFrame({"id": left["id"].astype("Int64"), "held_out": left["held_out"], "n_tokens": n_tokens, "n_known": n_known,
                              "train_tokens": total, "base_score": base, "score": np.concatenate(model) if model else []})
 
-    mine = met.select("chunk", "word").distinct().join(counts, "word")
+    mine = met.select("chunk", "word").join(counts, "word")
     return rows.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInPandas(
         score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
