@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, broadcast_up_to, staged
 
-PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 1 << 18, 2
+PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 1 << 16, 2
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -103,9 +103,11 @@ def _lists(tokens: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.transform("toks", lambda t: F.get(rarity, t.bitwiseAND(F.lit(CELLS - 1))) * F.lit(2**32) + t.cast("long").bitwiseAND(F.lit(2**32 - 1))))
     keep = n - F.ceil(n * PERCENT / 100).cast("int") + 1
     postings = tokens.select("class", n.alias("n"), F.posexplode(F.slice(ordered, F.lit(1), keep)).alias("pos", "tok"))
-    # one shuffle by token serves the count, the join and the removal of repeated rows
+    # one shuffle by token serves the count, the join and the removal of repeated rows; the count reads
+    # n and pos as well, for only an exchange of the same columns is used again
     dealt = postings.repartition("tok")
-    shared = dealt.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("tok")
+    shared = (dealt.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("n").alias("n"), F.min("pos").alias("p"))
+              .filter("a <> b AND n > 0 AND p >= 0").select("tok"))
     return dealt.join(shared.hint("shuffle_hash"), "tok").distinct()
 
 
