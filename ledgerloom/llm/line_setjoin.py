@@ -105,7 +105,8 @@ def _lists(tokens: DataFrame) -> DataFrame:
     postings = tokens.select("class", n.alias("n"), F.posexplode(F.slice(ordered, F.lit(1), keep)).alias("pos", "tok"))
     # one shuffle by token serves the count, the join and the removal of repeated rows; the count reads
     # n and pos as well, for only an exchange of the same columns is used again
-    dealt = postings.repartition("tok")
+    # (both sides then also need the same filters, which the joins would add to one of them only)
+    dealt = postings.filter("class IS NOT NULL AND tok IS NOT NULL").repartition("tok")
     shared = (dealt.groupBy("tok").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.min("n").alias("n"), F.min("pos").alias("p"))
               .filter("a <> b AND n > 0 AND p >= 0").select("tok"))
     return dealt.join(shared.hint("shuffle_hash"), "tok").distinct()
