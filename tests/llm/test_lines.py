@@ -1,6 +1,7 @@
 import random
 
 from helpers import documents, odd_rows, prose
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_setjoin
 from ledgerloom.llm.common import prepare
@@ -68,3 +69,15 @@ def test_odd_rows(spark):
             (8, "a b", 0), (9, "", 1), (10, text[10], 0), (11, text[11], 0)]
     assert got == sorted(want, key=repr)
     assert line_setjoin.query(documents(spark, [])).collect() == []
+
+
+def test_lines_that_agree_in_32_bits(spark):
+    """Different short lines and different shingles whose Murmur3 hashes are equal are different lines."""
+    words = prepare(spark).range(400_000).select(F.concat(F.lit("w"), "id").alias("w"))
+    rows = []
+    for first, hashed in (("", F.hash(F.array("w"))), ("a b c d ", F.hash(F.struct(*(F.lit(x) for x in "abcd"), "w")))):
+        pairs = words.groupBy(hashed.alias("h")).agg(F.collect_list("w").alias("w")).filter(F.size("w") > 1).collect()
+        assert pairs
+        rows += [(len(rows) + k, first + w) for k, w in enumerate(w for p in pairs for w in p.w)]
+    got = line_setjoin.dedup(documents(spark, rows)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in got] == rows
