@@ -9,8 +9,8 @@ The model reads subword ids (public byte-level BPE ranks, each word encoded with
 the class of the next id; an id's share of its class comes from the subword counts of the whole training corpus, CLASSES
 classes of about equal mass in the order of frequency. One attention layer: embeddings of the INPUTS most
 frequent ids (the others by class), causal attention with a bias by distance, a residual tanh, a softmax over the classes. Its
-weights are fitted on the whole texts of one training document in SHARE, chosen by hash, so their number
-grows with the corpus: trainers fit the weights on their own rows, and the weights are averaged, ROUNDS times.
+weights are fitted on the whole texts of all training documents: trainers fit the weights on their own rows,
+and the weights are averaged, ROUNDS times.
 
 Scoring cuts each text into overlapping windows of WINDOW ids, the last STRIDE of which are
 scored, so that every id, and the end, is scored once with WINDOW - STRIDE to WINDOW - 1 ids before it.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import crc32_id, partitions, staged
 
 WINDOW, STRIDE, WIDTH, CLASSES, INPUTS = 32, 24, 16, 64, 2048
-CHUNK_BYTES, SHARE, ROUNDS, BATCH, LEARN = 12 << 20, 32, 2, 32, 0.01
+CHUNK_BYTES, ROUNDS, BATCH, LEARN = 12 << 20, 2, 32, 0.01
 CACHE_WORDS = 500_000
 
 
@@ -175,7 +175,9 @@ def _gradients(w: dict, ids: np.ndarray, pad: np.ndarray, target: np.ndarray, re
     dx = dk @ w["k"].T + dv @ w["v"].T
     dx[:, WINDOW - STRIDE:] += dp + dq @ w["q"].T
     g["e"] = np.zeros_like(w["e"])
-    np.add.at(g["e"], ids.ravel(), dx.reshape(-1, WIDTH) * ~pad.ravel()[:, None])
+    dx *= ~pad[:, :, None]
+    places = ids.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["e"] = np.bincount(places.ravel(), dx.ravel(), w["e"].size).reshape(w["e"].shape).astype(w["e"].dtype)
     return g
 
 
@@ -248,7 +250,7 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
 def fit(texts: DataFrame, coding: Coding, path: str, pattern: str) -> dict:
     """Weights fitted on the column ``text`` (binary) of ``texts``: trainers by partition, averaged by weight number."""
     w = start_weights(coding.prior)
-    texts = staged(texts.select("text").repartition(max(1, partitions(texts.sparkSession) // 2)), "training")
+    texts = texts.select("text").coalesce(max(1, partitions(texts.sparkSession) // 2))  # read again in each round, neither shuffled nor staged
     for r in range(ROUNDS):
         def trainer(batches, w=w, r=r):
             enc = subwords(path, pattern)
@@ -314,8 +316,7 @@ def scored(docs: DataFrame, path: str, pattern: str, training, key: str = "doc_i
         table[i] = n
     table[size_of] = n_train
     coding = Coding(table)
-    sample = rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(3), "id", "text"), F.lit(SHARE)) == 0))
-    w = scoring_tables(fit(sample, coding, path, pattern))
+    w = scoring_tables(fit(rows.filter(~F.col("held_out")), coding, path, pattern))
     low = float(np.log10(total + distinct + 1))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

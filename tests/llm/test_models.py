@@ -160,6 +160,21 @@ def test_scores(spark):
     assert attention_lm.query(documents(spark, [])).collect() == []
 
 
+def test_weights_are_fitted_on_all_training_rows(spark, monkeypatch):
+    rows = [(k, f"text number {k} of a few") for k in range(20)] + [(None, "without an id"), (3, "text number 3 of a few")]
+    training = sorted(t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2)
+    seen, fit = [], attention_lm.fit
+
+    def spied(texts, coding, *rest):
+        seen.extend(r.text.decode() for r in texts.collect())
+        w = fit(texts, coding, *rest)
+        assert any((w[k] != x).any() for k, x in attention_lm.start_weights(coding.prior).items())
+        return w
+    monkeypatch.setattr(attention_lm, "fit", spied)
+    assert len(attention_lm.query(documents(prepare(spark), rows)).collect()) == len(rows)
+    assert sorted(seen) == training
+
+
 def _labelled(rng, n):
     rows, labels = [], []
     for k in range(n):
