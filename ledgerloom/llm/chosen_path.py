@@ -3,10 +3,11 @@
 1. ``sketch``: each whole text becomes the set of its hashed 5-word shingles, of which stay its
    size, a 128-bit fingerprint cut to a 64-bit class id, TOKENS minwise tokens for the paths and a one-permutation
    sketch of BINS bytes for comparisons. Texts with equal sets are one class and are joined as one record.
-2. TREES independent trees branch the classes: a node picks two of the minwise tokens (below the root one, and a second
-   with probability 1/3), and a record goes to one child per pick, named by the token's value. At a
-   Jaccard similarity of 0.75 a pair shares a path to the first level with probability 0.94 per tree and to the third with 0.77;
-   eight trees leave a miss below 3e-10 and 1e-5. Nodes with the same members are one node.
+2. TREES trees branch the classes: a node picks two of the minwise tokens, and a record goes to one child per pick, named by
+   the token's value. Nodes with the same members are one node; it picks two for each node that it stands for (up to TREES),
+   as these would have. At a Jaccard similarity of 0.75 a pair then shares a path through all trees' levels but for a miss of
+   2e-9 at the first, 5e-7 at the fourth, 1.5e-6 at the last (MAX_LEVELS + 1 picks) and 2e-6 at any depth, and of 3e-8 at 0.8
+   (expectation over the binomial share of the 128 tokens that agree, which all trees use).
 3. First a spanning forest of the likely pairs of each node is confirmed on the full sets: of a node of at most LIMIT
    records at once, of a larger one in blocks that each hold the node's first record too. Nodes with
    records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components:
@@ -38,7 +39,7 @@ from .common import LOWER, UPPER, WORD, broadcast_up_to, staged
 from .components import components
 from .shingles import WIDTH, Signer, binned, mix, shingles, similar
 
-PERCENT, TOKENS, BINS, TREES, BRANCHES, LIMIT, EXHAUSTIVE, MAX_LEVELS = 75, 64, 512, 8, 2, 128, 8192, 8
+PERCENT, TOKENS, BINS, TREES, BRANCHES, LIMIT, EXHAUSTIVE, MAX_LEVELS = 75, 128, 512, 8, 2, 128, 8192, 8
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -86,9 +87,10 @@ def _branch(batches):
     for b in batches:
         if len(b):
             paths, ids, node = _paths(b["path"]), b["id"].to_numpy(), b["node"].to_numpy().view(np.uint64)
-            for k in range(BRANCHES):
-                goes = np.full(len(ids), True) if k == 0 else mix(node ^ np.uint64(k)) % np.uint64(3) == 0
-                yield pd.DataFrame({"node": _children(node, paths, k).view(np.int64)[goes], "id": ids[goes]})
+            picks = BRANCHES * b["m"].to_numpy()
+            for k in range(int(picks.max())):
+                goes = picks > k
+                yield pd.DataFrame({"node": _children(node[goes], paths[goes], k).view(np.int64), "id": ids[goes]})
 
 
 def blocks(batches, key: str = "key"):
@@ -226,9 +228,10 @@ class _Join:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, id, n) of the nodes with two members or more, one node for each set of members."""
+    """(node, id, n, m) of the nodes with two members or more, one node for each set of members, which stands for m nodes (TREES at most)."""
     nodes = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-             .filter("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"))
+             .filter("n > 1").groupBy("n", "x", "y").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
+             .select("node", "n", F.least("m", F.lit(TREES)).alias("m")))
     return rows.join(nodes, "node")
 
 
@@ -259,7 +262,7 @@ def _outsiders(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
     per = lab.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
     top = per.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).select("node", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.m")).alias("out"))
     lab = staged(lab.join(top, "node"), "labelled")
-    near, rest = lab.filter(F.col("out") <= LIMIT), lab.filter(F.col("out") > LIMIT).select("node", "id", "n")
+    near, rest = lab.filter(F.col("out") <= LIMIT), lab.filter(F.col("out") > LIMIT).select("node", "id", "n", "m")
     k = F.ceil(F.col("n") / F.lit(LIMIT)).cast("long")
     key = lambda block: F.xxhash64(F.lit(2), "node", block).alias("key")
     dealt = near.filter("comp = top").select(key(F.pmod(F.xxhash64("id", "node"), k)), "id")
@@ -286,7 +289,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         if level == MAX_LEVELS:
             join.confirm(join.pairs(_block_pairs(rest), False))
             break
-        rows = join.signed(rest.select("node", "id"), "path").mapInPandas(_branch, "node long, id long")
+        rows = join.signed(rest.select("node", "id", "m"), "path").mapInPandas(_branch, "node long, id long")
     return join.comp
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, odd_rows, prose
 
@@ -59,6 +61,30 @@ def test_group_larger_than_a_node(spark, monkeypatch, exhaustive):
     assert found(spark, rows) == brute(rows)
 
 
+def test_shared_paths_at_every_level():
+    """Of 400 pairs at a similarity of 0.75, none may lose its last common node, down to the last level."""
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 2**32, (400, chosen_path.TOKENS), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < 0.75, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+    paths = [x.tobytes() for x in np.concatenate([one, two])]
+    rows = pd.concat(chosen_path._roots([pd.DataFrame({"class_id": np.arange(800), "path": paths})]))
+    for level in range(chosen_path.MAX_LEVELS + 1):
+        if level:
+            rows = pd.concat(chosen_path._branch([rows.assign(m=1, path=[paths[i] for i in rows["id"]])]))
+        rows = rows.drop_duplicates().assign(pair=rows["id"] % 400)
+        rows = rows[rows.groupby(["node", "pair"])["id"].transform("size") == 2]
+        assert rows["pair"].nunique() == 400, level
+
+
+def test_merged_nodes_keep_their_picks(spark):
+    rows = prepare(spark).createDataFrame([(n, i) for n in range(3) for i in (1, 2)] + [(9, i) for i in (1, 2, 3)] + [(10, 1)], "node long, id long")
+    nodes = sorted(map(tuple, chosen_path._nodes(rows).collect()))
+    assert {(n, m) for *_, n, m in nodes} == {(2, 3), (3, 1)} and len(nodes) == 5
+    path = np.arange(chosen_path.TOKENS, dtype=np.uint32).tobytes()
+    out = pd.concat(chosen_path._branch([pd.DataFrame({"node": [0, 9], "id": [1, 3], "m": [3, 1], "path": [path, path]})]))
+    assert out.groupby("id")["node"].nunique().to_dict() == {1: 6, 3: 2}
+
+
 def test_no_rows_and_one_of_each(spark):
     assert found(spark, []) == []
     rows = odd_rows()
