@@ -36,12 +36,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
+    return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet below ``spark.checkpoint.dir`` and read back: later plans
     start from these files, which every executor can read, whatever executor is lost."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
-    path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

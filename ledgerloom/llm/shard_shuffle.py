@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import broadcast_up_to, shared_path, staged
 
 BUCKET_BYTES, ROW_BYTES = 16 << 20, 64
 
@@ -59,8 +59,20 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Every document with the sizes and checksums of its text, the law kept, its shard and its slot."""
+    """Every document with the sizes and checksums of its text, the law kept, its shard and its slot: whole shards
+    are written to the shared folder, and all but the law is read from their files."""
+    spark = docs.sparkSession
+    size = (F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + 8).cast("long")
+    path = shared_path(spark, "shards")
+    write_shards(shard(docs.select("doc_id", "text", size.alias("size")), ["doc_id", "text", "size"], size="size"), path)
+    # a row's slot is its place in its file after the rows of the shard's earlier files
+    rows = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, grown_shard int, shard int").parquet(path)
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
     t = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
-    out = shard(rows, ["doc_id", "size", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard")
+    rows = rows.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), "shard", "grown_shard",
+                       part.alias("part"), F.col("_metadata.row_index").alias("at"))
+    w = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # one row per file
+    files = staged(files.select("shard", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start")), "files")
+    out = rows.join(broadcast_up_to(files, 1_000_000), ["shard", "part"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard")

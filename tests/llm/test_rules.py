@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 from helpers import documents, odd_rows
 
@@ -116,3 +117,16 @@ def test_packing(spark, monkeypatch):
         room = max(length_buckets.BUDGET // max(length, 1), 1)
         assert sorted(b * room + s for b, s in v) == list(range(len(v)))
     assert length_buckets.query(documents(spark, [])).collect() == []
+
+
+def test_shards_are_written_whole(spark):
+    """The query's figures are those of shard files that hold every text, in slot order."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "llm"
+    before = set(root.glob("shards-*"))
+    rows = odd_rows() + [(100 + k, "long text " * (k % 7) * 200) for k in range(300)]
+    out = shard_shuffle.query(documents(prepare(spark), rows)).collect()
+    (folder,) = set(root.glob("shards-*")) - before
+    written = spark.read.parquet(str(folder)).select("doc_id", "text", "shard", "slot").collect()
+    assert sorted(((r.doc_id, r.text) for r in written), key=repr) == sorted(rows, key=repr)
+    want = sorted((r.shard, r.slot, repr(r.doc_id), len((r.text or "").encode()) + 8) for r in written)
+    assert sorted((r.shard, r.slot, repr(r.doc_id), r.size) for r in out) == want
