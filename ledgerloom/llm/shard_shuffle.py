@@ -29,10 +29,11 @@ def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
 
 
 def shard(docs: DataFrame, carry: list[str], n_shards: int = 24, seed: int = 17, key: str = "doc_id",
-          size: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+          size: str | None = None, bucket_bytes: int = BUCKET_BYTES, with_bucket: bool = False) -> DataFrame:
     """The columns ``carry`` of every row with shard, slot and grown_shard (the shard if there were
     one more). ``size`` names a column of ``carry`` with a row's bytes, which sets the number of
-    buckets; without it, rows count ROW_BYTES each. Carry the text itself to write whole shards."""
+    buckets; without it, rows count ROW_BYTES each. Carry the text itself to write whole shards.
+    ``with_bucket`` adds the bucket, which ``write_shards`` needs."""
     k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
     weight = F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)) if size else F.lit(ROW_BYTES).cast("long")
@@ -48,14 +49,16 @@ def shard(docs: DataFrame, carry: list[str], n_shards: int = 24, seed: int = 17,
     n_parts = n_shards * per_shard
     gathered = (rows.repartition(n_parts, "bucket").groupBy("bucket").agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list("x")).alias("xs"))
                 .join(starts, "bucket").repartition(n_parts, "bucket").sortWithinPartitions("bucket"))
-    dealt = gathered.select("shard", "start", F.posexplode(F.shuffle("xs", F.lit(seed))).alias("pos", "x"))
+    dealt = gathered.select("shard", "bucket", "start", F.posexplode(F.shuffle("xs", F.lit(seed))).alias("pos", "x"))
     return dealt.select(*(F.col(f"x.r.c{i}").alias(c) for i, c in enumerate(carry)), "shard",
-                        (F.col("start") + F.col("pos")).alias("slot"), F.col("x.grown").alias("grown_shard"))
+                        (F.col("start") + F.col("pos")).alias("slot"), F.col("x.grown").alias("grown_shard"), *(["bucket"] if with_bucket else []))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order; large shards are several files, named in order."""
-    (sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
+    """One folder per shard with a folder per bucket, in which rows are in slot order; buckets follow one another by number.
+    A bucket is in one task already, so nothing is shuffled."""
+    sharded.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
+
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -64,15 +67,14 @@ def query(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + 8).cast("long")
     path = shared_path(spark, "shards")
-    write_shards(shard(docs.select("doc_id", "text", size.alias("size")), ["doc_id", "text", "size"], size="size"), path)
-    # a row's slot is its place in its file after the rows of the shard's earlier files
-    rows = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, grown_shard int, shard int").parquet(path)
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    write_shards(shard(docs.select("doc_id", "text", size.alias("size")), ["doc_id", "text", "size"], size="size", with_bucket=True), path)
+    # a row's slot is its place in its bucket's file after the rows of the shard's earlier buckets
+    rows = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, grown_shard int, shard int, bucket long").parquet(path)
     t = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = rows.select("doc_id", (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), "shard", "grown_shard",
-                       part.alias("part"), F.col("_metadata.row_index").alias("at"))
-    w = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # one row per file
-    files = staged(files.select("shard", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start")), "files")
-    out = rows.join(broadcast_up_to(files, 1_000_000), ["shard", "part"])
+                       "bucket", F.col("_metadata.row_index").alias("at"))
+    w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))  # one file per bucket
+    files = staged(files.select("shard", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start")), "files")
+    out = rows.join(broadcast_up_to(files, 1_000_000), ["shard", "bucket"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard")
