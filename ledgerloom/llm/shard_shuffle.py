@@ -57,7 +57,7 @@ def shard(docs: DataFrame, carry: list[str], n_shards: int = 24, seed: int = 17,
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard with a folder per bucket, in which rows are in slot order; buckets follow one another by number.
     A bucket is in one task already, so nothing is shuffled."""
-    sharded.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
+    sharded.sortWithinPartitions("shard", "bucket", "slot").write.option("compression", "zstd").partitionBy("shard", "bucket").parquet(path)
 
 
 
