@@ -21,6 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators: those of the library, and small Arrow batches, as texts may be long."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "33554432")
     # Python workers import the operators by name: from an installed package, or from here
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import (attention_lm, bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle, url_rules)
+from . import (attention_lm, bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle,
+               token_counts, url_rules)
 from .common import prepare, read
 
 
@@ -31,6 +32,7 @@ def queries():
         "op8_host_rules": _on("documents", lambda s, d: host_rules.query(d)),
         "op9_chosen_path": _on("documents", lambda s, d: chosen_path.query(d)),
         "op10_line_setjoin": _on("documents", lambda s, d: line_setjoin.query(d)),
+        "op13_whole_tokens": _on("documents", lambda s, d: token_counts.query(d)),
     }
 
 
