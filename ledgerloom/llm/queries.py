@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (attention_lm, bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle,
-               token_counts, url_rules)
+               target_resampling, token_counts, url_rules)
 from .common import prepare, read
 
 
@@ -20,6 +20,11 @@ def _quality(spark, sf_dir):
     return quality_gam.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _resampling(spark, sf_dir):
+    prepare(spark)
+    return target_resampling.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_quality_gam": _quality,
@@ -32,12 +37,14 @@ def queries():
         "op8_host_rules": _on("documents", lambda s, d: host_rules.query(d)),
         "op9_chosen_path": _on("documents", lambda s, d: chosen_path.query(d)),
         "op10_line_setjoin": _on("documents", lambda s, d: line_setjoin.query(d)),
+        "op11_regular_sampling": _resampling,
         "op13_whole_tokens": _on("documents", lambda s, d: token_counts.query(d)),
     }
 
 
 def oracle_sql():
-    """SQL has no boosting, self-attention, byte-level merges by rank file, CRC-32 or dynamic program over
-    a histogram here: operators 1, 3, 4, 6 and 7 are tested against brute force in ``tests/llm``."""
+    """SQL has no boosting, self-attention, byte-level merges by rank file or dynamic program over
+    a histogram here: operators 1, 3, 4, 6, 7 and 13 are tested against brute force in ``tests/llm``."""
     return {"op2_cover_tree": cover_tree.ORACLE, "op5_url_rules": url_rules.ORACLE, "op8_host_rules": host_rules.ORACLE,
-            "op9_chosen_path": chosen_path.ORACLE, "op10_line_setjoin": line_setjoin.ORACLE}
+            "op9_chosen_path": chosen_path.ORACLE, "op10_line_setjoin": line_setjoin.ORACLE,
+            "op11_regular_sampling": target_resampling.ORACLE}
