@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (attention_lm, bpe_sql, chosen_path, cover_tree, host_rules, length_buckets, line_setjoin, quality_gam, shard_shuffle,
-               target_resampling, token_counts, url_rules)
+               target_resampling, token_counts, url_rules, vector_codes)
 from .common import prepare, read
 
 
@@ -38,6 +38,7 @@ def queries():
         "op9_chosen_path": _on("documents", lambda s, d: chosen_path.query(d)),
         "op10_line_setjoin": _on("documents", lambda s, d: line_setjoin.query(d)),
         "op11_regular_sampling": _resampling,
+        "op12_resident_lloyd": _on("embeddings", lambda s, d: vector_codes.query(d)),
         "op13_whole_tokens": _on("documents", lambda s, d: token_counts.query(d)),
     }
 
@@ -47,4 +48,4 @@ def oracle_sql():
     a histogram here: operators 1, 3, 4, 6, 7 and 13 are tested against brute force in ``tests/llm``."""
     return {"op2_cover_tree": cover_tree.ORACLE, "op5_url_rules": url_rules.ORACLE, "op8_host_rules": host_rules.ORACLE,
             "op9_chosen_path": chosen_path.ORACLE, "op10_line_setjoin": line_setjoin.ORACLE,
-            "op11_regular_sampling": target_resampling.ORACLE}
+            "op11_regular_sampling": target_resampling.ORACLE, "op12_resident_lloyd": vector_codes.ORACLE}
