@@ -164,9 +164,9 @@ def _cell(cells: Column, kinds: Column, idx: Column):
 
 def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table: BigTableConfig,
           extracted_at: str | None = None, broadcast_rows: int = 200_000,
-          paths: list[str] | None = None, mode: str = "rebuild") -> CleanResult:
+          paths: list[str] | None = None, mode: str = "rebuild", batch: tuple[str, int] | None = None) -> CleanResult:
     """Run a clean pipeline. ``mode='rebuild'`` (M1) replaces the big table with a
-    new version; ``mode='append'`` (M2) adds rows. ``paths`` restricts the run to
+    new version; ``mode='append'`` (M2) adds rows (once for each ``batch`` of a stream). ``paths`` restricts the run to
     those files of the source folder (used by the incremental stream)."""
     spark = ws.spark
     validate_pipeline(pipeline)
@@ -292,9 +292,9 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     metrics = [F.sum(F.col(f"__rej_{i}").cast("int")).alias(c) for i, c in enumerate(plan.columns)]
     obs_cols = [F.col(f"`{c}`") for c in plan.columns] + [F.col(c) for c in LINEAGE_COLUMNS]
     if mode == "append" and ws.exists(ns, table):
-        rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols)
+        rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch)
     else:
-        rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols)
+        rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch)
     rejects = {c: int(got.get(c) or 0) for c in plan.columns}
     for c, n in rejects.items():
         if n:

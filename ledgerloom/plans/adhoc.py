@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.stages import is_reader, name_aliases, run_sql
-from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace, slug
+from ledgerloom.plans.stages import is_reader
+from ledgerloom.plans.statements import change_rows, parsed, run_sql
+from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 
 DEFAULT_CAP = 5000
 LINEAGE_ORDER = ("__source_file", "__source_sheet", "__source_row")
@@ -25,32 +25,19 @@ class AdhocResult:
 def adhoc(ws: Workspace, sql: str, folder: str | None = None, limit: int | None = None, capped: bool = True) -> AdhocResult:
     """Q5 / Q6: run SQL against master (or one big-table namespace). A reader
     returns at most ``limit`` rows (default 5000); ``truncated`` is exact (the
-    cap is applied as ``limit(cap + 1)``, never by editing the SQL text); with
-    ``capped=False`` it returns all rows.
-    Other statements run as they are (INSERT works on Parquet tables and reports the rows it
-    added; for UPDATE / DELETE use Workspace.update_where / delete_where)."""
-    ns = bt_namespace(folder) if folder else MASTER
-    ws.bind(ns)
-    text = re.sub(r";\s*$", "", sql.strip())
-    names = name_aliases(ws, [folder] if folder else [])
-    into = re.match(r'insert\s+(?:into|overwrite)\s+(?:table\s+)?(?:[`"]?\w+[`"]?\.)?["`]?([^"`\s(]+)', text, re.IGNORECASE)
-    table = into and slug(into[1])
-    before = ws.spark.table(f"`{ns}`.`{table}`").count() if table and ws.exists(ns, into[1]) else None
-    ws.spark.catalog.setCurrentDatabase(ns)
-    try:
-        df = run_sql(ws, text, names)
-    finally:
-        ws.spark.catalog.setCurrentDatabase("default")
-    if not is_reader(text):
-        if before is None:
-            return AdhocResult(None)
-        ws.spark.catalog.refreshTable(f"`{ns}`.`{table}`")
-        return AdhocResult(None, changes=ws.spark.table(f"`{ns}`.`{table}`").count() - before)
+    cap is applied as ``limit(cap + 1)``, never by editing the SQL text, and the statement
+    runs once: those rows are checkpointed); with ``capped=False`` it returns all rows.
+    INSERT, UPDATE and DELETE report the rows they added or met; other statements are refused."""
+    ns, folders = (bt_namespace(folder), [folder]) if folder else (MASTER, [])
+    if not is_reader(sql) or parsed(ws.spark, sql).writes:
+        return AdhocResult(None, changes=change_rows(ws, sql, ns, folders))
+    df = run_sql(ws, sql, ns, folders)
     if not capped:
         return AdhocResult(df)
     cap = DEFAULT_CAP if limit is None else int(limit)
-    n = df.limit(cap + 1).count()
-    return AdhocResult(df.limit(cap), truncated=n > cap)
+    head = df.limit(cap + 1).checkpoint()
+    n = head.count()
+    return AdhocResult(head.limit(cap) if n > cap else head, truncated=n > cap)
 
 
 def preview_table(ws: Workspace, ns: str, table: str, offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig
 from ledgerloom.functions.transforms import COLUMN_TYPES  # noqa: F401  (documented types)
-from ledgerloom.plans.stages import guard_reader, run_sql
+from ledgerloom.plans.stages import guard_reader
+from ledgerloom.plans.statements import run_sql
 from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 
 CSV_OPTIONS = {
@@ -32,14 +33,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
 def export_query(ws: Workspace, sql: str, path: str, folder: str | None = None,
                  single_file: bool = False) -> str:
     """M5: SELECT / WITH only, against master or one big-table namespace; no row cap."""
-    guard_reader(sql)
-    ns = bt_namespace(folder) if folder else MASTER
-    ws.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{ns}`")
-    ws.spark.catalog.setCurrentDatabase(ns)
-    try:
-        df = run_sql(ws, sql)
-    finally:
-        ws.spark.catalog.setCurrentDatabase("default")
+    guard_reader(sql, ws.spark)
+    df = run_sql(ws, sql, bt_namespace(folder) if folder else MASTER, [folder] if folder else [])
     return write_csv(df, path, single_file)
 
 

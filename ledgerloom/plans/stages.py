@@ -1,20 +1,19 @@
 """SQL stages: sql-clean (M3) and query (M4) with Q1-Q4 guards.
 
 User SQL is Spark SQL with double-quoted identifiers (as in the reference's
-SQL dialect). The only rewrite is identifier slugging (Q3): a quoted
-``"bt_<folder>"`` namespace or a quoted table display name is replaced by its
-ASCII slug; everything else reaches Spark unchanged. Results are written as a
-new table version and swapped in, so a query may read its own result table.
+SQL dialect); its table names are resolved in the workspace (Q3,
+``plans/statements.py``). Results are written as a new table version, so a query
+may read its own result table.
 """
 
 from __future__ import annotations
 
 import re
-from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ledgerloom.config import ConfigError, QueryPipeline, SqlCleanPipeline, validate_pipeline
+from ledgerloom.plans.statements import parsed, run_sql
 from ledgerloom.plans.workspace import MASTER, RunSummary, Workspace, bt_namespace, slug
 
 _READER = re.compile(r"^(select|with)\b", re.IGNORECASE)
@@ -34,82 +33,10 @@ def guard_reader(sql: str, spark: SparkSession | None = None) -> None:
     follow a WITH clause."""
     if not sql or not sql.strip():
         raise ConfigError("SQL_REQUIRED", "sql is empty")
-    if not is_reader(sql) or (spark is not None and _writes(spark, sql)):
+    if not is_reader(sql) or (spark is not None and parsed(spark, sql).writes):
         raise ConfigError("SQL_NOT_READONLY", "only SELECT / WITH statements are allowed here")
 
 
-# Parsed statements that are no query: commands, and those that become one when they are analysed.
-_WRITE = re.compile(r"Command$|^(Insert|Create|Replace|Drop|Delete|Update|Merge|Alter|Truncate|Overwrite|Append|Set|Cache|Uncache|Load|Refresh|Use)")
-
-
-def _writes(spark: SparkSession, sql: str) -> bool:
-    with _quoted_identifiers(spark):
-        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r";\s*$", "", sql.strip()))]
-    while todo:
-        node = todo.pop()
-        if _WRITE.search(node.getClass().getSimpleName()):
-            return True
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return False
-
-
-_TOKEN = re.compile(r"""'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|"(?:[^"]|"")*"|[A-Za-z_]\w*|[().;]|\s+|.""", re.DOTALL)
-_CLAUSE = {"select", "from", "join", "where", "group", "order", "having", "on", "using", "set", "values", "into", "table", "update", "limit", "union", "intersect", "except", "qualify", "window"}
-_TABLE_CLAUSE = {"from", "join", "into", "table", "update"}
-
-
-def rewrite_identifiers(sql: str, aliases: dict[str, str]) -> str:
-    """Replace double-quoted identifiers listed in ``aliases`` (display -> slug) where they name
-    a table or namespace: in a FROM / JOIN list, or before a dot. String literals, comments, columns
-    and unlisted identifiers stay."""
-    tokens = _TOKEN.findall(sql)
-    out, clauses = [], [""]
-    for i, t in enumerate(tokens):
-        low = t.lower()
-        if t == "(":
-            clauses.append(clauses[-1])
-        elif t == ")" and len(clauses) > 1:
-            clauses.pop()
-        elif low in _CLAUSE:
-            clauses[-1] = low
-        elif t[0] == '"' and len(t) > 1:
-            name = t[1:-1].replace('""', '"')
-            after = next((x for x in tokens[i + 1:] if x.strip()), "")
-            if name in aliases and (clauses[-1] in _TABLE_CLAUSE or after == "."):
-                t = f"`{aliases[name]}`"
-        out.append(t)
-    return "".join(out)
-
-
-@contextmanager
-def _quoted_identifiers(spark: SparkSession):
-    """Double quotes name identifiers while a statement is parsed."""
-    key = "spark.sql.ansi.doubleQuotedIdentifiers"
-    old = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
-def run_sql(ws: Workspace, sql: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Parse with double-quoted identifiers on (conf read at parse time only)."""
-    text = rewrite_identifiers(sql, aliases or {})
-    with _quoted_identifiers(ws.spark):
-        return ws.spark.sql(text)
-
-
-def name_aliases(ws: Workspace, folders: list[str]) -> dict[str, str]:
-    a = {}
-    for f in folders:
-        a["bt_" + f] = bt_namespace(f)
-    for (ns, s), name in ws.names.items():
-        a.setdefault(name, s)
-    return a
-
-
 def sql_clean(ws: Workspace, p: SqlCleanPipeline, big_table_names: dict[str, str]) -> RunSummary:
     """M3: user SQL over the listed big tables -> ``master.<result_table>``.
     ``big_table_names``: folder -> table name (Q4 checks each exists)."""
@@ -119,14 +46,7 @@ def sql_clean(ws: Workspace, p: SqlCleanPipeline, big_table_names: dict[str, str
         t = big_table_names.get(f)
         if t is None or not ws.exists(bt_namespace(f), t):
             raise NotCleanedError(f"{NotCleanedError.code}: big table folder {f!r} has not been cleaned")
-        ws.bind(bt_namespace(f))
-    ws.bind(MASTER)
-    ws.spark.catalog.setCurrentDatabase(MASTER)
-    try:
-        df = run_sql(ws, p.sql, name_aliases(ws, p.big_tables))
-        rows, _ = ws.write_table(df, MASTER, p.result_table)
-    finally:
-        ws.spark.catalog.setCurrentDatabase("default")
+    rows, _ = ws.write_table(run_sql(ws, p.sql, MASTER, p.big_tables), MASTER, p.result_table)
     s = RunSummary(p.id, "sql-clean", True, rows, result_table=f"{MASTER}.{slug(p.result_table)}")
     ws.log_run(s)
     return s
@@ -140,13 +60,7 @@ def run_query(ws: Workspace, p: QueryPipeline) -> RunSummary:
     if not p.result_table:
         raise ConfigError("RESULT_TABLE_REQUIRED", f"{p.id}: result table is empty")
     guard_reader(p.sql, ws.spark)
-    ws.bind(MASTER)
-    ws.spark.catalog.setCurrentDatabase(MASTER)
-    try:
-        df = run_sql(ws, p.sql, name_aliases(ws, []))
-        rows, _ = ws.write_table(df, MASTER, p.result_table)
-    finally:
-        ws.spark.catalog.setCurrentDatabase("default")
+    rows, _ = ws.write_table(run_sql(ws, p.sql), MASTER, p.result_table)
     s = RunSummary(p.id, "query", True, rows, result_table=f"{MASTER}.{slug(p.result_table)}")
     ws.log_run(s)
     return s

@@ -1,10 +1,16 @@
-"""Table storage: namespaced, versioned Parquet tables with a staged swap.
-
-M1 rebuild (new version folder, then pointer swap: a failed run leaves the old
-version readable), M2 append, Q3 namespaces (``bt_<slug>`` per big-table
-folder, ``master`` for results), Q8 table listing, Q9 copy-on-write
-update/delete, G8 run log. Tables are registered in the session catalog as
-``<namespace>.<table>`` external Parquet tables, so plain Spark SQL reads them.
+"""Table storage: namespaced tables as versions, each committed by one atomic rename.
+
+M1 rebuild, M2 append, Q3 namespaces (``bt_<slug>`` per big-table folder, ``master`` for results), Q8 table listing, Q9
+update and delete, G8 run log. A version is a small JSON file in ``<table>/_versions``: the table's display name, its schema
+and its parts, which are folders or files of Parquet. The highest number is the current version. A commit writes the next number
+aside and renames it without overwriting, so readers see all of it or nothing, and of two writers one has to look again; data that no
+version names is invisible, so a run that fails between its write and its commit changes nothing.
+
+* a rebuild names one new folder; an append adds a folder (and remembers the stream batch it belongs to, so that a batch that
+  runs twice is appended once); an update or delete replaces only the files that hold hits, the others keep their names;
+* ``versions`` lists what a table was, ``vacuum`` removes the data that only older versions name;
+* nothing is registered in the session's catalog: SQL finds tables by name in the workspace it runs in
+  (``plans/statements.py``), so workspaces, sessions and threads do not see each other's tables.
 """
 
 from __future__ import annotations
@@ -15,21 +21,24 @@ import json
 import os
 import re
 import uuid
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerloom.plans.store import Store
 from ledgerloom.session import configure, work_dir
+from ledgerloom.sources.csvrows import literal_path
 
 MASTER = "master"
-_OWNER: dict[tuple[str, str], str] = {}     # (application, namespace) -> root of the workspace shown there
 _ASCII_ID = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
 def slug(name: str) -> str:
     """ASCII identifier for a display name: the ASCII word part plus a short hash
-    when anything else was present (Spark rejects non-ASCII database/table names)."""
+    when anything else was present."""
     if _ASCII_ID.match(name):
         return name.lower()
     ascii_part = re.sub(r"[^A-Za-z0-9_]", "_", name).strip("_").lower()
@@ -45,6 +54,11 @@ class TableMissingError(RuntimeError):
     code = "TABLE_NOT_FOUND"
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer committed a version that this change was not made for."""
+    code = "CONCURRENT_WRITE"
+
+
 @dataclass
 class RunSummary:
     pipeline_id: str
@@ -58,219 +72,235 @@ class RunSummary:
     result_table: str | None = None
 
 
+@dataclass(frozen=True)
+class Version:
+    """What a table is at one time. ``batches``: the last stream batch appended, by query."""
+    number: int
+    name: str
+    parts: tuple[str, ...]
+    schema: str
+    at: str = ""
+    batches: dict[str, int] = field(default_factory=dict)
+
+    def struct(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.schema))
+
+
+def _now() -> str:
+    return _dt.datetime.now(_dt.timezone.utc).isoformat()
+
+
+def _nullable(schema: T.StructType) -> str:
+    return json.dumps(T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).jsonValue())
+
+
 class Workspace:
     """A workspace root in the shared folder (``spark.checkpoint.dir`` by default)."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = configure(spark)
         self.root = root or work_dir(spark, "workspace", fresh=True)
-        self.names: dict[tuple[str, str], str] = {}      # (ns, slug) -> display name
-        self._load_names()
+        self.store = Store(spark)
 
-    # ---- paths & pointers -------------------------------------------------
+    # ---- versions -----------------------------------------------------------
     def _table_dir(self, ns: str, table: str) -> str:
         return os.path.join(self.root, "tables", ns, slug(table))
 
-    def _pointer(self, ns: str, table: str) -> str:
-        return os.path.join(self._table_dir(ns, table), "_CURRENT")
-
-    def current_version(self, ns: str, table: str) -> str | None:
-        p = self._pointer(ns, table)
-        if "://" in p:
-            try:
-                return self.spark.read.text(p).first()[0]
-            except Exception:  # noqa: BLE001
-                return None
-        if not os.path.exists(p):
-            return None
-        with open(p, encoding="utf-8") as fh:
-            return fh.readline().strip() or None
-
-    def _slugs(self, ns: str) -> list[str]:
-        """The tables of a namespace, from the pointer files."""
-        base = os.path.join(self.root, "tables", ns)
-        if "://" not in base:
-            return sorted(os.listdir(base)) if os.path.isdir(base) else []
-        try:  # remote shared folder: Spark's own file listing
-            ptr = self.spark.read.text(os.path.join(base, "*", "_CURRENT"))
-            return sorted({r[0] for r in ptr.select(F.regexp_extract(
-                F.col("_metadata.file_path"), r"/([^/]+)/_CURRENT", 1)).distinct().collect()})
-        except Exception:  # noqa: BLE001 - no table yet
-            return []
-
-    def _load_names(self) -> None:
-        """Display names of the tables of a workspace that is opened again."""
-        base = os.path.join(self.root, "tables")
-        if "://" in base or not os.path.isdir(base):
-            return
-        for ns in sorted(os.listdir(base)):
-            for s in self._slugs(ns):
-                p = os.path.join(base, ns, s, "_NAME")
-                if os.path.exists(p):
-                    with open(p, encoding="utf-8") as fh:
-                        self.names[(ns, s)] = fh.read()
-
-    def bind(self, ns: str) -> None:
-        """Make the catalog's namespace show this workspace's tables and no others: two workspaces
-        of a session share the catalog. Only table entries go; the data is external."""
-        spark = self.spark
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{ns}`")
-        mine = set(self._slugs(ns))
-        shown = {r["tableName"] for r in spark.sql(f"SHOW TABLES IN `{ns}`").collect() if not r["isTemporary"]}
-        for t in shown - mine:
-            spark.sql(f"DROP TABLE IF EXISTS `{ns}`.`{t}`")
-        key = (spark.sparkContext.applicationId, ns)
-        for t in mine:
-            if t not in shown or _OWNER.get(key) != self.root:
-                self.register(ns, self.names.get((ns, t), t))
-        _OWNER[key] = self.root
-
-    def _swap(self, ns: str, table: str, version_dir: str) -> None:
-        p = self._pointer(ns, table)
-        if "://" in p:
-            self.spark.createDataFrame([(version_dir,)], "v string").coalesce(1) \
-                .write.mode("overwrite").text(p)
-        else:
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            tmp = f"{p}.{uuid.uuid4().hex}"
-            with open(tmp, "w", encoding="utf-8") as fh:
-                fh.write(version_dir)
-            os.replace(tmp, p)          # atomic pointer swap
-            with open(os.path.join(os.path.dirname(p), "_NAME"), "w", encoding="utf-8") as fh:
-                fh.write(table)         # the display name, for a later session
-        self.register(ns, table)
+    def _numbers(self, ns: str, table: str) -> list[int]:
+        names = self.store.children(os.path.join(self._table_dir(ns, table), "_versions"))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _version(self, ns: str, table: str, number: int) -> Version:
+        got = json.loads(self.store.read(os.path.join(self._table_dir(ns, table), "_versions", f"{number:08d}.json")))
+        return Version(**got | {"parts": tuple(got["parts"])})
+
+    def current(self, ns: str, table: str) -> Version | None:
+        numbers = self._numbers(ns, table)
+        return self._version(ns, table, numbers[-1]) if numbers else None
+
+    def versions(self, ns: str, table: str) -> list[Version]:
+        """Every version that is still listed, the oldest first."""
+        return [self._version(ns, table, n) for n in self._numbers(ns, table)]
+
+    def commit(self, ns: str, table: str, change: Callable[[Version | None], Version | None]) -> Version | None:
+        """Make ``change(current version)`` the current version; asked again if another writer was first. None changes nothing."""
+        while True:
+            old = self.current(ns, table)
+            new = change(old)
+            if new is None:
+                return old
+            new = replace(new, number=(old.number if old else 0) + 1, at=_now())
+            if self.store.create(os.path.join(self._table_dir(ns, table), "_versions", f"{new.number:08d}.json"),
+                                 json.dumps(asdict(new), ensure_ascii=False)):
+                return new
+
+    def vacuum(self, ns: str, table: str, keep: int = 2) -> int:
+        """Forget all but the newest ``keep`` versions, and remove the folders inside the workspace that only those named.
+        Not to be run while a writer of this table is between its write and its commit, nor while an older version is read."""
+        numbers = self._numbers(ns, table)
+        old, kept = numbers[:-keep], numbers[-keep:]
+        base = self.store.qualified(self._table_dir(ns, table))
+        named = {self.store.qualified(p) for n in kept for p in self._version(ns, table, n).parts}
+        for n in old:
+            self.store.delete(os.path.join(self._table_dir(ns, table), "_versions", f"{n:08d}.json"))
+        removed = 0
+        for child in self.store.children(base):
+            folder = f"{base}/{child}"
+            if child.startswith("v_") and folder not in named and not any(p.startswith(folder + "/") for p in named):
+                self.store.delete(folder)
+                removed += 1
+        return removed
+
+    def _new_folder(self, ns: str, table: str) -> str:
+        stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+        return os.path.join(self._table_dir(ns, table), f"v_{stamp}_{uuid.uuid4().hex[:6]}")
+
+    def slugs(self, ns: str) -> list[str]:
+        """The tables of a namespace."""
+        return [s for s in self.store.children(os.path.join(self.root, "tables", ns)) if self._numbers(ns, s)]
 
     def stage_dir(self, *parts: str) -> str:
-        p = os.path.join(self.root, "staging", *parts, uuid.uuid4().hex[:12])
-        return p
-
-    def mark(self, path: str) -> None:
-        """A one-line file at ``path`` in the shared folder."""
-        if "://" in path:
-            self.spark.createDataFrame([("1",)], "v string").coalesce(1).write.mode("overwrite").text(path)
-        else:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as fh:
-                fh.write("1")
-
-    def marked(self, path: str) -> bool:
-        if "://" not in path:
-            return os.path.exists(path)
-        try:
-            return self.spark.read.text(path).first() is not None
-        except Exception:  # noqa: BLE001 - not there
-            return False
-
-    # ---- catalog ------------------------------------------------------------
-    def register(self, ns: str, table: str) -> None:
-        v = self.current_version(ns, table)
-        if v is None:
-            return
-        s = slug(table)
-        self.names[(ns, s)] = table
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{ns}`")
-        self.spark.sql(f"DROP TABLE IF EXISTS `{ns}`.`{s}`")
-        self.spark.sql(f"CREATE TABLE `{ns}`.`{s}` USING parquet LOCATION '{v}'")
+        return os.path.join(self.root, "staging", *parts, uuid.uuid4().hex[:12])
 
+    # ---- reads ----------------------------------------------------------------
     def attach(self, ns: str, table: str, path: str) -> None:
-        """Point a table at existing Parquet data (read-only use; a later write
-        creates a new version inside the workspace and leaves ``path`` alone)."""
-        self._swap(ns, table, path)
+        """Make existing Parquet data a table. Later writes add or replace files inside the workspace only; ``path`` is left alone."""
+        schema = _nullable(self.spark.read.parquet(path).schema)
+        self.commit(ns, table, lambda old: Version(0, table, (path,), schema))
 
     def exists(self, ns: str, table: str) -> bool:
-        return self.current_version(ns, table) is not None
+        return bool(self._numbers(ns, table))
 
-    def read(self, ns: str, table: str) -> DataFrame:
-        v = self.current_version(ns, table)
+    def _frame(self, version: Version, spark: SparkSession | None = None, parts: list[str] | None = None) -> DataFrame:
+        spark = spark or self.spark
+        parts = list(version.parts) if parts is None else parts
+        if not parts:
+            return spark.createDataFrame([], version.struct())
+        return spark.read.schema(version.struct()).parquet(*map(literal_path, parts))
+
+    def read(self, ns: str, table: str, spark: SparkSession | None = None) -> DataFrame:
+        v = self.current(ns, table)
         if v is None:
             raise TableMissingError(f"{TableMissingError.code}: {ns}.{table}")
-        return self.spark.read.parquet(v)
+        return self._frame(v, spark)
 
     def list_tables(self, ns: str) -> DataFrame:
-        """Q8: (table, column, type, position) for every table of a namespace, by name."""
+        """Q8: (table, column, type, position) for every table of a namespace, by name, as the versions name them."""
         rows = []
-        slugs = self._slugs(ns)
-        for s in slugs:
-            v = self.current_version(ns, s)
-            if v is None:
-                continue
-            name = self.names.get((ns, s), s)
-            for i, f in enumerate(self.spark.read.parquet(v).schema.fields):
-                rows.append((name, f.name, f.dataType.simpleString(), i))
+        for s in self.slugs(ns):
+            v = self.current(ns, s)
+            rows += [(v.name, f.name, f.dataType.simpleString(), i) for i, f in enumerate(v.struct().fields)]
         return self.spark.createDataFrame(rows, "table string, column string, type string, position int") \
                    .orderBy("table", "position")
 
     # ---- writes ---------------------------------------------------------------
-    def write_table(self, df: DataFrame, ns: str, table: str,
-                    metrics: list[Column] | None = None,
-                    project: list[Column] | None = None) -> tuple[int, dict]:
-        """M1: write a new version, then swap the pointer. Returns (rows, metrics)
-        from one ``observe`` on the write itself (no second pass)."""
+    def _write(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None, project: list[Column] | None) -> tuple[str, T.StructType, int, dict]:
+        """Rows written to a folder that no version names yet: (folder, schema, rows, metrics), counted by one
+        ``observe`` on the write itself."""
         obs = Observation(f"w_{uuid.uuid4().hex[:8]}")
-        exprs = [F.count(F.lit(1)).alias("__rows")] + list(metrics or [])
-        vdir = os.path.join(self._table_dir(ns, table),
-                            "v_" + _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-                            + "_" + uuid.uuid4().hex[:6])
-        observed = df.observe(obs, *exprs)
+        out = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
         if project is not None:
-            observed = observed.select(*project)
-        observed.write.mode("errorifexists").parquet(vdir)
+            out = out.select(*project)
+        folder = self._new_folder(ns, table)
+        out.write.mode("errorifexists").parquet(folder)
         got = dict(obs.get)
-        rows = int(got.pop("__rows", 0) or 0)
-        self._swap(ns, table, vdir)
+        return folder, out.schema, int(got.pop("__rows", 0) or 0), got
+
+    def write_table(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
+                    project: list[Column] | None = None, batch: tuple[str, int] | None = None) -> tuple[int, dict]:
+        """M1: write new data, then make it the table. Returns (rows, metrics)."""
+        folder, schema, rows, got = self._write(df, ns, table, metrics, project)
+
+        def change(old: Version | None) -> Version:
+            done = dict(old.batches) if old else {}
+            return Version(0, table, (folder,), _nullable(schema), batches=done | ({batch[0]: batch[1]} if batch else {}))
+        self.commit(ns, table, change)
         return rows, got
 
     def append(self, df: DataFrame, ns: str, table: str) -> int:
-        """M2: add rows to the current version (a failed append leaves no partial
-        files visible: Spark commits the job's files together)."""
+        """M2: add rows to the table."""
         return self.append_observed(df, ns, table)[0]
 
+    def appended(self, ns: str, table: str, batch: tuple[str, int]) -> bool:
+        """Whether a stream's batch (query, number) is in the table."""
+        v = self.current(ns, table)
+        return v is not None and v.batches.get(batch[0], -1) >= batch[1]
+
     def append_observed(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
-                        project: list[Column] | None = None) -> tuple[int, dict]:
-        """M2 with metrics: append in one pass, returning (rows, metrics). Files are added in place
-        only to a version of this workspace with the same columns; attached data is left
-        alone, and new columns make a new version (older rows get NULL)."""
-        v = self.current_version(ns, table)
+                        project: list[Column] | None = None, batch: tuple[str, int] | None = None) -> tuple[int, dict]:
+        """M2 with metrics: rows written to a folder of their own, which the next version adds to the table. New columns read NULL
+        in older rows; a column whose type changed makes the table be written anew in the common type."""
+        v = self.current(ns, table)
         if v is None:
-            return self.write_table(df, ns, table, metrics, project)
-        obs = Observation(f"a_{uuid.uuid4().hex[:8]}")
-        observed = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
-        if project is not None:
-            observed = observed.select(*project)
-        cur = self.spark.read.parquet(v)
-        same = set(cur.columns) >= set(observed.columns) and all(
-            observed.schema[c].dataType == cur.schema[c].dataType for c in observed.columns)
-        if same and v.startswith(self._table_dir(ns, table)):
-            missing = [c for c in cur.columns if c not in observed.columns]
-            full = observed.withColumns({c: F.lit(None).cast(cur.schema[c].dataType) for c in missing}) if missing else observed
-            full.select(*[F.col(f"`{c}`") for c in cur.columns]).write.mode("append").parquet(v)
-            self.register(ns, table)
-        else:
-            self.write_table(cur.unionByName(observed, allowMissingColumns=True), ns, table)
-        got = dict(obs.get)
-        return int(got.pop("__rows", 0) or 0), got
-
-    def update_where(self, ns: str, table: str, cond: str | Column, assignments: dict[str, str | Column]) -> int:
-        """Q9 UPDATE as copy-on-write: one staged rewrite, changed rows counted by observe."""
-        df = self.read(ns, table)
-        c = F.expr(cond) if isinstance(cond, str) else cond
-        c = F.coalesce(c, F.lit(False))
-        before = Observation(f"u_{uuid.uuid4().hex[:8]}")   # counted on the rows as they were
-        out = df.observe(before, F.sum(F.when(c, 1).otherwise(0)).alias("changed")).select(*[
-            (F.when(c, F.expr(assignments[n]) if isinstance(assignments[n], str) else assignments[n])
-              .otherwise(F.col(n))).cast(df.schema[n].dataType).alias(n) if n in assignments else F.col(n)
-            for n in df.columns])
-        self.write_table(out, ns, table)
-        return int(before.get["changed"] or 0)
-
-    def delete_where(self, ns: str, table: str, cond: str | Column) -> int:
-        """Q9 DELETE as copy-on-write."""
-        df = self.read(ns, table)
-        c = F.coalesce(F.expr(cond) if isinstance(cond, str) else cond, F.lit(False))
-        before = Observation(f"d_{uuid.uuid4().hex[:8]}")
-        kept = df.observe(before, F.sum(F.when(c, 1).otherwise(0)).alias("deleted")).filter(~c)
-        self.write_table(kept, ns, table)
-        return int(before.get["deleted"] or 0)
+            return self.write_table(df, ns, table, metrics, project, batch)
+        kinds = {f.name: f.dataType for f in v.struct().fields}
+        schema = (df.select(*project) if project is not None else df).schema
+        if any(f.name in kinds and kinds[f.name] != f.dataType for f in schema.fields):
+            out = df.select(*project) if project is not None else df
+            obs = Observation(f"a_{uuid.uuid4().hex[:8]}")
+            counted = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
+            out = counted.select(*project) if project is not None else counted
+            self.write_table(self._frame(v).unionByName(out, allowMissingColumns=True), ns, table, batch=batch)
+            got = dict(obs.get)
+            return int(got.pop("__rows", 0) or 0), got
+        folder, schema, rows, got = self._write(df, ns, table, metrics, project)
+
+        def change(old: Version | None) -> Version | None:
+            if batch and old and old.batches.get(batch[0], -1) >= batch[1]:
+                return None                 # the batch was appended by an earlier run
+            if old is None:
+                old = Version(0, table, (), _nullable(T.StructType([])))
+            have = old.struct()
+            every = T.StructType(have.fields + [f for f in schema.fields if f.name not in have.names])
+            return replace(old, parts=(*old.parts, folder), schema=_nullable(every), batches=dict(old.batches) | ({batch[0]: batch[1]} if batch else {}))
+        self.commit(ns, table, change)
+        return rows, got
+
+    def _rewrite(self, ns: str, table: str, cond: Column, alias: str | None, spark: SparkSession | None,
+                 hit: Callable[[DataFrame], DataFrame] | None) -> int:
+        """Replace the files that hold rows of ``cond``: those rows as ``hit`` makes them (or none), the other rows of the same
+        files as they are. Other files keep their names. Returns the rows met."""
+        v = self.current(ns, table)
+        if v is None:
+            raise TableMissingError(f"{TableMissingError.code}: {ns}.{table}")
+        frame = self._frame(v, spark)
+        named = frame.alias(alias) if alias else frame
+        # file names and counts of the files with hits: metadata
+        hits = named.filter(cond).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
+        if not hits:
+            return 0
+        touched = {self.store.of_uri(r.f) for r in hits}
+        files = self._frame(v, spark, sorted(touched))
+        files = files.alias(alias) if alias else files
+        out = files.filter(~F.coalesce(cond, F.lit(False))).select(*[F.col(f"`{c}`") for c in frame.columns])
+        if hit is not None:
+            out = out.unionByName(hit(files.filter(cond)))
+        folder, _, _, _ = self._write(out, ns, table, None, None)
+        parts: list[str] = []
+        for p in v.parts:
+            inside = self.store.data_files(p)
+            left = [f for f in inside if f not in touched]
+            parts += [p] if len(left) == len(inside) else left
+
+        def change(now: Version | None) -> Version:
+            if now is None or now.number != v.number:
+                raise ConcurrentWriteError(f"{ConcurrentWriteError.code}: {ns}.{table} changed during this statement")
+            return replace(now, parts=(*parts, folder))
+        self.commit(ns, table, change)
+        return sum(r.n for r in hits)
+
+    def update_where(self, ns: str, table: str, cond: str | Column, assignments: dict[str, str | Column],
+                     alias: str | None = None, spark: SparkSession | None = None) -> int:
+        """Q9 UPDATE: the files with hits are written anew, the rows met are counted."""
+        def changed(rows: DataFrame) -> DataFrame:
+            kinds = rows.schema
+            values = {c: F.expr(x) if isinstance(x, str) else x for c, x in assignments.items()}
+            return rows.select(*[values[c].cast(kinds[c].dataType).alias(c) if c in values else F.col(f"`{c}`") for c in rows.columns])
+        return self._rewrite(ns, table, F.expr(cond) if isinstance(cond, str) else cond, alias, spark, changed)
+
+    def delete_where(self, ns: str, table: str, cond: str | Column, alias: str | None = None, spark: SparkSession | None = None) -> int:
+        """Q9 DELETE: the files with hits are written anew without them."""
+        return self._rewrite(ns, table, F.expr(cond) if isinstance(cond, str) else cond, alias, spark, None)
 
     # ---- run log --------------------------------------------------------------
     def log_run(self, s: RunSummary) -> None:

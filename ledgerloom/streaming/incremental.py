@@ -8,31 +8,20 @@ over just its new files and appends to the big table (M2). With
 ``trigger(availableNow=True)`` a run processes everything new and stops, so it
 can be scheduled like the reference's rebuild; with a processing-time trigger
 it keeps watching the folder. The stream's checkpoint commits a batch after ``foreachBatch``
-returned, so a batch may run again: a marker is written before its append, and a batch that finds
-its marker appends nothing if the table already holds rows of its files (an append's files
-become visible together). A batch whose files gave no rows is simply run again.
+returned, so a batch may run again: its rows and its number become part of the table by one commit, so a
+batch that is in the table appends nothing, and one that failed before its commit left nothing.
 """
 
 from __future__ import annotations
 
 import os
-from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig, CleanPipeline, Rule
 from ledgerloom.operators.clean import clean
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
-from ledgerloom.sources.files import LOCK_PREFIX, SOURCE_EXT_RE, to_uri
-
-
-def _holds(ws: Workspace, cfg: BigTableConfig, paths: list[str]) -> bool:
-    """The big table has rows of these files (at most max_files_per_trigger names, pushed to the scan)."""
-    ns = bt_namespace(cfg.folder)
-    if not ws.exists(ns, cfg.table_name):
-        return False
-    names = {to_uri(unquote(p)) for p in paths} | set(paths)
-    return not ws.read(ns, cfg.table_name).filter(F.col("__source_file").isin(sorted(names))).isEmpty()
+from ledgerloom.sources.files import LOCK_PREFIX, SOURCE_EXT_RE
 
 
 def incremental_clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], cfg: BigTableConfig,
@@ -55,11 +44,11 @@ def incremental_clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule],
         paths = [r["path"] for r in df.collect()]      # this batch's file names (<= max_files_per_trigger)
         if not paths:
             return
-        marker = os.path.join(ws.root, "streams", f"{pipeline.id}-epochs", str(epoch_id))
-        if ws.marked(marker) and _holds(ws, cfg, paths):
+        # the query's id stays with its checkpoint
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ckpt
+        if ws.appended(bt_namespace(cfg.folder), cfg.table_name, (query, epoch_id)):
             return
-        ws.mark(marker)
-        res = clean(ws, pipeline, rules, cfg, extracted_at=extracted_at, paths=paths, mode="append")
+        res = clean(ws, pipeline, rules, cfg, extracted_at=extracted_at, paths=paths, mode="append", batch=(query, epoch_id))
         runs.append(res.summary)
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)

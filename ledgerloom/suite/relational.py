@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans.stages import run_sql
+from ledgerloom.plans.statements import run_sql
 from ledgerloom.plans.workspace import MASTER, Workspace
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -34,12 +34,7 @@ def master_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 def sql_check(spark_sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ws = master_workspace(spark, sf_dir)
-        spark.catalog.setCurrentDatabase(MASTER)
-        try:
-            return run_sql(ws, spark_sql)
-        finally:
-            spark.catalog.setCurrentDatabase("default")
+        return run_sql(master_workspace(spark, sf_dir), spark_sql)
     return run
 
 

@@ -17,8 +17,9 @@ def main():
     from pyspark.sql import functions as F
 
     from ledgerloom.config import SqlCleanPipeline
-    from ledgerloom.plans.stages import run_sql, sql_clean
-    from ledgerloom.plans.workspace import MASTER, Workspace
+    from ledgerloom.plans.stages import sql_clean
+    from ledgerloom.plans.statements import run_sql
+    from ledgerloom.plans.workspace import Workspace
     from ledgerloom.session import get_session
     from ledgerloom.suite import fixtures as FX
     from ledgerloom.suite.common import clean_folder
@@ -35,17 +36,13 @@ def main():
     big.filter(F.col("note") == "1-URGENT").select("order_key", "date").explain("formatted")
 
     print("== flagship bucket query over master.seq")
-    spark.catalog.setCurrentDatabase(MASTER)
     run_sql(ws, BUCKET_SQL).explain("formatted")
-    spark.catalog.setCurrentDatabase("default")
 
     print("== join over attached tables (broadcast of the small side, partial aggregation)")
     mws = master_workspace(spark, sf_dir)
-    spark.catalog.setCurrentDatabase(MASTER)
     run_sql(mws, "SELECT n_name, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
                  "JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name"
             ).explain("formatted")
-    spark.catalog.setCurrentDatabase("default")
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from ledgerloom.config import (BigTableConfig, BigTableField, CleanPipeline, Con
                                RuleField, RuleSource, SqlCleanPipeline, load_rules, save_rule)
 from ledgerloom.operators.clean import clean
 from ledgerloom.operators.headers import DuplicateHeaderError
-from ledgerloom.plans.stages import NotCleanedError, rewrite_identifiers, run_query, sql_clean
+from ledgerloom.plans.stages import NotCleanedError, run_query, sql_clean
 from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 
 RF = RuleField
@@ -78,12 +78,6 @@ def test_errors(spark, tmp):
     assert e.value.code == "RESULT_TABLE_REQUIRED"
 
 
-def test_rewrite_identifiers():
-    sql = 'SELECT "借方余额", \'"bt_序时账"\' FROM "bt_序时账".seq -- "bt_序时账"'
-    out = rewrite_identifiers(sql, {"bt_序时账": bt_namespace("序时账")})
-    assert out.startswith('SELECT "借方余额", \'"bt_序时账"\' FROM `bt_') and out.endswith('-- "bt_序时账"')
-
-
 def test_rule_yaml_roundtrip(tmp):
     r = Rule("b", [RuleSource("**/*.csv", 2, sheet_name="S")], [RF("a", "x", 1, True, ["coerce_cents"]),
                                                                RF("b", "y", 0, False, [])])
