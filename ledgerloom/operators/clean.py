@@ -44,15 +44,15 @@ def now_iso() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
-def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame,
-                  exts: set[str] | None = None, max_header_row: int = 1):
+def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame, sources: list[tuple],
+                  exts: set[str] | None = None, max_header_row: int = 1, paths: list[str] | None = None):
     """Raw rows + sheet list for every matched source file.
 
     CSV lines are staged once by the scan (see ``sources/csvrows.py``); where no record spans
     lines, raw rows are expressions over them. Records assembled across lines are staged as Parquet too,
     partitioned by ``_head`` (row_no <= the largest header row of the rules) so
-    the header job reads only that small partition; workbooks are staged at the
-    emitter."""
+    the header job reads only that small partition; of workbooks only the sheets that ``sources`` (the rule
+    sources) want are parsed, and staged at the emitter."""
     spark = ws.spark
     ws.last_raw_path = None
     ws.last_first_rows = None
@@ -82,8 +82,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
         # the workbook emitter output is itself staged (each file parsed once);
         # raw rows are cheap expressions over it
         from ledgerloom.sources.workbook import workbook_raw_rows
-        wb_files = matched.filter(F.col("ext").isin("xlsx", "xls")).select("path").distinct()
-        raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, wb_files, max_header_row)
+        raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, source_dir if paths is None else paths, sources, source_dir, max_header_row)
         parts.append(raw_wb)
         sheets.append(sheets_wb)
     if not parts:
@@ -147,7 +146,7 @@ def check_mapping(ws: Workspace, source_dir: str, rules: list[Rule]) -> DataFram
     spark = ws.spark
     files = list_files(spark, source_dir)
     matched = match_files(files, plan.sources_df(spark))
-    raw, sheets, _ = load_raw_rows(ws, source_dir, files, matched)
+    raw, sheets, _ = load_raw_rows(ws, source_dir, files, matched, plan.sources, max_header_row=max((s[7] for s in plan.sources), default=1))
     if raw is None:
         return spark.createDataFrame([], "source_header string, problem string")
     src = source_files(matched, sheets)
@@ -190,7 +189,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
 
     matched = match_files(files, plan.sources_df(spark))
     max_header = max(s[7] for s in plan.sources) if plan.sources else 1
-    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, set(ext_counts), max_header)
+    raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, plan.sources, set(ext_counts), max_header, paths)
     if rejected is not None:
         for r in rejected.select("path", "error").collect():
             warnings.append(f"skipped unreadable file {r['path'].rsplit('/', 1)[-1]}: {r['error']}")

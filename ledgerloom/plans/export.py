@@ -80,11 +80,8 @@ def export_source_sheet(ws: Workspace, file_path: str, path: str, header_row: in
     if file_path.lower().endswith(".csv"):
         raw = csv_raw_rows(spark, file_path)
     else:
-        from ledgerloom.sources.workbook import read_workbooks
-        raw = read_workbooks(spark, [file_path])
-        if sheet is None:
-            sheet = raw.orderBy("sheet_pos").select("source_sheet").first()["source_sheet"]
-        raw = raw.filter(F.col("source_sheet") == sheet)
+        from ledgerloom.sources.workbook import read_workbooks, want_sheet
+        raw = read_workbooks(spark, [file_path], want_sheet(sheet))
     keys = ["source_file", "source_sheet"]
     canon = H.canonicalize(H.header_long(raw.filter(F.col("row_no") == header_row), keys), keys)
     return export_sheet(raw, canon, path, header_row, single_file)

@@ -20,6 +20,7 @@ from pyspark.sql.classic.column import Column as ClassicColumn
 
 from ledgerloom.config import ConfigError
 from ledgerloom.plans.workspace import MASTER, TableMissingError, Workspace, bt_namespace, slug
+from ledgerloom.session import clone
 
 _QUOTES = "spark.sql.ansi.doubleQuotedIdentifiers"
 # Parsed statements that are no query: commands, and those that become one when they are analysed.
@@ -27,11 +28,6 @@ _WRITE = re.compile(r"Command$|^(Insert|Create|Replace|Drop|Delete|Update|Merge|
 _PART = re.compile(r'\s*(`(?:[^`]|``)*`|"(?:[^"]|"")*"|\w+)', re.UNICODE)
 
 
-def clone(spark: SparkSession) -> SparkSession:
-    """A session of its own with the settings and temporary views of ``spark``."""
-    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-
-
 @contextmanager
 def _active(session: SparkSession) -> Iterator[None]:
     """The session whose settings the parser follows in this thread."""

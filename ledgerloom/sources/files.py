@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Readable source extensions (case-insensitive) and the lock-file prefix.
 SOURCE_EXT_RE = "(?i)\\.(xlsx|xls|csv)$"
+WORKBOOK_EXT_RE = "(?i)\\.(xlsx|xls)$"
 LOCK_PREFIX = "~$"
 
 FILES_SCHEMA = T.StructType([
@@ -70,14 +71,17 @@ def files_from_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFr
               .select(*[f.name for f in FILES_SCHEMA.fields]))
 
 
+def source_hit(regex: Column, path: Column, rel_path: Column) -> Column:
+    """Whether a source's regex matches a file by its relative or absolute path."""
+    return F.regexp_like(rel_path, regex) | F.regexp_like(F.regexp_replace(path, "^file:", ""), regex) | F.regexp_like(path, regex)
+
+
 def match_files(files: DataFrame, rule_sources: DataFrame) -> DataFrame:
     """Files x rule sources where the source regex matches the relative or the
     absolute path. ``rule_sources`` comes from the rule YAML (bounded by the rule
     count), so it is broadcast and the theta join never shuffles the file list."""
     rs = F.broadcast(rule_sources)
-    local_path = F.regexp_replace(files["path"], "^file:", "")
-    cond = F.regexp_like(files["rel_path"], rs["regex"]) | F.regexp_like(local_path, rs["regex"]) | F.regexp_like(files["path"], rs["regex"])
-    return files.join(rs, cond, "inner")
+    return files.join(rs, source_hit(rs["regex"], files["path"], files["rel_path"]), "inner")
 
 
 def csv_sheets(files: DataFrame) -> DataFrame:

@@ -2,19 +2,22 @@
 S10 ``_xHHHH_`` decoding, S11 quarantine).
 
 The only Python on the data path: a workbook is a zip of XML parts and cannot
-be split, so each file is one task. ``binaryFile`` rows are range-partitioned
-by path (about one file per partition) and ``mapInPandas`` streams each sheet's
-XML with ``iterparse``, yielding Arrow batches of at most ``BATCH_ROWS`` rows
+be split, so each file is one task. Spark's reader gives ``binaryFile`` rows, one file per
+split and Arrow batch (files that no rule source matches are pruned when the scan is planned, by their path), and
+``mapInPandas`` lists every sheet from the zip directory and ``workbook.xml``, and parses the XML of the
+wanted sheets only: a rule source says which sheet of a file, and up to which row. The XML is streamed with
+``iterparse``, yielding Arrow batches of at most ``BATCH_ROWS`` rows
 -- memory stays flat however long the sheet is. The emitter only decodes cells
 into the tagged (value, kind) form plus a few per-sheet counters; everything
 after (bounds rule, gap rows, column cut, trailing-empty trim, sheet choice,
 quarantine of partial files) is DataFrame expressions and joins.
 
 Emitted records (one schema, ``rec`` tells them apart):
-  ``row``   every physical row from the dimension start to the last ``<row>``
+  ``listed`` every sheet of a file with its position, parsed or not.
+  ``row``   every physical row of a wanted sheet from the dimension start to the last ``<row>``
             (missing rows become empty rows -- S7 gap fill), cells relative to
             the dimension's first column; holes are ''.
-  ``sheet`` per sheet: position, dimension size, last row holding a value, and
+  ``sheet`` per parsed sheet: position, dimension size, last row holding a value, and
             the number of values in each column (S6 inputs).
   ``error`` a file that could not be read (S11); its rows are dropped.
 """
@@ -24,15 +27,17 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.sizing import broadcast_if_small
-from ledgerloom.session import work_dir
+from ledgerloom.session import clone, work_dir
+from ledgerloom.sources.csvrows import literal_path
+from ledgerloom.sources.files import LOCK_PREFIX, WORKBOOK_EXT_RE, source_hit, to_uri
 
 BATCH_ROWS = 5000
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -43,6 +48,8 @@ NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 ERROR_CODES = {"#NULL!": 0, "#DIV/0!": 7, "#VALUE!": 15, "#REF!": 23, "#NAME?": 29, "#NUM!": 36,
                "#N/A": 42, "#GETTING_DATA": 43, "#WTF?": 255}
 
+EMIT_COLUMNS = ("rec", "source_file", "source_sheet", "sheet_pos", "row_no", "cells", "kinds", "dim_rows", "dim_cols",
+                "max_value_row", "col_counts", "error")
 EMIT_SCHEMA = ("rec string, source_file string, source_sheet string, sheet_pos int, row_no long, "
                "cells array<string>, kinds string, dim_rows long, dim_cols int, max_value_row long, "
                "col_counts array<long>, error string")
@@ -91,27 +98,34 @@ def _text_of(el) -> str:
     return "".join(t.text or "" for t in el.iter(f"{NS_MAIN}t"))
 
 
-def _sheet_targets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+def _parts(z: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo]:
+    """The parts of a package by name; some writers separate folders by backslashes."""
+    return {i.filename.replace("\\", "/"): i for i in z.infolist()}
+
+
+def _sheet_targets(z: zipfile.ZipFile, parts: dict[str, zipfile.ZipInfo]) -> list[tuple[str, str]]:
+    """(name, part) of every sheet in order. Targets are relative to ``xl/`` or start at the package; a sheet without a
+    relation has the part of its number."""
     rels = {}
-    with z.open("xl/_rels/workbook.xml.rels") as fh:
-        for _, el in iterparse(fh):
-            if el.tag.endswith("Relationship"):
-                rels[el.get("Id")] = el.get("Target")
+    if "xl/_rels/workbook.xml.rels" in parts:
+        with z.open(parts["xl/_rels/workbook.xml.rels"]) as fh:
+            for _, el in iterparse(fh):
+                if el.tag.endswith("Relationship"):
+                    rels[el.get("Id")] = el.get("Target")
     out = []
-    with z.open("xl/workbook.xml") as fh:
+    with z.open(parts["xl/workbook.xml"]) as fh:
         for _, el in iterparse(fh):
             if el.tag == f"{NS_MAIN}sheet":
-                t = rels.get(el.get(f"{NS_REL}id"), "")
-                t = t.lstrip("/")
-                out.append((el.get("name"), t if t.startswith("xl/") else "xl/" + t))
+                target = (rels.get(el.get(f"{NS_REL}id")) or f"worksheets/sheet{len(out) + 1}.xml").replace("\\", "/").lstrip("/")
+                out.append((el.get("name") or "", target if target.startswith("xl/") else "xl/" + target))
     return out
 
 
-def _shared_strings(z: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in z.namelist():
+def _shared_strings(z: zipfile.ZipFile, parts: dict[str, zipfile.ZipInfo]) -> list[str]:
+    if "xl/sharedStrings.xml" not in parts:
         return []
     out = []
-    with z.open("xl/sharedStrings.xml") as fh:
+    with z.open(parts["xl/sharedStrings.xml"]) as fh:
         for _, el in iterparse(fh):
             if el.tag == f"{NS_MAIN}si":
                 out.append(decode_escapes(_text_of(el)))
@@ -119,6 +133,22 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
+def _wanted(sheets: list[tuple[str, str]], wants) -> dict[int, int | None]:
+    """Positions of the wanted sheets and the last row wanted of each (None: all). A want names a sheet, or gives its position;
+    with ``fallback`` a name that is not there means the first sheet."""
+    if wants is None:
+        return {pos: None for pos in range(len(sheets))}
+    out: dict[int, int | None] = {}
+    names = [n for n, _ in sheets]
+    for w in wants:
+        pos = w["pos"] if w["name"] is None else names.index(w["name"]) if w["name"] in names else 0 if w["fallback"] else None
+        if pos is None or not 0 <= pos < len(sheets):
+            continue
+        last = None if w["last"] is None else int(w["last"])
+        out[pos] = None if last is None or out.get(pos, 0) is None else max(last, out.get(pos, 0))
+    return out
+
+
 def cell_value(t: str | None, raw: str | None, inline: str | None, shared: list[str]) -> tuple[str | None, str, bool]:
     """(value, kind, counts_as_value). Booleans read true for 1/true/TRUE;
     known errors keep kind ``e`` (code 0 -> NULL, others ''), unknown errors are
@@ -151,19 +181,29 @@ def _rows_frame(path, sheet, pos, buf):
         "dim_rows": None, "dim_cols": None, "max_value_row": None, "col_counts": None, "error": None})
 
 
-def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+def _record(**values) -> pd.DataFrame:
+    return pd.DataFrame([dict.fromkeys(EMIT_COLUMNS) | values])
+
+
+def _emit_file(path: str, content: bytes, wants=None) -> Iterator[pd.DataFrame]:
     z = zipfile.ZipFile(io.BytesIO(content))
-    shared = _shared_strings(z)
+    parts = _parts(z)
+    sheets = _sheet_targets(z, parts)
+    for pos, (name, _) in enumerate(sheets):
+        yield _record(rec="listed", source_file=path, source_sheet=name, sheet_pos=pos)
+    wanted = {p: last for p, last in _wanted(sheets, wants).items() if sheets[p][1] in parts}
+    shared = _shared_strings(z, parts) if wanted else []
     tag_c, tag_v, tag_is = f"{NS_MAIN}c", f"{NS_MAIN}v", f"{NS_MAIN}is"
     col_cache: dict[str, int] = {}
-    for pos, (name, target) in enumerate(_sheet_targets(z)):
+    for pos, until in wanted.items():
+        name, target = sheets[pos]
         row0 = col0 = 0
         dim_rows = dim_cols = None
         counts: dict[int, int] = {}
         max_value_row = 0
         next_row = None          # next physical row (0-based) to emit
         buf, rows = [], None
-        with z.open(target) as fh:
+        with z.open(parts[target]) as fh:
             for ev, el in iterparse(fh, events=("start", "end")):
                 tag = el.tag
                 if ev == "start":
@@ -217,13 +257,13 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
                     if valued:
                         # Missing and empty rows are written once a row with a value follows
                         # (a sheet's trailing empty rows are cut anyway, S6)
-                        while next_row < r:
+                        while next_row < r and (until is None or next_row - row0 < until):
                             buf.append((next_row - row0 + 1, [], ""))
                             next_row += 1
                             if len(buf) >= BATCH_ROWS:
                                 yield _rows_frame(path, name, pos, buf)
                                 buf = []
-                        if r >= row0:
+                        if r >= row0 and (until is None or r - row0 < until):
                             buf.append((r - row0 + 1, cells, "".join(kinds)))
                         next_row = r + 1
                     if rows is not None:
@@ -234,51 +274,92 @@ def _emit_file(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         if buf:
             yield _rows_frame(path, name, pos, buf)
         n_cols = max(counts) + 1 if counts else 0
-        yield pd.DataFrame({
-            "rec": ["sheet"], "source_file": [path], "source_sheet": [name], "sheet_pos": [pos], "row_no": [None],
-            "cells": [None], "kinds": [None],
-            "dim_rows": [dim_rows if dim_rows is not None else max_value_row],
-            "dim_cols": [dim_cols if dim_cols is not None else n_cols],
-            "max_value_row": [max_value_row], "col_counts": [[counts.get(i, 0) for i in range(n_cols)]],
-            "error": [None]})
+        yield _record(rec="sheet", source_file=path, source_sheet=name, sheet_pos=pos,
+                      dim_rows=dim_rows if dim_rows is not None else max_value_row, dim_cols=dim_cols if dim_cols is not None else n_cols,
+                      max_value_row=max_value_row, col_counts=[counts.get(i, 0) for i in range(n_cols)])
 
 
 def _emitter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
+        for path, content, wants in zip(pdf["path"], pdf["content"], pdf["wants"]):
             try:
-                yield from _emit_file(path, content)
+                yield from _emit_file(path, content, wants)
             except Exception as e:  # noqa: BLE001 - S11: quarantine, never fail the run
-                yield pd.DataFrame({
-                    "rec": ["error"], "source_file": [path], "source_sheet": [None], "sheet_pos": [None],
-                    "row_no": [None], "cells": [None], "kinds": [None], "dim_rows": [None], "dim_cols": [None],
-                    "max_value_row": [None], "col_counts": [None], "error": [f"{type(e).__name__}: {e}"]})
+                yield _record(rec="error", source_file=path, error=f"{type(e).__name__}: {e}")
 
 
+WANTS = "array<struct<name string, pos int, last long, fallback boolean>>"
 # One workbook per task and per Arrow batch: files are read where they are, no bytes are shuffled.
 _ONE_FILE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.files.maxPartitionBytes": "1",
              "spark.sql.files.openCostInBytes": "1"}
 
 
-def emit_workbooks(spark: SparkSession, paths: DataFrame, stage: str | None = None, max_header_row: int = 1) -> DataFrame:
-    """The emitter's records of the files in ``paths`` (one column ``path``), written once as Parquet
-    (each workbook parsed once) and partitioned by ``_head``: sheet / error records and rows up to the
-    largest header row in 1, so header extraction and sheet listing read only that."""
-    stage = stage or work_dir(spark, "workbooks", fresh=True)
-    files = [r["path"] for r in paths.select("path").distinct().collect()]   # file names only (metadata)
-    before = {k: spark.conf.get(k, None) for k in _ONE_FILE}
+def wants_of(sources: list[tuple], path: Column, rel_path: Column) -> Column:
+    """What the rule sources (rows of ``SOURCES_SCHEMA``; bounded by the rules) want of the file at ``path``: an empty array
+    if none matches it. A source wants a sheet by name, else by position (the first), up to its last row."""
+    hits = []
+    for _, _, _, _, regex, name, index, header_row, end_row in sources:
+        last = None if end_row is None else max(int(end_row), int(header_row))
+        want = F.struct(F.lit(name or None).cast("string").alias("name"), F.lit(index or 0).alias("pos"), F.lit(last).cast("long").alias("last"),
+                        F.lit(False).alias("fallback"))
+        hits.append(F.when(source_hit(F.lit(regex), path, rel_path), want))
+    return F.filter(F.array(*hits), lambda w: w.isNotNull()).cast(WANTS) if hits else F.array().cast(WANTS)
+
+
+def want_sheet(name: str | None = None, last: int | None = None, fallback: bool = False) -> Column:
+    """One sheet of every file: by name (with ``fallback`` the first if the name is not there), else the first."""
+    return F.array(F.struct(F.lit(name or None).cast("string").alias("name"), F.lit(0).alias("pos"), F.lit(last).cast("long").alias("last"),
+                            F.lit(fallback).alias("fallback")))
+
+
+def _scan(spark: SparkSession, root: str | list[str], prune: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, content) of the workbooks below a folder, or of the files given, in a session of its own that
+    reads one file per task. ``prune`` is a condition on the path, applied when the files are listed."""
+    own = clone(spark)
     for k, v in _ONE_FILE.items():
-        spark.conf.set(k, v)
-    try:
-        src = spark.read.format("binaryFile").load(files).select("path", "content")
-        out = src.mapInPandas(_emitter, EMIT_SCHEMA).withColumn("_head", F.when(
-            (F.col("rec") != "row") | (F.col("row_no") <= F.lit(int(max_header_row))), F.lit(1)).otherwise(F.lit(0)))
-        schema = out.schema
-        out.write.partitionBy("_head").parquet(stage)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(schema).parquet(stage)
+        own.conf.set(k, v)
+    reader = own.read.format("binaryFile").option("recursiveFileLookup", "true")
+    src = reader.load([literal_path(p) for p in root] if isinstance(root, list) else root)
+    shown = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(shown, "([^/]*)$", 1)
+    keep = name.rlike(WORKBOOK_EXT_RE) & ~name.startswith(LOCK_PREFIX)
+    return src.filter(keep if prune is None else keep & prune(shown)).select("path", "content")
+
+
+def emit(scan: DataFrame, wants: Column, stage: str, max_header_row: int = 1) -> None:
+    """The emitter's records of a scan, written once as Parquet (each workbook parsed once) and partitioned by ``_head``:
+    sheet / error records and rows up to the largest header row in 1, so header extraction and sheet listing read only that."""
+    out = scan.withColumn("wants", wants).mapInPandas(_emitter, EMIT_SCHEMA).withColumn("_head", F.when(
+        (F.col("rec") != "row") | (F.col("row_no") <= F.lit(int(max_header_row))), F.lit(1)).otherwise(F.lit(0)))
+    out.write.partitionBy("_head").parquet(stage)
+
+
+def emit_workbooks(spark: SparkSession, root: str | list[str], stage: str | None = None, max_header_row: int = 1,
+                   sources: list[tuple] | None = None, wants: Column | None = None, base: str | None = None) -> DataFrame:
+    """The emitter's records of the workbooks below a folder or of the files given. ``sources``: only files that
+    a rule source matches (relative to ``base``), and only the sheets they want; ``wants``: the same sheets of every file; else all."""
+    stage = stage or work_dir(spark, "workbooks", fresh=True)
+    if sources is not None:
+        prefix = to_uri(base or root) + "/"
+        rel = lambda p: F.when(p.startswith(prefix), F.substr(p, F.lit(len(prefix) + 1))).otherwise(p)
+        scan = _scan(spark, root, lambda p: F.size(wants_of(sources, p, rel(p))) > 0)
+        emit(scan, wants_of(sources, F.col("path"), rel(F.col("path"))), stage, max_header_row)
+    else:
+        emit(_scan(spark, root), (F.lit(None) if wants is None else wants).cast(WANTS), stage, max_header_row)
+    return spark.read.schema(EMIT_SCHEMA + ", _head int").parquet(stage)
+
+
+def workbook_sheets(spark: SparkSession, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(source_file, sheet_name, sheet_pos) of every workbook, and the files that cannot be read; no sheet is parsed."""
+    return sheet_list(emit_workbooks(spark, root, wants=F.array().cast(WANTS)))
+
+
+def sheet_list(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listed sheets of readable files, and (path, error) of the others."""
+    meta = emitted.filter(F.col("_head") == 1)
+    errors = meta.filter(F.col("rec") == "error").select(F.col("source_file").alias("path"), "error")
+    listed = meta.filter(F.col("rec") == "listed").join(errors.select(F.col("path").alias("source_file")), "source_file", "left_anti")
+    return listed.select("source_file", F.col("source_sheet").alias("sheet_name"), "sheet_pos"), errors
 
 
 def sheet_bounds(sheets: DataFrame) -> DataFrame:
@@ -297,42 +378,28 @@ def shape_rows(emitted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Returns (raw_rows, sheets, rejected). Row end = last row holding a value
     (capped by the dimension); column end = rightmost column with at least two
     values (a lone value is formatting debris), else the declared width."""
-    head = "_head" in emitted.columns
-    # sheet / error records always sit in the _head=1 partition of a staged emitter output
-    meta = emitted.filter(F.col("_head") == 1) if head else emitted
-    errors = meta.filter(F.col("rec") == "error").select(F.col("source_file").alias("path"), "error")
-    sheets = meta.filter(F.col("rec") == "sheet")
-    bounds = sheet_bounds(sheets)
+    listed, errors = sheet_list(emitted)
+    bounds = sheet_bounds(emitted.filter((F.col("_head") == 1) & (F.col("rec") == "sheet")))
     rows = emitted.filter(F.col("rec") == "row").join(broadcast_if_small(bounds, 200_000),
                                                       ["source_file", "source_sheet", "sheet_pos"])
     rows = rows.filter(F.col("row_no") <= F.col("row_end"))
     cut = F.slice("cells", 1, F.greatest(F.col("n_cols"), F.lit(0)))
     last = F.aggregate(F.transform(cut, lambda x, i: F.when(x.isNotNull() & (x != ""), i + 1).otherwise(0)),
                        F.lit(0), lambda a, b: F.greatest(a, b))
-    extra = ["_head"] if head else []
     raw = rows.select("source_file", "source_sheet", "sheet_pos", "row_no",
-                      F.slice(cut, 1, last).alias("cells"),
-                      F.substring("kinds", 1, last).alias("_k"), last.alias("_n"), *extra) \
-              .select("source_file", "source_sheet", "sheet_pos", "row_no", "cells",
-                      F.col("_k").alias("kinds"), *extra)
+                      F.slice(cut, 1, last).alias("cells"), F.substring("kinds", 1, last).alias("kinds"), "_head")
     raw = raw.join(errors.select(F.col("path").alias("source_file")), "source_file", "left_anti")
-    sheet_list = sheets.join(errors.select(F.col("path").alias("source_file")), "source_file", "left_anti") \
-                       .select("source_file", F.col("source_sheet").alias("sheet_name"), "sheet_pos")
-    return raw, sheet_list, errors
+    return raw, listed, errors
 
 
-def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw rows (with ``sheet_pos``) of the given workbook files (small helper for
-    previews / exports; the clean stage stages the emitter output instead)."""
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
-    raw, _, _ = shape_rows(emit_workbooks(spark, df))
+def read_workbooks(spark: SparkSession, paths: list[str], wants: Column | None = None) -> DataFrame:
+    """Raw rows (with ``sheet_pos``) of the given workbook files, of the wanted sheets (all by default)."""
+    raw, _, _ = shape_rows(emit_workbooks(spark, paths, wants=wants))
     return raw.drop("_head")
 
 
-def workbook_raw_rows(ws, wb_files: DataFrame, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Emitter output staged once as Parquet (each workbook parsed once), then
-    shaped: (raw_rows without sheet_pos, sheets, rejected files). The stage is
-    partitioned by ``_head`` (sheet / error records and rows up to the largest
-    header row in 1), so header extraction and sheet listing read only that."""
-    raw, sheets, errors = shape_rows(emit_workbooks(ws.spark, wb_files, ws.stage_dir("workbooks"), max_header_row))
+def workbook_raw_rows(ws, root: str | list[str], sources: list[tuple], base: str, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Emitter output staged once as Parquet (each workbook parsed once, wanted sheets only), then
+    shaped: (raw_rows without sheet_pos, sheets, rejected files)."""
+    raw, sheets, errors = shape_rows(emit_workbooks(ws.spark, root, ws.stage_dir("workbooks"), max_header_row, sources, base=base))
     return raw.drop("sheet_pos"), sheets, errors

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig, BigTableField, Rule, RuleField, RuleSource
 from ledgerloom.operators import detect as D
-from ledgerloom.sources.workbook import emit_workbooks, sheet_bounds
+from ledgerloom.sources.workbook import emit_workbooks, shape_rows, sheet_bounds
 from ledgerloom.suite.common import clean_folder, path_part
 from ledgerloom.suite.xlsx_fixture import GAP_EVERY, orders_workbooks
 
@@ -76,8 +76,7 @@ def workbook_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sheet, last row with a value (dimension-capped) and the real
     column count (columns with at least two values)."""
     folder = orders_workbooks(spark, sf_dir)
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    sheets = emit_workbooks(spark, paths).filter(F.col("rec") == "sheet")
+    sheets = emit_workbooks(spark, folder).filter(F.col("rec") == "sheet")
     return sheet_bounds(sheets).select(path_part("source_file", "prio").alias("prio"),
                                        path_part("source_file", "b").cast("int").alias("b"),
                                        "source_sheet", "row_end", "n_cols")
@@ -94,9 +93,7 @@ SELECT DISTINCT o_orderpriority, CAST(o_orderkey % 4 AS INTEGER), '说明', CAST
 def workbook_header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6 on workbooks: the title row loses to the header row (row 3)."""
     folder = orders_workbooks(spark, sf_dir)
-    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    from ledgerloom.sources.workbook import shape_rows
-    raw, _, _ = shape_rows(emit_workbooks(spark, paths))
+    raw, _, _ = shape_rows(emit_workbooks(spark, folder))
     det = D.detect_header_row(raw.filter(F.col("source_sheet") == "orders"))
     return det.select(path_part("source_file", "prio").alias("prio"),
                       path_part("source_file", "b").cast("int").alias("b"), "header_row", "score")
