@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import datetime as _dt
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig, CleanPipeline, ConfigError, Rule, validate_big_table, validate_pipeline
@@ -22,11 +24,13 @@ from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
-from ledgerloom.sources.csvrows import csv_raw_rows
+from ledgerloom.sources.csvrows import BOM_BYTES, csv_raw_rows
 from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files
 
 LINEAGE_COLUMNS = ("__source_file", "__source_sheet", "__source_row", "__extracted_at")
 KEYS = ["source_file", "source_sheet", "header_row"]
+#: The column beside a run's rows with its rejected values, and the characters of one that are kept.
+REJECTS, REJECTS_TYPE, SAMPLE_CHARS = "__rejects", "array<struct<column string, value string>>", 200
 
 
 @dataclass
@@ -38,6 +42,31 @@ class CleanResult:
     rejects: dict[str, int] = field(default_factory=dict)
     raw_path: str | None = None          # staged raw rows, when staged
     raw_rows: DataFrame | None = None    # raw rows of the run (staged or re-scanned), for drill-back / previews
+    rejected_files: DataFrame | None = None   # S11: (path, problem, skipped, n)
+    reject_detail: DataFrame | None = None    # C7: (file, sheet, column, n, samples) of values that could not be coerced
+
+
+#: Files that a run's warnings name; ``rejected_files`` has them all.
+NOTED_FILES = 20
+REJECTED_SCHEMA = "path string, problem string, skipped boolean, n long"
+
+
+def _quarantined(ws: Workspace, rejected: DataFrame | None, warnings: list[str]) -> DataFrame:
+    """The files with problems, staged once, with warnings for the first of those that are skipped."""
+    if rejected is None:
+        return ws.spark.createDataFrame([], REJECTED_SCHEMA)
+    path = ws.stage_dir("rejected")
+    seen = Observation(f"rejected_{path[-12:]}")
+    rejected.observe(seen, F.sum(F.col("skipped").cast("int")).alias("skipped"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = ws.spark.read.schema(REJECTED_SCHEMA).parquet(path)
+    skipped, noted = int(seen.get["skipped"] or 0), int(seen.get["n"] or 0)
+    if noted:
+        for r in out.orderBy(~F.col("skipped"), "path", "problem").limit(NOTED_FILES).collect():
+            name = r["path"].rsplit("/", 1)[-1]
+            warnings.append(f"skipped unreadable file {name}: {r['problem']}" if r["skipped"] else f"file {name}: {r['problem']}")
+    if noted > NOTED_FILES:
+        warnings.append(f"{skipped} files skipped as unreadable, {noted - skipped} with other problems: see rejected_files")
+    return out
 
 
 def now_iso() -> str:
@@ -78,11 +107,20 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
         parts.append(csv_raw)
         sheets.append(csv_sheets(files))
         ws.last_first_rows = info.get("first_rows")
+        # a file with bytes of which no line came
+        unseen = matched.filter((F.col("ext") == "csv") & (F.col("length") > BOM_BYTES)).select("path").distinct().join(info["seen"], "path", "left_anti")
+        rejected = info["notes"].unionByName(unseen.select("path", F.lit("not all bytes could be read").alias("problem"),
+                                                           F.lit(True).alias("skipped"), F.lit(0).cast("long").alias("n")))
     if exts & {"xlsx", "xls"}:
         # the workbook emitter output is itself staged (each file parsed once);
         # raw rows are cheap expressions over it
-        from ledgerloom.sources.workbook import workbook_raw_rows
-        raw_wb, sheets_wb, rejected = workbook_raw_rows(ws, source_dir if paths is None else paths, sources, source_dir, max_header_row)
+        from ledgerloom.sources.workbook import MAX_WORKBOOK_BYTES, workbook_raw_rows
+        raw_wb, sheets_wb, errors = workbook_raw_rows(ws, source_dir if paths is None else paths, sources, source_dir, max_header_row)
+        bad = errors.select("path", F.col("error").alias("problem"), F.lit(True).alias("skipped"), F.lit(None).cast("long").alias("n"))
+        large = matched.filter(F.col("ext").isin("xlsx", "xls") & (F.col("length") > MAX_WORKBOOK_BYTES)).select("path").distinct()
+        bad = bad.unionByName(large.select("path", F.lit(f"a workbook of more than {MAX_WORKBOOK_BYTES} bytes").alias("problem"),
+                                           F.lit(True).alias("skipped"), F.lit(None).cast("long").alias("n")))
+        rejected = bad if rejected is None else rejected.unionByName(bad)
         parts.append(raw_wb)
         sheets.append(sheets_wb)
     if not parts:
@@ -190,9 +228,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     matched = match_files(files, plan.sources_df(spark))
     max_header = max(s[7] for s in plan.sources) if plan.sources else 1
     raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, plan.sources, set(ext_counts), max_header, paths)
-    if rejected is not None:
-        for r in rejected.select("path", "error").collect():
-            warnings.append(f"skipped unreadable file {r['path'].rsplit('/', 1)[-1]}: {r['error']}")
+    rejected_files = _quarantined(ws, rejected, warnings)
 
     fields = plan.fields_df(spark)
     col_types = {c: big_table.type_of(c) for c in plan.columns}
@@ -204,7 +240,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
             ["__source_file string", "__source_sheet string", "__source_row bigint", "__extracted_at string"]))
         rows, _ = ws.write_table(empty, ns, table)
         s = RunSummary(pipeline.id, "clean", True, rows, None, warnings, [], n_files, f"{ns}.{table}")
-        return CleanResult(s, ns, table, plan.columns)
+        return CleanResult(s, ns, table, plan.columns, rejected_files=rejected_files)
 
     src = source_files(matched, sheets).cache()
     # per-(file, rule source) tables have at most files x sources rows: that bound
@@ -267,7 +303,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     present = [(F.col(f"_v{j}").isNotNull() & (F.col(f"_v{j}") != "")).alias(f"_p{j}")
                for j in range(len(plan.columns))]
     step0 = step0.select("*", *present)
-    keep_cols = list(LINEAGE_COLUMNS) + [f"_p{j}" for j in range(len(plan.columns))]
+    typed_cols = [j for j, c in enumerate(plan.columns) if col_types[c] != "TEXT"]      # only these reject values
+    keep_cols = list(LINEAGE_COLUMNS) + [f"_p{j}" for j in range(len(plan.columns))] + [f"_v{j}" for j in typed_cols]
     step1, cents_flags = staged_projection(step0, specs, keep_cols)
     cents_of = {j: cents_flags[f"_r{j}"] for j in range(len(plan.columns))}
     # numeric parse of text results bound for INTEGER / REAL columns, once
@@ -275,7 +312,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
                   if not cents_of[j] and col_types[c] == "REAL"]
     if parse_cols:
         step1 = step1.select("*", *parse_cols)
-    outs, flags = [], []
+    outs, flags, details = [], [], []
     for j, c in enumerate(plan.columns):
         r = F.col(f"_r{j}")
         if not cents_of[j] and col_types[c] == "REAL":
@@ -285,22 +322,44 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         outs.append(typed.alias(c))
         pre_ok = F.col(f"_p{j}") if cents_of[j] else (r.isNotNull() & (r.cast("string") != ""))
         flags.append((pre_ok & typed.isNull()).alias(f"__rej_{j}"))
+        if j in typed_cols:
+            details.append(F.when(F.col(f"__rej_{j}"), F.struct(F.lit(c).alias("column"), F.left(F.col(f"_v{j}"), F.lit(SAMPLE_CHARS)).alias("value"))))
     # rejected values (present before typing, NULL after) are counted in the same
-    # pass by observe; the flag columns are dropped before the write
-    staged = step1.select(*outs, *LINEAGE_COLUMNS, *flags)
+    # pass by observe; the values themselves are written beside the rows, in a column of the files that
+    # is NULL in rows without rejects and not part of the table
+    staged = step1.select(*outs, *LINEAGE_COLUMNS, *flags, *[f"_v{j}" for j in typed_cols])
+    found = F.lit(None).cast(REJECTS_TYPE)
+    if details:
+        some = reduce(or_, [F.col(f"__rej_{j}") for j in typed_cols])
+        found = F.when(some, F.filter(F.array(*details), lambda x: x.isNotNull()))
     metrics = [F.sum(F.col(f"__rej_{i}").cast("int")).alias(c) for i, c in enumerate(plan.columns)]
     obs_cols = [F.col(f"`{c}`") for c in plan.columns] + [F.col(c) for c in LINEAGE_COLUMNS]
     if mode == "append" and ws.exists(ns, table):
-        rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch)
+        rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch, beside=found.alias(REJECTS))
     else:
-        rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch)
+        rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch, beside=found.alias(REJECTS))
+    detail = _reject_detail(ws, got.get("__folder"), plan.columns)
     rejects = {c: int(got.get(c) or 0) for c in plan.columns}
     for c, n in rejects.items():
         if n:
             warnings.append(f"column {c!r}: {n} value(s) could not be coerced to {col_types[c]} (stored NULL)")
     summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}")
     ws.log_run(summary)
-    return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw)
+    return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw,
+                       rejected_files, detail)
+
+
+def _reject_detail(ws: Workspace, folder: str | None, columns: list[str]) -> DataFrame:
+    """Per file, sheet and column the rejected values' number, rows and samples (the first, the last and the smallest), from the
+    column that this run's write left beside its rows; files without rejects are skipped by their statistics."""
+    if folder is None:
+        return ws.spark.createDataFrame([], "source_file string, source_sheet string, column string, n long, first_row long, last_row long, samples array<string>")
+    schema = f"__source_file string, __source_sheet string, __source_row bigint, {REJECTS} {REJECTS_TYPE}"
+    hit = ws.spark.read.schema(schema).parquet(folder).filter(F.col(REJECTS).isNotNull())
+    each = hit.select(F.col("__source_file").alias("source_file"), F.col("__source_sheet").alias("source_sheet"), F.col("__source_row").alias("row"), F.explode(REJECTS).alias("r"))
+    return (each.groupBy("source_file", "source_sheet", F.col("r.column").alias("column"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"), F.max("row").alias("last_row"),
+                     F.array_distinct(F.array(F.min_by("r.value", "row"), F.max_by("r.value", "row"), F.min("r.value"))).alias("samples")))
 
 
 def _sql_type(t: str) -> str:

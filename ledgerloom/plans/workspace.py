@@ -194,22 +194,23 @@ class Workspace:
                    .orderBy("table", "position")
 
     # ---- writes ---------------------------------------------------------------
-    def _write(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None, project: list[Column] | None) -> tuple[str, T.StructType, int, dict]:
+    def _write(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None, project: list[Column] | None,
+               beside: Column | None = None) -> tuple[str, T.StructType, int, dict]:
         """Rows written to a folder that no version names yet: (folder, schema, rows, metrics), counted by one
-        ``observe`` on the write itself."""
+        ``observe`` on the write itself. ``beside`` is a column of the files that is not part of the table."""
         obs = Observation(f"w_{uuid.uuid4().hex[:8]}")
-        out = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
-        if project is not None:
-            out = out.select(*project)
+        observed = df.observe(obs, F.count(F.lit(1)).alias("__rows"), *list(metrics or []))
+        columns = ["*"] if project is None else list(project)
+        out = observed.select(*columns)
         folder = self._new_folder(ns, table)
-        out.write.mode("errorifexists").parquet(folder)
+        (out if beside is None else observed.select(*columns, beside)).write.mode("errorifexists").parquet(folder)
         got = dict(obs.get)
-        return folder, out.schema, int(got.pop("__rows", 0) or 0), got
+        return folder, out.schema, int(got.pop("__rows", 0) or 0), got | {"__folder": folder}
 
     def write_table(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
-                    project: list[Column] | None = None, batch: tuple[str, int] | None = None) -> tuple[int, dict]:
+                    project: list[Column] | None = None, batch: tuple[str, int] | None = None, beside: Column | None = None) -> tuple[int, dict]:
         """M1: write new data, then make it the table. Returns (rows, metrics)."""
-        folder, schema, rows, got = self._write(df, ns, table, metrics, project)
+        folder, schema, rows, got = self._write(df, ns, table, metrics, project, beside)
 
         def change(old: Version | None) -> Version:
             done = dict(old.batches) if old else {}
@@ -227,12 +228,12 @@ class Workspace:
         return v is not None and v.batches.get(batch[0], -1) >= batch[1]
 
     def append_observed(self, df: DataFrame, ns: str, table: str, metrics: list[Column] | None = None,
-                        project: list[Column] | None = None, batch: tuple[str, int] | None = None) -> tuple[int, dict]:
+                        project: list[Column] | None = None, batch: tuple[str, int] | None = None, beside: Column | None = None) -> tuple[int, dict]:
         """M2 with metrics: rows written to a folder of their own, which the next version adds to the table. New columns read NULL
         in older rows; a column whose type changed makes the table be written anew in the common type."""
         v = self.current(ns, table)
         if v is None:
-            return self.write_table(df, ns, table, metrics, project, batch)
+            return self.write_table(df, ns, table, metrics, project, batch, beside)
         kinds = {f.name: f.dataType for f in v.struct().fields}
         schema = (df.select(*project) if project is not None else df).schema
         if any(f.name in kinds and kinds[f.name] != f.dataType for f in schema.fields):
@@ -243,7 +244,7 @@ class Workspace:
             self.write_table(self._frame(v).unionByName(out, allowMissingColumns=True), ns, table, batch=batch)
             got = dict(obs.get)
             return int(got.pop("__rows", 0) or 0), got
-        folder, schema, rows, got = self._write(df, ns, table, metrics, project)
+        folder, schema, rows, got = self._write(df, ns, table, metrics, project, beside)
 
         def change(old: Version | None) -> Version | None:
             if batch and old and old.batches.get(batch[0], -1) >= batch[1]:

@@ -33,6 +33,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.session import work_dir
 
 CSV_SHEET = "csv"
@@ -71,6 +72,7 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
     Pass the listed files (not a folder) when the scan runs more than once: line
     order comes from the scan's partitioning, which must be the same each time."""
     reader = (spark.read.option("lineSep", "\n")
+              .option("ignoreCorruptFiles", "true")     # what is read is compared with the file's size (unreadable())
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.[cC][sS][vV]"))
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -84,15 +86,19 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
         F.col("value"),
     )
     lines = lines.filter(~F.col("_fname").startswith("~$")).drop("_fname")
+    # bytes that are no UTF-8 read as the replacement character
+    lines = lines.withColumn("bad", (~F.is_valid_utf8(F.col("value"))).cast("int")).withColumn("raw_bytes", F.octet_length(F.col("value")))
+    lines = lines.withColumn("value", F.when(F.col("bad") == 1, F.make_valid_utf8(F.col("value"))).otherwise(F.col("value")))
     trailing_cr = F.col("value").endswith("\r")
     body = F.when(trailing_cr, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return lines.select(
         "source_file", "block", "lid", "file_size",
-        (F.octet_length(F.col("value")) + 1).alias("nbytes"),
+        (F.col("raw_bytes") + 1).alias("nbytes"),
         body.alias("body"),
         trailing_cr.alias("crlf"),
         (_quotes(F.col("value")) % 2).cast("int").alias("odd"),
         F.when(F.instr(body, "\r") > 0, 1).otherwise(0).alias("lone_cr"),
+        "bad",
     )
 
 
@@ -119,6 +125,7 @@ def _block_table(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("odd").alias("odd_lines"),
         F.max("lone_cr").alias("cr_lines"),
+        F.sum("bad").alias("bad_lines"),
         F.sum("nbytes").alias("nbytes"),
         F.max("file_size").alias("file_size"),
     )
@@ -130,13 +137,28 @@ def _block_table(lines: DataFrame) -> DataFrame:
     total = F.sum("nbytes").over(whole)
     ends_nl = (total == F.col("file_size")) | (total == F.col("file_size") - BOM_BYTES)
     eof_lid = F.when(F.col("block") == F.max("block").over(whole), F.col("lid_last"))
+    whole_file = (total - F.col("file_size")).isin(0, 1, -BOM_BYTES, 1 - BOM_BYTES)
     return (blocks.withColumn("par_in", par_in)
+                  .withColumn("unreadable", ~whole_file)
                   .withColumn("ends_nl", ends_nl)
                   .withColumn("eof_lid", eof_lid)
                   .withColumn("simple", (F.col("par_in") == 0) & (F.col("odd_lines") == 0)
                               & (F.col("cr_lines") == 0)))
 
 
+def file_notes(blocks: DataFrame) -> DataFrame:
+    """(path, problem, skipped, n): a row per file and problem. A file of which not every byte could be read is skipped; one that ends
+    inside quotes, or has bytes that are no UTF-8, is read as the rules say and only reported, with the number of its lines."""
+    files = blocks.groupBy(F.col("source_file").alias("path")).agg(
+        F.max("unreadable").alias("unreadable"), (F.sum("odd_lines") % 2).alias("open"), F.sum("bad_lines").alias("bad"), F.sum("n_lines").alias("lines"))
+    problems = F.filter(F.array(
+        F.when(F.col("unreadable"), F.struct(F.lit("not all bytes could be read").alias("problem"), F.lit(True).alias("skipped"), F.col("lines").alias("n"))),
+        F.when(~F.col("unreadable") & (F.col("open") == 1), F.struct(F.lit("ends inside quotes").alias("problem"), F.lit(False).alias("skipped"), F.col("lines").alias("n"))),
+        F.when(~F.col("unreadable") & (F.col("bad") > 0), F.struct(F.lit("bytes that are no UTF-8").alias("problem"), F.lit(False).alias("skipped"), F.col("bad").alias("n")))),
+        lambda x: x.isNotNull())
+    return files.select("path", F.explode(problems).alias("p")).select("path", "p.problem", "p.skipped", "p.n")
+
+
 def _with_record_offsets(blocks: DataFrame, n_rec: DataFrame | None) -> DataFrame:
     if n_rec is None:
         b = blocks.withColumn("n_rec", F.col("n_lines"))
@@ -187,13 +209,22 @@ def csv_records(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYT
     1-based record ordinal within its file (blank records counted)."""
     lines, n_lines = stage_lines(spark, paths)
     blocks = _block_table(lines).checkpoint(eager=True)
-    stats = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"),
-                       F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex"),
-                       # files whose first split may not hold all header rows
-                       F.sum(F.when((F.col("block") == 0) & (F.col("n_lines") < max_header_row) & F.col("eof_lid").isNull(), 1)
-                             .otherwise(0)).alias("late")).first()
+    totals = [F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"),
+              F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex"),
+              # files whose first split may not hold all header rows
+              F.sum(F.when((F.col("block") == 0) & (F.col("n_lines") < max_header_row) & F.col("eof_lid").isNull(), 1)
+                    .otherwise(0)).alias("late"),
+              F.sum(F.col("unreadable").cast("int")).alias("unreadable")]
+    stats = blocks.agg(*totals).first()
     if int(stats["lines"] or 0) != n_lines:
         raise RowCountError(f"{RowCountError.code}: {n_lines} lines staged, {stats['lines']} summarised")
+    if info is not None:
+        info["notes"], info["seen"] = file_notes(blocks), blocks.select(F.col("source_file").alias("path")).distinct()
+    if int(stats["unreadable"] or 0):
+        blocks = blocks.filter(~F.col("unreadable"))
+        kept = blocks.select("bid", "block")
+        lines = lines.join(broadcast_if_small(kept, BROADCAST_BYTES // BLOCK_BYTES), ["bid", "block"], "left_semi")
+        stats = blocks.agg(*totals).first()
     n_complex = int(stats["complex"] or 0)
     small = int(stats["n"]) * BLOCK_BYTES <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)

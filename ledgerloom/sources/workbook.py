@@ -40,6 +40,8 @@ from ledgerloom.sources.csvrows import literal_path
 from ledgerloom.sources.files import LOCK_PREFIX, WORKBOOK_EXT_RE, source_hit, to_uri
 
 BATCH_ROWS = 5000
+#: Larger workbooks are not read: Spark's rows hold at most 2 GB.
+MAX_WORKBOOK_BYTES = 2**31 - 2**20
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -322,7 +324,7 @@ def _scan(spark: SparkSession, root: str | list[str], prune: Callable[[Column],
     src = reader.load([literal_path(p) for p in root] if isinstance(root, list) else root)
     shown = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_extract(shown, "([^/]*)$", 1)
-    keep = name.rlike(WORKBOOK_EXT_RE) & ~name.startswith(LOCK_PREFIX)
+    keep = name.rlike(WORKBOOK_EXT_RE) & ~name.startswith(LOCK_PREFIX) & (F.col("_metadata.file_size") <= MAX_WORKBOOK_BYTES)
     return src.filter(keep if prune is None else keep & prune(shown)).select("path", "content")
 
 
