@@ -54,9 +54,9 @@ def main():
         wws = Workspace(spark)
         clean_folder(spark, FX.journal_folder(spark, warm_dir), [JOURNAL_RULE], JOURNAL_TABLE, wws)
         clean_folder(spark, orders_workbooks(spark, warm_dir), [WB_RULE], WB_TABLE, wws)
-        sql_clean(wws, SqlCleanPipeline("w", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-                  {"序时账": "seq"})
-        run_query(wws, QueryPipeline("wq", BUCKET_SQL, "buckets", ["seq"]))
+        sql_clean(wws, SqlCleanPipeline("w", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+                  {"门店账": "entries"})
+        run_query(wws, QueryPipeline("wq", BUCKET_SQL, "sizes", ["entries"]))
         prep["warmup_sf0.001"] = round(time.time() - t, 3)
 
     def timed(name, fn):
@@ -81,11 +81,11 @@ def main():
     s = timed("sql_clean", lambda: sql_clean(
         ws, SqlCleanPipeline("m1", ["money"], "SELECT orderkey, linenumber, price_cents, signed_cents "
                              'FROM "bt_money".amounts WHERE price_cents IS NOT NULL', "lines"),
-        {"money": "amounts", "序时账": "seq"}))
+        {"money": "amounts", "门店账": "entries"}))
     rows["sql_clean"] = s.rows
-    sql_clean(ws, SqlCleanPipeline("m2", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-              {"序时账": "seq"})
-    b = timed("bucket_query", lambda: run_query(ws, QueryPipeline("qb", BUCKET_SQL, "buckets", ["seq"])))
+    sql_clean(ws, SqlCleanPipeline("m2", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+              {"门店账": "entries"})
+    b = timed("bucket_query", lambda: run_query(ws, QueryPipeline("qb", BUCKET_SQL, "sizes", ["entries"])))
     rows["bucket_query"] = rows["clean_orders_csv"]
     timed("adhoc_group", lambda: adhoc(
         ws, "SELECT l.orderkey, SUM(l.price_cents) AS c FROM master.lines l GROUP BY l.orderkey", capped=False).df.count())

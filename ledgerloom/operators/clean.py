@@ -51,10 +51,10 @@ NOTED_FILES = 20
 REJECTED_SCHEMA = "path string, problem string, skipped boolean, n long"
 
 
-def _quarantined(ws: Workspace, rejected: DataFrame | None, warnings: list[str]) -> DataFrame:
-    """The files with problems, staged once, with warnings for the first of those that are skipped."""
+def _quarantined(ws: Workspace, rejected: DataFrame | None, warnings: list[str]) -> tuple[DataFrame, int]:
+    """The files with problems, staged once, with warnings for the first ones; and how many are skipped."""
     if rejected is None:
-        return ws.spark.createDataFrame([], REJECTED_SCHEMA)
+        return ws.spark.createDataFrame([], REJECTED_SCHEMA), 0
     path = ws.stage_dir("rejected")
     seen = Observation(f"rejected_{path[-12:]}")
     rejected.observe(seen, F.sum(F.col("skipped").cast("int")).alias("skipped"), F.count(F.lit(1)).alias("n")).write.parquet(path)
@@ -66,7 +66,7 @@ def _quarantined(ws: Workspace, rejected: DataFrame | None, warnings: list[str])
             warnings.append(f"skipped unreadable file {name}: {r['problem']}" if r["skipped"] else f"file {name}: {r['problem']}")
     if noted > NOTED_FILES:
         warnings.append(f"{skipped} files skipped as unreadable, {noted - skipped} with other problems: see rejected_files")
-    return out
+    return out, skipped
 
 
 def now_iso() -> str:
@@ -228,7 +228,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     matched = match_files(files, plan.sources_df(spark))
     max_header = max(s[7] for s in plan.sources) if plan.sources else 1
     raw, sheets, rejected = load_raw_rows(ws, pipeline.source_dir, files, matched, plan.sources, set(ext_counts), max_header, paths)
-    rejected_files = _quarantined(ws, rejected, warnings)
+    rejected_files, skipped = _quarantined(ws, rejected, warnings)
 
     fields = plan.fields_df(spark)
     col_types = {c: big_table.type_of(c) for c in plan.columns}
@@ -239,7 +239,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
             [f"`{c}` {_sql_type(col_types[c])}" for c in plan.columns] +
             ["__source_file string", "__source_sheet string", "__source_row bigint", "__extracted_at string"]))
         rows, _ = ws.write_table(empty, ns, table)
-        s = RunSummary(pipeline.id, "clean", True, rows, None, warnings, [], n_files, f"{ns}.{table}")
+        s = RunSummary(pipeline.id, "clean", True, rows, None, warnings, [], n_files, f"{ns}.{table}", skipped)
         return CleanResult(s, ns, table, plan.columns, rejected_files=rejected_files)
 
     src = source_files(matched, sheets).cache()
@@ -343,7 +343,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     for c, n in rejects.items():
         if n:
             warnings.append(f"column {c!r}: {n} value(s) could not be coerced to {col_types[c]} (stored NULL)")
-    summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}")
+    summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}", skipped)
     ws.log_run(summary)
     return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw,
                        rejected_files, detail)

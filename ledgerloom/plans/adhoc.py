@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.pages import page
 from ledgerloom.plans.stages import is_reader
 from ledgerloom.plans.statements import change_rows, parsed, run_sql
 from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 
 DEFAULT_CAP = 5000
-LINEAGE_ORDER = ("__source_file", "__source_sheet", "__source_row")
 
 
 @dataclass
@@ -42,11 +42,8 @@ def adhoc(ws: Workspace, sql: str, folder: str | None = None, limit: int | None
 
 def preview_table(ws: Workspace, ns: str, table: str, offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:
     """Q7: one page of a stored table, in lineage order when the table has it
-    (otherwise by all columns), plus the total row count."""
-    df = ws.read(ns, table)
-    order = [c for c in LINEAGE_ORDER if c in df.columns] or df.columns
-    page = df.orderBy(*order).offset(offset).limit(limit)
-    return page, df.count()
+    (otherwise in storage order), plus the total row count; the table is not sorted."""
+    return page(ws, ns, table, offset, limit)
 
 
 def preview_source(raw: DataFrame, header_row: int = 1, offset: int = 0, limit: int = 100) -> DataFrame:

@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import (BigTableConfig, BigTableField, CleanPipeline, Pipeline, QueryPipeline, Rule,
                                RuleField, RuleSource, SqlCleanPipeline)
-from ledgerloom.operators import headers as H
 from ledgerloom.operators.clean import clean
-from ledgerloom.operators.detect import detect_header_row, guess_mapping
+from ledgerloom.operators.detect import guess_mapping
+from ledgerloom.plans.inspect import detect
 from ledgerloom.plans.impact import affected, build_graph, recompute_order
 from ledgerloom.plans.stages import run_query, sql_clean
-from ledgerloom.plans.workspace import MASTER, RunSummary, Workspace
-from ledgerloom.sources.csvrows import csv_raw_rows
+from ledgerloom.plans.workspace import MASTER, RunSummary, Workspace, bt_namespace
 from ledgerloom.sources.files import list_files
 
 
@@ -86,24 +85,19 @@ def run_batch(ws: Workspace, proj: Project, kind: str | None = None, folder: str
     return rebuild(ws, proj, [p.id for p in proj.pipelines if keep(p)])
 
 
-def quickstart(ws: Workspace, source_dir: str, folder: str, table: str = "seq",
+def quickstart(ws: Workspace, source_dir: str, folder: str, table: str = "entries",
                result_table: str | None = None) -> tuple[Project, list[RunSummary]]:
-    """Detect the header row of the first file, guess mappings from its
-    canonical headers, write the rule, clean, then copy into master with
-    ``SELECT *`` and check the row counts agree."""
+    """Detect the header row of the first file (CSV or workbook, its first sheet), guess mappings from its
+    canonical headers, write one rule for all files of the folder, clean, then copy into master with
+    ``SELECT *`` and check that the row counts agree and that every file gave rows or is reported."""
     spark = ws.spark
-    files = list_files(spark, source_dir).filter(F.col("ext") == "csv")
+    files = list_files(spark, source_dir)
     first = files.orderBy("rel_path").select("path").first()
     if first is None:
-        raise ValueError(f"no CSV source in {source_dir}")
-    raw = csv_raw_rows(spark, first["path"])
-    det = detect_header_row(raw).first()
-    header_row = int(det["header_row"])
-    keys = ["source_file", "source_sheet"]
-    hdr = raw.filter(F.col("row_no") == header_row)
-    canon = H.canonicalize(H.header_long(hdr, keys), keys)
+        raise ValueError(f"no source in {source_dir}")
+    _, header_row, canon = detect(spark, first["path"])
     guess = guess_mapping(canon).orderBy("pos").collect()      # one row per header cell
-    rule = Rule(folder, [RuleSource("**/*.csv", header_row)],
+    rule = Rule(folder, [RuleSource("**/*", header_row)],
                 [RuleField(g["source_header"], g["output_name"], i, True,
                            ["coerce_cents" if g["transform"] == "to-cents" else "none"])
                  for i, g in enumerate(guess)])
@@ -113,9 +107,13 @@ def quickstart(ws: Workspace, source_dir: str, folder: str, table: str = "seq",
                          result_table or table)
     proj = Project([c, m], [cfg], {folder: [rule]})
     runs = rebuild(ws, proj)
-    if all(r.ok for r in runs) and runs[0].rows != runs[-1].rows:
-        runs[-1].ok = False
-        runs[-1].error = f"row count differs: clean {runs[0].rows}, master {runs[-1].rows}"
+    if all(r.ok for r in runs):
+        seen = ws.read(bt_namespace(folder), table).select(F.col("__source_file").alias("path")).distinct()
+        silent = files.select("path").join(seen, "path", "left_anti").count() - runs[0].skipped
+        if runs[0].rows != runs[-1].rows:
+            runs[-1].ok, runs[-1].error = False, f"row count differs: clean {runs[0].rows}, master {runs[-1].rows}"
+        elif silent > 0:
+            runs[0].warnings.append(f"{silent} files gave no row")
     return proj, runs
 
 

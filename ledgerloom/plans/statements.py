@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
 from ledgerloom.config import ConfigError
+from ledgerloom.operators.recursion import recursive_union
 from ledgerloom.plans.workspace import MASTER, TableMissingError, Workspace, bt_namespace, slug
 from ledgerloom.session import clone
 
@@ -79,7 +80,8 @@ class Statement:
         elif kind == "UnresolvedWith":
             for pair in _seq(node.cteRelations()):
                 name, body = pair._1(), pair._2()
-                self._walk(body.child(), ctes, False)      # sees the expressions before it
+                inside = ctes | {name.lower()} if node.allowRecursion() else ctes
+                self._walk(body.child(), inside, False)      # sees the expressions before it, and itself if it may recur
                 ctes = ctes | {name.lower()}
         else:
             for e in _seq(node.expressions()):
@@ -174,11 +176,54 @@ def run_sql(ws: Workspace, sql: str, ns: str = MASTER, folders: list[str] | None
     st, text, _ = _prepared(ws, sql, ns, folders)
     if st.writes:
         raise ConfigError("SQL_NOT_READONLY", "only queries are allowed here")
-    df = st.session.sql(text)
+    df = _with_recursion(st.session, _reparsed(st, text)) or st.session.sql(text)
     st.session.conf.set(_QUOTES, "false")      # only this statement's quotes name identifiers
     return df
 
 
+def _rows_of(session: SparkSession, plan) -> DataFrame:
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _names_itself(node, name: str) -> bool:
+    if _kind(node) == "UnresolvedRelation":
+        parts = _seq(node.multipartIdentifier())
+        return len(parts) == 1 and parts[0].lower() == name.lower()
+    return any(_names_itself(n, name) for n in [*_seq(node.children()), *_seq(node.subqueries())])
+
+
+def _with_recursion(session: SparkSession, plan) -> DataFrame | None:
+    """A statement whose own WITH list is recursive, its expressions evaluated in order (``operators/recursion.py``) as
+    views of the statement's session; None for all other statements."""
+    if _kind(plan) != "UnresolvedWith" or not plan.allowRecursion():
+        return None
+    ctes = [(p._1(), p._2().child()) for p in _seq(plan.cteRelations())]
+    if not any(_names_itself(body, name) for name, body in ctes):
+        return None
+    for name, body in ctes:
+        names = None
+        if _kind(body) == "UnresolvedSubqueryColumnAliases":
+            names, body = list(_seq(body.outputColumnNames())), body.child()
+        if not _names_itself(body, name):
+            df = _rows_of(session, body)
+            (df.toDF(*names) if names else df).createOrReplaceTempView(f"`{name}`")
+            continue
+        distinct = _kind(body) == "Distinct"
+        union = body.child() if distinct else body
+        parts = _seq(union.children()) if _kind(union) == "Union" else []
+        if len(parts) != 2 or _names_itself(parts[0], name):
+            raise ConfigError("SQL_RECURSION", f"{name}: a recursive expression is a query, UNION or UNION ALL, and a query over {name}")
+        seed = _rows_of(session, parts[0])
+        seed = seed.toDF(*(names or seed.columns))
+
+        def step(rows: DataFrame, name=name, plan=parts[1]) -> DataFrame:
+            rows.createOrReplaceTempView(f"`{name}`")
+            return _rows_of(session, plan)
+        seed = seed.unionAll(step(seed).limit(0).toDF(*seed.columns))       # the common types of both queries
+        recursive_union(seed, step, distinct).createOrReplaceTempView(f"`{name}`")
+    return _rows_of(session, plan.child())
+
+
 def _target(st: Statement, scope: Scope, table) -> tuple[str, str, str | None, str]:
     """(namespace, slug, alias, name as written) of the table a statement writes to."""
     alias = None
@@ -232,7 +277,7 @@ def _insert(ws: Workspace, st: Statement, scope: Scope, root, plan, ctes) -> int
     query = plan.query()
     if ctes is not None:
         query = ctes.withNewChildren(_one(st.session, query))
-    df = DataFrame(st.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(st.session._jsparkSession, query), st.session)
+    df = _rows_of(st.session, query)
     have = ws.current(space, table).struct()
     into = list(_seq(root.userSpecifiedCols())) or have.names
     if root.byName():

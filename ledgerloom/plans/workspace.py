@@ -70,6 +70,7 @@ class RunSummary:
     unused_headers: list[str] = field(default_factory=list)
     files: int = 0
     result_table: str | None = None
+    skipped: int = 0                        # files that could not be read
 
 
 @dataclass(frozen=True)
@@ -308,6 +309,7 @@ class Workspace:
         row = asdict(s)
         row["warnings"] = json.dumps(s.warnings, ensure_ascii=False)
         row["unused_headers"] = json.dumps(s.unused_headers, ensure_ascii=False)
+        row.pop("skipped")
         row["at"] = _dt.datetime.now(_dt.timezone.utc).isoformat()
         schema = ("pipeline_id string, kind string, ok boolean, rows long, error string, warnings string, "
                   "unused_headers string, files long, result_table string, at string")

@@ -72,7 +72,7 @@ SELECT c_custkey AS key, replace(c_mktsegment, 'BUILDING', 'BUILT') AS segment,
 def reopen_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3: a workspace opened again knows its tables by their display names."""
     ws, _, _ = clean_folder(spark, FX.journal_folder(spark, sf_dir), [JOURNAL_RULE], JOURNAL_TABLE)
-    sql_clean(ws, SqlCleanPipeline("m", ["序时账"], 'SELECT note, order_key FROM "bt_序时账".seq', "明细"), {"序时账": "seq"})
+    sql_clean(ws, SqlCleanPipeline("m", ["门店账"], 'SELECT note, order_key FROM "bt_门店账".entries', "明细"), {"门店账": "entries"})
     Workspace(spark).write_table(spark.range(1), "master", "明细")     # another workspace has a table of this name
     again = Workspace(spark, ws.root)
     run_query(again, QueryPipeline("q", 'SELECT note, COUNT(*) AS n FROM "明细" GROUP BY note', "counts", ["明细"]))

@@ -173,18 +173,14 @@ def supplier_folder(spark: SparkSession, sf_dir: str, out: str) -> str:
     return out
 
 
-# A header row that repeats a name: contact, joined on, contact, code, contact, segment.
-REPEATED_HEADER = ["联系人", "加入日", "联系人", "编码", "联系人", "分组"]
+# A meter list: four readings and two units under one name each, and a header spelled like a numbered one.
+REPEATED_HEADER = ["站点", "读数", "单位", "读数_3", "读数", "备注", "单位", "读数", "读数"]
 
 
 def repeated_header_folder(spark: SparkSession, sf_dir: str) -> str:
-    c = table(spark, sf_dir, "customer")
-    rows = c.select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("_ord"),
-                    F.lit("").alias("c0"),
-                    F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("c_custkey").cast("int")),
-                                  "yyyy-MM-dd").alias("c1"),
-                    F.col("c_name").alias("c2"), F.concat(F.lit("A"), F.col("c_custkey").cast("string")).alias("c3"),
-                    F.lit("").alias("c4"), F.col("c_mktsegment").alias("c5"))
+    key = F.col("c_custkey")
+    cells = [F.col("c_name"), key, F.lit("kWh"), F.concat(F.lit("own "), key), key * 2, F.lit(""), F.concat(F.lit("u"), F.col("c_nationkey")), key * 3, key * 4]
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("seg"), key.alias("_ord"), *[x.cast("string").alias(f"c{i}") for i, x in enumerate(cells)])
     out = fresh_dir(spark, "repeated")
     write_csv_rows(rows, out, ["seg"], REPEATED_HEADER)
     return out

@@ -15,36 +15,38 @@ ORACLES: dict[str, str] = {}
 # The journal rule (source headers as in the fixture folder).
 JOURNAL_RULE = Rule("journal", [RuleSource("**/*.csv", 1)], [
     RuleField("订单号", "order_key", 0, True, ["none"]),
-    RuleField("借方金额", "借方余额", 1, True, ["coerce_cents"]),
+    RuleField("借方金额", "fen", 1, True, ["coerce_cents"]),
     RuleField("日期", "date", 2, True, ["coerce_date"]),
     RuleField("摘要", "note", 3, True, ["coerce_string"]),
 ])
-JOURNAL_TABLE = BigTableConfig("序时账", "seq", [BigTableField("order_key", "INTEGER"),
-                                                 BigTableField("借方余额", "INTEGER")])
-# cents div 500,000: whole steps of 5,000 yuan, toward zero
-BUCKET_SQL = 'SELECT INT("借方余额" div 500000) AS bucket, COUNT(*) AS n FROM seq WHERE "借方余额" IS NOT NULL GROUP BY ALL'
+JOURNAL_TABLE = BigTableConfig("门店账", "entries", [BigTableField("order_key", "INTEGER"),
+                                                 BigTableField("fen", "INTEGER")])
+# amounts by the number of digits of their cents
+BUCKET_SQL = """SELECT LENGTH(CAST(fen AS STRING)) AS digits, COUNT(*) AS n, SUM(fen) AS total, MAX("date") AS last_day
+FROM entries WHERE fen > 0 GROUP BY LENGTH(CAST(fen AS STRING))"""
 
 
 def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: journal CSV folder -> clean -> sql-clean into master -> bucket query."""
+    """Flagship: journal CSV folder -> clean -> sql-clean into master -> sizes of the amounts by their digits."""
     folder = FX.journal_folder(spark, sf_dir)
     ws, _, _ = clean_folder(spark, folder, [JOURNAL_RULE], JOURNAL_TABLE)
-    sql_clean(ws, SqlCleanPipeline("m1", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-              {"序时账": "seq"})
-    run_query(ws, QueryPipeline("q_bucket", BUCKET_SQL, "buckets", ["seq"]))
-    return ws.read("master", "buckets")
+    sql_clean(ws, SqlCleanPipeline("m1", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+              {"门店账": "entries"})
+    run_query(ws, QueryPipeline("sizes", BUCKET_SQL, "sizes", ["entries"]))
+    return ws.read("master", "sizes")
 
 
 ORACLES["bucket_histogram"] = f"""
-SELECT CAST(trunc({sql_cents('o_totalprice')} / 100 / 5000) AS INTEGER) AS bucket, COUNT(*) AS n
-FROM orders GROUP BY 1"""
+SELECT CAST(length(CAST({sql_cents('o_totalprice')} AS VARCHAR)) AS INTEGER) AS digits, COUNT(*) AS n,
+  CAST(SUM({sql_cents('o_totalprice')}) AS BIGINT) AS total, strftime(MAX(o_orderdate), '%Y-%m-%d') AS last_day
+FROM orders WHERE {sql_cents('o_totalprice')} > 0 GROUP BY 1"""
 
 
 def clean_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapped, typed columns plus the lineage of every row."""
     folder = FX.journal_folder(spark, sf_dir)
     _, _, df = clean_folder(spark, folder, [JOURNAL_RULE], JOURNAL_TABLE)
-    return df.select("order_key", F.col("借方余额").alias("debit"), "date", "note",
+    return df.select("order_key", F.col("fen").alias("debit"), "date", "note",
                      path_part("__source_file", "prio").alias("prio"),
                      path_part("__source_file", "b").cast("int").alias("b"),
                      "__source_sheet", "__source_row", "__extracted_at")
@@ -254,7 +256,7 @@ ORACLES["canonical_headers"] = f"WITH {_CANON_SQL} SELECT sheet, pos, h, name FR
 
 # Mapping headers asked for in every sheet (bare repeated names,
 # numbered names, a CR variant and an absent one).
-WANTED_HEADERS = ["BUILDING", "AUTOMOBILE_1", "MACHINERY_2", "HOUSEHOLD\r", "FURNITURE_0\r", "不存在的列"]
+WANTED_HEADERS = ["BUILDING", "AUTOMOBILE_1", "MACHINERY_2", "HOUSEHOLD\r", "FURNITURE_0\r", "WAREHOUSE_9"]
 
 
 def resolve_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,19 +288,18 @@ LEFT JOIN canon cr ON cr.sheet = w.sheet AND cr.name = replace(w.source_header,
 
 # ---------------------------------------------------------------- H3 / H8 / H9
 def repeated_header_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F3 layout: a repeated header must be named by number (联系人_2 is the
-    second name column); the bare name would fail the whole run (H3)."""
+    """H1, H3: repeated headers are picked by number, and the numbers jump over a header that is spelled like one;
+    the bare name would fail the whole run."""
     folder = FX.repeated_header_folder(spark, sf_dir)
-    rule = Rule("people", [RuleSource("**/*.csv", 1)], [
-        RuleField("联系人_2", "name", 0, True, ["coerce_string"]), RuleField("编码", "account", 1, True, []),
-        RuleField("加入日", "born", 2, True, ["coerce_date"]), RuleField("联系人_1", "name1", 3, True, [])])
-    _, _, df = clean_folder(spark, folder, [rule], BigTableConfig("people", "p"))
-    return df.select("name", "account", "born", "name1", "__source_row")
+    rule = Rule("meters", [RuleSource("**/*.csv", 1)], [
+        RuleField("读数_5", "last", 0), RuleField("读数_1", "first", 1), RuleField("读数_3", "own", 2),
+        RuleField("单位_2", "unit", 3), RuleField("站点", "station", 4)])
+    _, _, df = clean_folder(spark, folder, [rule], BigTableConfig("meters", "m", [BigTableField("last", "INTEGER")]))
+    return df.select("last", "first", "own", "unit", "station", "__source_row")
 
 
 ORACLES["repeated_header_pick"] = """
-SELECT c_name AS name, 'A' || CAST(c_custkey AS VARCHAR) AS account,
-  strftime(DATE '1990-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') AS born, '' AS name1,
+SELECT c_custkey * 4 AS last, CAST(c_custkey AS VARCHAR) AS first, 'own ' || c_custkey AS own, 'u' || c_nationkey AS unit, c_name AS station,
   CAST(1 + row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS BIGINT) AS __source_row
 FROM customer"""
 
@@ -319,15 +320,14 @@ def mapping_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.operators.clean import check_mapping
     from ledgerloom.plans.workspace import Workspace
     folder = FX.repeated_header_folder(spark, sf_dir)
-    rule = Rule("people", [RuleSource("**/*.csv", 1)], [
-        RuleField("联系人", "name", 0), RuleField("联系人_2", "n2", 1), RuleField("编码", "acct", 2),
-        RuleField("没有的栏", "x", 3), RuleField("分组\r", "note", 4)])
+    wanted = ["读数", "单位", "站点", "读数_4", "读数_6", "单位_1", "备注\r"]
+    rule = Rule("meters", [RuleSource("**/*.csv", 1)], [RuleField(w, f"c{i}", i) for i, w in enumerate(wanted)])
     return check_mapping(Workspace(spark), folder, [rule])
 
 
 ORACLES["mapping_check"] = """
-SELECT * FROM (VALUES ('联系人', 'duplicate'), ('联系人_2', NULL), ('编码', NULL), ('没有的栏', 'missing'),
-                      ('分组' || chr(13), NULL)) t(source_header, problem)"""
+SELECT * FROM (VALUES ('读数', 'duplicate'), ('单位', 'duplicate'), ('站点', NULL), ('读数_4', NULL), ('读数_6', 'missing'), ('单位_1', NULL),
+                      ('备注' || chr(13), NULL)) t(source_header, problem) WHERE EXISTS (SELECT 1 FROM customer)"""
 
 
 # ---------------------------------------------------------------- incremental (stream)
@@ -340,11 +340,11 @@ def incremental_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.suite.common import FIXED_EXTRACTED_AT
     folder = FX.journal_folder(spark, sf_dir)
     ws = Workspace(spark)
-    run(ws, CleanPipeline("inc", folder, "序时账"), [JOURNAL_RULE], JOURNAL_TABLE, max_files_per_trigger=7,
+    run(ws, CleanPipeline("inc", folder, "门店账"), [JOURNAL_RULE], JOURNAL_TABLE, max_files_per_trigger=7,
         extracted_at=FIXED_EXTRACTED_AT)
     from ledgerloom.plans.workspace import bt_namespace
-    df = ws.read(bt_namespace("序时账"), "seq")
-    return df.select("order_key", F.col("借方余额").alias("debit"), "date", "note",
+    df = ws.read(bt_namespace("门店账"), "entries")
+    return df.select("order_key", F.col("fen").alias("debit"), "date", "note",
                      path_part("__source_file", "prio").alias("prio"),
                      path_part("__source_file", "b").cast("int").alias("b"),
                      "__source_sheet", "__source_row", "__extracted_at")

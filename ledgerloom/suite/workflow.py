@@ -22,7 +22,7 @@ from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 from ledgerloom.sources.csvrows import csv_raw_rows
 from ledgerloom.suite import fixtures as FX
 from ledgerloom.suite.common import clean_folder, path_part, sql_cents
-from ledgerloom.suite.ingest import BUCKET_SQL, DOC_RULE, DOC_TABLE, JOURNAL_RULE, JOURNAL_TABLE
+from ledgerloom.suite.ingest import _CANON_SQL, BUCKET_SQL, DOC_RULE, DOC_TABLE, JOURNAL_RULE, JOURNAL_TABLE
 from ledgerloom.suite.relational import master_workspace
 
 ORACLES: dict[str, str] = {}
@@ -68,7 +68,7 @@ CUST_RULE = Rule("cust", [RuleSource("**/*.csv", 1)], [
     RF("c_mktsegment", "segment", 3), RF("c_nationkey", "nation", 4)])
 CUST_TABLE = BigTableConfig("客户", "cust", [BTF("key", "INTEGER"), BTF("balance", "INTEGER"), BTF("nation", "INTEGER")])
 JOURNAL_CUST_RULE = Rule("journal2", [RuleSource("**/*.csv", 1)], JOURNAL_RULE.fields + [RF("客户", "cust_key", 9)])
-JOURNAL_CUST_TABLE = BigTableConfig("序时账", "seq", JOURNAL_TABLE.fields + [BTF("cust_key", "INTEGER")])
+JOURNAL_CUST_TABLE = BigTableConfig("门店账", "entries", JOURNAL_TABLE.fields + [BTF("cust_key", "INTEGER")])
 
 
 def master_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,9 @@ def master_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     clean_folder(spark, FX.journal_folder(spark, sf_dir), [JOURNAL_CUST_RULE], JOURNAL_CUST_TABLE, ws)
     clean_folder(spark, FX.customer_folder(spark, sf_dir), [CUST_RULE], CUST_TABLE, ws)
-    sql = ('SELECT o.order_key, o."借方余额" AS debit, c.name, c.segment '
-           'FROM "bt_序时账".seq o JOIN "bt_客户".cust c ON o.cust_key = c.key')
-    sql_clean(ws, SqlCleanPipeline("m2", ["序时账", "客户"], sql, "order_customer"), {"序时账": "seq", "客户": "cust"})
+    sql = ('SELECT o.order_key, o.fen AS debit, c.name, c.segment '
+           'FROM "bt_门店账".entries o JOIN "bt_客户".cust c ON o.cust_key = c.key')
+    sql_clean(ws, SqlCleanPipeline("m2", ["门店账", "客户"], sql, "order_customer"), {"门店账": "entries", "客户": "cust"})
     return ws.read(MASTER, "order_customer")
 
 
@@ -155,7 +155,7 @@ def _journal(spark, sf_dir, ws=None):
 def adhoc_on_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: ad-hoc SQL scoped to one big table's namespace, all rows."""
     ws, _, _ = _journal(spark, sf_dir)
-    r = A.adhoc(ws, 'SELECT order_key, note FROM seq WHERE "借方余额" > 30000000', folder="序时账", capped=False)
+    r = A.adhoc(ws, 'SELECT order_key, note FROM entries WHERE fen > 30000000', folder="门店账", capped=False)
     return r.df
 
 
@@ -213,9 +213,9 @@ def _read_back(spark, path):
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: export a master query to CSV, read it back with the CSV scan."""
     ws, _, _ = _journal(spark, sf_dir)
-    sql_clean(ws, SqlCleanPipeline("m1", ["序时账"], 'SELECT * FROM "bt_序时账".seq', "seq"), {"序时账": "seq"})
+    sql_clean(ws, SqlCleanPipeline("m1", ["门店账"], 'SELECT * FROM "bt_门店账".entries', "entries"), {"门店账": "entries"})
     out = FX.fresh_dir(spark, "export_query")
-    X.export_query(ws, 'SELECT order_key, "借方余额", date, note FROM seq', out)
+    X.export_query(ws, 'SELECT order_key, fen, date, note FROM entries', out)
     back = _read_back(spark, out)
     return back.select(*[F.get("cells", i).alias(n) for i, n in enumerate(["order_key", "debit", "date", "note"])],
                        F.size("cells").alias("n_cells"))
@@ -278,9 +278,9 @@ def drop_subtotals_add_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = FX.fresh_dir(spark, "subtotals")
     FX.write_csv_rows(data.unionByName(sub), out, ["prio"], list(FX.JOURNAL_HEADERS))
     ws, _, _ = clean_folder(spark, out, [JOURNAL_RULE], JOURNAL_TABLE)
-    sql = ('SELECT order_key, "借方余额" AS debit, substr(date, 1, 7) AS month FROM "bt_序时账".seq '
+    sql = ('SELECT order_key, fen AS debit, substr(date, 1, 7) AS month FROM "bt_门店账".entries '
            "WHERE note NOT LIKE '%小计%' AND order_key IS NOT NULL")
-    sql_clean(ws, SqlCleanPipeline("m", ["序时账"], sql, "journal_clean"), {"序时账": "seq"})
+    sql_clean(ws, SqlCleanPipeline("m", ["门店账"], sql, "journal_clean"), {"门店账": "entries"})
     return ws.read(MASTER, "journal_clean")
 
 
@@ -313,24 +313,23 @@ FROM (VALUES ('订单号'), ('客户'), ('状态'), ('借方金额'), ('日期')
 
 
 def template_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A saved template applied to every sheet: matched count, skipped headers."""
-    from ledgerloom.operators.templates import template_report
-    ws, res, _ = _journal(spark, sf_dir)
-    raw = res.raw_rows
-    keys = ["source_file", "source_sheet"]
+    """A saved template (every segment, bare and numbered) applied to the header row of each nation."""
     from ledgerloom.operators import headers as H
-    canon = H.canonicalize(H.header_long(raw.filter(F.col("row_no") == 1), keys), keys)
-    tpl = spark.createDataFrame([("日期", "date", "normalize-date"), ("借方金额", "debit", "to-cents"),
-                                 ("不存在的列", "x", "none")], "source_header string, output_name string, transform string")
-    rep = template_report(canon, tpl, keys)
-    return rep.select(path_part("source_file", "prio").alias("prio"),
-                      path_part("source_file", "b").cast("int").alias("b"), "matched",
-                      F.array_join("skipped", "|").alias("skipped"))
+    from ledgerloom.operators.templates import template_report
+    from ledgerloom.suite.ingest import customer_headers
+    canon = H.canonicalize(customer_headers(spark, sf_dir), ["sheet"])
+    segments = FX.table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    tpl = segments.select(F.explode(F.array("c_mktsegment", F.concat("c_mktsegment", F.lit("_4")))).alias("source_header"),
+                          F.lit("x").alias("output_name"), F.lit("none").alias("transform"))
+    return template_report(canon, tpl, ["sheet"]).select("sheet", "matched", F.array_join("skipped", "|").alias("skipped"))
 
 
-ORACLES["template_apply"] = """
-SELECT DISTINCT o_orderpriority AS prio, CAST(o_orderkey % 4 AS INTEGER) AS b, 2 AS matched, '不存在的列' AS skipped
-FROM orders"""
+ORACLES["template_apply"] = f"""
+WITH {_CANON_SQL},
+tpl AS (SELECT DISTINCT unnest([c_mktsegment, c_mktsegment || '_4']) AS t FROM customer),
+pairs AS (SELECT s.sheet, tpl.t, EXISTS (SELECT 1 FROM canon c WHERE c.sheet = s.sheet AND c.name = tpl.t) AS hit FROM (SELECT DISTINCT sheet FROM canon) s, tpl)
+SELECT sheet, CAST(COUNT(*) FILTER (WHERE hit) AS INTEGER) AS matched, COALESCE(string_agg(t, '|' ORDER BY t) FILTER (WHERE NOT hit), '') AS skipped
+FROM pairs GROUP BY sheet"""
 
 
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,19 +373,19 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = FX.journal_folder(spark, sf_dir)
     ws = Workspace(spark)
     proj = Project(
-        [QueryPipeline("q_bucket", BUCKET_SQL, "buckets", ["seq"]),
-         SqlCleanPipeline("m1", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-         CleanPipeline("c1", folder, "序时账")],
-        [JOURNAL_TABLE], {"序时账": [JOURNAL_RULE]})
+        [QueryPipeline("sizes", BUCKET_SQL, "sizes", ["entries"]),
+         SqlCleanPipeline("m1", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+         CleanPipeline("c1", folder, "门店账")],
+        [JOURNAL_TABLE], {"门店账": [JOURNAL_RULE]})
     rebuild(ws, proj)
     return ws.run_log().select("pipeline_id", "kind", "ok", "rows")
 
 
 ORACLES["run_summary"] = """
-SELECT * FROM (VALUES ('c1', 'clean', true), ('m1', 'sql-clean', true), ('q_bucket', 'query', true)) t(pipeline_id, kind, ok)
+SELECT * FROM (VALUES ('c1', 'clean', true), ('m1', 'sql-clean', true), ('sizes', 'query', true)) t(pipeline_id, kind, ok)
 JOIN (SELECT 'c1' AS pipeline_id, COUNT(*) AS rows FROM orders
       UNION ALL SELECT 'm1', COUNT(*) FROM orders
-      UNION ALL SELECT 'q_bucket', COUNT(DISTINCT CAST(trunc(floor(o_totalprice * 100 + 0.5) / 100 / 5000) AS INTEGER))
+      UNION ALL SELECT 'sizes', COUNT(DISTINCT length(CAST(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS VARCHAR)))
       FROM orders) r USING (pipeline_id)"""
 
 
@@ -394,11 +393,11 @@ def quickstart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect header, guess mappings, clean, copy to master, verify counts."""
     folder = FX.journal_folder(spark, sf_dir)
     ws = Workspace(spark)
-    _, runs = run_quickstart(ws, folder, "journal", "seq")
+    _, runs = run_quickstart(ws, folder, "journal", "entries")
     bad = [r for r in runs if not r.ok]
     if bad:
         raise RuntimeError(bad[0].error)
-    return ws.read(MASTER, "seq").select("订单号", "借方金额", "日期", "摘要")
+    return ws.read(MASTER, "entries").select("订单号", "借方金额", "日期", "摘要")
 
 
 ORACLES["quickstart"] = f"""
@@ -409,15 +408,16 @@ SELECT CAST(o_orderkey AS VARCHAR) AS "订单号", {sql_cents('o_totalprice')} A
 def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: tables of the master namespace with their columns and types."""
     ws, _, _ = _journal(spark, sf_dir)
-    sql_clean(ws, SqlCleanPipeline("m1", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-              {"序时账": "seq"})
-    run_query(ws, QueryPipeline("q", BUCKET_SQL, "buckets", ["seq"]))
+    sql_clean(ws, SqlCleanPipeline("m1", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+              {"门店账": "entries"})
+    run_query(ws, QueryPipeline("q", BUCKET_SQL, "sizes", ["entries"]))
     return ws.list_tables(MASTER)
 
 
 ORACLES["table_listing"] = """
-SELECT * FROM (VALUES ('buckets', 'bucket', 'int', 0), ('buckets', 'n', 'bigint', 1),
-                      ('seq', '借方余额', 'bigint', 0), ('seq', 'date', 'string', 1))
+SELECT * FROM (VALUES ('sizes', 'digits', 'int', 0), ('sizes', 'n', 'bigint', 1),
+                      ('sizes', 'total', 'bigint', 2), ('sizes', 'last_day', 'string', 3),
+                      ('entries', 'fen', 'bigint', 0), ('entries', 'date', 'string', 1))
   t("table", "column", "type", "position")"""
 
 
@@ -581,8 +581,8 @@ def batch_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     proj = Project(
         [SqlCleanPipeline("m_cust", ["客户"], 'SELECT key, segment FROM "bt_客户".cust', "cust"),
          CleanPipeline("c_cust", FX.customer_folder(spark, sf_dir), "客户"),
-         CleanPipeline("c_journal", FX.journal_folder(spark, sf_dir), "序时账")],
-        [JOURNAL_TABLE, CUST_TABLE], {"序时账": [JOURNAL_RULE], "客户": [CUST_RULE]})
+         CleanPipeline("c_journal", FX.journal_folder(spark, sf_dir), "门店账")],
+        [JOURNAL_TABLE, CUST_TABLE], {"门店账": [JOURNAL_RULE], "客户": [CUST_RULE]})
     run_batch(ws, proj, kind="clean")
     run_batch(ws, proj, kind="sql-clean")
     return ws.run_log().select("pipeline_id", "kind", "ok", "rows")

@@ -29,13 +29,13 @@ def main():
     spark = get_session("local[8]")
     ws = Workspace(spark)
     _, res, big = clean_folder(spark, FX.journal_folder(spark, sf_dir), [JOURNAL_RULE], JOURNAL_TABLE, ws)
-    sql_clean(ws, SqlCleanPipeline("m1", ["序时账"], 'SELECT "借方余额", "date" FROM "bt_序时账".seq', "seq"),
-              {"序时账": "seq"})
+    sql_clean(ws, SqlCleanPipeline("m1", ["门店账"], 'SELECT fen, "date" FROM "bt_门店账".entries', "entries"),
+              {"门店账": "entries"})
 
     print("== stored big table: filter + projection (expect PushedFilters, narrow ReadSchema)")
     big.filter(F.col("note") == "1-URGENT").select("order_key", "date").explain("formatted")
 
-    print("== flagship bucket query over master.seq")
+    print("== flagship bucket query over master.entries")
     run_sql(ws, BUCKET_SQL).explain("formatted")
 
     print("== join over attached tables (broadcast of the small side, partial aggregation)")

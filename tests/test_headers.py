@@ -1,26 +1,49 @@
+"""Properties of header names over random rows of headers."""
+import random
+
 from ledgerloom.operators.headers import canonicalize, resolve
 
 
-def _canon(spark, headers):
-    df = spark.createDataFrame([("s", i, h) for i, h in enumerate(headers)], "sheet string, pos int, h string")
-    rows = canonicalize(df, ["sheet"]).orderBy("pos").collect()
-    return [r["name"] for r in rows]
+def _sheets():
+    rng = random.Random(11)
+    words = ["ort", "ort_2", "ort_1", "maß", "", "_1", "zahl", "zahl_10"]
+    return [[rng.choice(words) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+
+
+def _canon(spark, sheets):
+    df = spark.createDataFrame([(k, i, h) for k, row in enumerate(sheets) for i, h in enumerate(row)], "sheet int, pos int, h string")
+    return canonicalize(df, ["sheet"])
 
 
-def test_canonical_names(spark):
-    assert _canon(spark, ["联系人", "联系人_1", "联系人"]) == ["联系人_2", "联系人_1", "联系人_3"]
-    assert _canon(spark, ["A_1", "A_1", "A", "A", "", ""]) == ["A_1_1", "A_1_2", "A_2", "A_3", "_1", "_2"]
-    assert _canon(spark, ["联系人", "加入日", "联系人", "编码", "联系人", "分组"]) == \
-        ["联系人_1", "加入日", "联系人_2", "编码", "联系人_3", "分组"]
-    assert _canon(spark, ["a", "b"]) == ["a", "b"]
+def test_names_are_unique_keep_order_and_leave_single_headers(spark):
+    sheets = _sheets()
+    got = {}
+    for r in _canon(spark, sheets).collect():
+        got.setdefault(r["sheet"], {})[r["pos"]] = r["name"]
+    for k, row in enumerate(sheets):
+        names = [got[k][i] for i in range(len(row))]
+        assert len(set(names)) == len(names)
+        for h in set(row):
+            mine = [n for n, x in zip(names, row) if x == h]
+            if row.count(h) == 1:
+                assert mine == [h]
+                continue
+            numbers = [int(n.removeprefix(f"{h}_")) for n in mine]
+            assert numbers == sorted(numbers)
+            # the numbers left out are those that a header is spelled with
+            assert all(f"{h}_{i}" in row for i in set(range(1, numbers[-1])) - set(numbers))
 
 
-def test_resolve(spark):
-    df = spark.createDataFrame([("s", i, h) for i, h in enumerate(["联系人", "金额", "联系人", "入库日"])],
-                               "sheet string, pos int, h string")
-    canon = canonicalize(df, ["sheet"])
-    wanted = spark.createDataFrame([("s", w) for w in ["联系人", "联系人_2", "金额", "x", "入库日\r"]],
-                                   "sheet string, source_header string")
-    got = {r["source_header"]: (r["status"], r["idx"]) for r in resolve(canon, wanted, ["sheet"]).collect()}
-    assert got == {"联系人": ("duplicate", None), "联系人_2": ("ok", 2), "金额": ("ok", 1), "x": ("absent", None),
-                   "入库日\r": ("ok", 3)}
+def test_resolve_finds_every_name_and_no_bare_repeat(spark):
+    sheets = _sheets()
+    canon = _canon(spark, sheets).cache()
+    pairs = [(r["sheet"], w) for r in canon.collect() for w in (r["name"], r["name"] + "\r", r["h"], "nirgends")]
+    wanted = spark.createDataFrame(sorted(set(pairs)), "sheet int, source_header string")
+    at = {(r["sheet"], r["name"]): r["pos"] for r in canon.collect()}
+    for r in resolve(canon, wanted, ["sheet"]).collect():
+        w, row = r["source_header"], sheets[r["sheet"]]
+        plain = w.replace("\r", "")
+        if (r["sheet"], plain) in at:
+            assert (r["status"], r["idx"]) == ("ok", at[r["sheet"], plain]), w
+        else:
+            assert r["status"] == ("duplicate" if row.count(w) > 1 else "absent" if w == plain else r["status"]) and r["idx"] is None, w

@@ -1,6 +1,9 @@
 """Workbook scan on hand-built books (F8-F13 layouts)."""
 
 import os
+import random
+
+import pytest
 
 from ledgerloom.sources.workbook import decode_escapes, number_text, read_workbooks
 from ledgerloom.suite.xlsx_fixture import _Book
@@ -16,11 +19,21 @@ def _book(tmp, name, sheets):
     return p, b
 
 
-def test_escapes_and_numbers():
-    assert decode_escapes("单价_x000d_\n") == "单价\r\n"
-    assert decode_escapes("_x005F_x000d_") == "_x000d_"
-    assert number_text("100") == "100" and number_text("1.5") == "1.5" and number_text("1E-7") == "0.0000001"
-    assert number_text("45292.0") == "45292"
+def test_escapes_round_trip():
+    """Any text whose code units are written as escapes, some or all, reads as itself; other texts stay."""
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["Menge", " ", "\t", "\x01", "ß", "_", "x", "00", "é"]) for _ in range(rng.randint(0, 9)))
+        every = "".join(f"_x{ord(c):04{rng.choice('xX')}}_" for c in text)
+        assert decode_escapes(every) == text
+        assert decode_escapes(text) == text
+    assert decode_escapes("_x005f_x0009_|_x00g1_|_x9_") == "_x0009_|_x00g1_|_x9_"
+
+
+@pytest.mark.parametrize("value", [0, -7, 12.25, -0.125, 1e15, 123456789.5, 3e-7, 2.5e-9, 1e21, -6.02e23])
+def test_number_text_reads_back(value):
+    text = number_text(repr(value))
+    assert float(text) == value and (("e" in text) == (value != 0 and not 1e-7 <= abs(value) < 1e21)) and not text.endswith(".0")
 
 
 def test_bounds_gaps_and_types(spark, tmp):
