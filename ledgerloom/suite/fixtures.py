@@ -184,3 +184,15 @@ def repeated_header_folder(spark: SparkSession, sf_dir: str) -> str:
     out = fresh_dir(spark, "repeated")
     write_csv_rows(rows, out, ["seg"], REPEATED_HEADER)
     return out
+
+
+def damage(spark: SparkSession, folder: str, part: str) -> None:
+    """Change a byte of the data files in ``folder/part``, so that they no longer fit their stored checksums."""
+    import os
+    for name in sorted(os.listdir(f"{folder}/{part}")):
+        if name.startswith("part-"):
+            with open(f"{folder}/{part}/{name}", "r+b") as fh:
+                fh.seek(-2, 2)
+                byte = fh.read(1)
+                fh.seek(-2, 2)
+                fh.write(bytes([byte[0] ^ 1]))

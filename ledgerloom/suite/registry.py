@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.suite import exactness, ingest, relational, workbooks, workflow
+from ledgerloom.suite import exactness, ingest, relational, reports, workbooks, workflow
 
-MODULES = (ingest, workflow, workbooks, exactness)
+MODULES = (ingest, workflow, workbooks, exactness, reports)
 
 
 def queries():

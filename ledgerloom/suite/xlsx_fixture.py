@@ -137,3 +137,26 @@ def orders_workbooks(spark: SparkSession, sf_dir: str, broken: tuple[str, int] |
 
     df.groupBy("prio", "b").applyInPandas(write, "path string, rows long").collect()  # file list only
     return out
+
+
+def plain_workbooks(df: DataFrame, out: str, group: str, order: str) -> str:
+    """One workbook of one sheet for each value of ``group``: a header row and the rows in ``order``; texts inline, numbers as they are."""
+    names = [c for c in df.columns if c != group]
+
+    def cell(ref: str, value) -> str:
+        if isinstance(value, str):
+            return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+        return f'<c r="{ref}"><v>{value!r}</v></c>'
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = os.path.join(out, f"{group}={int(pdf[group].iloc[0])}")
+        os.makedirs(d, exist_ok=True)
+        lines = [names] + pdf.sort_values(order)[names].astype(object).values.tolist()
+        b = _Book()
+        b.sheet("Tabelle1", f"A1:{_col(len(names) - 1)}{len(lines)}", [(r, [cell(f"{_col(i)}{r}", v) for i, v in enumerate(line)]) for r, line in enumerate(lines, 1)])
+        with open(os.path.join(d, "book.xlsx"), "wb") as fh:
+            fh.write(b.bytes())
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    df.groupBy(group).applyInPandas(write, "rows long").agg(F.sum("rows")).collect()
+    return out
