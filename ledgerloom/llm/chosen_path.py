@@ -10,7 +10,9 @@
    (expectation over the binomial share of the 128 tokens that agree, which all trees use).
 3. First a spanning forest of the likely pairs of each node is confirmed on the full sets: of a node of at most LIMIT
    records at once, of a larger one in blocks that each hold the node's first record too. Nodes with
-   records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components:
+   records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components; a block
+   with more such pairs than records gets the full sets into its task, which confirms the pairs there and returns a spanning forest
+   of the confirmed ones, so that refuted pairs never become rows:
    up to EXHAUSTIVE records block against block, beyond that the few outside the largest component (at most LIMIT) against all;
    if there are more of them, the node branches again. After MAX_LEVELS what is left is compared block against block,
    so no node is dropped or cut. Hence a group of copies costs links in proportion to
@@ -135,36 +137,77 @@ def _forest(est: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _pairs(batches, forest: bool):
-    """Likely pairs of each block: those of a spanning forest, or all that join different components."""
-    us, vs = [], []
+def _across(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The likely pairs (places in the block) of different components, and their estimates."""
+    comp, side, size = (g[c].to_numpy() for c in ("comp", "side", "size"))
+    sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
+    kinds, times = np.unique(comp, return_counts=True)
+    # pairs inside the largest component need no look: one of two is outside it
+    rows = np.flatnonzero(comp != kinds[np.argmax(times)])
+    if not len(rows):
+        return np.empty((0, 2), dtype=np.int64), np.empty(0)
+    est = _estimates(sigs[rows], size[rows], sigs, size)
+    ok = (est >= 0) & (comp[rows][:, None] != comp[None])
+    if side.any():  # two blocks of one node: pairs inside a block belong to that block
+        ok &= side[rows][:, None] != side[None]
+    at = np.argwhere(ok)
+    return np.stack([rows[at[:, 0]], at[:, 1]], axis=1), est[ok]
+
+
+def _members(batches):
+    """The blocks with two records or more, each record once."""
     for g in blocks(batches):
         g = g.drop_duplicates(["id", "side"])
-        if len(g) < 2:
-            continue
-        ids, comp, side, size = (g[c].to_numpy() for c in ("id", "comp", "side", "size"))
-        sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
+        if len(g) > 1:
+            yield g
+
+
+def _pairs(batches, forest: bool):
+    """Likely pairs of each block: those of a spanning forest, or all that join different components; of a block with more of
+    these than records only its key, as a dense one."""
+    us, vs, dense = [], [], []
+    for g in _members(batches):
+        ids = g["id"].to_numpy()
         if forest:
-            rows, found = np.arange(len(ids)), _forest(_estimates(sigs, size, sigs, size))
+            size, sigs = g["size"].to_numpy(), np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
+            found = np.array(_forest(_estimates(sigs, size, sigs, size)), dtype=np.int64).reshape(-1, 2)
         else:
-            kinds, times = np.unique(comp, return_counts=True)
-            # pairs inside the largest component need no look: one of two is outside it
-            rows = np.flatnonzero(comp != kinds[np.argmax(times)])
-            if not len(rows):
-                continue
-            ok = (_estimates(sigs[rows], size[rows], sigs, size) >= 0) & (comp[rows][:, None] != comp[None])
-            if side.any():  # two blocks of one node: pairs inside a block belong to that block
-                ok &= side[rows][:, None] != side[None]
-            found = np.argwhere(ok)
-        for a, b in found:
-            x, y = ids[rows[a]], ids[b]
-            us.append(max(x, y))
-            vs.append(min(x, y))
-        if len(us) > 50_000:
-            yield pd.DataFrame({"u": us, "v": vs})
-            us, vs = [], []
+            found, _ = _across(g)
+        if not forest and len(found) > len(ids):
+            us.append(g["key"].iloc[:1].to_numpy())
+            vs.append(us[-1])
+            dense.append(np.array([True]))
+        else:
+            pair = np.sort(ids[found], axis=1)
+            us.append(pair[:, 1])
+            vs.append(pair[:, 0])
+            dense.append(np.zeros(len(pair), dtype=bool))
+        if len(us) > 500:
+            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
+            us, vs, dense = [], [], []
     if us:
-        yield pd.DataFrame({"u": us, "v": vs})
+        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
+
+
+def _links_within(batches):
+    """A spanning forest of the confirmed pairs between different components of each block, the likeliest first."""
+    for g in _members(batches):
+        ids, sets = g["id"].to_numpy(), g["hashes"].to_list()
+        found, est = _across(g)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+        comp, out = g["comp"].to_list(), []
+        for a, b in found[np.argsort(-est, kind="stable")].tolist():
+            x, y = root(comp[a]), root(comp[b])
+            if x != y and similar(sets[a], sets[b], PERCENT):
+                parent[x] = y
+                out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -187,22 +230,42 @@ class _Join:
         new = staged(new, "pairs")
         if new.isEmpty():
             return
-        ids = new.select(F.col("u").alias("class_id")).union(new.select("v")).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("class_id"), "class_id", "left_anti")
-        want = staged(self.classes.select("class_id", "id").join(ids, "class_id"), "wanted")
-        if not want.isEmpty():
-            self._fetch(want)
+        self._fetch(new.select(F.col("u").alias("class_id")).union(new.select("v")).distinct())
         both = (new.join(self.sets.select(F.col("class_id").alias("u"), F.col("hashes").alias("x")), "u")
                 .join(self.sets.select(F.col("class_id").alias("v"), F.col("hashes").alias("y")), "v"))
         links = staged(both.filter(_confirmed("x", "y")).select("u", "v"), "links")
         self.tested = new if self.tested is None else self.tested.unionByName(new)
+        self._add(links)
+
+    def _add(self, links: DataFrame) -> None:
         if not links.isEmpty():
             self.links = links if self.links is None else self.links.unionByName(links)
             self.comp = staged(components(self.links), "components")
 
-    def _fetch(self, want: DataFrame) -> None:
-        """The full sets of more classes, from the texts of their representatives."""
+    def exhaust(self, keyed: DataFrame) -> None:
+        """Confirms or refutes every likely pair between different components of the blocks ``keyed`` (key, id, side)."""
+        keyed = staged(keyed, "blocks")
+        found = staged(self.pairs(keyed, False), "likely")
+        before = self.comp
+        dense = staged(keyed.join(broadcast_up_to(found.filter("dense").select(F.col("u").alias("key")).distinct(), 1_000_000), "key"), "dense")
+        self.confirm(found.filter("NOT dense").select("u", "v"))
+        if dense.isEmpty():
+            return
+        if before is not self.comp:     # fewer pairs are open now
+            key = self.labelled(dense).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
+            dense = staged(dense.join(key, "key"), "dense")
+        self._fetch(dense.select(F.col("id").alias("class_id")).distinct())
+        rows = self.signed(self.labelled(dense), "size", "sig").join(self.sets.withColumnRenamed("class_id", "id"), "id")
+        rows = rows.repartition("key").sortWithinPartitions("key")
+        self._add(staged(rows.mapInPandas(_links_within, "u long, v long"), "links"))
+
+    def _fetch(self, ids: DataFrame) -> None:
+        """The full sets of classes that were not fetched yet, from the texts of their representatives."""
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("class_id"), "class_id", "left_anti")
+        want = staged(self.classes.select("class_id", "id").join(ids, "class_id"), "wanted")
+        if want.isEmpty():
+            return
         got = (self.docs.join(broadcast_up_to(want, 2_000_000), "id").select("class_id", "text")
                .mapInPandas(_full_sets, "class_id long, hashes binary").dropDuplicates(["class_id"]))
         got = staged(got, "sets")
@@ -219,7 +282,7 @@ class _Join:
 
     def pairs(self, keyed: DataFrame, forest: bool) -> DataFrame:
         rows = self.signed(self.labelled(keyed), "size", "sig").repartition("key").sortWithinPartitions("key")
-        return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long")
+        return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long, dense boolean")
 
     def unresolved(self, members: DataFrame) -> DataFrame:
         """Members of the nodes that hold more than one component."""
@@ -278,16 +341,16 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         members = staged(_nodes(staged(rows, "rows")), "members")
         if members.isEmpty():
             break
-        join.confirm(join.pairs(_blocked(members), True))
+        join.confirm(join.pairs(_blocked(members), True).select("u", "v"))
         open_ = staged(join.unresolved(members), "open")
         large = open_.filter(F.col("n") > EXHAUSTIVE)
         near, rest = _outsiders(join, large)
-        join.confirm(join.pairs(_block_pairs(open_.filter(F.col("n") <= EXHAUSTIVE)).unionByName(near), False))
+        join.exhaust(_block_pairs(open_.filter(F.col("n") <= EXHAUSTIVE)).unionByName(near))
         rest = staged(rest, "large")
         if rest.isEmpty():
             break
         if level == MAX_LEVELS:
-            join.confirm(join.pairs(_block_pairs(rest), False))
+            join.exhaust(_block_pairs(rest))
             break
         rows = join.signed(rest.select("node", "id", "m"), "path").mapInPandas(_branch, "node long, id long")
     return join.comp

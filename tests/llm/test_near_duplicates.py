@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,3 +109,48 @@ def test_components(spark, edges):
         low = min(want.get(a, a), want.get(b, b))
         want[a] = want[b] = low
     assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def _borderline(n=80, words=220, changed=14):
+    """Texts of one origin with single words replaced, so that pairs lie on both sides of the threshold."""
+    rng = random.Random(12)
+    base = prose(rng, words).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randint(1, changed) // 2):
+            w[k] = f"w{rng.randrange(10 ** 6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_dense_blocks_are_confirmed_in_their_task():
+    from ledgerloom.llm.shingles import binned, shingles, similar
+    sets = [shingles(t.encode()) for t in _borderline()]
+    n = len(sets)
+    g = pd.DataFrame({"key": 5, "id": np.arange(n) + 100, "comp": np.arange(n) + 100, "side": 0, "size": [len(s) for s in sets],
+                      "sig": [binned(s, chosen_path.BINS).tobytes() for s in sets], "hashes": [s.tobytes() for s in sets]})
+    out = pd.concat(chosen_path._pairs(iter([g.drop(columns="hashes")]), False))
+    assert out.values.tolist() == [[5, 5, True]]                     # no pair becomes a row
+    links = pd.concat(chosen_path._links_within(iter([g])))
+    assert len(links) < n
+    near = [{a, b} for a in range(n) for b in range(a) if similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT)]
+    assert len(near) > 3 * n and len(near) < n * (n - 1) / 2 - n
+
+    def parts(edges):
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+    assert parts([tuple(p) for p in near]) == parts([(u - 100, v - 100) for u, v in links.values.tolist()])
+
+
+def test_borderline_group(spark):
+    texts = _borderline()
+    rows = [(k, t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = chosen_path.query(documents(prepare(spark), rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(chosen_path.ORACLE).fetchall())
