@@ -11,6 +11,7 @@ by a broadcast per-(file, rule source) column-index map -- no per-file loop.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -24,9 +25,10 @@ from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
-from ledgerloom.sources.csvrows import BOM_BYTES, csv_raw_rows
+from ledgerloom.sources.csvrows import BOM_BYTES, CSV_SHEET, csv_raw_rows
 from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files
 
+RAW_COLUMNS = ("source_file", "source_sheet", "row_no", "cells", "kinds")
 LINEAGE_COLUMNS = ("__source_file", "__source_sheet", "__source_row", "__extracted_at")
 KEYS = ["source_file", "source_sheet", "header_row"]
 #: The column beside a run's rows with its rejected values, and the characters of one that are kept.
@@ -43,6 +45,7 @@ class CleanResult:
     raw_path: str | None = None          # staged raw rows, when staged
     raw_rows: DataFrame | None = None    # raw rows of the run (staged or re-scanned), for drill-back / previews
     rejected_files: DataFrame | None = None   # S11: (path, problem, skipped, n)
+    rows_at: Callable[[DataFrame], DataFrame] | None = None    # CSV records by their places, where every line is one
     reject_detail: DataFrame | None = None    # C7: (file, sheet, column, n, samples) of values that could not be coerced
 
 
@@ -84,7 +87,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     sources) want are parsed, and staged at the emitter."""
     spark = ws.spark
     ws.last_raw_path = None
-    ws.last_first_rows = None
+    ws.last_first_rows = ws.last_rows_at = None
     # only what a rule matches is read
     exts = {r["ext"] for r in matched.select("ext").distinct().collect()} & (exts or {"csv", "xlsx", "xls"})
     parts, sheets = [], []
@@ -106,7 +109,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
             csv_raw = csv_raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int"))
         parts.append(csv_raw)
         sheets.append(csv_sheets(files))
-        ws.last_first_rows = info.get("first_rows")
+        ws.last_first_rows, ws.last_rows_at = info.get("first_rows"), info.get("rows_at")
         # a file with bytes of which no line came
         unseen = matched.filter((F.col("ext") == "csv") & (F.col("length") > BOM_BYTES)).select("path").distinct().join(info["seen"], "path", "left_anti")
         rejected = info["notes"].unionByName(unseen.select("path", F.lit("not all bytes could be read").alias("problem"),
@@ -346,7 +349,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}", skipped)
     ws.log_run(summary)
     return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw,
-                       rejected_files, detail)
+                       rejected_files, getattr(ws, "last_rows_at", None), detail)
 
 
 def _reject_detail(ws: Workspace, folder: str | None, columns: list[str]) -> DataFrame:
@@ -372,6 +375,34 @@ def drill_back(big: DataFrame, raw: DataFrame) -> DataFrame:
                     & (big["__source_row"] == raw["row_no"]))
 
 
+#: Stored rows that ``source_rows`` looks up at a time.
+MAX_PLACES = 10_000
+
+
+def source_rows(result: CleanResult, big: DataFrame) -> DataFrame:
+    """C10 for a page of stored rows (at most ``MAX_PLACES``; ``drill_back`` joins any number): their source rows, found by their places.
+    CSV records come from the staged lines whose numbers the split index gives, all others from the staged rows of their sheets; both by filters
+    that the Parquet scan skips whole files and row groups with, so the work follows the page and not the sources."""
+    keys = big.select(F.col("__source_file").alias("source_file"), F.col("__source_sheet").alias("source_sheet"), F.col("__source_row").alias("row_no")).distinct()
+    places = keys.limit(MAX_PLACES + 1).collect()
+    if len(places) > MAX_PLACES:
+        raise ValueError(f"more than {MAX_PLACES} rows: use drill_back")
+    spark = big.sparkSession
+    texts = [p for p in places if p.source_sheet == CSV_SHEET and p.source_file.lower().endswith(".csv")]
+    rest, parts = places, []
+    if result.rows_at is not None:
+        rest = [p for p in places if p not in texts]
+        if texts:
+            parts.append(result.rows_at(spark.createDataFrame([(p.source_file, p.row_no) for p in texts], "source_file string, row_no long")).select(*RAW_COLUMNS))
+    by_sheet: dict[tuple[str, str], list[int]] = {}
+    for p in rest:
+        by_sheet.setdefault((p.source_file, p.source_sheet), []).append(p.row_no)
+    if by_sheet:
+        hit = [(F.col("source_file") == f) & (F.col("source_sheet") == s) & F.col("row_no").isin(rows) for (f, s), rows in by_sheet.items()]
+        parts.append(result.raw_rows.select(*RAW_COLUMNS).filter(reduce(or_, hit)))
+    return reduce(DataFrame.unionByName, parts) if parts else result.raw_rows.select(*RAW_COLUMNS).limit(0)
+
+
 def duplicate_keys(ws: Workspace, cfg: BigTableConfig) -> DataFrame:
     """``primaryKey`` as a report, not a constraint: key values held by more than
     one row of the big table, with their row count (aggregated with a partial

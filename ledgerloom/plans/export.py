@@ -1,7 +1,7 @@
 """CSV export of a query, a stored table or a source sheet.
 
-Files are written by Spark tasks (a folder of part files; ``single_file=True``
-coalesces to one task on request only). Quoting matches the reference's field
+Files are written by Spark tasks, as a folder of part files; with ``single_file=True`` the parts are written in
+parallel too, without headers, and then joined in order to one file under one header. Quoting matches the reference's field
 escape: NULL and '' -> empty, a field with ``" , \\n \\r`` is quoted with
 doubled quotes, whitespace kept. The header is written even for empty results.
 """
@@ -15,6 +15,7 @@ from ledgerloom.config import BigTableConfig
 from ledgerloom.functions.transforms import COLUMN_TYPES  # noqa: F401  (documented types)
 from ledgerloom.plans.stages import guard_reader
 from ledgerloom.plans.statements import run_sql
+from ledgerloom.plans.store import Store
 from ledgerloom.plans.workspace import MASTER, Workspace, bt_namespace
 
 CSV_OPTIONS = {
@@ -24,9 +25,19 @@ CSV_OPTIONS = {
 }
 
 
+def csv_field(text: str) -> str:
+    """A field with a quote, comma or line break is quoted, its quotes doubled."""
+    return '"' + text.replace('"', '""') + '"' if any(c in text for c in '",\n\r') else text
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    if not single_file:
+        df.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+        return path
+    store, parts = Store(df.sparkSession), f"{path}/_parts"
+    df.write.mode("errorifexists").options(**CSV_OPTIONS | {"header": "false"}).csv(parts)
+    store.join(f"{path}/part-00000.csv", ",".join(map(csv_field, df.columns)) + "\n", store.data_files(parts))
+    store.delete(parts)
     return path
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import SparkSession
 
 
@@ -78,3 +79,27 @@ class Store:
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
         fs.delete(p, True)
+
+    def join(self, target: str, head: str, parts: list[str]) -> None:
+        """A new file of ``head`` and the bytes of ``parts`` in order. A file system that can concatenate does so without
+        copying; elsewhere the bytes are streamed through a small buffer."""
+        p, fs = self._path(target)
+        paths = [self._path(x)[0] for x in parts]
+        out = fs.create(p, False)
+        out.write(bytearray(head.encode("utf-8")))
+        out.close()
+        try:
+            array = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Path, len(paths))
+            for k, x in enumerate(paths):
+                array[k] = fs.makeQualified(x)
+            fs.concat(fs.makeQualified(p), array)
+            return
+        except (Py4JJavaError, UnsupportedOperationException):
+            fs.delete(p, False)
+        out = fs.create(p, False)
+        out.write(bytearray(head.encode("utf-8")))
+        for x in paths:
+            stream = fs.open(x)
+            self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+        out.close()

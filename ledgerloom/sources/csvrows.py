@@ -243,6 +243,9 @@ def csv_records(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYT
         if info is not None:
             head = lines if int(stats["late"] or 0) else lines.filter("_first = 1")
             info["first_records"] = simple_records(head, offsets)
+            # single records by the staged lines that hold them, which the Parquet scan finds by their numbers
+            info["offsets"] = offsets
+            info["records_at"] = lambda lids: simple_records(lines.filter(F.col("lid").isin(lids)), offsets)
         return simple_records(lines, offsets)
 
     flags = hint(blocks.filter(~F.col("simple")).select("bid", "block", "par_in", "ends_nl", "eof_lid"))
@@ -314,4 +317,14 @@ def csv_raw_rows(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BY
     recs = csv_records(spark, paths, broadcast_bytes, info, max_header_row)
     if info is not None and "first_records" in info:
         info["first_rows"] = _cells(info.pop("first_records"))
+        at = info.pop("records_at")
+        info["rows_at"] = lambda keys: _cells(at(_line_numbers(info["offsets"], keys)))
     return _cells(recs)
+
+
+def _line_numbers(offsets: DataFrame, keys: DataFrame) -> list[int]:
+    """The numbers of the staged lines that hold the records ``keys`` (source_file, row_no; a page of them): a split
+    holds its records one a line, from ``recs_before`` on."""
+    k = keys.select(F.col("source_file").alias("f"), F.col("row_no").alias("r")).distinct()
+    hit = offsets.join(F.broadcast(k), (F.col("source_file") == F.col("f")) & (F.col("r") > F.col("recs_before")) & (F.col("r") <= F.col("recs_before") + F.col("n_rec")))
+    return [r.lid for r in hit.select((F.col("lid0") + F.col("r") - F.col("recs_before") - 1).alias("lid")).collect()]

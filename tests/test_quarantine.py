@@ -1,10 +1,14 @@
 """Files and values that cannot be used are reported, the rest loads."""
+import contextlib
+import io
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import BigTableConfig, BigTableField, CleanPipeline, Rule, RuleField, RuleSource
 from ledgerloom.operators import clean as C
+from ledgerloom.plans.export import write_csv
 from ledgerloom.plans.workspace import Workspace
 from ledgerloom.sources import workbook
 from ledgerloom.suite.xlsx_fixture import _Book
@@ -74,6 +78,66 @@ def test_workbooks_that_no_rule_names_are_not_read(spark, tmp, monkeypatch):
     assert df.count() == 0 and {r["problem"] for r in res.rejected_files.collect()} == {"a workbook of more than 10 bytes", "BadZipFile: File is not a zip file"}
 
 
+def _scan_rows(df):
+    """The rows that the Parquet scans of a collected DataFrame put out."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+    walk(plan)
+    return sum(found)
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_source_rows_reads_only_their_places(spark, tmp, quoted):
+    src = os.path.join(tmp, "src")
+    for f in range(6):
+        _write(src, f"{f}.csv", "k,amt,n\n" + "".join(f"{f}-{k},{k}.00,1\n" if not quoted or k % 50 else f'"{f}-{k}\n",{k}.00,1\n' for k in range(400)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "1000")
+    try:
+        df, res = _clean(spark, tmp, src)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    page = df.filter("k IN ('0-7', '3-399', '5-0')" if not quoted else "k IN ('0-7', '3-399', '5-0\n')")
+    got = C.source_rows(res, page)
+    rows = {(r["source_file"].rsplit("/", 1)[-1], r["row_no"]): list(r["cells"]) for r in got.collect()}
+    if not quoted:
+        assert rows == {("0.csv", 9): ["0-7", "7.00", "1"], ("3.csv", 401): ["3-399", "399.00", "1"], ("5.csv", 2): ["5-0", "0.00", "1"]}
+        assert "PushedFilters: [In(lid" in _plan(got)
+        assert _scan_rows(got) < 6 * 400 / 4
+    assert sorted(x[0] for x in rows.values()) == sorted(r["k"] for r in page.collect())
+    assert C.source_rows(res, df.limit(0)).collect() == []
+
+
+def _plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_single_file_is_joined_from_parts(spark, tmp):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id AS `a,\"b`", "concat('x', id) AS s", "CASE WHEN id % 2 = 0 THEN 'l\nm' END AS t")
+    out = os.path.join(tmp, "one")
+    write_csv(df, out, single_file=True)
+    write_csv(df.coalesce(1), os.path.join(tmp, "plain"))
+    plain = [f for f in os.listdir(os.path.join(tmp, "plain")) if f.endswith(".csv")][0]
+    assert [f for f in os.listdir(out) if not f.startswith((".", "_"))] == ["part-00000.csv"]
+    assert open(os.path.join(out, "part-00000.csv"), "rb").read() == open(os.path.join(tmp, "plain", plain), "rb").read()
+    write_csv(df.limit(0), os.path.join(tmp, "none"), single_file=True)
+    assert open(os.path.join(tmp, "none", "part-00000.csv")).read() == '"a,""b",s,t\n'
+
+
 def test_reject_detail(spark, tmp):
     src = os.path.join(tmp, "src")
     _write(src, "a.csv", "k,amt,n\n1,x,1\n2,y y,2\n3,5,q\n4,,\n5,a" + "z" * 500 + ",1\n")
