@@ -76,7 +76,7 @@ def now_iso() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
-def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame, sources: list[tuple],
+def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFrame, sources: list[tuple] | None = None,
                   exts: set[str] | None = None, max_header_row: int = 1, paths: list[str] | None = None):
     """Raw rows + sheet list for every matched source file.
 
@@ -84,7 +84,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     lines, raw rows are expressions over them. Records assembled across lines are staged as Parquet too,
     partitioned by ``_head`` (row_no <= the largest header row of the rules) so
     the header job reads only that small partition; of workbooks only the sheets that ``sources`` (the rule
-    sources) want are parsed, and staged at the emitter."""
+    sources; None: all sheets) want are parsed, and staged at the emitter."""
     spark = ws.spark
     ws.last_raw_path = None
     ws.last_first_rows = ws.last_rows_at = None

@@ -400,7 +400,7 @@ def read_workbooks(spark: SparkSession, paths: list[str], wants: Column | None =
     return raw.drop("_head")
 
 
-def workbook_raw_rows(ws, root: str | list[str], sources: list[tuple], base: str, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def workbook_raw_rows(ws, root: str | list[str], sources: list[tuple] | None, base: str, max_header_row: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Emitter output staged once as Parquet (each workbook parsed once, wanted sheets only), then
     shaped: (raw_rows without sheet_pos, sheets, rejected files)."""
     raw, sheets, errors = shape_rows(emit_workbooks(ws.spark, root, ws.stage_dir("workbooks"), max_header_row, sources, base=base))
