@@ -46,11 +46,14 @@ class CleanResult:
     raw_rows: DataFrame | None = None    # raw rows of the run (staged or re-scanned), for drill-back / previews
     rejected_files: DataFrame | None = None   # S11: (path, problem, skipped, n)
     rows_at: Callable[[DataFrame], DataFrame] | None = None    # CSV records by their places, where every line is one
+    unused_headers: DataFrame | None = None   # H8: every header that no mapping uses
     reject_detail: DataFrame | None = None    # C7: (file, sheet, column, n, samples) of values that could not be coerced
 
 
 #: Files that a run's warnings name; ``rejected_files`` has them all.
 NOTED_FILES = 20
+#: Unused headers that a run's summary names; ``unused_headers`` of the result has them all.
+NOTED_HEADERS = 1000
 REJECTED_SCHEMA = "path string, problem string, skipped boolean, n long"
 
 
@@ -262,14 +265,18 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     notes = (resolved.filter((F.col("status") == "duplicate") | F.col("via_cr"))
                      .select("status", "source_header").distinct()
                      .unionByName(H.unused_headers(canon_src, used, KEYS + ["src_id"])
-                                  .select(F.lit("unused").alias("status"), F.col("header").alias("source_header")))
-                     .collect())
-    if any(r["status"] == "duplicate" for r in notes):
+                                  .select(F.lit("unused").alias("status"), F.col("header").alias("source_header"))))
+    noted = ws.stage_dir("headers")
+    notes.write.parquet(noted)
+    notes = spark.read.schema("status string, source_header string").parquet(noted)
+    # a mapping's headers are as many as the rules name; unused ones may be any number
+    mapped = notes.filter("status <> 'unused'").collect()
+    if any(r["status"] == "duplicate" for r in mapped):
         H.raise_on_duplicates(resolved, canon, KEYS, "source_file")
-    for r in notes:
-        if r["status"] != "unused":
-            warnings.append(f"source header {r['source_header']!r} matched only after ignoring carriage returns")
-    unused = sorted(r["source_header"] for r in notes if r["status"] == "unused")
+    for r in mapped:
+        warnings.append(f"source header {r['source_header']!r} matched only after ignoring carriage returns")
+    all_unused = notes.filter("status = 'unused'").select("source_header")
+    unused = [r["source_header"] for r in all_unused.orderBy("source_header").limit(NOTED_HEADERS).collect()]
     if unused:
         warnings.append("source headers not used by any mapping (not imported): " + ", ".join(unused))
 
@@ -341,6 +348,8 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
         rows, got = ws.append_observed(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch, beside=found.alias(REJECTS))
     else:
         rows, got = ws.write_table(staged, ns, table, metrics=metrics, project=obs_cols, batch=batch, beside=found.alias(REJECTS))
+    for kept in (files, src, resolved):
+        kept.unpersist()
     detail = _reject_detail(ws, got.get("__folder"), plan.columns)
     rejects = {c: int(got.get(c) or 0) for c in plan.columns}
     for c, n in rejects.items():
@@ -349,7 +358,7 @@ def clean(ws: Workspace, pipeline: CleanPipeline, rules: list[Rule], big_table:
     summary = RunSummary(pipeline.id, "clean", True, rows, None, warnings, unused, n_files, f"{ns}.{table}", skipped)
     ws.log_run(summary)
     return CleanResult(summary, ns, table, plan.columns, rejects, getattr(ws, "last_raw_path", None), raw,
-                       rejected_files, getattr(ws, "last_rows_at", None), detail)
+                       rejected_files, getattr(ws, "last_rows_at", None), all_unused, detail)
 
 
 def _reject_detail(ws: Workspace, folder: str | None, columns: list[str]) -> DataFrame:

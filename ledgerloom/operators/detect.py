@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import js_trim
+from ledgerloom.plans.sizing import broadcast_if_small
 
 NUMERIC_CELL = "^-?[0-9]+([.,][0-9]+)?$"
 # Header words that mark an amount column (case-insensitive).
@@ -33,17 +34,12 @@ def detect_header_row(raw: DataFrame, scan_rows: int = 10) -> DataFrame:
     """H6: per sheet, the best-scoring row among the first ``scan_rows`` (earliest
     wins); all-zero -> index -1 and header row 1. Output: keys, header_index
     (0-based, -1 when none), header_row (1-based), score."""
-    sc = (raw.filter(F.col("row_no") <= scan_rows)
-             .select(*SHEET_KEYS, "row_no", row_score(F.col("cells"), F.col("kinds")).alias("score")))
-    best = sc.filter(F.col("score") > 0).groupBy(*SHEET_KEYS).agg(
-        F.max_by("row_no", F.struct(F.col("score"), -F.col("row_no"))).alias("best_row"),
-        F.max("score").alias("score"))
-    sheets = raw.select(*SHEET_KEYS).distinct()
-    return (sheets.join(best, SHEET_KEYS, "left")
-                  .select(*SHEET_KEYS,
-                          F.coalesce(F.col("best_row") - 1, F.lit(-1)).cast("int").alias("header_index"),
-                          F.coalesce(F.col("best_row"), F.lit(1)).cast("int").alias("header_row"),
-                          F.coalesce(F.col("score"), F.lit(0)).alias("score")))
+    # one aggregate over the first rows: a sheet with rows has a first one
+    first = raw.filter(F.col("row_no") <= scan_rows).select(*SHEET_KEYS, "row_no", row_score(F.col("cells"), F.col("kinds")).alias("score"))
+    best = first.groupBy(*SHEET_KEYS).agg(F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("row_no")).alias("before")))).alias("b"))
+    row = -F.col("b.before")
+    return best.select(*SHEET_KEYS, F.coalesce(row - 1, F.lit(-1)).cast("int").alias("header_index"), F.coalesce(row, F.lit(1)).cast("int").alias("header_row"),
+                       F.coalesce(F.col("b.score"), F.lit(0)).alias("score"))
 
 
 def _blank(cells: Column) -> Column:
@@ -57,22 +53,19 @@ def header_candidates(raw: DataFrame, min_score: int = 3, cell_truncate: int = 6
     ``score > mode`` and a score seen at most twice. Output per candidate:
     keys, row_no, score, deviation, cells (cut to ``cell_truncate`` chars with an
     ellipsis); rank by deviation desc, row asc (column ``rank``)."""
-    rows = raw.select(*SHEET_KEYS, "row_no", "cells", "kinds",
-                      _blank(F.col("cells")).alias("blank"))
-    last = rows.filter(~F.col("blank")).groupBy(*SHEET_KEYS).agg(F.max("row_no").alias("last_row"))
-    sc = (rows.join(last, SHEET_KEYS).filter(~F.col("blank") & (F.col("row_no") <= F.col("last_row")))
-              .withColumn("score", row_score(F.col("cells"), F.col("kinds"))))
-    freq = sc.groupBy(*SHEET_KEYS, "score").agg(F.count(F.lit(1)).alias("freq"))
+    # every row is scored once; cells are read again for the candidates only
+    rows = raw.select(*SHEET_KEYS, "row_no", _blank(F.col("cells")).alias("blank"), row_score(F.col("cells"), F.col("kinds")).alias("score")).checkpoint()
+    full = rows.filter(~F.col("blank"))      # trailing and interior blank rows
+    freq = full.groupBy(*SHEET_KEYS, "score").agg(F.count(F.lit(1)).alias("freq")).checkpoint()      # a row per sheet and score
     mode = freq.groupBy(*SHEET_KEYS).agg(F.max_by("score", F.struct("freq", "score")).alias("mode"))
+    rare = freq.join(mode, SHEET_KEYS).filter((F.col("score") >= min_score) & (F.col("score") > F.col("mode")) & (F.col("freq") <= 2))
+    found = full.join(rare, SHEET_KEYS + ["score"]).select(*SHEET_KEYS, "row_no", "score", (F.col("score") - F.col("mode")).alias("deviation")).checkpoint()
     cut = F.transform("cells", lambda x: F.when(
         F.length(F.coalesce(x, F.lit(""))) > cell_truncate,
         F.concat(F.substring(x, 1, cell_truncate - 1), F.lit("…"))).otherwise(F.coalesce(x, F.lit(""))))
-    cand = (sc.join(freq, SHEET_KEYS + ["score"]).join(mode, SHEET_KEYS)
-              .filter((F.col("score") >= min_score) & (F.col("score") > F.col("mode")) & (F.col("freq") <= 2))
-              .select(*SHEET_KEYS, "row_no", "score", (F.col("score") - F.col("mode")).alias("deviation"),
-                      cut.alias("cells")))
+    cells = raw.select(*SHEET_KEYS, "row_no", "cells").join(broadcast_if_small(found, 200_000), SHEET_KEYS + ["row_no"])
     w = Window.partitionBy(*SHEET_KEYS).orderBy(F.desc("deviation"), "row_no")
-    return cand.withColumn("rank", F.row_number().over(w))
+    return cells.select(*SHEET_KEYS, "row_no", "score", "deviation", cut.alias("cells")).withColumn("rank", F.row_number().over(w))
 
 
 def guess_mapping(canon: DataFrame) -> DataFrame:

@@ -308,7 +308,7 @@ def unused_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H8: source headers no mapping uses, over all files, sorted."""
     folder = FX.journal_folder(spark, sf_dir)
     _, res, _ = clean_folder(spark, folder, [JOURNAL_RULE], JOURNAL_TABLE)
-    return spark.createDataFrame([(h,) for h in res.summary.unused_headers], "header string")
+    return res.unused_headers.withColumnRenamed("source_header", "header")
 
 
 ORACLES["unused_headers"] = "SELECT * FROM (VALUES ('客户'), ('状态')) t(header)"

@@ -15,4 +15,4 @@ def test_contract_keys():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert df.columns == ["bucket", "n"] and sum(r["n"] for r in rows) > 0
+    assert df.columns == ["digits", "n", "total", "last_day"] and sum(r["n"] for r in rows) > 0
