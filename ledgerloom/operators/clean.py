@@ -25,8 +25,8 @@ from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
-from ledgerloom.sources.csvrows import BOM_BYTES, CSV_SHEET, csv_raw_rows
-from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files
+from ledgerloom.sources.csvrows import BOM_BYTES, CSV_SHEET, csv_raw_rows, literal_path
+from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files, relative_to, source_hit
 
 RAW_COLUMNS = ("source_file", "source_sheet", "row_no", "cells", "kinds")
 LINEAGE_COLUMNS = ("__source_file", "__source_sheet", "__source_row", "__extracted_at")
@@ -97,10 +97,13 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
     info: dict = {}
     rejected = None
     if "csv" in exts:
-        from ledgerloom.sources.csvrows import literal_path
-        csv_files = [literal_path(r["path"]) for r in
-                     matched.filter(F.col("ext") == "csv").select("path").distinct().collect()]   # names of matched files only
-        csv_raw = csv_raw_rows(spark, csv_files, info=info, max_header_row=int(max_header_row))
+        # the folder's files, less those that no rule source matches: the scan drops them when it lists the folder
+        rel, regexes = relative_to(source_dir), None if sources is None else sorted({s[4] for s in sources})
+
+        def keep(path: Column) -> Column:
+            return F.lit(True) if regexes is None else reduce(or_, [source_hit(F.lit(x), path, rel(path)) for x in regexes], F.lit(False))
+        where = source_dir if paths is None else [literal_path(p) for p in paths if p.lower().endswith(".csv")]
+        csv_raw = csv_raw_rows(spark, where, info=info, max_header_row=int(max_header_row), keep=keep)
         if info.get("complex_splits", 1) > 0:
             # records spanning lines went through windows / grouping: stage them once
             stage = ws.stage_dir("raw")

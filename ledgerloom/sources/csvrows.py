@@ -29,12 +29,14 @@ Plan (one scan of the text, no per-file task):
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.session import work_dir
+from ledgerloom.sources.files import LOCK_PREFIX
 
 CSV_SHEET = "csv"
 # Field separator while quoted records are split; its own occurrences in a cell are
@@ -66,26 +68,24 @@ def literal_path(p: str) -> str:
     return "".join(out)
 
 
-def scan_lines(spark: SparkSession, paths) -> DataFrame:
-    """Raw text lines of every CSV file (case-insensitive ``.csv``, ``~$`` lock files skipped).
-
-    Pass the listed files (not a folder) when the scan runs more than once: line
-    order comes from the scan's partitioning, which must be the same each time."""
+def scan_lines(spark: SparkSession, paths, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Raw text lines of every CSV file (case-insensitive ``.csv``, ``~$`` lock files skipped) below a folder, or of the files given.
+    ``keep`` is a condition on the path; files that it rejects are dropped when the scan is planned."""
     reader = (spark.read.option("lineSep", "\n")
               .option("ignoreCorruptFiles", "true")     # what is read is compared with the file's size (unreadable())
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.[cC][sS][vV]"))
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = reader.text(paths)
+    shown = decoded_path(F.col("_metadata.file_path"))
+    wanted = ~F.regexp_extract(shown, "([^/]*)$", 1).startswith(LOCK_PREFIX)
+    raw = reader.text(paths).filter(wanted if keep is None else wanted & keep(shown))
     lines = raw.select(
-        decoded_path(F.col("_metadata.file_path")).alias("source_file"),
-        F.col("_metadata.file_name").alias("_fname"),
+        shown.alias("source_file"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("lid"),
         F.col("value"),
     )
-    lines = lines.filter(~F.col("_fname").startswith("~$")).drop("_fname")
     # bytes that are no UTF-8 read as the replacement character
     lines = lines.withColumn("bad", (~F.is_valid_utf8(F.col("value"))).cast("int")).withColumn("raw_bytes", F.octet_length(F.col("value")))
     lines = lines.withColumn("value", F.when(F.col("bad") == 1, F.make_valid_utf8(F.col("value"))).otherwise(F.col("value")))
@@ -107,9 +107,9 @@ class RowCountError(RuntimeError):
     code = "CSV_ROW_COUNT"
 
 
-def stage_lines(spark: SparkSession, paths) -> tuple[DataFrame, int]:
+def stage_lines(spark: SparkSession, paths, keep: Callable[[Column], Column] | None = None) -> tuple[DataFrame, int]:
     """The scanned lines as Parquet in the shared folder (``_first`` = 1: the file's first split), and their number."""
-    lines = scan_lines(spark, paths).withColumn("bid", F.xxhash64("source_file", "block"))
+    lines = scan_lines(spark, paths, keep).withColumn("bid", F.xxhash64("source_file", "block"))
     stage = work_dir(spark, "csv-lines", fresh=True)
     seen = Observation(f"lines_{uuid.uuid4().hex[:8]}")
     out = lines.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_first", (F.col("block") == 0).cast("int"))
@@ -204,10 +204,10 @@ def split_fields(text):
 
 
 def csv_records(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYTES, info: dict | None = None,
-                max_header_row: int = 1) -> DataFrame:
+                max_header_row: int = 1, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(source_file, row_no, text, open_end)``: one row per CSV record; ``row_no`` is the
     1-based record ordinal within its file (blank records counted)."""
-    lines, n_lines = stage_lines(spark, paths)
+    lines, n_lines = stage_lines(spark, paths, keep)
     blocks = _block_table(lines).checkpoint(eager=True)
     totals = [F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines"),
               F.sum(F.when(F.col("simple"), 0).otherwise(1)).alias("complex"),
@@ -309,12 +309,12 @@ def _cells(recs: DataFrame) -> DataFrame:
 
 
 def csv_raw_rows(spark: SparkSession, paths, broadcast_bytes: int = BROADCAST_BYTES, info: dict | None = None,
-                 max_header_row: int = 1) -> DataFrame:
+                 max_header_row: int = 1, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """``raw_rows`` for CSV: (source_file, source_sheet='csv', row_no, cells, kinds=NULL).
     ``info`` (optional dict) receives the split counts (``complex_splits`` = splits
     that needed the record-assembly path) and, without such splits, ``first_rows``: the raw
     rows of the splits that hold the rows up to ``max_header_row``."""
-    recs = csv_records(spark, paths, broadcast_bytes, info, max_header_row)
+    recs = csv_records(spark, paths, broadcast_bytes, info, max_header_row, keep)
     if info is not None and "first_records" in info:
         info["first_rows"] = _cells(info.pop("first_records"))
         at = info.pop("records_at")

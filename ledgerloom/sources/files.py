@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,12 @@ def source_hit(regex: Column, path: Column, rel_path: Column) -> Column:
     return F.regexp_like(rel_path, regex) | F.regexp_like(F.regexp_replace(path, "^file:", ""), regex) | F.regexp_like(path, regex)
 
 
+def relative_to(root: str) -> Callable[[Column], Column]:
+    """A path's part below ``root``."""
+    prefix = to_uri(root) + "/"
+    return lambda p: F.when(p.startswith(prefix), F.substr(p, F.lit(len(prefix) + 1))).otherwise(p)
+
+
 def match_files(files: DataFrame, rule_sources: DataFrame) -> DataFrame:
     """Files x rule sources where the source regex matches the relative or the
     absolute path. ``rule_sources`` comes from the rule YAML (bounded by the rule

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.session import clone, work_dir
-from ledgerloom.sources.csvrows import literal_path
-from ledgerloom.sources.files import LOCK_PREFIX, WORKBOOK_EXT_RE, source_hit, to_uri
+from ledgerloom.sources.csvrows import decoded_path, literal_path
+from ledgerloom.sources.files import LOCK_PREFIX, WORKBOOK_EXT_RE, relative_to, source_hit
 
 BATCH_ROWS = 5000
 #: Larger workbooks are not read: Spark's rows hold at most 2 GB.
@@ -322,7 +322,7 @@ def _scan(spark: SparkSession, root: str | list[str], prune: Callable[[Column],
         own.conf.set(k, v)
     reader = own.read.format("binaryFile").option("recursiveFileLookup", "true")
     src = reader.load([literal_path(p) for p in root] if isinstance(root, list) else root)
-    shown = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    shown = decoded_path(F.col("_metadata.file_path"))
     name = F.regexp_extract(shown, "([^/]*)$", 1)
     keep = name.rlike(WORKBOOK_EXT_RE) & ~name.startswith(LOCK_PREFIX) & (F.col("_metadata.file_size") <= MAX_WORKBOOK_BYTES)
     return src.filter(keep if prune is None else keep & prune(shown)).select("path", "content")
@@ -342,8 +342,7 @@ def emit_workbooks(spark: SparkSession, root: str | list[str], stage: str | None
     a rule source matches (relative to ``base``), and only the sheets they want; ``wants``: the same sheets of every file; else all."""
     stage = stage or work_dir(spark, "workbooks", fresh=True)
     if sources is not None:
-        prefix = to_uri(base or root) + "/"
-        rel = lambda p: F.when(p.startswith(prefix), F.substr(p, F.lit(len(prefix) + 1))).otherwise(p)
+        rel = relative_to(base or root)
         scan = _scan(spark, root, lambda p: F.size(wants_of(sources, p, rel(p))) > 0)
         emit(scan, wants_of(sources, F.col("path"), rel(F.col("path"))), stage, max_header_row)
     else:
