@@ -1,8 +1,11 @@
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +39,23 @@ def test_bpe_is_tiktokens(coder, tik):
     assert coder.decode(got) == [t.encode() for t in texts]
 
 
+def test_bpe_of_long_words_in_bounded_memory(tik):
+    """10,000 distinct words of 180 letters and one of 100,000, in a process of its own that may take 1.2 GB."""
+    code = ("import random, sys, resource, time\n"
+            "from ledgerloom.llm import bpe_sql\nimport public_tokenizers as p\n"
+            "rng = random.Random(1)\nword = lambda n: ''.join(rng.choice('abcdethnio') for _ in range(n))\n"
+            "c = bpe_sql.Coder(p.path('byte_bpe_50k.tiktoken'), p.PATTERN)\n"
+            "texts = [' '.join(word(180) for _ in range(10_000)), word(100_000), word(900) + ' ' + word(1100)]\n"
+            "got = c.encode(texts)\n"
+            "assert c.decode(got) == [t.encode() for t in texts]\n"
+            "import tiktoken\nt = tiktoken.Encoding('own', pat_str=p.PATTERN, mergeable_ranks=c.ranks, special_tokens={})\n"
+            "import numpy as np\nassert all(np.frombuffer(g, '<u4').tolist() == t.encode_ordinary(x) for g, x in zip(got, texts))\n"
+            "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n")
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True, timeout=600)
+    assert int(out.stdout.split()[-1]) < 1200
+
+
 def test_bpe_rows(spark, tik):
     rows = odd_rows()
     out = bpe_sql.query(documents(prepare(spark), rows)).collect()
