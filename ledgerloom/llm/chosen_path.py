@@ -42,6 +42,8 @@ from .components import components
 from .shingles import WIDTH, Signer, binned, mix, shingles, similar
 
 PERCENT, TOKENS, BINS, TREES, BRANCHES, LIMIT, EXHAUSTIVE, MAX_LEVELS = 75, 128, 512, 8, 2, 128, 8192, 8
+#: A side of the tiles that a large node is compared in, in LIMIT records; multiplications that cost as much as comparing one pair of sets.
+TILE, PAIR_WORK = 8, 1_000_000
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -189,11 +191,40 @@ def _pairs(batches, forest: bool):
         yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
 
 
+def _shared(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two sets or more of a block have, as numbers from 0, and the set of each."""
+    size = np.array([len(s) // 8 for s in sets])
+    _, column, times = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True, return_counts=True)
+    owner, many = np.repeat(np.arange(len(sets)), size), times[column] > 1
+    return np.unique(column[many], return_inverse=True)[1], owner[many]
+
+
+def _similar_pairs(sets: list[bytes], found: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``found`` are similar. Common shingles are counted for all pairs of the block at once, by products of
+    slices of its incidence matrix, unless looking at the pairs one by one is less work."""
+    column, owner = _shared(sets)
+    wide = int(column.max()) + 1 if len(column) else 0
+    if wide * len(sets) ** 2 > PAIR_WORK * len(found):
+        return np.array([similar(sets[a], sets[b], PERCENT) for a, b in found.tolist()], dtype=bool)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for k in range(0, wide, 4096):
+        a, z = np.searchsorted(column, [k, k + 4096])
+        m = np.zeros((len(sets), 4096), dtype=np.float32)
+        m[owner[a:z], column[a:z] - k] = 1
+        common += m @ m.T
+    size = np.array([len(s) // 8 for s in sets])
+    both = common[found[:, 0], found[:, 1]].astype(np.int64)
+    return 100 * both >= PERCENT * (size[found[:, 0]] + size[found[:, 1]] - both)
+
+
 def _links_within(batches):
-    """A spanning forest of the confirmed pairs between different components of each block, the likeliest first."""
+    """A spanning forest of the confirmed pairs between different components of each block."""
     for g in _members(batches):
         ids, sets = g["id"].to_numpy(), g["hashes"].to_list()
-        found, est = _across(g)
+        found, _ = _across(g)
+        found = found[_similar_pairs(sets, found)] if len(found) else found
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -201,9 +232,9 @@ def _links_within(batches):
                 parent[c] = c = parent.get(up, up)
             return c
         comp, out = g["comp"].to_list(), []
-        for a, b in found[np.argsort(-est, kind="stable")].tolist():
+        for a, b in found.tolist():
             x, y = root(comp[a]), root(comp[b])
-            if x != y and similar(sets[a], sets[b], PERCENT):
+            if x != y:
                 parent[x] = y
                 out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
         if out:
@@ -312,7 +343,7 @@ def _blocked(members: DataFrame) -> DataFrame:
 
 def _block_pairs(members: DataFrame) -> DataFrame:
     """Each two blocks of a node together: the exhaustive comparison of a node (a small one is one block)."""
-    k = F.ceil(F.col("n") / F.lit(4 * LIMIT)).cast("long")
+    k = F.ceil(F.col("n") / F.lit(TILE * LIMIT)).cast("long")
     m = members.select("node", "id", F.pmod(F.xxhash64("id", "node"), k).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("other"))
     return m.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id",
                     F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))

@@ -124,7 +124,7 @@ def _borderline(n=80, words=220, changed=14):
     return out
 
 
-def test_dense_blocks_are_confirmed_in_their_task():
+def test_dense_blocks_are_confirmed_in_their_task(monkeypatch):
     from ledgerloom.llm.shingles import binned, shingles, similar
     sets = [shingles(t.encode()) for t in _borderline()]
     n = len(sets)
@@ -134,6 +134,11 @@ def test_dense_blocks_are_confirmed_in_their_task():
     assert out.values.tolist() == [[5, 5, True]]                     # no pair becomes a row
     links = pd.concat(chosen_path._links_within(iter([g])))
     assert len(links) < n
+    every = np.array([(a, b) for a in range(n) for b in range(a)])
+    one_by_one = [similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT) for a, b in every.tolist()]
+    for work in (0, 10**9):
+        monkeypatch.setattr(chosen_path, "PAIR_WORK", work)
+        assert chosen_path._similar_pairs(g["hashes"].to_list(), every).tolist() == one_by_one
     near = [{a, b} for a in range(n) for b in range(a) if similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT)]
     assert len(near) > 3 * n and len(near) < n * (n - 1) / 2 - n
 
