@@ -42,8 +42,8 @@ from .components import components
 from .shingles import WIDTH, Signer, binned, mix, shingles, similar
 
 PERCENT, TOKENS, BINS, TREES, BRANCHES, LIMIT, EXHAUSTIVE, MAX_LEVELS = 75, 128, 512, 8, 2, 128, 8192, 8
-#: A side of the tiles that a large node is compared in, in LIMIT records; multiplications that cost as much as comparing one pair of sets.
-TILE, PAIR_WORK = 8, 1_000_000
+#: A side of the tiles that a large node is compared in, in LIMIT records; shared shingles of a block up to which it is multiplied out.
+TILE, MOST_WIDE = 8, 200_000
 
 
 def _class_id(hashes: np.ndarray) -> int:
@@ -139,21 +139,25 @@ def _forest(est: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _across(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The likely pairs (places in the block) of different components, and their estimates."""
+def _across(g: pd.DataFrame, most: int) -> np.ndarray | None:
+    """The likely pairs (places in the block) of different components; None once there are more than ``most``."""
     comp, side, size = (g[c].to_numpy() for c in ("comp", "side", "size"))
     sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
     kinds, times = np.unique(comp, return_counts=True)
     # pairs inside the largest component need no look: one of two is outside it
-    rows = np.flatnonzero(comp != kinds[np.argmax(times)])
-    if not len(rows):
-        return np.empty((0, 2), dtype=np.int64), np.empty(0)
-    est = _estimates(sigs[rows], size[rows], sigs, size)
-    ok = (est >= 0) & (comp[rows][:, None] != comp[None])
-    if side.any():  # two blocks of one node: pairs inside a block belong to that block
-        ok &= side[rows][:, None] != side[None]
-    at = np.argwhere(ok)
-    return np.stack([rows[at[:, 0]], at[:, 1]], axis=1), est[ok]
+    outside = np.flatnonzero(comp != kinds[np.argmax(times)])
+    found, held = [np.empty((0, 2), dtype=np.int64)], 0
+    for k in range(0, len(outside), 64):
+        rows = outside[k:k + 64]
+        ok = (_estimates(sigs[rows], size[rows], sigs, size) >= 0) & (comp[rows][:, None] != comp[None])
+        if side.any():  # two blocks of one node: pairs inside a block belong to that block
+            ok &= side[rows][:, None] != side[None]
+        at = np.argwhere(ok)
+        held += len(at)
+        if held > most:
+            return None
+        found.append(np.stack([rows[at[:, 0]], at[:, 1]], axis=1))
+    return np.concatenate(found)
 
 
 def _members(batches):
@@ -174,8 +178,8 @@ def _pairs(batches, forest: bool):
             size, sigs = g["size"].to_numpy(), np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, BINS)
             found = np.array(_forest(_estimates(sigs, size, sigs, size)), dtype=np.int64).reshape(-1, 2)
         else:
-            found, _ = _across(g)
-        if not forest and len(found) > len(ids):
+            found = _across(g, len(ids))
+        if found is None:
             us.append(g["key"].iloc[:1].to_numpy())
             vs.append(us[-1])
             dense.append(np.array([True]))
@@ -199,13 +203,15 @@ def _shared(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(column[many], return_inverse=True)[1], owner[many]
 
 
-def _similar_pairs(sets: list[bytes], found: np.ndarray) -> np.ndarray:
-    """Which of the pairs ``found`` are similar. Common shingles are counted for all pairs of the block at once, by products of
-    slices of its incidence matrix, unless looking at the pairs one by one is less work."""
+def _similar_pairs(g: pd.DataFrame) -> np.ndarray:
+    """The similar pairs (places) of different components of a block. Common shingles are counted for all pairs at once, by products of
+    slices of the block's incidence matrix, unless looking at the likely pairs one by one is less work."""
+    comp, side, sets = g["comp"].to_numpy(), g["side"].to_numpy(), g["hashes"].to_list()
     column, owner = _shared(sets)
     wide = int(column.max()) + 1 if len(column) else 0
-    if wide * len(sets) ** 2 > PAIR_WORK * len(found):
-        return np.array([similar(sets[a], sets[b], PERCENT) for a, b in found.tolist()], dtype=bool)
+    if wide > MOST_WIDE:
+        found = _across(g, len(sets) ** 2)
+        return found[[similar(sets[a], sets[b], PERCENT) for a, b in found.tolist()]] if len(found) else found
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     common = np.zeros((len(sets), len(sets)), dtype=np.float32)
@@ -214,17 +220,17 @@ def _similar_pairs(sets: list[bytes], found: np.ndarray) -> np.ndarray:
         m = np.zeros((len(sets), 4096), dtype=np.float32)
         m[owner[a:z], column[a:z] - k] = 1
         common += m @ m.T
-    size = np.array([len(s) // 8 for s in sets])
-    both = common[found[:, 0], found[:, 1]].astype(np.int64)
-    return 100 * both >= PERCENT * (size[found[:, 0]] + size[found[:, 1]] - both)
+    size = np.array([len(s) // 8 for s in sets], dtype=np.float32)
+    ok = (100 * common >= PERCENT * (size[:, None] + size[None] - common)) & (comp[:, None] < comp[None])
+    if side.any():
+        ok &= side[:, None] != side[None]
+    return np.argwhere(ok)
 
 
 def _links_within(batches):
     """A spanning forest of the confirmed pairs between different components of each block."""
     for g in _members(batches):
-        ids, sets = g["id"].to_numpy(), g["hashes"].to_list()
-        found, _ = _across(g)
-        found = found[_similar_pairs(sets, found)] if len(found) else found
+        ids, found = g["id"].to_numpy(), _similar_pairs(g)
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -232,11 +238,15 @@ def _links_within(batches):
                 parent[c] = c = parent.get(up, up)
             return c
         comp, out = g["comp"].to_list(), []
+        open_ = len(set(comp)) - 1
         for a, b in found.tolist():
             x, y = root(comp[a]), root(comp[b])
             if x != y:
                 parent[x] = y
+                open_ -= 1
                 out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+                if not open_:
+                    break
         if out:
             yield pd.DataFrame(out, columns=["u", "v"])
 

@@ -134,11 +134,10 @@ def test_dense_blocks_are_confirmed_in_their_task(monkeypatch):
     assert out.values.tolist() == [[5, 5, True]]                     # no pair becomes a row
     links = pd.concat(chosen_path._links_within(iter([g])))
     assert len(links) < n
-    every = np.array([(a, b) for a in range(n) for b in range(a)])
-    one_by_one = [similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT) for a, b in every.tolist()]
-    for work in (0, 10**9):
-        monkeypatch.setattr(chosen_path, "PAIR_WORK", work)
-        assert chosen_path._similar_pairs(g["hashes"].to_list(), every).tolist() == one_by_one
+    every = {(a, b) for b in range(n) for a in range(b) if similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT)}
+    for wide in (0, 10**9):
+        monkeypatch.setattr(chosen_path, "MOST_WIDE", wide)
+        assert {tuple(sorted(p)) for p in chosen_path._similar_pairs(g).tolist()} == every
     near = [{a, b} for a in range(n) for b in range(a) if similar(g["hashes"][a], g["hashes"][b], chosen_path.PERCENT)]
     assert len(near) > 3 * n and len(near) < n * (n - 1) / 2 - n
 
