@@ -72,9 +72,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, *parts: str, fresh: bool = False) -> str:
     """A folder below the shared checkpoint root. ``fresh`` adds a unique leaf."""
     p = os.path.join(checkpoint_root(spark), "ledgerloom", *parts)
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)
-    if fresh:  # a unique leaf that does not exist yet (Spark writers create it)
+    if fresh:  # a unique leaf that does not exist yet (writers create folders)
         p = os.path.join(p, uuid.uuid4().hex[:12])
     return p
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.plans.store import Store
+
 # Readable source extensions (case-insensitive) and the lock-file prefix.
 SOURCE_EXT_RE = "(?i)\\.(xlsx|xls|csv)$"
 WORKBOOK_EXT_RE = "(?i)\\.(xlsx|xls)$"
@@ -22,25 +23,13 @@ FILES_SCHEMA = T.StructType([
 
 
 def to_uri(path: str) -> str:
-    """Local absolute paths as the ``file:`` URIs Spark reports in ``_metadata``."""
-    if "://" in path or path.startswith("file:"):
-        return path.rstrip("/")
-    return "file:" + os.path.abspath(path).rstrip("/")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path and not path.startswith("file:"):
-        return os.path.isdir(path)
-    try:
-        spark.read.format("binaryFile").load(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - a missing folder is an empty listing
-        return False
+    """A path as the URI that Spark reports in ``_metadata``; without a scheme it lies on the default file system, as for Spark."""
+    return Store(SparkSession.active()).qualified(path).rstrip("/")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every source file below ``root`` (metadata only; file contents are not read)."""
-    if not _exists(spark, root):
+    if not Store(spark).exists(root):
         return spark.createDataFrame([], FILES_SCHEMA)
     prefix = to_uri(root) + "/"
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
