@@ -56,3 +56,25 @@ def test_bounds_gaps_and_types(spark, tmp):
     assert got[2] == (["a", "1.5", "true"], "snb")
     assert got[3] == ([], "")
     assert got[4] == (["b"], "s")          # NULL error + trailing empties trimmed
+
+
+def test_rows_of_a_book_are_written_as_they_come(tmp):
+    """A sheet's rows go to the file while later ones are still to come; its dimension holds all of them."""
+    import types
+    import zipfile
+
+    from ledgerloom.suite.xlsx_fixture import _orders_book
+    rng, sizes, n = random.Random(3), [], 8000
+    with open(os.path.join(tmp, "o.xlsx"), "w+b", buffering=0) as fh:
+        def orders():
+            for key in range(n):
+                yield types.SimpleNamespace(key=key, price=rng.random(), serial=key, prio="1-URGENT", status="O", cust=rng.randrange(10**9))
+                sizes.append(fh.tell())
+        _orders_book(fh, orders(), n)
+        assert 0 < sizes[n // 4] < sizes[n // 2] < sizes[-1]
+        with zipfile.ZipFile(fh) as z:
+            assert z.read("xl/worksheets/sheet2.xml").count(b"<row ") == n + 5
+    with open(os.path.join(tmp, "long.xlsx"), "w+b") as fh:
+        _orders_book(fh, iter(()), 2_000_000)
+        with zipfile.ZipFile(fh) as z:
+            assert f'ref="A1:XFD{4 + 1_999_999 + 1_999_999 // 50 + 3}"' in z.read("xl/worksheets/sheet2.xml").decode()
