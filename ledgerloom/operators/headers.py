@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import js_trim
 
 
+#: A header that is spelled like a numbered one: its text and its number.
+_NUMBERED = "(?s)^(.*)_([1-9][0-9]*)$"
+
+
 class DuplicateHeaderError(RuntimeError):
     code = "CLEAN_DUPLICATE_HEADER"
 
@@ -29,8 +33,11 @@ def canonicalize(long: DataFrame, keys: list[str], materialize: bool = False) ->
     raw header of the same sheet. Adds ``name`` and ``cnt`` (occurrences of h).
 
     Exactness: two different groups can never generate the same name (the text
-    after the last ``_`` is the number), so only raw names need excluding, and
-    the m-th free number of a group is at most ``cnt + n_cols``.
+    after the last ``_`` is the number), so only raw names need excluding. With
+    the excluded numbers of a group in order, the i-th of them, b_i, is passed by the
+    m-th occurrence if fewer than m numbers below it are free (b_i - i < m): the m-th
+    occurrence gets m plus the excluded numbers it passes, by one running count.
+    A repeated header without a key or text has no name and is left out.
     """
     wk = Window.partitionBy(*keys, "h")
     df = (long.withColumn("cnt", F.count(F.lit(1)).over(wk))
@@ -42,16 +49,16 @@ def canonicalize(long: DataFrame, keys: list[str], materialize: bool = False) ->
             return df.withColumn("name", F.col("h")).drop("occ")
         long = df.select(*keys, "pos", "h")
     uniq = df.filter(F.col("cnt") == 1).withColumn("name", F.col("h"))
-    ncols = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cols"))
-    groups = df.filter(F.col("cnt") > 1).select(*keys, "h", "cnt").distinct().join(ncols, keys)
-    cand = groups.select(*keys, "h", "cnt",
-                         F.explode(F.sequence(F.lit(1), F.col("cnt") + F.col("n_cols"))).alias("num"))
-    cand = cand.withColumn("name", F.concat(F.col("h"), F.lit("_"), F.col("num").cast("string")))
-    raw = long.select(*keys, F.col("h").alias("name")).distinct()
-    free = cand.join(raw, keys + ["name"], "left_anti")
-    free = (free.withColumn("occ", F.row_number().over(Window.partitionBy(*keys, "h").orderBy("num")))
-                .filter(F.col("occ") <= F.col("cnt")).select(*keys, "h", "occ", "name"))
-    rep = df.filter(F.col("cnt") > 1).join(free, keys + ["h", "occ"])
+    rep = df.filter(F.col("cnt") > 1).dropna(subset=[*keys, "h"])
+    numbered = long.select(*keys, F.regexp_extract("h", _NUMBERED, 1).alias("h"), F.expr("try_cast(nullif(regexp_extract(h, '%s', 2), '') AS bigint)" % _NUMBERED).alias("num"))
+    excluded = numbered.filter(F.col("num").isNotNull()).dropna(subset=keys).distinct()
+    excluded = excluded.withColumn("_ord", F.col("num") - F.row_number().over(Window.partitionBy(*keys, "h").orderBy("num")) + 1)
+    both = rep.withColumns({"_ord": F.col("occ").cast("long"), "_own": F.lit(1)}) \
+              .unionByName(excluded.drop("num").withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    passed = F.count_if(F.col("_own") == 0).over(
+        Window.partitionBy(*keys, "h").orderBy("_ord", "_own").rowsBetween(Window.unboundedPreceding, 0))
+    rep = both.withColumn("name", F.concat(F.col("h"), F.lit("_"), (F.col("_ord") + passed).cast("string"))) \
+              .filter(F.col("_own") == 1).drop("_ord", "_own")
     return uniq.unionByName(rep).drop("occ")
 
 

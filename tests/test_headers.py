@@ -47,3 +47,22 @@ def test_resolve_finds_every_name_and_no_bare_repeat(spark):
             assert (r["status"], r["idx"]) == ("ok", at[r["sheet"], plain]), w
         else:
             assert r["status"] == ("duplicate" if row.count(w) > 1 else "absent" if w == plain else r["status"]) and r["idx"] is None, w
+
+
+def test_numbers_skip_headers_spelled_like_them_without_a_list_of_candidates(spark):
+    """Names as counted one by one; the plan makes no candidates, whose number is that of a sheet's repeated headers times its columns."""
+    rng = random.Random(5)
+    words = ["a", "a_1", "a_2", "a_02", "a_2_1", "a_4", "a_99999999999999999999", "_", "__1", "a\nb", "a\nb_1"]
+    sheets = [[rng.choice(words) for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    got = _canon(spark, sheets)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    names = {(r["sheet"], r["pos"]): r["name"] for r in got.collect()}
+    for k, row in enumerate(sheets):
+        last = {}
+        for i, h in enumerate(row):
+            if row.count(h) == 1:
+                assert names[k, i] == h
+                continue
+            last[h] = next(n for n in range(last.get(h, 0) + 1, 100) if f"{h}_{n}" not in row)
+            assert names[k, i] == f"{h}_{last[h]}"
+    assert len(names) == sum(map(len, sheets))
