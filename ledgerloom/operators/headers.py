@@ -23,7 +23,8 @@ class DuplicateHeaderError(RuntimeError):
 
 def header_long(header_rows: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:
     """One row per header cell; each header is trimmed (Unicode whitespace)."""
-    return header_rows.select(*keys, F.posexplode(cells).alias("pos", "_h")) \
+    # outer: the optimizer would test the cells of an inner one where the rows are read, and so split every line to find the headers
+    return header_rows.select(*keys, F.posexplode_outer(cells).alias("pos", "_h")).filter("pos IS NOT NULL") \
                       .withColumn("h", js_trim(F.coalesce(F.col("_h"), F.lit("")))).drop("_h")
 
 
