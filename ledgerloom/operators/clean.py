@@ -25,7 +25,7 @@ from ledgerloom.operators import headers as H
 from ledgerloom.operators.rules import plan_rules
 from ledgerloom.plans.sizing import broadcast_if_small
 from ledgerloom.plans.workspace import RunSummary, Workspace, bt_namespace
-from ledgerloom.sources.csvrows import BOM_BYTES, CSV_SHEET, csv_raw_rows, literal_path
+from ledgerloom.sources.csvrows import BOM_BYTES, CSV_SHEET, STAGE_OPTIONS, csv_raw_rows, literal_path
 from ledgerloom.sources.files import csv_sheets, files_from_paths, list_files, match_files, relative_to, source_hit
 
 RAW_COLUMNS = ("source_file", "source_sheet", "row_no", "cells", "kinds")
@@ -108,7 +108,7 @@ def load_raw_rows(ws: Workspace, source_dir, files: DataFrame, matched: DataFram
             # records spanning lines went through windows / grouping: stage them once
             stage = ws.stage_dir("raw")
             csv_raw.withColumn("_head", (F.col("row_no") <= F.lit(int(max_header_row))).cast("int")) \
-                   .write.partitionBy("_head").parquet(stage)
+                   .write.options(**STAGE_OPTIONS).partitionBy("_head").parquet(stage)
             csv_raw = spark.read.parquet(stage)
             ws.last_raw_path = stage
         else:

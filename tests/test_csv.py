@@ -109,3 +109,45 @@ def test_lock_files_and_case(spark, tmp):
         put(tmp, name, t)
     names = {r["source_file"].rsplit("/", 1)[-1] for r in csv_raw_rows(spark, tmp).collect()}
     assert names == {"A.CSV"}
+
+
+def test_large_files_are_dealt_apart(spark, tmp):
+    """Each file is one task's, and no task has two files while another has none."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.suite.fixtures import by_file, write_csv_folder
+    rows = spark.range(400).select((F.col("id") % 8).cast("string").alias("k"), F.when(F.col("id") % 8 == 3, None).otherwise(F.col("id") % 2).alias("b"), "id")
+    dealt = by_file(rows, ["k", "b"], 8).select("k", "b", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(dealt) == 8 and len({r.p for r in dealt}) == 8
+    out = write_csv_folder(rows, f"{tmp}/out", ["k", "b"], ["id"], 8)
+    assert spark.read.option("header", "true").csv(out).count() == 400
+
+
+def test_only_records_at_the_ends_of_splits_are_shuffled_after_their_lines(spark, tmp):
+    """Records over many lines and splits read as written; after the lines are staged no plan of the result groups whole splits."""
+    from ledgerloom.sources.csvrows import csv_raw_rows
+    rng = random.Random(8)
+    cells = [[f"{i}", "".join(rng.choice(["x", "\n", "\r", ",", '"', "long text "]) for _ in range(rng.randint(0, 60)))] for i in range(300)]
+    with open(f"{tmp}/a.csv", "w", newline="") as fh:
+        fh.write("".join(",".join('"' + c.replace('"', '""') + '"' for c in row) + "\n" for row in cells))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        info = {}
+        got = {r["row_no"]: r["cells"] for r in csv_raw_rows(spark, f"{tmp}/a.csv", info=info).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert info["splits"] > 3 and [got[i + 1] for i in range(300)] == cells and len(got) == 300
+    from ledgerloom.session import work_dir
+    import os
+    assert os.path.isdir(work_dir(spark, "csv-records")) and not os.path.isdir(work_dir(spark, "csv-segments"))
+
+
+def test_headers_are_found_without_splitting_every_line(spark):
+    """No test of the cells reaches the rows that hold no header."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.headers import header_long
+    rows = spark.range(5).select("id", F.split(F.col("id").cast("string"), ",").alias("cells"))
+    plan = header_long(rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
