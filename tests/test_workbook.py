@@ -78,3 +78,10 @@ def test_rows_of_a_book_are_written_as_they_come(tmp):
         _orders_book(fh, iter(()), 2_000_000)
         with zipfile.ZipFile(fh) as z:
             assert f'ref="A1:XFD{4 + 1_999_999 + 1_999_999 // 50 + 3}"' in z.read("xl/worksheets/sheet2.xml").decode()
+
+
+def test_small_books_share_tasks_and_keep_their_rows(spark, tmp):
+    from ledgerloom.sources.workbook import _scan, read_workbooks
+    paths = [_book(tmp, f"s{i}.xlsx", [("S", "A1:A1", [(1, [f'<c r="A1"><v>{i}</v></c>'])])])[0] for i in range(60)]
+    assert _scan(spark, paths).rdd.getNumPartitions() < 30
+    assert sorted(int(r["cells"][0]) for r in read_workbooks(spark, paths).collect()) == list(range(60))
