@@ -151,3 +151,16 @@ def test_a_stream_batch_is_appended_once(spark, tmp):
     assert ws.read(MASTER, "t").count() == 2
     ws.append_observed(df, MASTER, "t", batch=("other", 0))
     assert ws.read(MASTER, "t").count() == 3
+
+
+def test_range_join_is_dealt_to_many_tasks(spark, tmp):
+    """Few customers of few bytes, each tested against the suppliers of its band: one task before."""
+    from ledgerloom.suite.relational import FUNCS
+    spark.range(300).selectExpr("id AS s_suppkey", "CAST(id * 7 % 900 AS DOUBLE) AS s_acctbal").coalesce(1).write.parquet(f"{tmp}/supplier.parquet")
+    spark.range(2000).selectExpr("id AS c_custkey", "CAST(id * 13 % 1500 AS DOUBLE) AS c_acctbal").coalesce(1).write.parquet(f"{tmp}/customer.parquet")
+    got = FUNCS["sql_range_join"](spark, tmp)
+    balances = [i * 13 % 1500 for i in range(2000)]
+    assert {r.s_suppkey: r.n_customers for r in got.collect()} == {i: sum(i * 7 % 900 <= b <= i * 7 % 900 + 400 for b in balances) for i in range(300)}
+    plan = got._jdf.queryExecution().sparkPlan()
+    tasks = [plan.collectLeaves().apply(k).execute().getNumPartitions() for k in range(plan.collectLeaves().size())]
+    assert max(tasks) == 64
