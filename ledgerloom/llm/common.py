@@ -52,6 +52,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Removes the files of a table of ``staged`` once everything made from it is staged itself."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` (a staged table) with a broadcast hint if it has at most ``max_rows`` rows; a
     larger one keeps its shuffle join, in which AQE splits hot keys."""

@@ -6,14 +6,16 @@ pairs among N distinct ones: 7e-5 at 50 million); lines link at a Jaccard simila
 the order of id, then text hash. A line goes if an earlier line, of its own or another document, has an
 equal or similar set.
 
-1. All lines are tokenised once and staged. Lines with equal sets are one class, which stands at
-   its first line; a line that occurs everywhere is one class.
+1. All lines are tokenised and staged with the high 31 bits of each token, which the prefix filter needs; these go when
+   it is done. Lines with equal sets are one class, which stands at its first line; a line that occurs everywhere is one class.
 2. Rarity: all tokens of all lines are counted in CELLS hash cells; a class's tokens are ordered by
-   their cell's count, then by the low 32 bits of their value, an order that all lines share. Tokens that agree in both
-   stand for one another in the prefix filter, which adds candidates and loses none; verification reads all 64 bits.
+   their cell's count, then by their 31 bits, an order that all lines share. Tokens that agree in these
+   stand for one another in the prefix filter, which adds candidates and loses none; verification hashes the lines
+   of the candidates again and reads all 64 bits.
 3. Prefix filter: similar sets share a token among the first n - ceil(0.75 n) + 1 of each. Tokens that
-   only one class has in its prefix are dropped by an aggregate. Pairs under the same token pass the length filter
-   and the positional filter, and are verified on the whole sets.
+   only one class has in its prefix are dropped by an aggregate. Pairs under the same token pass the length filter,
+   the positional filter and the bitmap filter (each token flips one of 64 bits; the bits that differ are at most as many as the tokens
+   that only one of two sets has), and are verified on the whole sets.
 4. A class needs one earlier match only. So each token's classes are first compared with a few
    anchors (the first one, and one chosen by hash); only classes without a match go on to all
    earlier classes under their tokens. Near copies by the thousand thus cost pairs in proportion to their number.
@@ -27,31 +29,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_up_to, staged
+from .common import WORD, broadcast_up_to, discarded, staged
 
 PERCENT, WIDTH, CELLS, ANCHORS = 75, 5, 1 << 16, 2
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _shingles(words: Column) -> Column:
-    n = F.size(words)
-    # neighbours side by side as structs, so that each shingle is one hash of one value
-    rows = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(n - (WIDTH - 1), F.lit(0))) for k in range(WIDTH)))
-    return F.when(n >= WIDTH, F.sort_array(F.array_distinct(F.transform(rows, lambda x: F.xxhash64(x))))).otherwise(F.array(F.xxhash64(words)))
+def _shingles(words: Column, hashes: Column) -> Column:
+    """The set of a line from its words and their hashes: neighbours are hashed by their hashes, one value a shingle."""
+    runs = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - (WIDTH - 1), F.lit(0))),
+                       lambda x, i: F.xxhash64(x, *(F.get(hashes, i + k) for k in range(1, WIDTH))))
+    return F.when(F.size(hashes) >= WIDTH, F.sort_array(F.array_distinct(runs))).otherwise(F.array(F.xxhash64(words)))
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, text_hash, line, class, toks) of every line that has a word."""
+def _raw_lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(doc, text_hash, line, raw, *more) of every line that has a word."""
     t = F.col(f"`{text}`")
-    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(t).alias("text_hash"), F.posexplode(F.split(t, "\n", -1)).alias("line", "raw"))
-    rows = rows.select("doc", "text_hash", "line", F.btrim(F.lower("raw"), F.lit(" \t\r\x0b\x0c")).alias("raw")).filter("raw <> ''")
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(t).alias("text_hash"), *more, F.posexplode(F.split(t, "\n", -1)).alias("line", "raw"))
+    return rows.select("doc", "text_hash", "line", F.btrim(F.lower("raw"), F.lit(" \t\r\x0b\x0c")).alias("raw"), *more).filter("raw <> ''")
+
+
+def _tokenised(rows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, toks) of lines (*keep, raw)."""
     # most lines have single spaces only, which need no pattern
     odd = F.contains("raw", F.lit("  "))
     for c in "\t\r\x0b\x0c":
         odd = odd | F.contains("raw", F.lit(c))
-    rows = rows.select("doc", "text_hash", "line", F.when(odd, F.split("raw", _SPACE)).otherwise(F.split("raw", " ")).alias("words"))
-    rows = rows.select("doc", "text_hash", "line", _shingles(F.col("words")).alias("toks"))
-    return rows.select("doc", "text_hash", "line", F.xxhash64("toks").alias("class"), "toks")
+    rows = rows.select(*keep, F.when(odd, F.split("raw", _SPACE)).otherwise(F.split("raw", " ")).alias("words"))
+    rows = rows.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return rows.select(*keep, _shingles(F.col("words"), F.col("hashes")).alias("toks"))
+
+
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, text_hash, line, class, bits, toks) of every line that has a word; of its tokens the high 31 bits."""
+    rows = _tokenised(_raw_lines(docs, key, text), "doc", "text_hash", "line")
+    flip = F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    return rows.select("doc", "text_hash", "line", F.xxhash64("toks").alias("class"), flip.alias("bits"),
+                       F.transform("toks", lambda t: F.shiftrightunsigned(t, 33).cast("int")).alias("toks"))
 
 
 def _rarity(tokens: DataFrame) -> Column:
@@ -62,26 +76,34 @@ def _rarity(tokens: DataFrame) -> Column:
 
 
 def _fits(x: str, y: str) -> Column:
-    """Length and positional filters of two postings with columns n and pos, in whole numbers."""
+    """Length, positional and bitmap filters of two postings with columns n, pos and bits, in whole numbers."""
     c = lambda a, b: F.col(f"{a}{b}")
     nx, ny = c(x, "n"), c(y, "n")
     most = F.least(nx - c(x, "pos"), ny - c(y, "pos"))  # of common tokens, if this is the first one
-    return (100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
+    apart = F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits")))  # at most the tokens that only one of them has
+    return ((100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)) & ((100 + PERCENT) * most >= PERCENT * (nx + ny))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)))
 
 
 class _Verifier:
-    def __init__(self, tokens: DataFrame, classes: DataFrame):
-        self.tokens, self.classes, self.sets, self.tested = tokens, classes, None, None
+    def __init__(self, docs: DataFrame, key: str, text: str, classes: DataFrame):
+        self.docs, self.key, self.text = docs, key, text
+        self.classes, self.sets, self.tested = classes, None, None
 
     def _fetch(self, pairs: DataFrame) -> None:
         """The whole sets of more classes, from their first lines."""
         ranks = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
         if self.sets is not None:
             ranks = ranks.join(self.sets.select("rank"), "rank", "left_anti")
-        want = staged(self.classes.join(ranks, "rank").select("rank", "class", F.col("first").alias("f")), "wanted")
-        place = F.struct("doc", "text_hash", "line")
-        got = self.tokens.join(broadcast_up_to(want, 1_000_000), "class").filter(place.eqNullSafe(F.col("f"))).select("rank", "toks")
-        got = staged(got.dropDuplicates(["rank"]), "sets")  # rows that repeat id and text
+        want = staged(self.classes.join(ranks, "rank").select("rank", F.col("first").alias("f")), "wanted")
+        if want.isEmpty():
+            return
+        by_text = want.groupBy(F.col("f.doc").alias("__doc"), F.col("f.text_hash").alias("__hash")).agg(F.map_from_entries(F.collect_list(F.struct("f.line", "rank"))).alias("__ranks"))
+        by_text = F.broadcast(by_text) if want.limit(1_000_001).count() <= 1_000_000 else by_text
+        t = F.col(f"`{self.text}`")
+        found = self.docs.join(by_text, F.col(f"`{self.key}`").eqNullSafe(F.col("__doc")) & (F.xxhash64(t) == F.col("__hash")))
+        rows = _raw_lines(found, self.key, self.text, "__ranks").select(F.try_element_at("__ranks", F.col("line")).alias("rank"), "raw").filter("rank IS NOT NULL")
+        got = staged(_tokenised(rows, "rank").dropDuplicates(["rank"]), "sets")  # rows that repeat id and text
         self.sets = got if self.sets is None else self.sets.unionByName(got)
 
     def matched(self, pairs: DataFrame) -> DataFrame:
@@ -91,6 +113,8 @@ class _Verifier:
             new = new.join(self.tested, ["x", "y"], "left_anti")
         new = staged(new, "pairs")
         self.tested = new if self.tested is None else self.tested.unionByName(new)
+        if new.isEmpty():
+            return new.select("x")
         self._fetch(new)
         both = (new.join(self.sets.select(F.col("rank").alias("x"), F.col("toks").alias("a")), "x")
                 .join(self.sets.select(F.col("rank").alias("y"), F.col("toks").alias("b")), "y"))
@@ -99,10 +123,11 @@ class _Verifier:
 
 
 def _lists(tokens: DataFrame) -> DataFrame:
-    """(tok, class, n, pos) of the prefix tokens that more than one class has."""
+    """(tok, class, n, pos) of the prefix tokens that more than one class has, from ``tokens`` (class, toks)."""
     rarity = _rarity(tokens)
     n = F.size("toks")
-    ordered = F.sort_array(F.transform("toks", lambda t: F.get(rarity, t.bitwiseAND(F.lit(CELLS - 1)).cast("int")) * F.lit(2**32) + t.bitwiseAND(F.lit(2**32 - 1))))
+    # a cell's count goes with the token: the same for all lines
+    ordered = F.sort_array(F.transform("toks", lambda t: F.get(rarity, t.bitwiseAND(F.lit(CELLS - 1))) * F.lit(2**31) + t))
     keep = n - F.ceil(n * PERCENT / 100).cast("int") + 1
     postings = tokens.select("class", n.alias("n"), F.posexplode(F.slice(ordered, F.lit(1), keep)).alias("pos", "tok"))
     # one shuffle by token serves the count, the join and the removal of repeated rows; the count reads
@@ -114,23 +139,18 @@ def _lists(tokens: DataFrame) -> DataFrame:
     return dealt.join(shared.hint("shuffle_hash"), "tok").distinct()
 
 
-def later_classes(tokens: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rank) of the classes that are similar to a class of a lower rank. ``classes`` (class, first, rank)."""
-    lists = _lists(tokens).join(classes.select("class", "rank"), "class").select("tok", "rank", "n", "pos")
-    lists = staged(lists, "lists")
-    verify = _Verifier(tokens, classes)
-    mine = lists.select("tok", F.col("rank").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"))
-    theirs = lists.select("tok", F.col("rank").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
+def later_classes(docs: DataFrame, key: str, text: str, lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rank) of the classes that are similar to a class of a lower rank. ``lists`` of ``_lists``, ``classes`` (class, first, bits, rank)."""
+    lists = staged(lists.join(classes.select("class", "rank", "bits"), "class").select("tok", "rank", "n", "pos", "bits"), "lists")
+    verify = _Verifier(docs, key, text, classes)
+    mine, theirs = (lists.select("tok", F.col("rank").alias(a), *(F.col(c).alias(f"{a}{c}") for c in ("n", "pos", "bits"))) for a in "xy")
     later = None
     for a in range(ANCHORS):
         rest = mine if later is None else staged(mine.join(later, "x", "left_anti"), "rest")
-        if a == 0:
-            anchors = theirs.groupBy("tok").agg(F.min("y").alias("y"))
-            pairs = rest.join(anchors, "tok").filter("y < x")
-        else:
-            open_ = theirs.join(rest.select("tok").distinct(), "tok", "left_semi")
-            anchors = open_.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(a), "y").alias("o"), "y", "yn", "ypos")).alias("m")).select("tok", "m.y", "m.yn", "m.ypos")
-            pairs = rest.join(anchors, "tok").filter((F.col("y") < F.col("x")) & _fits("x", "y"))
+        open_ = theirs if a == 0 else theirs.join(rest.select("tok").distinct(), "tok", "left_semi")
+        order = F.col("y") if a == 0 else F.xxhash64(F.lit(a), "y")
+        anchors = open_.groupBy("tok").agg(F.min(F.struct(order.alias("o"), "y", "yn", "ypos", "ybits")).alias("m")).select("tok", "m.y", "m.yn", "m.ypos", "m.ybits")
+        pairs = rest.join(anchors, "tok").filter((F.col("y") < F.col("x")) & _fits("x", "y"))
         found = verify.matched(pairs)
         later = found if later is None else later.unionByName(found)
     rest = staged(rest.join(later, "x", "left_anti"), "rest")
@@ -140,12 +160,15 @@ def later_classes(tokens: DataFrame, classes: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, text_hash, n_words_lines, gone): for each text that loses lines, their numbers from 0."""
-    tokens = staged(lines(docs, key, text), "lines")
+    whole = staged(lines(docs, key, text), "tokens")
+    lists = staged(_lists(whole.select("class", "toks")), "postings")
+    tokens = staged(whole.drop("toks"), "lines")
+    discarded(whole)  # the largest table; nothing reads it any more
     place = F.struct("doc", "text_hash", "line")
-    first = tokens.groupBy("class").agg(F.min(place).alias("first"))
+    first = tokens.groupBy("class").agg(F.min(place).alias("first"), F.min("bits").alias("bits"))
     # numbers in the order of the first lines: the sort's ranges, and rows within them, are numbered upwards
-    classes = staged(first.orderBy("first").select("class", "first", F.monotonically_increasing_id().alias("rank")), "classes")
-    later = later_classes(tokens, classes)
+    classes = staged(first.orderBy("first").select("class", "first", "bits", F.monotonically_increasing_id().alias("rank")), "classes")
+    later = later_classes(docs, key, text, lists, classes)
     verdict = classes.join(later.withColumn("later", F.lit(True)), "rank", "left").select("class", "first", "later")
     rows = tokens.select("doc", "text_hash", "line", "class").distinct().join(verdict, "class")
     gone = F.col("later").isNotNull() | ~place.eqNullSafe(F.col("first"))

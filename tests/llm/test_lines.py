@@ -1,10 +1,11 @@
+import os
 import random
 
 from helpers import documents, odd_rows, prose
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_setjoin
-from ledgerloom.llm.common import prepare
+from ledgerloom.llm.common import prepare, shared_path
 
 
 def tokens(line):
@@ -81,3 +82,16 @@ def test_lines_that_agree_in_32_bits(spark):
         rows += [(len(rows) + k, first + w) for k, w in enumerate(w for p in pairs for w in p.w)]
     got = line_setjoin.dedup(documents(spark, rows)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.text) for r in got] == rows
+
+
+def test_tokens_do_not_stay_on_disk(spark):
+    """What is left below the shared folder is small beside the texts: no 64-bit token of every line, which alone is larger than they are."""
+    rng = random.Random(6)
+    rows = [(k, "\n".join(prose(rng, 60) for _ in range(20))) for k in range(60)]
+    rows += [(100, rows[0][1] + " more")]
+    folder = shared_path(prepare(spark), "x").rpartition("/")[0].removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    gone = line_setjoin.removed_lines(documents(spark, rows).select("doc_id", "text")).collect()
+    assert [(r.doc, sorted(r.gone)) for r in gone] == [(100, list(range(20)))]
+    files = [os.path.join(d, f) for x in set(os.listdir(folder)) - before for d, _, fs in os.walk(os.path.join(folder, x)) for f in fs if f.endswith(".parquet")]
+    assert 2 * sum(map(os.path.getsize, files)) < sum(len(t) for _, t in rows)
