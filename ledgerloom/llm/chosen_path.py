@@ -10,12 +10,13 @@
    (expectation over the binomial share of the 128 tokens that agree, which all trees use).
 3. First a spanning forest of the likely pairs of each node is confirmed on the full sets: of a node of at most LIMIT
    records at once, of a larger one in blocks that each hold the node's first record too. Nodes with
-   records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components; a block
+   records of more than one component are then compared exhaustively on the sketches, all likely pairs between different components (a node
+   of at most LIMIT records only if a pair of its forest was refuted: else all its likely pairs are in one component already); a block
    with more such pairs than records gets the full sets into its task, which confirms the pairs there and returns a spanning forest
    of the confirmed ones, so that refuted pairs never become rows:
-   up to EXHAUSTIVE records block against block, beyond that the few outside the largest component (at most LIMIT) against all;
-   if there are more of them, the node branches again. After MAX_LEVELS what is left is compared block against block,
-   so no node is dropped or cut. Hence a group of copies costs links in proportion to
+   the records outside the node's largest component are compared, block against block, with each other and with that component, whose own
+   pairs need no look. A node of more than EXHAUSTIVE records with more than LIMIT of them outside branches again instead. After MAX_LEVELS
+   what is left is compared as well, so no node is dropped or cut. Hence a group of copies costs links in proportion to
    its size, and every pair is either confirmed, refuted, or inside one component already.
 4. A pair is likely if its common bins reach the threshold less 4.5 standard deviations (sampling without
    replacement) and one percent; a miss has a probability below 4e-6.
@@ -33,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,9 +170,13 @@ def _members(batches):
 
 
 def _pairs(batches, forest: bool):
-    """Likely pairs of each block: those of a spanning forest, or all that join different components; of a block with more of
-    these than records only its key, as a dense one."""
-    us, vs, dense = [], [], []
+    """Likely pairs of each block: those of a spanning forest (with the block's key), or all that join different components; of a
+    block with more of these than records only its key, as a dense one."""
+    us, vs, dense, keys = [], [], [], []
+
+    def out():
+        made = pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
+        return made.assign(key=np.concatenate(keys)) if forest else made
     for g in _members(batches):
         ids = g["id"].to_numpy()
         if forest:
@@ -188,11 +193,12 @@ def _pairs(batches, forest: bool):
             us.append(pair[:, 1])
             vs.append(pair[:, 0])
             dense.append(np.zeros(len(pair), dtype=bool))
+            keys.append(np.full(len(pair), g["key"].iloc[0]))
         if len(us) > 500:
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
-            us, vs, dense = [], [], []
+            yield out()
+            us, vs, dense, keys = [], [], [], []
     if us:
-        yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs), "dense": np.concatenate(dense)})
+        yield out()
 
 
 def _shared(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +292,8 @@ class _Join:
     def exhaust(self, keyed: DataFrame) -> None:
         """Confirms or refutes every likely pair between different components of the blocks ``keyed`` (key, id, side)."""
         keyed = staged(keyed, "blocks")
+        if keyed.isEmpty():
+            return
         found = staged(self.pairs(keyed, False), "likely")
         before = self.comp
         dense = staged(keyed.join(broadcast_up_to(found.filter("dense").select(F.col("u").alias("key")).distinct(), 1_000_000), "key"), "dense")
@@ -323,12 +331,20 @@ class _Join:
 
     def pairs(self, keyed: DataFrame, forest: bool) -> DataFrame:
         rows = self.signed(self.labelled(keyed), "size", "sig").repartition("key").sortWithinPartitions("key")
-        return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long, dense boolean")
-
-    def unresolved(self, members: DataFrame) -> DataFrame:
-        """Members of the nodes that hold more than one component."""
-        open_ = self.labelled(members).groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("node")
-        return members.join(open_, "node")
+        return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long, dense boolean" + ", key long" * forest)
+
+    def unresolved(self, members: DataFrame, forest: DataFrame) -> DataFrame:
+        """Members of the nodes that may hold a likely pair of different components, after the pairs ``forest`` (key, u, v) of their blocks
+        were tested: of one block if such a pair was refuted, as the forest spans all its likely pairs; of more if they hold several components."""
+        refuted = forest.select("key", "u", "v")
+        if self.comp is not None:
+            side = lambda x: self.comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+            refuted = refuted.join(side("u"), "u", "left").join(side("v"), "v", "left").filter("NOT coalesce(cu, u) <=> coalesce(cv, v)")
+        small = members.filter(F.col("n") <= LIMIT).withColumn("key", _key(F.lit(0)))
+        small = small.join(refuted.select("key").distinct(), "key", "left_semi").drop("key")
+        large = members.filter(F.col("n") > LIMIT)
+        open_ = self.labelled(large).groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("node")
+        return small.unionByName(large.join(open_, "node").select(*members.columns))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -339,41 +355,44 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return rows.join(nodes, "node")
 
 
+def _key(block) -> Column:
+    return F.xxhash64("node", block.cast("long"))
+
+
 def _blocked(members: DataFrame) -> DataFrame:
     """Members with a block key: a small node is one block; of a larger one every block of about
     LIMIT members holds the node's first record too."""
     n_blocks = F.ceil(F.col("n") / F.lit(LIMIT)).cast("long")
     m = members.withColumn("k", n_blocks)
-    key = lambda block: F.xxhash64("node", block).alias("key")
+    key = lambda block: _key(block).alias("key")
     dealt = m.select(key(F.pmod(F.xxhash64("id", "node"), F.col("k"))), "id")
     first = (members.filter(F.col("n") > LIMIT).groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
              .select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(LIMIT)).cast("long") - 1)).alias("block")))
     return dealt.unionByName(first.select(key(F.col("block")), "id")).withColumn("side", F.lit(0))
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each two blocks of a node together: the exhaustive comparison of a node (a small one is one block)."""
-    k = F.ceil(F.col("n") / F.lit(TILE * LIMIT)).cast("long")
-    m = members.select("node", "id", F.pmod(F.xxhash64("id", "node"), k).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("other"))
+def _tops(join: _Join, members: DataFrame) -> DataFrame:
+    """Members with their node's size, the number of records outside its largest component, and whether this one is (``outside``)."""
+    lab = staged(join.labelled(members.select("node", "id", "m").distinct()), "labelled")
+    per = lab.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("of"))
+    top = (per.groupBy("node").agg(F.max(F.struct("of", "comp")).alias("top"), F.sum("of").alias("size"))
+           .select("node", "size", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.of")).alias("out")))
+    return lab.join(top, "node").select("node", "id", "m", "size", "out", (F.col("comp") != F.col("top")).alias("outside"))
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """The exhaustive comparison of the nodes of ``_tops``: each block of records outside the largest component with each other block, of
+    these or of the largest component, whose records thus go to as many blocks as the others fill; a small node is one block."""
+    side, small = F.lit(TILE * LIMIT), F.col("size") <= TILE * LIMIT
+    n_out, n_top = F.ceil(F.col("out") / side).cast("long"), F.ceil((F.col("size") - F.col("out")) / side).cast("long")
+    at = F.xxhash64("id", "node")
+    block = F.when(small, 0).when(F.col("outside"), F.pmod(at, n_out)).otherwise(n_out + F.pmod(at, n_top))
+    last = F.when(small, 0).when(F.col("outside"), n_out + n_top - 1).otherwise(n_out - 1)
+    m = members.filter("out > 0").select("node", "id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
     return m.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id",
                     F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
 
 
-def _outsiders(join: _Join, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits unresolved large nodes. Where at most LIMIT members are outside the node's largest component, each block of
-    its members holds all of these outsiders too, which settles the node. The other nodes' members come second."""
-    lab = staged(join.labelled(large), "labelled")
-    per = lab.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("m"))
-    top = per.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).select("node", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.m")).alias("out"))
-    lab = staged(lab.join(top, "node"), "labelled")
-    near, rest = lab.filter(F.col("out") <= LIMIT), lab.filter(F.col("out") > LIMIT).select("node", "id", "n", "m")
-    k = F.ceil(F.col("n") / F.lit(LIMIT)).cast("long")
-    key = lambda block: F.xxhash64(F.lit(2), "node", block).alias("key")
-    dealt = near.filter("comp = top").select(key(F.pmod(F.xxhash64("id", "node"), k)), "id")
-    out = near.filter("comp <> top").select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("block")).select(key(F.col("block")), "id")
-    return dealt.unionByName(out).withColumn("side", F.lit(0)), rest
-
-
 def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that link with another one."""
     join = _Join(docs, classes)
@@ -382,17 +401,14 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         members = staged(_nodes(staged(rows, "rows")), "members")
         if members.isEmpty():
             break
-        join.confirm(join.pairs(_blocked(members), True).select("u", "v"))
-        open_ = staged(join.unresolved(members), "open")
-        large = open_.filter(F.col("n") > EXHAUSTIVE)
-        near, rest = _outsiders(join, large)
-        join.exhaust(_block_pairs(open_.filter(F.col("n") <= EXHAUSTIVE)).unionByName(near))
-        rest = staged(rest, "large")
+        forest = staged(join.pairs(_blocked(members), True), "forest")
+        join.confirm(forest.select("u", "v"))
+        open_ = staged(_tops(join, join.unresolved(members, forest)), "open")
+        goes_on = (F.col("size") > EXHAUSTIVE) & (F.col("out") > LIMIT) & F.lit(level < MAX_LEVELS)
+        join.exhaust(_tiles(open_.filter(~goes_on)))
+        rest = open_.filter(goes_on)
         if rest.isEmpty():
             break
-        if level == MAX_LEVELS:
-            join.exhaust(_block_pairs(rest))
-            break
         rows = join.signed(rest.select("node", "id", "m"), "path").mapInPandas(_branch, "node long, id long")
     return join.comp
 

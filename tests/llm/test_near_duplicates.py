@@ -158,3 +158,30 @@ def test_borderline_group(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     got = chosen_path.query(documents(prepare(spark), rows)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(chosen_path.ORACLE).fetchall())
+
+
+def test_settled_records_are_not_copied_to_blocks(spark, monkeypatch):
+    """Records of a node's largest component go to the blocks of the others only; a node without a likely pair is not compared again."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    monkeypatch.setattr(chosen_path, "TILE", 1)
+    rng = random.Random(4)
+    base = prose(rng, 150).split()
+
+    def edited(n):
+        w = list(base)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = "edit" + str(rng.randrange(10**6))
+        return " ".join(w)
+    compared, exhaust = [], chosen_path._Join.exhaust
+
+    def spied(self, keyed):
+        compared.extend(r.id for r in keyed.collect())
+        exhaust(self, keyed)
+    monkeypatch.setattr(chosen_path._Join, "exhaust", spied)
+    rows = [(k, edited(1)) for k in range(60)] + [(100 + k, edited(12)) for k in range(4)]
+    assert found(spark, rows) == brute(rows)
+    assert 0 < len(compared) <= chosen_path.TREES * chosen_path.BRANCHES * (60 + 4 * 9)  # of 64 * 8 in each node
+    compared.clear()
+    rows = [(0, " ".join(base)), (1, edited(12))]
+    assert found(spark, rows) == brute(rows)
+    assert not compared
