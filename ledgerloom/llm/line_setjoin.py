@@ -90,11 +90,17 @@ class _Verifier:
         self.docs, self.key, self.text = docs, key, text
         self.classes, self.sets, self.tested = classes, None, None
 
-    def _fetch(self, pairs: DataFrame) -> None:
+    def _needed(self, pairs: DataFrame) -> DataFrame:
+        """The whole sets (rank, toks) of the classes of the pairs, without those of earlier pairs unless there are very many."""
+        ranks = staged(pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct(), "ranks")
+        first = self.sets is None
+        self._fetch(ranks if first else ranks.join(self.sets.select("rank"), "rank", "left_anti"))
+        if first or ranks.limit(1_000_001).count() > 1_000_000:
+            return self.sets
+        return self.sets.join(F.broadcast(ranks), "rank", "left_semi")
+
+    def _fetch(self, ranks: DataFrame) -> None:
         """The whole sets of more classes, from their first lines."""
-        ranks = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
-        if self.sets is not None:
-            ranks = ranks.join(self.sets.select("rank"), "rank", "left_anti")
         want = staged(self.classes.join(ranks, "rank").select("rank", F.col("first").alias("f")), "wanted")
         if want.isEmpty():
             return
@@ -103,7 +109,11 @@ class _Verifier:
         t = F.col(f"`{self.text}`")
         found = self.docs.join(by_text, F.col(f"`{self.key}`").eqNullSafe(F.col("__doc")) & (F.xxhash64(t) == F.col("__hash")))
         rows = _raw_lines(found, self.key, self.text, "__ranks").select(F.try_element_at("__ranks", F.col("line")).alias("rank"), "raw").filter("rank IS NOT NULL")
-        got = staged(_tokenised(rows, "rank").dropDuplicates(["rank"]), "sets")  # rows that repeat id and text
+        got = staged(_tokenised(rows, "rank"), "sets")
+        if not got.groupBy("rank").count().filter("count > 1").isEmpty():  # rows that repeat id and text; else the sets need no shuffle
+            once = staged(got.dropDuplicates(["rank"]), "sets")
+            discarded(got)
+            got = once
         self.sets = got if self.sets is None else self.sets.unionByName(got)
 
     def matched(self, pairs: DataFrame) -> DataFrame:
@@ -115,9 +125,9 @@ class _Verifier:
         self.tested = new if self.tested is None else self.tested.unionByName(new)
         if new.isEmpty():
             return new.select("x")
-        self._fetch(new)
-        both = (new.join(self.sets.select(F.col("rank").alias("x"), F.col("toks").alias("a")), "x")
-                .join(self.sets.select(F.col("rank").alias("y"), F.col("toks").alias("b")), "y"))
+        sets = self._needed(new)
+        both = (new.join(sets.select(F.col("rank").alias("x"), F.col("toks").alias("a")), "x")
+                .join(sets.select(F.col("rank").alias("y"), F.col("toks").alias("b")), "y"))
         common = F.size(F.array_intersect("a", "b"))
         return staged(both.filter(100 * common >= PERCENT * (F.size("a") + F.size("b") - common)).select("x").distinct(), "matched")
 

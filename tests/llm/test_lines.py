@@ -95,3 +95,34 @@ def test_tokens_do_not_stay_on_disk(spark):
     assert [(r.doc, sorted(r.gone)) for r in gone] == [(100, list(range(20)))]
     files = [os.path.join(d, f) for x in set(os.listdir(folder)) - before for d, _, fs in os.walk(os.path.join(folder, x)) for f in fs if f.endswith(".parquet")]
     assert 2 * sum(map(os.path.getsize, files)) < sum(len(t) for _, t in rows)
+
+
+def test_sets_are_shuffled_for_their_pairs_only(spark, monkeypatch):
+    """Fetched sets are not dealt by their class unless rows repeat id and text; later pairs read no sets of earlier ones."""
+    made, kept = [], line_setjoin.staged
+
+    def spied(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+    monkeypatch.setattr(line_setjoin, "staged", spied)
+    rng = random.Random(9)
+    base = prose(rng, 50).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            w[rng.randrange(len(w))] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    got = line_setjoin.dedup(documents(prepare(spark), rows)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in got] == list(_any_earlier(rows))
+    sets = [p for n, p in made if n == "sets"]
+    assert sets and not any("hashpartitioning(rank" in p and "first(toks" in p for p in sets)
+    made.clear()
+    twice = [*rows, rows[0], rows[7]]
+    got = line_setjoin.dedup(documents(spark, twice)).orderBy("doc_id").collect()
+    assert [r.text for r in got if r.doc_id not in (0, 7)] == [t for i, t in _any_earlier(rows) if i not in (0, 7)]
+    assert sum(n == "sets" for n, _ in made) > 1
+    verify = line_setjoin._Verifier(None, "doc_id", "text", None)
+    verify.sets = spark.createDataFrame([(k, [k]) for k in range(9)], "rank long, toks array<long>")
+    monkeypatch.setattr(verify, "_fetch", lambda ranks: None)
+    assert sorted(r.rank for r in verify._needed(spark.createDataFrame([(5, 3), (5, 2)], "x long, y long")).collect()) == [2, 3, 5]
