@@ -290,13 +290,13 @@ class _Join:
             self.comp = staged(components(self.links), "components")
 
     def exhaust(self, keyed: DataFrame) -> None:
-        """Confirms or refutes every likely pair between different components of the blocks ``keyed`` (key, id, side)."""
+        """Confirms or refutes every likely pair between different components of the blocks ``keyed`` (key, id, side, comp)."""
         keyed = staged(keyed, "blocks")
         if keyed.isEmpty():
             return
         found = staged(self.pairs(keyed, False), "likely")
         before = self.comp
-        dense = staged(keyed.join(broadcast_up_to(found.filter("dense").select(F.col("u").alias("key")).distinct(), 1_000_000), "key"), "dense")
+        dense = staged(keyed.drop("comp").join(broadcast_up_to(found.filter("dense").select(F.col("u").alias("key")).distinct(), 1_000_000), "key"), "dense")
         self.confirm(found.filter("NOT dense").select("u", "v"))
         if dense.isEmpty():
             return
@@ -330,11 +330,11 @@ class _Join:
         return members.join(self.classes.select(F.col("class_id").alias("id"), *columns), "id")
 
     def pairs(self, keyed: DataFrame, forest: bool) -> DataFrame:
-        rows = self.signed(self.labelled(keyed), "size", "sig").repartition("key").sortWithinPartitions("key")
+        rows = self.signed(keyed, "size", "sig").repartition("key").sortWithinPartitions("key")
         return rows.mapInPandas(lambda it: _pairs(it, forest), "u long, v long, dense boolean" + ", key long" * forest)
 
     def unresolved(self, members: DataFrame, forest: DataFrame) -> DataFrame:
-        """Members of the nodes that may hold a likely pair of different components, after the pairs ``forest`` (key, u, v) of their blocks
+        """Members, with their components, of the nodes that may hold a likely pair of different components, after the pairs ``forest`` (key, u, v) of their blocks
         were tested: of one block if such a pair was refuted, as the forest spans all its likely pairs; of more if they hold several components."""
         refuted = forest.select("key", "u", "v")
         if self.comp is not None:
@@ -342,9 +342,9 @@ class _Join:
             refuted = refuted.join(side("u"), "u", "left").join(side("v"), "v", "left").filter("NOT coalesce(cu, u) <=> coalesce(cv, v)")
         small = members.filter(F.col("n") <= LIMIT).withColumn("key", _key(F.lit(0)))
         small = small.join(refuted.select("key").distinct(), "key", "left_semi").drop("key")
-        large = members.filter(F.col("n") > LIMIT)
-        open_ = self.labelled(large).groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("node")
-        return small.unionByName(large.join(open_, "node").select(*members.columns))
+        large = staged(self.labelled(members.filter(F.col("n") > LIMIT)), "labelled")
+        open_ = large.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("node")
+        return self.labelled(small).unionByName(large.join(open_, "node").select(*large.columns))
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -371,13 +371,13 @@ def _blocked(members: DataFrame) -> DataFrame:
     return dealt.unionByName(first.select(key(F.col("block")), "id")).withColumn("side", F.lit(0))
 
 
-def _tops(join: _Join, members: DataFrame) -> DataFrame:
+def _tops(members: DataFrame) -> DataFrame:
     """Members with their node's size, the number of records outside its largest component, and whether this one is (``outside``)."""
-    lab = staged(join.labelled(members.select("node", "id", "m").distinct()), "labelled")
+    lab = staged(members.select("node", "id", "m", "comp").distinct(), "unresolved")
     per = lab.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("of"))
     top = (per.groupBy("node").agg(F.max(F.struct("of", "comp")).alias("top"), F.sum("of").alias("size"))
            .select("node", "size", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.of")).alias("out")))
-    return lab.join(top, "node").select("node", "id", "m", "size", "out", (F.col("comp") != F.col("top")).alias("outside"))
+    return lab.join(top, "node").select("node", "id", "m", "comp", "size", "out", (F.col("comp") != F.col("top")).alias("outside"))
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -388,8 +388,8 @@ def _tiles(members: DataFrame) -> DataFrame:
     at = F.xxhash64("id", "node")
     block = F.when(small, 0).when(F.col("outside"), F.pmod(at, n_out)).otherwise(n_out + F.pmod(at, n_top))
     last = F.when(small, 0).when(F.col("outside"), n_out + n_top - 1).otherwise(n_out - 1)
-    m = members.filter("out > 0").select("node", "id", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
-    return m.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id",
+    m = members.filter("out > 0").select("node", "id", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return m.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "comp",
                     F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
 
 
@@ -403,7 +403,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             break
         forest = staged(join.pairs(_blocked(members), True), "forest")
         join.confirm(forest.select("u", "v"))
-        open_ = staged(_tops(join, join.unresolved(members, forest)), "open")
+        open_ = staged(_tops(join.unresolved(members, forest)), "open")
         goes_on = (F.col("size") > EXHAUSTIVE) & (F.col("out") > LIMIT) & F.lit(level < MAX_LEVELS)
         join.exhaust(_tiles(open_.filter(~goes_on)))
         rest = open_.filter(goes_on)
