@@ -85,3 +85,48 @@ def test_small_books_share_tasks_and_keep_their_rows(spark, tmp):
     paths = [_book(tmp, f"s{i}.xlsx", [("S", "A1:A1", [(1, [f'<c r="A1"><v>{i}</v></c>'])])])[0] for i in range(60)]
     assert _scan(spark, paths).rdd.getNumPartitions() < 30
     assert sorted(int(r["cells"][0]) for r in read_workbooks(spark, paths).collect()) == list(range(60))
+
+
+def _books_of_all_sizes(tmp, rng):
+    """Workbooks below a folder, with bytes of all kinds in them, and a file that is none; (folder, {path: rows})."""
+    root, made = os.path.join(tmp, "all sizes"), {}
+    os.makedirs(root)
+    for k, n in enumerate([1, 40, 400]):
+        values = [rng.choice([rng.random(), "<", "a<b\n", "é" * rng.randint(1, 300), rng.randrange(10**12)]) for _ in range(n)]
+        cells = [f'<c r="A{r}" t="inlineStr"><is><t xml:space="preserve">{v.replace("<", "&lt;")}</t></is></c>' if isinstance(v, str) else f'<c r="A{r}"><v>{v!r}</v></c>'
+                 for r, v in enumerate(values, 1)]
+        path, _ = _book(root, f"b {k}+é.xlsx", [("one", "A1:A1", [(1, ['<c r="A1"><v>7</v></c>'])]), ("two", f"A1:B{n}", [(r, [c]) for r, c in enumerate(cells, 1)])])
+        made[f"file:{path}"] = [v if isinstance(v, str) else number_text(repr(v)) for v in values]
+    with open(os.path.join(root, "none.xlsx"), "wb") as fh:
+        fh.write(b"no <zip<")
+    return root, made
+
+
+def _with_splits(spark, monkeypatch, limit, splits="1000"):
+    """From now on files of more than ``limit`` bytes do not fit in a row, and splits are small."""
+    from ledgerloom.sources import workbook
+    monkeypatch.setattr(workbook, "MAX_WORKBOOK_BYTES", limit)
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(k, splits)
+
+
+def _whole_splits(spark):
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("limit", [0, 2500])
+def test_sheets_of_books_larger_than_a_row_are_listed(spark, tmp, monkeypatch, limit):
+    from ledgerloom.plans import inspect
+    from ledgerloom.sources.workbook import workbook_sheets
+    root, made = _books_of_all_sizes(tmp, random.Random(11))
+    sizes = [os.path.getsize(p.removeprefix("file:")) for p in made]
+    assert min(sizes) < 2500 < max(sizes)
+    try:
+        _with_splits(spark, monkeypatch, limit)
+        listed, errors = workbook_sheets(spark, root)
+        assert sorted(map(tuple, listed.collect())) == sorted((p, s, k) for p in made for k, s in enumerate(["one", "two"]))
+        assert [(r["path"], r["error"].split(":")[0]) for r in errors.collect()] == [(f"file:{root}/none.xlsx", "BadZipFile")]
+        assert inspect.sheets(spark, root).count() == 2 * len(made)
+    finally:
+        _whole_splits(spark)
