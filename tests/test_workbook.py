@@ -130,3 +130,36 @@ def test_sheets_of_books_larger_than_a_row_are_listed(spark, tmp, monkeypatch, l
         assert inspect.sheets(spark, root).count() == 2 * len(made)
     finally:
         _whole_splits(spark)
+
+
+@pytest.mark.parametrize("limit", [0, 2500])
+def test_bounds_and_rows_of_books_larger_than_a_row(spark, tmp, monkeypatch, limit):
+    from ledgerloom.sources.workbook import emit_workbooks, sheet_bounds
+    root, made = _books_of_all_sizes(tmp, random.Random(12))
+    try:
+        _with_splits(spark, monkeypatch, limit)
+        bounds = sheet_bounds(emit_workbooks(spark, root).filter("rec = 'sheet'"))
+        assert sorted((r["source_file"], r["source_sheet"], r["row_end"]) for r in bounds.collect()) == sorted(
+            (p, s, n) for p, v in made.items() for s, n in (("one", 1), ("two", len(v))))
+        rows = read_workbooks(spark, [p.removeprefix("file:") for p in made]).filter("source_sheet = 'two'").orderBy("row_no").collect()
+        assert {p: [r["cells"][0] for r in rows if r["source_file"] == p] for p in made} == made
+    finally:
+        _whole_splits(spark)
+
+
+def test_a_book_of_which_a_piece_is_missing_is_reported():
+    import pandas as pd
+
+    from ledgerloom.sources.workbook import _emitter, _piece_emitter, _pieces
+    b = _Book()
+    b.sheet("S", "A1:A1", [(1, ['<c r="A1"><v>7</v></c>'])])
+    data = b.bytes()
+    lines = data.split(b"<")
+    for last in ([], [b"more"]):  # what the text reader gives ends with or without a separator
+        whole = data + b"<" if last else data
+        batch = pd.DataFrame({"path": "p", "size": len(whole), "start": 0, "value": lines})
+        pieces = pd.concat(_pieces(iter([batch[:5], batch[5:]]))).assign(wants=None)
+        got = [r for f in _piece_emitter(iter([pieces])) for r in f["rec"]]
+        assert got == [r for f in _emitter(iter([pd.DataFrame({"path": ["p"], "content": [whole], "wants": [None]})])) for r in f["rec"]]
+    few = pd.concat(_pieces(iter([batch[:-3]]))).assign(wants=None)
+    assert [tuple(r) for f in _piece_emitter(iter([few, pieces.assign(path="q")])) for r in f[["rec", "source_file"]].to_numpy()][0] == ("error", "p")
