@@ -163,3 +163,24 @@ def test_a_book_of_which_a_piece_is_missing_is_reported():
         assert got == [r for f in _emitter(iter([pd.DataFrame({"path": ["p"], "content": [whole], "wants": [None]})])) for r in f["rec"]]
     few = pd.concat(_pieces(iter([batch[:-3]]))).assign(wants=None)
     assert [tuple(r) for f in _piece_emitter(iter([few, pieces.assign(path="q")])) for r in f[["rec", "source_file"]].to_numpy()][0] == ("error", "p")
+
+
+@pytest.mark.parametrize("limit", [0, 2500])
+def test_header_rows_of_books_larger_than_a_row(spark, tmp, monkeypatch, limit):
+    from ledgerloom.operators.detect import detect_header_row
+    from ledgerloom.sources.workbook import emit_workbooks, shape_rows
+    root, want = os.path.join(tmp, "headers"), {}
+    os.makedirs(root)
+    text = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    for k, n in enumerate([3, 300]):
+        at = 2 + k
+        rows = [(1, [text("A1", "title")]), (at, [text(f"{c}{at}", f"column {c}") for c in "ABCD"]),
+                *((at + r, [f'<c r="{c}{at + r}"><v>{r}.5</v></c>' for c in "ABCD"]) for r in range(1, n))]
+        path, _ = _book(root, f"{k}.xlsx", [("S", f"A1:D{at + n}", rows)])
+        want[f"file:{path}"] = at
+    try:
+        _with_splits(spark, monkeypatch, limit)
+        raw, _, errors = shape_rows(emit_workbooks(spark, root))
+        assert {r["source_file"]: r["header_row"] for r in detect_header_row(raw).collect()} == want and errors.count() == 0
+    finally:
+        _whole_splits(spark)
