@@ -11,7 +11,8 @@ Unit vectors, distance d = sqrt(2 - 2 cos), so a cosine of 0.9 or more is d <= t
    of blocks that is left, both trees are descended level by level: node pairs beyond the same bound
    are dropped, pairs with d + r_a + r_b <= t are linked as a whole, and at the points the cosine itself
    decides, in double precision. Nothing is approximate: the bounds are taken in single precision, with a margin
-   of 1e-5, about a hundred times its error.
+   of 1e-5, about a hundred times its error. Runs of blocks form groups, as many as the root of the number of blocks (more, if a
+   group would weigh over GROUP_BYTES); a task has the pairs of two groups, so a block is sent once for each group, not for each pair.
 4. A task returns a count of links per vector and a spanning forest of its links, never the pairs,
    so a group of copies costs rows in proportion to its size. Connected components join the forests.
 
@@ -25,6 +26,7 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -37,6 +39,8 @@ from .common import staged
 from .components import components
 
 COSINE, BLOCK, MAX_CELLS, MARGIN, LEVELS = 0.9, 2048, 1024, 1e-5, 6
+#: Of the vectors that a task holds; block pairs whose list is broadcast.
+GROUP_BYTES, MAX_SENT = 32 << 20, 1_000_000
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -207,19 +211,25 @@ def _build(dim: int):
 
 
 def _traverse(batches):
-    held: tuple[int, dict] = (-1, {})
+    """Rows (tile, block, met, tree) sorted by tile and block: a block is held for later ones of its tile if it meets none, or itself."""
+    at, held = None, {}
     for batch in batches:
-        for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-            if held[0] != a:
-                held = (a, _load(ta))
-            x = held[1]
-            y = x if a == b else _load(tb)
-            links_x, links_y, u, v = traverse(x, y)
-            ids = x["ids"] if a == b else np.concatenate([x["ids"], y["ids"]])
-            links = links_x if a == b else np.concatenate([links_x, links_y])
-            label = _merge(len(ids), u, v)
-            some = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
-            yield pd.DataFrame({"u": ids[some], "v": ids[label[some]], "links": links[some]})
+        for tile, block, met, tree in zip(batch["tile"], batch["block"], batch["met"], batch["tree"], strict=True):
+            if tile != at:
+                at, held = tile, {}
+            y, found = _load(tree), []
+            if not len(met) or block in met:
+                held[block] = y
+            for a in met:
+                x = held[a]
+                links_x, links_y, u, v = traverse(x, y)
+                ids = x["ids"] if x is y else np.concatenate([x["ids"], y["ids"]])
+                links = links_x if x is y else np.concatenate([links_x, links_y])
+                label = _merge(len(ids), u, v)
+                some = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
+                found.append(pd.DataFrame({"u": ids[some], "v": ids[label[some]], "links": links[some]}))
+            if found:
+                yield pd.concat(found)
 
 
 def _join(classes: DataFrame, dim: int) -> DataFrame:
@@ -267,12 +277,18 @@ def _join(classes: DataFrame, dim: int) -> DataFrame:
              .filter((F.col("d") <= F.col("aradius") + F.col("bradius") + F.lit(t + MARGIN)) & ((F.col("p") < F.col("q")) | (F.col("ablock") <= F.col("bblock"))))
              .select(F.col("ablock").alias("a"), F.col("bblock").alias("b")))
     pairs = staged(pairs, "pairs")
-    n_tasks = max(1, min(100_000, pairs.count() // 4))
-    work = (pairs.join(trees.select(F.col("block").alias("b"), F.col("tree").alias("tb")), "b")
-            .join(trees.select(F.col("block").alias("a"), F.col("tree").alias("ta")), "a").select("a", "b", "ta", "tb")
-            .repartition(n_tasks, "a", F.pmod("b", F.lit(4))).sortWithinPartitions("a"))
+    n_blocks = int(start[-1])
+    n_groups = max(math.isqrt(n_blocks - 1) + 1, -(-n_blocks // max(1, GROUP_BYTES // (4 * dim * BLOCK))))
+    n_tasks = min(100_000, n_groups * (n_groups + 1) // 2)
+    ga, gb = (F.expr(f"{c} * {n_groups} div {n_blocks}") for c in "ab")  # a <= b
+    ends = F.array(F.struct(F.col("a").alias("block"), F.lit(None).cast("long").alias("met")), F.struct(F.col("b").alias("block"), F.col("a").alias("met")))
+    sent = (pairs.select((gb * (gb + 1) / 2 + ga).cast("long").alias("tile"), F.explode(ends).alias("end")).groupBy("tile", "end.block").agg(F.collect_list("end.met").alias("met"))
+            .groupBy("block").agg(F.collect_list(F.struct("tile", "met")).alias("to")))
+    work = (trees.select("block", "tree").join(F.broadcast(sent) if pairs.count() <= MAX_SENT else sent, "block")
+            .select("block", "tree", F.explode("to").alias("to")).select("to.tile", "block", "to.met", "tree")
+            .repartitionById(n_tasks, F.pmod("tile", F.lit(n_tasks)).cast("int")).sortWithinPartitions("tile", "block"))
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a block
     try:
         return staged(work.mapInPandas(_traverse, "u long, v long, links long"), "found")
     finally:

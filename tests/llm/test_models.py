@@ -128,6 +128,35 @@ def test_vectors(spark, monkeypatch):
     assert cover_tree.query(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("group_bytes, max_sent, times", [(32 << 20, 10**6, 1), (4 * 16 * 20 * 2, 0, 4)])
+def test_blocks_are_sent_once_for_each_group(spark, monkeypatch, group_bytes, max_sent, times):
+    """No tree goes to more tasks than there are groups (the root of the number of blocks, times more if a group must be small)."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 20)
+    monkeypatch.setattr(cover_tree, "GROUP_BYTES", group_bytes, raising=False)
+    monkeypatch.setattr(cover_tree, "MAX_SENT", max_sent, raising=False)
+    trees, sent, real, staged = [], spark.sparkContext.accumulator(0), cover_tree._traverse, cover_tree.staged
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                sent.add(sum(isinstance(v, bytes | bytearray) for c in b.columns for v in b[c]))
+                yield b
+        yield from real(each())
+
+    def kept(df, name):
+        out = staged(df, name)
+        trees.extend([out] if name == "trees" else [])
+        return out
+    monkeypatch.setattr(cover_tree, "_traverse", counted)
+    monkeypatch.setattr(cover_tree, "staged", kept)
+    rng = np.random.default_rng(9)
+    x = _unit(rng, 700, 16, 30, 0.12).astype(np.float32)
+    table = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.query(table).collect()} == _links(list(range(700)), x.astype(float))
+    blocks = trees[0].count()
+    assert blocks > 35 and sent.value <= min(blocks, times * 8) * blocks
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     enc = attention_lm.subwords(PATH, PATTERN)
